@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard
+from . import jaccard, maxent
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -20,7 +20,7 @@ s AS (
   SELECT doc_id, unnest(list_distinct(CASE
     WHEN len(w) = 0 THEN []
     WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)) AS g
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
   FROM t),
 n AS (SELECT t.doc_id, count(s.g) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY 1),
 p AS (
@@ -34,8 +34,13 @@ SELECT n.doc_id, n.n AS n_shingles, c.component_id
 FROM n JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) c USING (doc_id)
 """
 
+def op9_lm_scoring(spark, sf_dir):
+    return maxent.maxent_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 SQL = {
