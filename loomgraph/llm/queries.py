@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, maxent
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import jaccard, maxent, quality, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -10,6 +13,17 @@ LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 WORDS = rf"regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+')"
 
 
+def op3_quality_classifier(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_token_id_output(spark, sf_dir, tokenizer: str | None = None):
+    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    return tokenfile.read_tokens(*tokenfile.write_tokens(read(spark, sf_dir, "documents"), path, 2))
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -39,6 +53,8 @@ def op9_lm_scoring(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_token_id_output": op4_token_id_output,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_lm_scoring": op9_lm_scoring,
 }
