@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, maxent, quality, tokenfile
+from . import jaccard, licences, maxent, quality, secrets, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -24,6 +24,11 @@ def op4_token_id_output(spark, sf_dir, tokenizer: str | None = None):
     return tokenfile.read_tokens(*tokenfile.write_tokens(read(spark, sf_dir, "documents"), path, 2))
 
 
+def op6_license_scan(spark, sf_dir):
+    found = licences.license_scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -52,10 +57,16 @@ def op9_lm_scoring(spark, sf_dir):
     return maxent.maxent_scores(read(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark, sf_dir):
+    return secrets.findings(secrets.secret_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_id_output": op4_token_id_output,
+    "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op10_secret_scan": op10_secret_scan,
     "op9_lm_scoring": op9_lm_scoring,
 }
 
