@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, licences, maxent, quality, secrets, tokenfile
+from . import decontaminate, jaccard, licences, maxent, quality, secrets, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -24,6 +24,10 @@ def op4_token_id_output(spark, sf_dir, tokenizer: str | None = None):
     return tokenfile.read_tokens(*tokenfile.write_tokens(read(spark, sf_dir, "documents"), path, 2))
 
 
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_license_scan(spark, sf_dir):
     found = licences.license_scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -64,6 +68,7 @@ def op10_secret_scan(spark, sf_dir):
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_id_output": op4_token_id_output,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
