@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, maxent, quality, secrets, tokenfile
+from . import decontaminate, jaccard, licences, maxent, media, quality, secrets, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -13,6 +13,10 @@ LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 WORDS = rf"regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+')"
 
 
+def op2_media_columns(spark, sf_dir):
+    return media.read_texts(media.store_texts(read(spark, sf_dir, "documents"))).drop("clips")
+
+
 def op3_quality_classifier(spark, sf_dir):
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +70,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_media_columns": op2_media_columns,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_id_output": op4_token_id_output,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,

@@ -52,11 +52,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the n + 1 offsets of its rows; a null is empty."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    """The bytes of a string or binary column and the n + 1 offsets of its rows; a null is empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
