@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .maxent import Lookup
 from .textkit import ALNUM, Words, chunks, mix
@@ -273,33 +274,25 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != "matches"]
-    out = docs.select(*columns)
+    kind = T.DataType.fromDDL(MATCHES)
+    out = docs.select(*columns, F.array().cast(kind).alias("matches"))
+    schema = docs.select(*columns).schema.add("matches", kind)
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // BLOCK))
-    schema = out.schema.add("matches", MATCHES)
-    empty = F.array().cast(MATCHES)
-    parts = []
+    blocks = -(-items.count() // BLOCK)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about BLOCK rows
-        if not rows:
-            continue
         searcher = spark.sparkContext.broadcast(Searcher([r["item_id"] for r in rows], [r["text"] or "" for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("first_word", pa.int64()), ("n_words", pa.int32())]))
+            at = len(columns)
             for batch in chunks(batches):
-                found = pa.array(searcher.value.search(batch.column("text")), kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "matches"])
+                found = searcher.value.search(batch.column("text"))
+                both = [old + new for old, new in zip(batch.column(at).to_pylist(), found, strict=True)]
+                both = pa.array([sorted(x, key=lambda m: m["item_id"]) for x in both], batch.schema.field(at).type)
+                yield batch.set_column(at, batch.schema.field(at), both)
 
         out = out.mapInArrow(run, schema)
-        if parts:
-            out = out.withColumn("matches", F.array_sort(F.concat("matches", parts[-1])))
-        if k + 1 < blocks:  # carry the matches along under another name
-            name = f"matches_{k}"
-            out = out.withColumnRenamed("matches", name)
-            schema = out.schema.add("matches", MATCHES)
-            parts.append(name)
-    return out.select(*columns, "matches") if "matches" in out.columns else out.withColumn("matches", empty)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
