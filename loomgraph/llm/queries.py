@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, maxent, media, quality, secrets, tokenfile
+from . import decontaminate, jaccard, licences, maxent, media, pieces, quality, secrets, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -61,6 +61,11 @@ SELECT n.doc_id, n.n AS n_shingles, c.component_id
 FROM n JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) c USING (doc_id)
 """
 
+def op8_sentencepiece(spark, sf_dir, model: str | None = None):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.encode_texts(docs, model or public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op9_lm_scoring(spark, sf_dir):
     return maxent.maxent_scores(read(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_lm_scoring": op9_lm_scoring,
 }
 
