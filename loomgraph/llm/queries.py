@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, maxent, media, pieces, quality, secrets, tokenfile
+from . import decontaminate, html, jaccard, licences, maxent, media, pieces, quality, secrets, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -13,6 +13,10 @@ LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 WORDS = rf"regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+')"
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html.extract(read(spark, sf_dir, "pages")).drop("n_blocks")
+
+
 def op2_media_columns(spark, sf_dir):
     return media.read_texts(media.store_texts(read(spark, sf_dir, "documents"))).drop("clips")
 
@@ -75,6 +79,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_media_columns": op2_media_columns,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_id_output": op4_token_id_output,
