@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries
+from .plans import graph_queries, stage_queries, upkeep_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES}
-SQL: dict[str, str] = {**graph_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES, **stage_queries.QUERIES, **upkeep_queries.QUERIES}
+SQL: dict[str, str] = {**graph_queries.SQL, **stage_queries.SQL, **upkeep_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

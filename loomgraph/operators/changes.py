@@ -42,7 +42,7 @@ def sync_plan(before: DataFrame, after: DataFrame) -> DataFrame:
     """CH-5: per stage whether to organise again (it gained files), prune (it only lost some), drop (it has none left) or keep."""
     b = before.where(F.col("stage") != UNASSIGNED).select("stage", "file", F.lit(1).alias("b"))
     a = after.where(F.col("stage") != UNASSIGNED).select("stage", "file", F.lit(1).alias("a"))
-    n = b.join(a, ["stage", "file"], "full").groupBy("stage").agg(F.count("a").alias("left"), F.count_if("b IS NULL").alias("gained"), F.count_if("a IS NULL").alias("lost"))
+    n = b.join(a, ["stage", "file"], "full").groupBy("stage").agg(F.count("a").alias("left"), F.count_if(F.col("b").isNull()).alias("gained"), F.count_if(F.col("a").isNull()).alias("lost"))
     plan = F.when(F.col("left") == 0, "drop").when(F.col("gained") > 0, "reorganise").when(F.col("lost") > 0, "prune").otherwise("keep")
     return n.select("stage", plan.alias("plan"))
 
@@ -110,7 +110,7 @@ def anchor_plan(anchors: DataFrame, envelopes: DataFrame) -> DataFrame:
     return a.where("to_start <> line_start OR to_end <> line_end").select("stage", "qualname", "line_start", "line_end", "to_start", "to_end")
 
 
-@F.udf("string")
+@F.udf("string", useArrow=True)
 def unified_diff(before: str | None, after: str | None) -> str:
     """CH-17: unified diff of two texts; there is no built-in for it."""
     import difflib

@@ -21,11 +21,11 @@ def parse_verdict(replies: DataFrame) -> DataFrame:
 def _rounds(verdicts: DataFrame) -> DataFrame:
     """Per proposal and round: whether all approve, and whether any rejects; a null decision counts as unusable."""
     vacuous = (F.col("decision") == "REVISE") & (F.size("concerns") == 0)
-    d = F.when(vacuous, "APPROVE").otherwise(F.col("decision"))
+    d = F.when(vacuous, "APPROVE").otherwise(F.coalesce("decision", F.lit("unusable")))
     n = verdicts.withColumn("d", d).groupBy("proposal").pivot("round", [1, 2])
     return n.agg(
-        F.coalesce(F.bool_and(F.coalesce(F.col("d") == "APPROVE", F.lit(False))), F.lit(False)).alias("all"),
-        F.coalesce(F.bool_or(F.coalesce(F.col("d") == "REJECT", F.lit(True))), F.lit(False)).alias("rejected"), F.count("*").alias("n"),
+        F.coalesce(F.bool_and(F.col("d") == "APPROVE"), F.lit(False)).alias("all"),
+        F.coalesce(F.bool_or(F.col("d").isin("REJECT", "unusable")), F.lit(False)).alias("rejected"), F.count("d").alias("n"),
     )
 
 

@@ -58,7 +58,7 @@ def normalise_stages(raw: list) -> list[dict]:
 
 def stage_menu(stages: DataFrame) -> DataFrame:
     """AS-6: one line a stage: title and the first sentence of its description without the full stop."""
-    said = F.rtrim(F.lit("."), F.split_part(F.coalesce("description", F.lit("")), F.lit(". "), F.lit(1)))
+    said = F.rtrim(F.split_part(F.coalesce("description", F.lit("")), F.lit(". "), F.lit(1)), F.lit("."))
     return stages.select("ord", "id", F.concat("title", F.lit(": "), said, F.lit(".")).alias("line"))
 
 
