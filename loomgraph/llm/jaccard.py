@@ -15,14 +15,17 @@ Size bands double; a document emits for its own band and, where a partner can be
 just over the edge, for the next one.  Candidates are verified on whole sets.
 
 Groups that share a block word are never expanded to all pairs.  First each member
-is compared with the group's smallest member; the components of those links
-swallow whole clusters of copies.  Only pairs from different components that still
-share a block word are then compared, which makes the result complete.
+is compared with the group's smallest member, then over a spanning forest of the closest pairs;
+the components of those links swallow whole clusters of copies.  Only pairs from
+different components that still share a block word are then all compared, which
+makes the result complete.  Before two
+sets are fetched, their dense parity sketches (DENSE bits) must be within the
+admissible distance.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import forget, keep
+from .tables import forget, keep, release
 from .textkit import SPACED, Words, chunks, grams, mix
 
 SHINGLE = 5
-#: of block words met often: kept by a task, and in all.  They order the emitted words; no row is dropped.
-HOT_IN_TASK, HOT_IN_ALL = 4096, 131_072
+#: of block words met often: counted at once by a task, kept of those, and kept in all.  They order the
+#: emitted words; no row is dropped.
+HOT_COUNTED, HOT_IN_TASK, HOT_IN_ALL = 8_000_000, 16_384, 262_144
+TILE = 2048  # most rows of a group that are compared with as many others in one step
+#: bits of the dense sketch that filters pairs before their sets are fetched, and of the filter of documents to fetch
+DENSE, FILTER_BITS = 1024, 1 << 23
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -92,30 +99,31 @@ def _emitted(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block words that repeat inside a slice of a task's distinct sets."""
+    """Block words that repeat among up to HOT_COUNTED of those of a task's distinct sets."""
     seen: set[int] = set()
-    count: Counter[int] = Counter()
+    mine: list[np.ndarray] = []
+
+    def top() -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate([_EMPTY, *mine]), return_counts=True)
+        words, n = words[n > 1], n[n > 1]
+        first = np.lexsort((words, -n))[:HOT_IN_TASK]
+        return pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int64)), pa.array(n[first])], names=["word", "met"])
+
+    held = 0
     for batch in chunks(batches):
-        mine = []
         for s in sets_of(batch.column("text")):
             if len(s) and (name := identity(s)) not in seen:
                 seen.add(name)
                 mine += [block_words(s, bits) for bits, _ in meetings(len(s))]
-        if mine:
-            words, n = np.unique(np.concatenate(mine), return_counts=True)
-            again = n > 1
-            count.update(dict(zip(words[again].tolist(), n[again].tolist(), strict=True)))
-        if len(count) > 8 * HOT_IN_TASK:
-            count = Counter(dict(count.most_common(4 * HOT_IN_TASK)))
-    top = count.most_common(HOT_IN_TASK)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.array([k for k, _ in top], np.uint64).view(np.int64)), pa.array([v for _, v in top], pa.int64())],
-        names=["word", "met"],
-    )
+                held += 2 * len(s)
+        if held > HOT_COUNTED:
+            yield top()
+            mine, held = [], 0
+    yield top()
 
 
 def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most HOT_IN_ALL block words that many sets have, sorted, and how often they were met (2 MB at most)."""
+    """At most HOT_IN_ALL block words that many sets have, sorted, and how often they were met (4 MB at most)."""
     top = (
         docs.select("text").mapInArrow(_frequent, "word long, met long")
         .groupBy("word").agg(F.sum("met").alias("met")).orderBy(F.desc("met"), "word").limit(HOT_IN_ALL).toArrow()
@@ -125,62 +133,233 @@ def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return words[order], met[order]
 
 
+def parity(s: np.ndarray, size: int = DENSE) -> np.ndarray:
+    """The dense sketch of a set: `size` bits, each flipped by the elements hashed to it, as 64-bit words.
+
+    The first half of a sketch XOR the second is the sketch of half the size.
+    """
+    odd = np.bincount((mix(s + np.uint64(1)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def fine_parity(s: np.ndarray) -> np.ndarray:
+    """For large sets a sketch of 2 to 4 bits an element; none for those that DENSE bits serve."""
+    return parity(s, 4 << (len(s).bit_length() - 1)) if len(s) >= DENSE else np.zeros(0, np.int64)
+
+
 def _describe(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
-    """Per document its set's name and size, and for a set's first document in the task the emitted words."""
+    """Per document its set's name and size; for a set's first document in the task its dense sketch and emitted words."""
     seen: set[int] = set()
     found = hot.value
+    none = np.zeros(0, np.int64)
     for batch in chunks(batches):
-        names, sizes, words = [], [], []
+        names, sizes, words, sketches, fines = [], [], [], [], []
         for s in sets_of(batch.column("text")):
             name = identity(s)
+            new = len(s) > 0 and name not in seen
             names.append(name)
             sizes.append(len(s))
-            words.append(_emitted(s, found) if len(s) and name not in seen else _EMPTY)
-            if len(s):
+            words.append(_emitted(s, found).view(np.int64) if new else none)
+            sketches.append(parity(s) if new else none)
+            fines.append(fine_parity(s) if new else none)
+            if new:
                 seen.add(name)
-        at = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
-        flat = np.concatenate(words) if words else _EMPTY
+        lists = []
+        for parts in (sketches, fines, words):
+            at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([none, *parts]))))
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64))),
-            ],
-            names=["doc_id", "name", "n", "words"],
-        )
+            [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *lists],
+            names=["doc_id", "name", "n", "sketch", "fine", "words"],
+        )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        sets = list(sets_of(batch.column("text")))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("name"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["name", "elements"]
-        )
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for batch in batches:
+        slot = _slots(batch.column("doc_id").to_numpy())
+        np.bitwise_or.at(bits, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
+    words = bits.view(np.int64)
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """Whole sets of the documents that the filter lets pass."""
+    some = bits.value
+    for batch in batches:
+        slot = _slots(batch.column("doc_id").to_numpy())
+        asked = batch.filter(pa.array((some[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+        for part in chunks(iter([asked])):
+            sets = [x.tobytes() for x in sets_of(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "elements"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep_row = []
+        similar = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = np.concatenate([p, q])
             both.sort(kind="stable")
             same = int((both[1:] == both[:-1]).sum())
-            keep_row.append(100 * same >= 80 * (len(p) + len(q) - same))
-        yield batch.select(["a", "b"]).filter(pa.array(keep_row, pa.bool_()))
+            similar.append(100 * same >= 80 * (len(p) + len(q) - same))
+        yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of set names whose sets are similar."""
+def _close(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sizes and dense sketches allow similarity 4/5: Hamming distance at most (|A| + |B|) / 9."""
+    x, y = (sketched.select(F.col("name").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
     return (
-        pairs.join(sets.select(F.col("name").alias("b"), F.col("elements").alias("y")), "b")
-        .join(sets.select(F.col("name").alias("a"), F.col("elements").alias("x")), "a")
-        .select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+        pairs.join(x, "a").join(y, "b").where("n_a * 5 >= n_b * 4 AND n_b * 5 >= n_a * 4")
+        .where(_apart("s_a", "s_b") * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    )
+
+
+def _apart(a: str, b: str):
+    """Hamming distance of two sketches; one of twice the other's size is folded first."""
+
+    def folded(x: str, y: str):
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
+
+
+def _close_finely(pairs: DataFrame, fines: DataFrame) -> DataFrame:
+    """Those pairs that finer sketches, where both sets have them, allow too."""
+    x, y = (fines.select(F.col("name").alias(k), F.col("n").alias(f"n_{k}"), F.col("fine").alias(f"s_{k}")) for k in "ab")
+    return (
+        pairs.join(x, "a", "left").join(y, "b", "left")
+        .where(F.col("n_a").isNull() | F.col("n_b").isNull() | (_apart("s_a", "s_b") * 9 <= F.col("n_a") + F.col("n_b"))).select("a", "b")
+    )
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows starts, and the number of rows."""
+    new = np.zeros(len(columns[0]) + 1, bool)
+    new[0] = new[-1] = True
+    for c in columns:
+        new[1:-1] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _spanning(pairs: np.ndarray, roots: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Those pairs, in the given order, that join two sets of roots not joined before: a spanning forest."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    chosen = []
+    for k in order.tolist():
+        x, y = top(int(roots[k, 0])), top(int(roots[k, 1]))
+        if x != y:
+            up[y] = x
+            chosen.append(k)
+    return pairs[chosen]
+
+
+def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in each run of equal (word, low, high) whose sizes and sketches are close.
+
+    Rows come sorted by that key and root; a run has at most 2 TILE rows.  If low < high,
+    only pairs of one row of either tile are made.  forest: of a slice's pairs only a
+    spanning forest over the components, closest pairs first, so no more than rows.
+    """
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if held is None or not held.num_rows:
+            continue
+        word, low, high, tile, name, root, n = (held[c].to_numpy() for c in ("word", "low", "high", "tile", "name", "root", "n"))
+        edges = _runs(word, low, high)
+        ready = held.num_rows if batch is None else int(edges[-2])  # the last run may go on
+        if ready:
+            edges = edges[edges <= ready]
+            size = held.num_rows
+            sketch = held["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(size, -1)
+            own = _runs(word, low, high, root)
+            after = np.repeat(own[1:], np.diff(own))[:ready]  # pairs go from a row to those after its component's
+            later = np.repeat(edges[1:], np.diff(edges)) - after
+            found, at = [], 0
+            while at < ready:  # rows whose pairs are about a million together
+                to = max(at + 1, int(np.searchsorted(np.cumsum(later[at:]), 1_000_000, "right")) + at)
+                k = later[at:to]
+                x = np.repeat(np.arange(at, to), k)
+                y = np.repeat(after[at:to] - (np.cumsum(k) - k), k) + np.arange(len(x))
+                ok = (n[x] * 5 >= n[y] * 4) & (n[y] * 5 >= n[x] * 4) & ((low[x] == high[x]) | (tile[x] != tile[y]))
+                x, y = x[ok], y[ok]
+                for c in range(0, len(x), 65_536):
+                    p, q = x[c : c + 65_536], y[c : c + 65_536]
+                    apart = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64)
+                    near = apart * 9 <= n[p] + n[q]
+                    found.append(np.stack([name[p][near], name[q][near], root[p][near], root[q][near], apart[near]], 1))
+                at = to
+            found = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+            pairs = found[:, :2]
+            if forest:
+                pairs = _spanning(pairs, found[:, 2:4], np.lexsort((pairs[:, 1], pairs[:, 0], found[:, 4])))
+            pairs = np.unique(np.sort(pairs, 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            held = held.slice(ready)
+
+
+def _cross(met: DataFrame, links: DataFrame, sketched: DataFrame, forest: bool) -> DataFrame:
+    """Distinct close pairs of different components of links that share a word.
+
+    met: word, name.  Groups are cut into tiles of TILE rows; every pair of tiles is a
+    run of its own, so no task holds a whole large group.
+    """
+    roots = components(links, "a", "b").withColumnRenamed("node", "name")
+    by_word = Window.partitionBy("word")
+    labelled = (
+        met.join(roots, "name", "left").select("word", "name", F.coalesce("root", "name").alias("root"))
+        .withColumns({"first": F.min("root").over(by_word), "last": F.max("root").over(by_word), "row": F.row_number().over(by_word.orderBy("name"))})
+        .where("first < last").withColumn("tile", F.floor((F.col("row") - 1) / TILE).cast("int"))
+        .withColumn("tiles", F.max("tile").over(by_word)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
+    )
+    keys = ["word", "low", "high"]
+    rows = labelled.select("word", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "name", "root")
+    return (
+        rows.join(sketched, "name").select(*keys, "tile", "name", "root", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys, "root")
+        .mapInArrow(lambda it: _close_in_groups(it, forest), "a long, b long").distinct()
     )
 
 
-def _near(x: str, y: str):
-    """Sizes that allow similarity 4/5."""
-    return (F.col(x) * 5 >= F.col(y) * 4) & (F.col(y) * 5 >= F.col(x) * 4)
+def _verify(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, fines: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of set names whose whole sets are similar.
+
+    A bit filter of fixed size (1 MB) keeps most documents without a pair from being
+    set up or shuffled; the join on doc_id makes the result exact.
+    """
+    sc = docs.sparkSession.sparkContext
+    pairs = keep(_close_finely(pairs, fines), "fine_pairs")
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    asked = keep(names.join(first_doc, "name"), "asked")
+    words = asked.select("doc_id").mapInArrow(_filter_words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
+    sent = sc.broadcast(bits.view(np.uint8))
+    found = docs.mapInArrow(lambda it: _sets(it, sent), "doc_id long, elements binary")
+    sets = keep(found.join(asked, "doc_id").select("name", "elements").dropDuplicates(["name"]), "sets")
+    links = keep(
+        pairs.join(sets.select(F.col("name").alias("b"), F.col("elements").alias("y")), "b")
+        .join(sets.select(F.col("name").alias("a"), F.col("elements").alias("x")), "a")
+        .select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"),
+        "links",
+    )
+    forget(asked, sets, pairs)
+    release(docs.sparkSession)
+    return links
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,47 +371,42 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same component of links.  Equal sets have the same name.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sc = docs.sparkSession.sparkContext
-    hot = sc.broadcast(frequent_words(docs))
-    described = keep(
-        docs.mapInArrow(lambda it: _describe(it, hot), "doc_id long, name long, n long, words array<long>"), "described"
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
+    wide = keep(
+        docs.mapInArrow(lambda it: _describe(it, hot), "doc_id long, name long, n long, sketch array<long>, fine array<long>, words array<long>"), "wide"
     )
-    rows = described.where("size(words) > 0").select("name", "n", F.explode("words").alias("word"))
+    described = keep(wide.select("doc_id", "name", "n", "sketch"), "described")
+    fines = keep(wide.where("size(fine) > 0").select("name", "n", "fine").dropDuplicates(["name"]), "fines")
     by_word = Window.partitionBy("word")
-    met = keep(
-        rows.withColumns({"centre": F.min(F.struct("name", "n")).over(by_word), "last": F.max("name").over(by_word)})
-        .where("centre.name < last").select("word", "name", "n", "centre"),
-        "met",
+    groups = keep(
+        wide.where("size(words) > 0").select("name", F.explode("words").alias("word"))
+        .withColumns(
+            {
+                "centre": F.min("name").over(by_word), "last": F.max("name").over(by_word),
+                "members": F.bit_xor(F.xxhash64("name")).over(by_word), "rows": F.count("*").over(by_word),
+            }
+        )
+        .where("centre < last").select("word", "name", "centre", "members", "rows"),
+        "groups",
     )
+    # of the words that the same sets share, one is enough
+    one = groups.where("name = centre").groupBy("members", "rows", "centre").agg(F.min("word").alias("word"))
+    met = keep(groups.join(one.select("word"), "word", "left_semi").select("word", "name", "centre").distinct(), "met")
+    forget(wide, groups)
+    release(docs.sparkSession)
+    some = described.where("n > 0")
+    first_doc = some.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    sketched = keep(some.where("size(sketch) > 0").join(met.select("name").distinct(), "name").select("name", "n", "sketch").dropDuplicates(["name"]), "sketched")
     stars = keep(
-        met.where("name != centre.name").where(_near("n", "centre.n"))
-        .select(F.col("centre.name").alias("a"), F.col("name").alias("b")).distinct(),
-        "stars",
-    )
-    first_doc = described.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    asked = met.select("name").distinct().join(first_doc, "name")
-    sets = keep(
-        docs.join(asked, "doc_id").select("name", "text").mapInArrow(_sets, "name long, elements binary").dropDuplicates(["name"]),
-        "sets",
+        _close(met.where("name != centre").select(F.col("centre").alias("a"), F.col("name").alias("b")).distinct(), sketched), "stars"
     )
-    links = keep(_verify(stars, sets), "links")
-    joined = components(links, "a", "b")
-    labelled = keep(
-        met.join(joined.withColumnRenamed("node", "name"), "name", "left")
-        .select("word", "name", "n", F.coalesce("root", "name").alias("root"))
-        .withColumns({"low": F.min("root").over(by_word), "high": F.max("root").over(by_word)})
-        .where("low < high").select("word", "name", "n", "root").distinct(),
-        "labelled",
-    )
-    x, y = (labelled.select("word", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "root"))) for s in "xy")
-    cross = (
-        x.join(y, "word").where("name_x < name_y AND root_x != root_y").where(_near("n_x", "n_y"))
-        .select(F.col("name_x").alias("a"), F.col("name_y").alias("b")).distinct()
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = keep(_verify(cross, sets), "more")
-    forget(met, stars, sets, labelled)
-    return described.select("doc_id", "name", "n"), links.unionByName(more)
+    links = _verify(stars, docs, first_doc, fines)
+    for forest in (True, False):
+        close = keep(_cross(met.select("word", "name"), links, sketched, forest), "close")
+        links = keep(links.unionByName(_verify(close, docs, first_doc, fines)), "linked")
+        forget(close)
+    forget(met, stars, sketched, fines)
+    return described.select("doc_id", "name", "n"), links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
