@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stages import UNASSIGNED
 
@@ -110,7 +111,7 @@ def anchor_plan(anchors: DataFrame, envelopes: DataFrame) -> DataFrame:
     return a.where("to_start <> line_start OR to_end <> line_end").select("stage", "qualname", "line_start", "line_end", "to_start", "to_end")
 
 
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType())
 def unified_diff(before: str | None, after: str | None) -> str:
     """CH-17: unified diff of two texts; there is no built-in for it."""
     import difflib

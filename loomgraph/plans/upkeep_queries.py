@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changes, gates, locate, regions, registers
+from ..functions import json_block, python_source
+from ..operators import changes, gates, locate, regions, registers, resolve
 from ..sources import markdown
 from .graph_queries import flat
 from .stage_queries import TREE
@@ -347,3 +348,41 @@ def sc_declarations(r):
     three = F.concat(F.lit('text\n```json\n{"will_add": ["old"]}\n```\nmore\n```json\n{"will_modify": ["f'), "p_partkey", F.lit('", 3], "will_add": ["g"]}\n```\n'))
     one = F.lit('```json\n{broken\n```\n```json\n{"will_remove": ["h"]}\n```')
     return markdown.declarations(r.part.select(F.col("p_partkey").alias("doc"), F.when(F.col("p_partkey") % 3 == 0, three).otherwise(one).alias("text")))
+
+
+CODE_FILES = """SELECT concat('pkg', p_partkey % 20, '/mod', p_partkey, '.py') AS file, p_partkey AS ord, concat(
+  'from pkg', (p_partkey + 1) % 20, '.mod', (p_partkey + 1) % 200, ' import helper', chr(10), 'import json', chr(10), 'class Box:', chr(10), '    def __init__(self):', chr(10), '        self.n = ', p_partkey, chr(10),
+  '    def get(self):', chr(10), '        return self.put(json.loads("1"))', chr(10), '    def put(self, x):', chr(10), '        self.n += x', chr(10), '        return helper(x)', chr(10), 'def helper(x):', chr(10), '    return Box().get() + len(x)', chr(10)) AS source FROM {part}"""
+
+
+@query()
+def ex_python_functions(r):
+    """Functions of a made source file a part."""
+    return python_source.extract(r.spark.sql(CODE_FILES, part=r.part)).where("kind = 'function'").select("id", "qualname", "line_start", "line_end", "is_method", "signature")
+
+
+@query()
+def ex_python_calls(r):
+    return python_source.extract(r.spark.sql(CODE_FILES, part=r.part)).where("kind = 'call'").select("id", "name", "line", "is_await", "raw")
+
+
+@query()
+def rs_python_resolve(r):
+    """Resolved calls by type over the same files."""
+    records = python_source.extract(r.spark.sql(CODE_FILES, part=r.part)).persist()
+    return resolve.resolve_python(records).select("caller_id", "callee_id", "call_type", "line")
+
+
+@query()
+def lm_json_block(r):
+    text = F.concat(F.lit("Answer {no} "), F.col("props"), F.lit(" done"))
+    return r.events.select("event_id", json_block.extract_json(text).alias("json"))
+
+
+@query()
+def rg_revise(r):
+    row = r.members.where("type = 'region'")
+    actions = row.groupBy("qualname").agg(F.count("*").alias("n")).where("n > 1").select(
+        "qualname", F.lit(0).alias("ord"), F.lit("merge").alias("action"), F.array(F.lit(0), F.lit(1)).alias("refs"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("target"), F.lit("both").alias("purpose")
+    )
+    return regions.revise(row, actions)
