@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .maxent import Lookup
-from .textkit import chunks, mix
+from .textkit import _BYTE, _powers, chunks, mix, raw
 
 MARK = "▁"
 UNKNOWN = 10.0  # what a character without a piece costs, below the least score
@@ -55,11 +55,17 @@ class Vocabulary:
         self.known = known
         alone = "".join(re.escape(c) for c in ("\n", "\t", "\r") if c not in known)
         self.parts = re.compile(rf"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+|[{alone}]" if alone else rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        keys = self._hash([p for p in self.ids])
+        self.alone = np.zeros(256, bool)
+        self.alone[[ord(c) for c in "\n\t\r" if c not in known]] = True
+        # every beginning of a piece, so that a search stops where no piece goes on
+        prefixes = sorted({p[:k] for p in self.ids for k in range(1, len(p) + 1)})
+        keys = self._hash(prefixes)
         order = np.argsort(keys)
         self.lookup = Lookup(keys[order])
-        self.by_key = np.array(list(self.ids.values()))[order]
-        self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(k) else b"" if special[k] else p.replace(MARK, " ").encode() for k, p in enumerate(self.text)]
+        self.by_key = np.array([self.ids.get(p, -1) for p in prefixes])[order]
+        raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(k) else b"" if special[k] else p.replace(MARK, " ").encode() for k, p in enumerate(self.text)]
+        self.raw, self.raw_size = raw, np.array([len(r) for r in raw])
+        self.raw_flat, self.raw_first = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(self.raw_size) - self.raw_size
 
     def _hash(self, strings: list[str]) -> np.ndarray:
         """The running hash of whole strings, as `_solve` makes it of substrings."""
@@ -141,16 +147,19 @@ class Vocabulary:
         # edge (start, length - 1): its piece, -1 for none, -2 for a character spelt in bytes; and its score
         ids, scores = np.full((n, reach, w), -1, np.int32), np.full((n, reach, w), -np.inf)
         for start in range(n):
-            h = np.zeros(w, np.uint64)
+            ids[start, 0], scores[start, 0] = -2, self.unknown
+            live, h = np.arange(w), np.zeros(w, np.uint64)
             for k in range(min(reach, n - start)):
-                h = h * _BASE + coded[start + k]
+                h = h * _BASE + coded[start + k, live]
                 at = self.lookup(mix(h))
-                hit = np.flatnonzero(at >= 0)
-                if k == 0:
-                    ids[start, 0], scores[start, 0] = -2, self.unknown
-                piece = self.by_key[at[hit]]
-                ids[start, k, hit] = piece
-                scores[start, k, hit] = self.score[piece]
+                known = at >= 0
+                live, h, at = live[known], h[known], at[known]
+                if not len(live):
+                    break
+                piece = self.by_key[at]
+                hit = piece >= 0
+                ids[start, k, live[hit]] = piece[hit]
+                scores[start, k, live[hit]] = self.score[piece[hit]]
         rows = np.arange(w)
         forward, back = np.full((n + 1, w), -np.inf), np.zeros((n + 1, w), np.int64)
         forward[0] = 0
@@ -197,74 +206,127 @@ class Vocabulary:
             yield own, score, lost
 
 
+def cut(column: pa.Array, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of texts, found over their bytes: (bytes, starts, ends, whether a text's first, index of each text's first part).
+
+    A part is a run of spaces with what follows, what follows a lone character, or one;
+    before a text's first part stands the dummy prefix.  A text that starts with a lone
+    character has an empty part for the prefix first.
+    """
+    data, at = raw(column)
+    n = len(data)
+    space, lone = data == 0x20, alone[data]
+    new = lone.copy()
+    new[1:] |= (space[1:] & ~space[:-1]) | lone[:-1]
+    first = at[:-1][np.diff(at) > 0]
+    new[first] = True
+    start = np.flatnonzero(new)
+    leads = np.zeros(len(start), bool)
+    leads[np.searchsorted(start, first)] = True
+    # the prefix alone, where a lone character comes first
+    empty = np.flatnonzero(leads & lone[start])
+    end = np.append(start[1:], n)
+    end = np.insert(end, empty, start[empty])
+    begins = np.insert(leads, empty, True)
+    start = np.insert(start, empty, start[empty])
+    begins[empty + np.arange(len(empty)) + 1] = False
+    return data, start, end, begins, np.searchsorted(start, at, "left")
+
+
 class Segmenter:
     """N-best segmentations of whole texts; remembers parts met before."""
 
     def __init__(self, path: str, n: int):
         self.vocabulary, self.n = Vocabulary(path), n
-        self.young: dict[str, tuple[bytes, float, float]] = {}
-        self.old: dict[str, tuple[bytes, float, float]] = {}
+        self.young: dict[int, tuple[bytes, float, float]] = {}
+        self.old: dict[int, tuple[bytes, float, float]] = {}
         self.searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
-    def _solved(self, parts: set[str]) -> dict[str, tuple[bytes, float, float]]:
-        known, new = {}, []
-        for p in parts:
-            r = self.young.get(p) or self.old.get(p)
-            if r is None:
-                new.append(p)
-            else:
-                known[p] = self.young[p] = r
-        new.sort()
-        fresh = dict(zip(new, self.vocabulary.solve(new), strict=True))
-        self.young.update(fresh)
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
-        return known | fresh
-
-    def _alternatives(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
+    def _alternatives(self, part: str, solved: tuple[bytes, float, float]) -> list[tuple[float, tuple[int, ...]]]:
         """(loss, ids) of a part's other segmentations, least loss first."""
         found = self.searched.get(part)
         if found is None:
-            best = np.frombuffer(self._one[part][0], np.int32)
+            best = tuple(np.frombuffer(solved[0], np.int32).tolist())
             ranked = self.vocabulary.n_best(part, self.n)
-            if tuple(best.tolist()) not in {ids for _, ids in ranked}:  # a tie of the best beyond the n-th
-                ranked = [(self._one[part][1], tuple(best.tolist())), *ranked]
-            found = [(self._one[part][1] - s, ids) for s, ids in ranked if ids != tuple(best.tolist())][: self.n - 1]
+            found = [(solved[1] - s, ids) for s, ids in ranked if ids != best][: self.n - 1]
             if len(self.searched) > MEMO:
                 self.searched = {}
             self.searched[part] = found
         return found
 
-    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]]:
-        """Per text: best ids, and its n best as (score, [(part number, ids put there instead)]), best first."""
-        split = [self.vocabulary.parts.findall(self.vocabulary.normalised(t)) for t in texts]
-        self._one = solved = self._solved(set().union(*split))
-        number = {p: k for k, p in enumerate(solved)}
-        size = np.array([len(r[0]) >> 2 for r in solved.values()], np.int64)
-        flat = np.frombuffer(b"".join([r[0] for r in solved.values()]), np.int32)
-        first = np.cumsum(size) - size
-        scores, losses = (np.array([r[k] for r in solved.values()]) for k in (1, 2))
+    def run(self, column: pa.Array):
+        """(ids of all texts, n + 1 offsets of the texts, and per text its n best).
+
+        The n best are (score, [(part number, ids put there instead)]), best first.
+        """
+        v = self.vocabulary
+        data, start, end, begins, first_part = cut(column, v.alone)
+        power, back = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+        key = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(2) + begins.astype(np.uint64))
+        found, at, index = np.unique(key, return_index=True, return_inverse=True)
+        text = data.tobytes()
+        named = lambda k: (MARK if begins[k] else "") + text[start[k] : end[k]].decode().replace(" ", MARK)
+        known, new = [], []
+        young, old = self.young, self.old
+        for j, h in enumerate(found.tolist()):
+            r = young.get(h)
+            if r is None:
+                r = old.get(h)
+                if r is None:
+                    new.append(j)
+                else:
+                    young[h] = r
+            known.append(r)
+        for j, r in zip(new, v.solve([named(at[j]) for j in new]), strict=True):
+            known[j] = young[int(found[j])] = r
+        if len(young) > MEMO:
+            self.old, self.young = young, {}
+        size = np.array([len(r[0]) >> 2 for r in known], np.int64)
+        flat = np.frombuffer(b"".join([r[0] for r in known]), np.int32)
+        base = np.cumsum(size) - size
+        scores, losses = (np.array([r[k] for r in known]) for k in (1, 2))
+        n = size[index]
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(base[index] - offsets[:-1], n) + np.arange(offsets[-1])]
+        by_part, lost = scores[index], losses[index]
         out = []
-        for parts in split:
-            at = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
-            n = size[at]
-            ids = flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            score, loss = float(scores[at].sum()), losses[at]
-            few = min(self.n - 1, len(parts))
-            if few and len(parts) > few:
+        for a, b in zip(first_part[:-1].tolist(), first_part[1:].tolist(), strict=True):
+            loss = lost[a:b]
+            few = min(self.n - 1, b - a)
+            if few and b - a > few:
                 most = np.partition(loss, few - 1)[few - 1]
                 # of equal losses the first places, so that the choice is a fixed one
-                near = np.concatenate([np.flatnonzero(loss < most), np.flatnonzero(loss == most)])[:few]
+                near = np.concatenate([np.flatnonzero(loss < most), np.flatnonzero(loss == most)[:few]])[:few]
             else:
                 near = np.arange(few)
-            near = [int(k) for k in near if np.isfinite(loss[k])]
             best: list[tuple[float, list[tuple[int, tuple[int, ...]]]]] = [(0.0, [])]
-            for k in sorted(near):
-                options = self._alternatives(parts[k])
-                grown = best + [(lost + more, [*changes, (k, new)]) for lost, changes in best for more, new in options]
-                best = sorted(grown, key=lambda b: (b[0], b[1]))[: self.n]
-            out.append((ids, [(score - lost, changes) for lost, changes in best]))
-        return out
+            for k in sorted(int(k) for k in near if np.isfinite(loss[k])):
+                options = self._alternatives(named(a + k), known[index[a + k]])
+                grown = best + [(lost_ + more, [*changes, (k, other)]) for lost_, changes in best for more, other in options]
+                best = sorted(grown, key=lambda x: (x[0], x[1]))[: self.n]
+            score = float(by_part[a:b].sum())
+            out.append([(score - lost_, changes) for lost_, changes in best])
+        return ids, offsets[first_part], out
+
+    def __call__(self, texts: list[str]):
+        """Per text: best ids, and its n best."""
+        ids, at, best = self.run(pa.array(texts, pa.string()))
+        return [(ids[a:b], x) for a, b, x in zip(at[:-1].tolist(), at[1:].tolist(), best, strict=True)]
+
+    def lossless(self, column: pa.Array, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each text's ids decode to its bytes, the dummy prefix before them."""
+        v = self.vocabulary
+        data, place = raw(column)
+        size = v.raw_size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        decoded = v.raw_flat[np.repeat(v.raw_first[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        got, length = ends[at], np.diff(place)
+        same = np.diff(got) == length + (length > 0)
+        for k in np.flatnonzero(same & (length > 0)).tolist():
+            same[k] = decoded[got[k]] == 0x20 and np.array_equal(decoded[got[k] + 1 : got[k + 1]], data[place[k] : place[k + 1]])
+        return same
 
 
 RESULT = "n_pieces long, ids binary, best_score double, n_best array<struct<score: double, changes: array<struct<part: int, ids: array<int>>>>>, lossless boolean"
@@ -288,14 +350,13 @@ def encode_texts(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
         segment = Segmenter(path, n)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("part", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
         for batch in chunks(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = segment(texts)
-            ranked = [[{"score": s, "changes": [{"part": k, "ids": list(ids)} for k, ids in changes]} for s, changes in best] for _, best in found]
+            ids, at, best = segment.run(batch.column("text"))
+            ranked = [[{"score": s, "changes": [{"part": k, "ids": list(own)} for k, own in changes]} for s, changes in x] for x in best]
+            data = ids.astype("<i4").tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns, pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([ids.tobytes() for ids, _ in found], pa.binary()),
-                    pa.array([best[0][0] for _, best in found], pa.float64()), pa.array(ranked, kind),
-                    pa.array([segment.vocabulary.decode(ids.tolist()) == t for (ids, _), t in zip(found, texts, strict=True)]),
+                    *batch.columns, pa.array(np.diff(at)), pa.array([data[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
+                    pa.array([x[0][0] for x in best], pa.float64()), pa.array(ranked, kind), pa.array(segment.lossless(batch.column("text"), ids, at)),
                 ],
                 names=[*batch.schema.names, *names],
             )
