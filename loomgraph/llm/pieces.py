@@ -108,20 +108,29 @@ class Vocabulary:
         return best
 
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations (score, ids), best first, of equals the one of lesser ids: backward A-star."""
+        """n segmentations (score, ids) of highest score, best first: backward A-star.
+
+        As the forward scores are exact, no entry is taken up that is not on one of the
+        results; of equal bounds the one nearest to the start goes first, so that ties
+        are not explored side by side.
+        """
         best = self.forward(part)
-        queue: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(part), 0.0)]
+        queue: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], len(part), 0, 0.0, None)]
+        made = 0
         found: list[tuple[float, tuple[int, ...]]] = []
-        while queue:
-            bound, ids, at, done = heapq.heappop(queue)
-            if len(found) >= n and -bound < found[n - 1][0]:
-                break  # equals of the n-th are still taken, for a fixed order among them
+        while queue and len(found) < n:
+            _, at, _, done, path = heapq.heappop(queue)
             if at == 0:
-                found.append((done, ids))
+                ids: list[int] = []
+                while path is not None:
+                    own, path = path
+                    ids += own
+                found.append((done, tuple(ids)))
                 continue
             for start, score, own in self.edges(part, at):
-                heapq.heappush(queue, (-(best[start] + score + done), own + ids, start, score + done))
-        return sorted(found, key=lambda f: (-f[0], f[1]))[:n]
+                made += 1
+                heapq.heappush(queue, (-(best[start] + score + done), start, made, score + done, (own, path)))
+        return sorted(found, key=lambda f: (-f[0], f[1]))
 
     # many parts --------------------------------------------------------------------
 
