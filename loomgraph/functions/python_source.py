@@ -175,11 +175,16 @@ def extract(files: DataFrame) -> DataFrame:
     """Records of Python files (file, source, ord)."""
     columns = [part.split()[0] for part in re.split(r",\s*(?![^<]*>)", RECORDS)]
 
+    none = dict.fromkeys(columns)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, source, ord_ in zip(batch["file"], batch["source"], batch["ord"], strict=True):
-                rows = records(file, source or "")
-                yield pd.DataFrame([{**dict.fromkeys(columns), **r, "file_ord": ord_, "ord": k} for k, r in enumerate(rows)], columns=[*columns, "file_ord", "ord"]).astype(object)
+            rows = [
+                {**none, **r, "file_ord": at, "ord": k}
+                for file, source, at in zip(batch["file"], batch["source"], batch["ord"], strict=True)
+                for k, r in enumerate(records(file, source or ""))
+            ]
+            yield pd.DataFrame(rows, columns=[*columns, "file_ord", "ord"]).astype(object)
 
     return files.select("file", "source", "ord").mapInPandas(run, f"{RECORDS}, file_ord long, ord long")
 

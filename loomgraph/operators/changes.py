@@ -112,7 +112,7 @@ def anchor_plan(anchors: DataFrame, envelopes: DataFrame) -> DataFrame:
 
 
 @F.udf(T.StringType())
-def unified_diff(before: str | None, after: str | None) -> str:
+def unified_diff(before, after):
     """CH-17: unified diff of two texts; there is no built-in for it."""
     import difflib
 
