@@ -73,3 +73,63 @@ def resolve_scripts(calls: DataFrame, functions: DataFrame) -> DataFrame:
     first = functions.groupBy("name").agg(F.min_by("id", "ord").alias("f_id"))
     c = calls.join(first, "name", "left")
     return c.select("ord", "caller_id", F.coalesce("f_id", F.concat(F.lit(BOUNDARY), "name")).alias("callee_id"), F.when(F.col("f_id").isNotNull(), "internal_func").otherwise("boundary").alias("call_type"), "line")
+
+
+#: per language: where free functions are looked for, and how a call through an import ends
+STATIC = {
+    "go": {"free": "file", "imported": "boundary"},
+    "typescript": {"free": "file", "imported": "boundary"},
+    "rust": {"free": "file", "imported": "rust"},
+}
+CONSTRUCTORS = ("new", "default", "from")
+
+
+def resolve_static(calls: DataFrame, symbols: DataFrame, lang: str) -> DataFrame:
+    """RS-R, RS-G, RS-T: edges of calls given as forms.
+
+    calls: ord, file, caller_id, class_name, form (bare, self, self_attr, param, path,
+    macro), head (attribute, parameter, owner or name space), name.
+    symbols: file, kind (free, method, type, field, param, import), owner, name, target:
+    the id of a function or type, the type of a field or parameter (owner: the class or
+    the calling function), or what an import stands for.
+    """
+    spec = STATIC[lang]
+    s = symbols.select("file", "kind", "owner", "name", "target")
+    pick = lambda kind, keys, out: s.where(F.col("kind") == kind).groupBy(*keys).agg(F.min("target").alias(out))
+    c = calls.join(pick("free", ["file", "name"], "free"), ["file", "name"], "left")
+    c = c.join(pick("method", ["owner", "name"], "own").withColumnRenamed("owner", "class_name"), ["class_name", "name"], "left")
+    typed = s.where("kind IN ('field', 'param')").groupBy("kind", F.col("owner").alias("o"), F.col("name").alias("head")).agg(F.min("target").alias("type"))
+    c = c.withColumns({"kind": F.when(F.col("form") == "self_attr", "field").when(F.col("form") == "param", "param"), "o": F.when(F.col("form") == "self_attr", F.col("class_name")).otherwise(F.col("caller_id"))})
+    c = c.join(typed, ["kind", "o", "head"], "left")
+    c = c.join(pick("method", ["owner", "name"], "of_type").withColumnRenamed("owner", "type"), ["type", "name"], "left")
+    imported = F.when(F.col("form").isin("path", "param", "self_attr"), F.col("head")).otherwise(F.col("name"))
+    c = c.withColumn("local", imported).join(s.where("kind = 'import'").groupBy("file", F.col("name").alias("local")).agg(F.min("target").alias("import")), ["file", "local"], "left")
+    owner = F.when(F.col("form") == "path", F.regexp_extract(F.coalesce("import", "head"), r"([^:.]*)$", 1)).otherwise(F.regexp_extract("import", r"([^:.]*)$", 1))
+    c = c.withColumn("owner", owner).join(s.where("kind = 'type'").groupBy(F.col("name").alias("owner")).agg(F.min("target").alias("type_id")), "owner", "left")
+    # a free function that only one module of that last name has
+    tail = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    only = unique_match(s.where("kind = 'free'").select(tail.alias("tail"), "name", F.col("target").alias("id"))).withColumnRenamed("id", "only")
+    last = F.when(F.col("form") == "path", F.regexp_extract(F.coalesce("import", "head"), r"([^:.]*)$", 1)).otherwise(F.element_at(F.split("import", "::"), -2) if lang == "rust" else F.lit(None).cast("string"))
+    c = c.withColumn("tail", last).join(only, ["tail", "name"], "left")
+    form = F.col("form")
+    bare, path, rust = form == "bare", form == "path", spec["imported"] == "rust"
+    outside = F.concat(F.lit(BOUNDARY), F.when(bare, F.col("import")).when(form.isin("self_attr", "param"), F.concat_ws("::" if rust else ".", "type", "name")).otherwise(F.concat_ws("::" if rust else ".", F.coalesce("import", "head"), "name")))
+    sep = F.lit("::")
+    rules = [
+        (bare & F.col("free").isNotNull(), "internal_func", F.col("free")), ((form == "self") & F.col("own").isNotNull(), "self_method", F.col("own")),
+        ((form == "self_attr") & F.col("of_type").isNotNull(), "self_attr_method", F.col("of_type")), ((form == "self_attr") & F.col("type").isNotNull(), "boundary", outside),
+        ((form == "param") & F.col("of_type").isNotNull(), "param_method", F.col("of_type")), ((form == "param") & F.col("type").isNotNull(), "boundary", outside),
+    ]
+    if rust:
+        rules += [
+            (form == "macro", "boundary", F.concat(F.lit(BOUNDARY), "name", F.lit("!"))), (bare & F.col("type_id").isNotNull(), "internal_constructor", F.concat("type_id", sep, F.lit("new"))),
+            (bare & F.col("import").isNotNull() & F.col("only").isNotNull(), "internal_func", F.col("only")),
+            (path & F.col("type_id").isNotNull() & F.col("name").isin(*CONSTRUCTORS), "internal_constructor", F.concat("type_id", sep, "name")),
+            (path & F.col("type_id").isNotNull(), "internal_func", F.concat("type_id", sep, "name")), (path & F.col("only").isNotNull(), "internal_func", F.col("only")),
+            (path & F.col("owner").rlike(r"^\p{Lu}") & F.col("name").isin(*CONSTRUCTORS), "boundary_constructor", outside), (path, "boundary", outside),
+        ]
+    rules += [(F.col("import").isNotNull(), "boundary", outside)]
+    kind, callee = F.lit("unresolved"), F.concat(F.lit(UNRESOLVED), F.concat_ws(".", F.when(form == "self", "self"), "head", "name"))
+    for cond, k, target in reversed(rules):
+        kind, callee = F.when(cond, F.lit(k)).otherwise(kind), F.when(cond, target).otherwise(callee)
+    return c.select("ord", "caller_id", callee.alias("callee_id"), kind.alias("call_type"))

@@ -94,3 +94,33 @@ def chapters(docs: DataFrame) -> DataFrame:
     title = lines.where("line = head").select("doc", "head", F.regexp_replace("text", r"^#+\s*", "").alias("title"))
     text = lines.where("line > head").groupBy("doc", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("text"))
     return title.join(text, ["doc", "head"], "left").select("doc", F.col("head").alias("line"), "title", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def blurb(text, most: int = 900):
+    """PL-2: the paragraph after an Opening Explanation heading, cut to `most` characters at a sentence's end."""
+    part = F.trim(F.regexp_replace(F.regexp_extract(text, r"(?si)opening explanation[^\n]*\n+(.*?)(?:\n\s*\n|\z)", 1), r"\s+", " "))
+    cut = F.substr(part, F.lit(1), F.lit(most))
+    return F.when(F.length(part) <= most, part).otherwise(F.regexp_replace(cut, r"(?s)^(.*[.!?])\s.*$", "$1"))
+
+
+def rebuilt_index(old: DataFrame, new: DataFrame) -> DataFrame:
+    """PL-3: entries of an index (ord, id) with new ones (id, after) put behind the entry they name, else at the end."""
+    place = old.select(F.col("id").alias("after"), F.col("ord").cast("double").alias("at"))
+    last = old.agg(F.coalesce(F.max("ord"), F.lit(-1)).cast("double").alias("last"))
+    fresh = new.join(old.select("id"), "id", "left_anti").join(place, "after", "left").crossJoin(F.broadcast(last))  # one row
+    rank = F.row_number().over(Window.partitionBy("after").orderBy("id"))
+    fresh = fresh.select("id", F.coalesce(F.col("at"), F.col("last") + 1).alias("at"), rank.alias("k"))
+    both = old.select("id", F.col("ord").cast("double").alias("at"), F.lit(0).alias("k")).unionByName(fresh)
+    return both.select("id", F.row_number().over(Window.orderBy("at", "k", "id")).alias("position"))
+
+
+def macros(lines: DataFrame) -> DataFrame:
+    """EX-M1: Rust macro definitions of lines (file, line, text)."""
+    name = F.regexp_extract("text", r"^\s*macro_rules!\s*(\w+)", 1)
+    return lines.select("file", "line", name.alias("name")).where("name <> ''")
+
+
+def function_headings(docs: DataFrame) -> DataFrame:
+    """EX-M2: function headings of stage pages: level-3 or 4 headings of a back-ticked name: (doc, line, name, short)."""
+    name = F.regexp_extract("text", r"^#{3,4} .*`([^`]+)`", 1)
+    return lines_of(docs).select("doc", "line", name.alias("name"), F.regexp_extract(name, r"([^.:]*)$", 1).alias("short")).where("name <> ''")
