@@ -14,9 +14,12 @@ order.  The rank table is stored beside it.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import forget, keep
-from .textkit import SPACED, Words, chunks
+from .textkit import SPACED, Words, chunks, raw
 
 BLOCK_IDS = 1 << 17
-MEMO = 100_000  # words whose ids a task remembers
+MEMO = 150_000  # words whose ids a task remembers, in each of two generations
 MAGIC = b"LGVB"
 
 _SHIFT = np.arange(0, 8, 2)
@@ -46,7 +49,7 @@ def encode_block(ranks: np.ndarray) -> bytes:
     control = (padded.reshape(-1, 4) << _SHIFT).sum(1).astype(np.uint8)
     at = np.cumsum(size) - size
     data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(4):
+    for k in range(int(size.max(initial=0))):
         some = size > k
         data[at[some] + k] = (ranks[some] >> np.uint32(8 * k)) & np.uint32(0xFF)
     return MAGIC + struct.pack("<I", n) + control.tobytes() + data.tobytes()
@@ -71,40 +74,82 @@ def decode_block(payload) -> np.ndarray:
 class Encoder:
     """Ids of whole texts by a tokenizers file whose pre-tokens never span ASCII white space.
 
-    Each distinct word is encoded by the library once a slice; a text's ids are its
-    words' ids in turn.  Words are told apart by their ASCII-lower-cased bytes unless
-    the slice may hold special tokens, which the library matches as written.
+    A text's ids are its words' ids in turn, so each distinct word of a slice is encoded
+    once.  Words of ASCII and Latin-1 letters, digits and marks alone need no Unicode
+    normalisation but lower-casing; their pre-tokens go to the library's BPE model at
+    once, other words through its whole `encode`.  Words are told apart by their
+    ASCII-lower-cased bytes unless the slice may hold special tokens, which the library
+    matches as written.
     """
 
+    #: fixed values: the pre-token pattern, for the characters that plain words are made of
+    PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    PRE_TOKENS = re.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
+    )
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[int, np.ndarray] = {}
+        self.model = self.library.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.levels = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)]}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = [x["type"] for x in told["normalizer"]["normalizers"]] if told.get("normalizer") else []
+        splits = json.dumps(told.get("pre_tokenizer"), ensure_ascii=False)
+        known = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"
+        self.fast = steps == ["NFC", "Replace", "Lowercase"] and f'"{known}"' in splits
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelt = piece if piece.isascii() else piece.translate(self.levels)
+            ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            if len(self.pieces) >= 2 * MEMO:
+                self.pieces = {}
+            self.pieces[piece] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word, as little-endian uint32."""
+        if self.fast and self.PLAIN.fullmatch(word) and "<|" not in word:
+            word = word.lower()
+            if word.isalpha():
+                return self._piece(word)
+            known = self.pieces.get
+            return b"".join([known(p) or self._piece(p) for p in self.PRE_TOKENS.findall(word)])
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts."""
         words = Words(column, SPACED)
-        if b"<|" in words.data.tobytes():
+        text = words.data.tobytes()
+        if b"<|" in text:
             words = Words(column, SPACED, lower=False)
+            text = words.data.tobytes()
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(words.first), np.int64)
         found, first, index = np.unique(words.hash, return_index=True, return_inverse=True)
-        known = [self.memo.get(h) for h in found.tolist()]
-        new = [k for k, ids in enumerate(known) if ids is None]
-        text = words.data.tobytes()
-        strings = [text[words.start[first[k]] : words.end[first[k]]].decode() for k in new]
-        for a in range(0, len(strings), 8192):
-            for k, e in zip(new[a : a + 8192], self.library.encode_batch_fast(strings[a : a + 8192], add_special_tokens=False), strict=True):
-                known[k] = np.array(e.ids, np.uint32)
-        if len(self.memo) + len(new) > MEMO:
-            times = np.bincount(index)
-            self.memo = {h: known[k] for k, h in enumerate(found.tolist()) if times[k] > 1}
-        else:
-            self.memo.update((int(found[k]), known[k]) for k in new)
-        size = np.array([len(x) for x in known])
-        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
+        known = []
+        young, old = self.young, self.old
+        for h, a, b in zip(found.tolist(), words.start[first].tolist(), words.end[first].tolist(), strict=True):
+            ids = young.get(h)
+            if ids is None:
+                ids = old.get(h)
+                if ids is None:
+                    ids = self.word(text[a:b].decode())
+                young[h] = ids
+            known.append(ids)
+        if len(young) > MEMO:
+            self.old, self.young = young, {}
+        size = np.array([len(x) >> 2 for x in known])
+        flat = np.frombuffer(b"".join(known), np.uint32)
         base = np.cumsum(size) - size
         n = size[index]
         offsets = np.concatenate([[0], np.cumsum(n)])
@@ -118,10 +163,10 @@ def _tokenised(path: str, end: int):
         kind = np.uint16 if encode.library.get_vocab_size() <= 1 << 16 and end < 1 << 16 else np.uint32
         for batch in chunks(batches, most=4_000_000):
             ids, at = encode(batch.column("text"))
-            ids = np.insert(ids, at[1:], end).astype(np.uint32)
-            at = at + np.arange(len(at))
+            data = np.insert(ids.astype(kind), at[1:], end).tobytes()
+            edges = ((at + np.arange(len(at))) * kind().itemsize).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([ids[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([kind().itemsize] * batch.num_rows, pa.int32())],
+                [batch.column("doc_id"), pa.array([data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), pa.array([kind().itemsize] * batch.num_rows, pa.int32())],
                 names=["doc_id", "ids", "width"],
             )
 
@@ -136,8 +181,9 @@ def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in _ids(batch):
-            n = np.bincount(ids)
+        if batch.num_rows:
+            data, _ = raw(batch.column("ids"))
+            n = np.bincount(np.frombuffer(data.tobytes(), np.uint16 if batch.column("width")[0].as_py() == 2 else np.uint32))
             if len(n) > len(total):
                 total = np.pad(total, (0, len(n) - len(total)))
             total[: len(n)] += n
