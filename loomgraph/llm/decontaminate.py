@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,7 +171,7 @@ class Searcher:
     """Finds the items of one block in whole documents."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        words = Words(pa.array(texts, pa.string()), ALNUM)
+        words = Words(pc.utf8_lower(pa.array(texts, pa.string())), ALNUM)
         items: dict[tuple, list[int]] = {}
         for k, i in enumerate(ids):
             w = words.hash[words.first[k] : words.first[k + 1]]
@@ -199,7 +200,7 @@ class Searcher:
             cls.need_rare = min(int(self.rare[[where[w] for w in x.tolist()]].sum()) - allowed(len(x)) for x in cls.items)
 
     def search(self, column: pa.Array) -> list[list[dict]]:
-        words = Words(column, ALNUM)
+        words = Words(pc.utf8_lower(column), ALNUM)
         h, n = words.hash, len(words)
         docs = len(words.first) - 1
         out: list[list[dict]] = [[] for _ in range(docs)]
@@ -267,8 +268,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs: any columns with text (null: empty, no match); a column matches is replaced.
     benchmark: item_id, text; a null or short text (under LEAST_WORDS words) matches
-    nothing; a null item_id is left out; items of equal words all match.  Words are
-    lower-cased runs of letters, digits and characters beyond ASCII.  Of several runs
+    nothing; a null item_id is left out; items of equal words all match.  Words are runs
+    of letters, digits and characters beyond ASCII, lower-cased in every script.  Of several runs
     the one with fewest edits is told, the first of equals.  Repeated documents are
     searched each.  An empty benchmark gives empty arrays.
     """

@@ -365,12 +365,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, fines: Data
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(described, links): per document its set's name and size; all links needed to connect similar sets.
 
-    docs: doc_id, text.  A null text is empty; doc_id may not be null, and a doc_id
-    that repeats is taken as one document per row.  Two names are linked only if
+    docs: doc_id, text.  A null text is empty; rows with a null doc_id are left out, and a
+    doc_id that repeats is taken as one document per row.  Two names are linked only if
     their sets' Jaccard similarity is 4/5 or more; sets that are similar are in the
     same component of links.  Equal sets have the same name.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
     wide = keep(
         docs.mapInArrow(lambda it: _describe(it, hot), "doc_id long, name long, n long, sketch array<long>, fine array<long>, words array<long>"), "wide"
@@ -413,8 +413,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see `similar_sets`.
 
     component_id is the smallest doc_id reachable by links.  Equal non-empty sets are
-    linked; a text without words has 0 shingles and is a component of its own.
-    Columns other than doc_id and text are ignored.  An empty table gives no rows.
+    linked; a text without words has 0 shingles and is a component of its own.  A row
+    with a null doc_id has its size and a null component.  Columns other than doc_id and
+    text are ignored.  An empty table gives no rows.
     """
     described, links = similar_sets(docs)
     roots = components(links, "a", "b").withColumnRenamed("node", "name")
@@ -422,6 +423,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = first.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     ids = named.select("name", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     out = described.join(ids.select("name", "component_id"), "name", "left")
-    return out.select(
+    out = out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+    unnamed = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return out.unionByName(unnamed.mapInArrow(_sizes, "doc_id long, n_shingles long").withColumn("component_id", F.lit(None).cast("long")))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        sizes = [len(s) for s in sets_of(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "n_shingles"])

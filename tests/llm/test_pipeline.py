@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def made(spark, tmp_path_factory):
     """A folder of tables: good and bad documents, copies, a benchmark passage and a secret."""
     path = tmp_path_factory.mktemp("tables")
-    item = cases.prose(77, 30)
+    item = cases.prose(7700, 30)
     good = {k: cases.prose(k, 60) for k in range(200)}
     bad = {k: " ".join(w.upper() + "!!" for w in cases.prose(k, 60).split()) for k in range(200, 280)}
     odd = {300: good[3] + " end", 301: good[4], 302: cases.prose(900, 30) + " " + item + " " + cases.prose(901, 30), 303: cases.prose(902, 50) + ' token = "24be64439e3e49cf46b2d7c90f3602a3"', 304: None, 305: ""}
