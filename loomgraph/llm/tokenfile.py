@@ -36,22 +36,24 @@ MAGIC = b"LGVB"
 
 _SHIFT = np.arange(0, 8, 2)
 #: lengths of the four ranks under each control byte
-LENGTHS = ((np.arange(256)[:, None] >> _SHIFT) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> _SHIFT) & 3) + 1).astype(np.uint8)
 
 
 def encode_block(ranks: np.ndarray) -> bytes:
     """Header (magic, number of ranks), control bytes, data bytes."""
     ranks = np.asarray(ranks, np.uint32)
-    n = len(ranks)
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF).astype(np.int64) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-n // 4) * 4, np.int64)
-    padded[:n] = size - 1
-    control = (padded.reshape(-1, 4) << _SHIFT).sum(1).astype(np.uint8)
-    at = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max(initial=0))):
-        some = size > k
-        data[at[some] + k] = (ranks[some] >> np.uint32(8 * k)) & np.uint32(0xFF)
+    n, most = len(ranks), int(ranks.max(initial=0))
+    more = [ranks > np.uint32(limit) for limit in (0xFF, 0xFFFF, 0xFFFFFF) if most > limit]  # has a second, third, fourth byte
+    size = np.zeros(-(-n // 4) * 4, np.uint8)
+    for m in more:
+        size[:n] += m
+    four = size.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    at = np.cumsum(size[:n] + np.uint8(1), dtype=np.int64) - 1 - size[:n]
+    data = np.zeros(n + sum(int(m.sum()) for m in more), np.uint8)
+    data[at] = ranks & np.uint32(0xFF)
+    for k, m in enumerate(more, 1):
+        data[at[m] + k] = (ranks[m] >> np.uint32(8 * k)) & np.uint32(0xFF)
     return MAGIC + struct.pack("<I", n) + control.tobytes() + data.tobytes()
 
 
@@ -63,10 +65,10 @@ def decode_block(payload) -> np.ndarray:
     n = int(data[4:8].view("<u4")[0])
     controls = -(-n // 4)
     size = LENGTHS[data[8 : 8 + controls]].ravel()[:n]
-    at = 8 + controls + np.cumsum(size) - size
-    out = np.zeros(n, np.uint32)
-    for k in range(int(size.max(initial=0))):
-        some = size > k
+    at = 8 + controls + np.cumsum(size, dtype=np.int64) - size
+    out = data[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=0))):
+        some = np.flatnonzero(size > k)
         out[some] |= data[at[some] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
