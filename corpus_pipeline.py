@@ -15,6 +15,10 @@ from loomgraph.llm import decontaminate, jaccard, pieces, quality, secrets
 from loomgraph.llm.tables import keep, read
 
 
+#: most ids of copies that are sent to every executor (8 MB)
+BROADCAST_ROWS = 1_000_000
+
+
 def _aside(docs: DataFrame, *names: str) -> DataFrame:
     """docs with clashing columns renamed; `_back` undoes it."""
     return docs.withColumnsRenamed({n: f"__kept_{n}" for n in names if n in docs.columns})
@@ -37,11 +41,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null doc_id can't be told apart and stay.
     """
     found = keep(jaccard.jaccard_components(docs.where("doc_id IS NOT NULL")), "groups")
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not first.where("__rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    if copies.count() <= BROADCAST_ROWS:  # then no text is shuffled; beyond it the join sorts both sides
+        copies = F.broadcast(copies)
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        kept = named.unionByName(kept.where("doc_id IS NULL"))
+    return kept
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

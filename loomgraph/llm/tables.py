@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -16,16 +18,31 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
+        made = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, made, True)
+        found = f"file://{made}"
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+#: most bytes of a batch that goes to a Python worker; Spark's own limit is 64 MB, and several copies exist at once
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's limit of Arrow batches to BATCH_BYTES, so that executors hold little outside their heaps."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it from there; its lineage is cut."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark).rstrip('/')}/loomgraph/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -50,4 +67,5 @@ def forget(*tables: DataFrame) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
