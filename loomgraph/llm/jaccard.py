@@ -380,6 +380,8 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_word = Window.partitionBy("word")
     groups = keep(
         wide.where("size(words) > 0").select("name", F.explode("words").alias("word"))
+        # every task emits the words of its own copies; once a name, else they cancel out of members
+        .withColumn("before", F.lag("name").over(by_word.orderBy("name"))).where("before IS NULL OR before < name").drop("before")
         .withColumns(
             {
                 "centre": F.min("name").over(by_word), "last": F.max("name").over(by_word),

@@ -325,6 +325,21 @@ def test_jaccard_chains_and_edges(spark):
     assert got == plain_components(texts)
 
 
+@pytest.mark.parametrize("partitions", [2, 4])
+def test_jaccard_copies_in_several_partitions(spark, partitions):
+    """Of each three texts the first is similar to both others; all are copied to every partition."""
+    texts = {}
+    for k in range(24):
+        own = [f"f{k}.{j}" for j in range(64)]
+        texts[3 * k] = " ".join(own)
+        texts[3 * k + 1] = " ".join([f"x{j}" for j in range(6)] + own[6:])
+        texts[3 * k + 2] = " ".join(own[:-6] + [f"y{j}" for j in range(6)])
+    rows = [(i + 1000 * p, t) for p in range(partitions) for i, t in texts.items()]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i + 1000 * p: x for p in range(partitions) for i, x in plain_components(texts).items()}
+
+
 def test_parity_bounds_difference():
     rng = np.random.default_rng(0)
     for n in (3, 40, 3000):
