@@ -10,6 +10,9 @@ emits only the D + 1 that come first in one fixed order (D: its largest admissib
 difference), and qualifying pairs still meet: of the blocks that agree, the first in
 that order is emitted by both sides.  The order puts words met often last, which
 keeps common passages from forming large groups; any order gives the same result.
+If a set's non-empty blocks are at most D, those that agree may all be empty; such a
+small set also emits its first elements: 4/5 of them at least are a partner's too, so
+the first common one is among the first fifth and one more.
 
 Size bands double; a document emits for its own band and, where a partner can be
 just over the edge, for the next one.  Candidates are verified on whole sets.
@@ -86,15 +89,18 @@ def meetings(n: int) -> list[tuple[int, int]]:
 
 
 def _emitted(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = []
+    out, few = [], False
     for bits, most in meetings(len(s)):
         words = block_words(s, bits)
+        few |= len(words) <= most  # all of them can differ from a partner's
         # The empty blocks are last in the order; what they leave is emitted, first in the order first.
         if len(words) > most + 1:
             at = np.minimum(np.searchsorted(hot[0], words), max(0, len(hot[0]) - 1))
             met = np.where(hot[0][at] == words, hot[1][at], 0) if len(hot[0]) else np.zeros(len(words), np.int64)
             words = words[np.lexsort((words, met))[: most + 1]]
         out.append(words)
+    if few:
+        out.append(mix(s[: len(s) - (4 * len(s) + 4) // 5 + 1] + np.uint64(2)))
     return np.concatenate(out)
 
 

@@ -340,6 +340,21 @@ def test_jaccard_copies_in_several_partitions(spark, partitions):
     assert got == {i + 1000 * p: x for p in range(partitions) for i, x in plain_components(texts).items()}
 
 
+def test_small_similar_sets_meet():
+    """All sizes of similar sets of 4 to 9 elements, at any order of the block words."""
+    rng = np.random.default_rng(3)
+    for n, m in itertools.combinations_with_replacement(range(4, 10), 2):
+        for same in range(1, n + 1):
+            if 100 * same < 80 * (n + m - same):
+                continue
+            for _ in range(1500):
+                x = rng.integers(1 << 64, size=n + m - same, dtype=np.uint64)
+                a, b = np.sort(x[:n]), np.sort(x[n - same :])
+                words = np.unique(np.concatenate([jaccard.block_words(s, bits) for s in (a, b) for bits, _ in jaccard.meetings(len(s))]))
+                for hot in ((words[:0], np.zeros(0, np.int64)), (words, rng.integers(5, size=len(words)))):
+                    assert np.intersect1d(jaccard._emitted(a, hot), jaccard._emitted(b, hot)).size, (n, m, same)
+
+
 def test_parity_bounds_difference():
     rng = np.random.default_rng(0)
     for n in (3, 40, 3000):
