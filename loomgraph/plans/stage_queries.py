@@ -80,7 +80,7 @@ def dr_mapping_stats(r):
 
 CHANGES = """SELECT o_orderkey AS ord, CASE o_orderkey % 5 WHEN 0 THEN 'add_stage' WHEN 1 THEN 'remove_stage' WHEN 2 THEN 'merge_stages' WHEN 3 THEN 'split_stage' ELSE 'rename' END AS action,
   CASE WHEN o_orderkey % 7 = 0 THEN 'none' WHEN o_orderkey % 7 = 1 THEN 'crosscut-1' ELSE concat('stage-', o_orderkey % 5 + 1) END AS stage, CASE WHEN o_orderkey % 3 = 0 THEN 'stage-1' WHEN o_orderkey % 3 = 1 THEN 'nope' ELSE 'stage-3' END AS target,
-  split(CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'x,x' WHEN 2 THEN 'x,stage-1' ELSE 'x,y' END, ',') AS new_ids FROM {orders} WHERE o_orderkey < 600"""
+  split(CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'x,x' WHEN 2 THEN 'x,stage-1' ELSE 'x,y' END, ',') AS new_ids FROM {orders}"""
 
 
 @query(f"""WITH c AS ({CHANGES})
@@ -274,7 +274,7 @@ def rg_coordinate_roll(r):
 
 
 @query("""WITH RECURSIVE a AS (SELECT concat('q', l_orderkey) AS qualname, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS ord, CASE l_suppkey % 3 WHEN 0 THEN 'merge' WHEN 1 THEN 'split' ELSE 'reassign' END AS action,
-  CASE WHEN l_suppkey % 3 = 0 THEN [CAST(l_partkey % 4 AS INT), CAST(l_partkey % 4 + 1 AS INT)] ELSE [CAST(l_partkey % 4 AS INT)] END AS refs FROM {lineitem} WHERE l_orderkey < 1500),
+  CASE WHEN l_suppkey % 3 = 0 THEN [CAST(l_partkey % 4 AS INT), CAST(l_partkey % 4 + 1 AS INT)] ELSE [CAST(l_partkey % 4 AS INT)] END AS refs FROM {lineitem}),
 t AS (SELECT qualname, ord, true AS accepted, CASE action WHEN 'merge' THEN [refs[2]] WHEN 'split' THEN refs ELSE [] END AS dead FROM a WHERE ord = 1
   UNION ALL SELECT a.qualname, a.ord, NOT list_has_any(t.dead, a.refs), CASE WHEN list_has_any(t.dead, a.refs) THEN t.dead ELSE list_concat(t.dead, CASE a.action WHEN 'merge' THEN [a.refs[2]] WHEN 'split' THEN a.refs ELSE [] END) END FROM t JOIN a ON a.qualname = t.qualname AND a.ord = t.ord + 1)
 SELECT qualname, ord, accepted FROM t""")
@@ -284,7 +284,7 @@ def rg_conflicts(r):
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     k = (F.col("l_partkey") % 4).cast("int")
     action = F.when(F.col("l_suppkey") % 3 == 0, "merge").when(F.col("l_suppkey") % 3 == 1, "split").otherwise("reassign")
-    rows = r.lineitem.where("l_orderkey < 1500").select(F.concat(F.lit("q"), "l_orderkey").alias("qualname"), n.alias("ord"), action.alias("action"), F.when(F.col("l_suppkey") % 3 == 0, F.array(k, k + 1)).otherwise(F.array(k)).alias("refs"))
+    rows = r.lineitem.select(F.concat(F.lit("q"), "l_orderkey").alias("qualname"), n.alias("ord"), action.alias("action"), F.when(F.col("l_suppkey") % 3 == 0, F.array(k, k + 1)).otherwise(F.array(k)).alias("refs"))
     return regions.conflicts(rows)
 
 

@@ -51,7 +51,7 @@ VIEWS: dict[str, str] = {
         SELECT CASE WHEN o.o_orderkey % 10 = 0 THEN concat('crosscut-', o.o_orderkey % 4) ELSE concat('stage-', n.n_regionkey + 1, '.', n.n_nationkey) END AS stage, o.o_orderkey AS ord, f.qualname,
           CASE WHEN o.o_orderstatus = 'F' THEN 'function' ELSE 'region' END AS type, f.file, CAST(f.line_start + o.o_orderkey % 7 AS INT) AS line_start, CAST(f.line_end + o.o_orderkey % 7 AS INT) AS line_end,
           concat('Purpose ', o.o_orderkey % 90, '. More ', o.o_orderkey) AS purpose
-        FROM {orders} o JOIN {functions} f ON f.ord = o.o_custkey JOIN {nation} n ON n.n_nationkey = o.o_orderkey % 25 WHERE o.o_orderkey < 3000""",
+        FROM {orders} o JOIN {functions} f ON f.ord = o.o_custkey JOIN {nation} n ON n.n_nationkey = o.o_orderkey % 25""",
     "cards": """
         SELECT doc_id AS ord, concat(source, '/', lang, '/', doc_id, '.py') AS file, CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('Purpose ', repeat('x', CAST(doc_id % 40 AS INT))) END AS purpose,
           CASE doc_id % 7 WHEN 0 THEN 'entrypoint' WHEN 1 THEN 'domain_logic' WHEN 2 THEN 'io_transport' WHEN 3 THEN 'data_model' WHEN 4 THEN 'config' WHEN 5 THEN 'test' ELSE 'other' END AS role,
@@ -65,19 +65,19 @@ VIEWS: dict[str, str] = {
         SELECT conv_id AS proposal, CAST(turn + 1 AS INT) AS round, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS INT) AS role_ord, role,
           CASE (conv_id * 7 + turn * 3 + length(role)) % 5 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'REVISE' WHEN 2 THEN 'REVISE' ELSE 'APPROVE' END AS decision,
           CASE WHEN (conv_id + turn) % 3 = 0 THEN split('a,b', ',') ELSE split('c', ',') END AS concerns
-        FROM {conversations} WHERE turn < 2""",
+        FROM {conversations}""",
     "rounds": """
         SELECT conv_id AS unit, CAST(turn + 1 AS INT) AS round, CAST(min(length(text)) % 40 AS DOUBLE) / 8.0 AS overall, min(length(text)) % 40 >= 32 AS passed FROM {conversations} GROUP BY conv_id, turn""",
     "scores": """
         SELECT l_orderkey AS unit, CASE l_linenumber WHEN 1 THEN 'accuracy' WHEN 2 THEN 'coverage' WHEN 3 THEN 'flow' WHEN 4 THEN 'style' ELSE 'length' END AS criterion,
-          CASE WHEN l_suppkey % 11 = 0 THEN 'bad' ELSE concat('', l_suppkey % 8) END AS score FROM {lineitem} WHERE l_orderkey < 2000""",
+          CASE WHEN l_suppkey % 11 = 0 THEN 'bad' ELSE concat('', l_suppkey % 8) END AS score FROM {lineitem}""",
     "rubric": """
         SELECT 'accuracy' AS criterion, 'gate' AS kind, CAST(0.3 AS DOUBLE) AS weight, 3 AS floor UNION ALL SELECT 'coverage', 'gate', CAST(0.25 AS DOUBLE), 2 UNION ALL SELECT 'flow', 'soft', CAST(0.2 AS DOUBLE), 3
         UNION ALL SELECT 'style', 'soft', CAST(0.15 AS DOUBLE), 3 UNION ALL SELECT 'length', 'soft', CAST(0.1 AS DOUBLE), 3""",
     "spans": """
-        SELECT user_id % 40 AS fn, CAST(event_id % 300 AS INT) AS s, CAST(event_id % 300 + user_id % 9 AS INT) AS e FROM {events} WHERE event_id % 5 = 0""",
+        SELECT user_id % 40 AS fn, CAST(event_id % 300 AS INT) AS s, CAST(event_id % 300 + user_id % 9 AS INT) AS e FROM {events}""",
     "requests": """
-        SELECT event_id AS req, user_id % 45 AS fn, CAST(event_id % 290 AS INT) AS a, CAST(event_id % 290 + event_id % 23 AS INT) AS b FROM {events} WHERE event_id % 7 = 0""",
+        SELECT event_id AS req, user_id % 45 AS fn, CAST(event_id % 290 AS INT) AS a, CAST(event_id % 290 + event_id % 23 AS INT) AS b FROM {events}""",
 }
 _NAME = re.compile(r"\{(\w+)\}")
 

@@ -55,7 +55,7 @@ def re_evidence(r):
 
 
 CODE = """SELECT concat('f', o_custkey % 40) AS file, o_orderkey AS line, CASE o_orderkey % 9 WHEN 0 THEN '    def __init__(self):' WHEN 1 THEN '  def reset_all(self):' WHEN 2 THEN 'def work(x):' WHEN 3 THEN '        self.jobs = []' WHEN 4 THEN 'self.jobs.append(1)' WHEN 5 THEN 'if jobs == 3:'
-  WHEN 6 THEN 'y = cache.get(1)' WHEN 7 THEN 'cache[1] += 2' ELSE 'pass' END AS text FROM {orders} WHERE o_orderkey < 5000"""
+  WHEN 6 THEN 'y = cache.get(1)' WHEN 7 THEN 'cache[1] += 2' ELSE 'pass' END AS text FROM {orders}"""
 
 
 @query(f"""WITH l AS ({CODE}), m AS (SELECT *, last_value(nullif(regexp_extract(text, '^\\s*(?:async\\s+)?def\\s+(\\w+)', 1), '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS method FROM l),

@@ -1,7 +1,7 @@
 """Static resolution, sequential changes, the file-level resync and Markdown helpers."""
 
 from loomgraph.operators import resolve
-from loomgraph.plans import doctor
+from loomgraph.plans import doctor, stage_queries, surrogate, upkeep_queries
 from loomgraph.sources import markdown
 
 CALL = "ord int, file string, caller_id string, class_name string, form string, head string, name string"
@@ -70,3 +70,21 @@ def test_markdown_helpers(spark):
     assert [r["id"] for r in markdown.rebuilt_index(old, new).orderBy("position").collect()] == ["a", "c", "b", "z"]
     lines = spark.createDataFrame([("f.rs", 3, "macro_rules! my_mac {"), ("f.rs", 4, "fn x()")], "file string, line int, text string")
     assert [tuple(r) for r in markdown.macros(lines).collect()] == [("f.rs", 3, "my_mac")]
+
+
+def test_views_cover_their_tables(spark):
+    """Rows with large keys, late turns and any event id reach the views and the queries over them."""
+    r = surrogate.Relations(spark, "")
+    ids = spark.range(0, 100_000, 2500).withColumnRenamed("id", "k")
+    r.made["nation"] = spark.range(25).selectExpr("id AS n_nationkey", "id % 5 AS n_regionkey", "concat('N', id) AS n_name")
+    r.made["region"] = spark.range(5).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name")
+    r.made["functions"] = spark.createDataFrame([(0, "q", "f", 1, 9)], "ord long, qualname string, file string, line_start int, line_end int")
+    r.made["orders"] = ids.selectExpr("k AS o_orderkey", "0L AS o_custkey", "'F' AS o_orderstatus")
+    r.made["lineitem"] = ids.selectExpr("k AS l_orderkey", "1 AS l_linenumber", "k AS l_partkey", "k AS l_suppkey")
+    r.made["events"] = ids.selectExpr("k + k / 2500 AS event_id", "k AS user_id").selectExpr("cast(event_id AS long) AS event_id", "user_id")
+    r.made["conversations"] = spark.range(40).selectExpr("1L AS conv_id", "cast(id AS int) AS turn", "'user' AS role", "'x' AS text")
+    for view in ("members", "scores", "spans", "requests", "verdicts"):
+        assert getattr(r, view).count() == 40, view
+    assert stage_queries.dr_validate(r).count() == stage_queries.rg_conflicts(r).count() == 40
+    code = spark.sql(upkeep_queries.CODE, orders=r.orders)
+    assert code.count() == 40
