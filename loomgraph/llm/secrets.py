@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a character convolutional network over candidates.
 
 The patterns give the base findings.  Besides, every run of key-like characters with
-letters and digits is a candidate: a small convolutional network reads it with the
-characters before it and yields a probability.  The network is trained here, in
+letters and digits, or what base findings leave of it, is a candidate: a small
+convolutional network reads it in overlapping windows over its whole length, each with
+the characters before and after it, and yields a probability; a candidate's is that of
+its likeliest window.  The network is trained here, in
 numpy, on labelled findings made by rule from a fixed seed (keys of several
 alphabets in assignment, header and prose contexts; against them hosts, addresses,
 dates, versions, paths, identifiers and long words).  Its scores are calibrated
@@ -31,11 +33,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.\-]{{{LEAST},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key")
 
-BEFORE, WITHIN = 24, 48  # characters read before a candidate, and of it
+BEFORE, WITHIN, AFTER = 24, 48, 24  # characters a window reads before its part of a candidate, of it, and after it
+STRIDE, TOGETHER = 24, 4096  # from window to window; windows made at once
 EMBED, WIDTH, FILTERS = 12, 5, 24
 EXAMPLES, EPOCHS, RECALL = 4000, 8, 0.98
 
@@ -51,15 +55,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Runs, cut at the base findings, that are long enough and have letters and digits."""
+    found, k, known = [], 0, []
+    for a, b, _ in base:  # sorted by start; overlapping ones together
+        if known and a <= known[-1][1]:
+            known[-1] = known[-1][0], max(known[-1][1], b)
+        else:
+            known.append((a, b))
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        while at < end:
+            while k < len(known) and known[k][1] <= at:
+                k += 1
+            a, b = known[k] if k < len(known) and known[k][0] < end else (end, end)
+            part = text[at:a] if a > at else ""
+            if len(part) >= LEAST and _DIGIT.search(part) and _LETTER.search(part):
+                found.append((at, a))
+            at = b
+    return found
+
+
+def starts(start: int, end: int) -> list[int]:
+    """Where the windows of a candidate start; the last one ends with it."""
+    return [*range(start, end - WITHIN, STRIDE), max(start, end - WITHIN)]
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the characters before a candidate and of its first WITHIN: 0 nothing, 1-95 printable ASCII, 96 other, 97 white space."""
+    """Codes of WITHIN characters of a candidate from start, of those before and after: 0 nothing, 1-95 printable ASCII, 96 other, 97 white space."""
+    stop = min(end, start + WITHIN)
     left = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
-    inside = text[start : min(end, start + WITHIN)].ljust(WITHIN, "\0")
-    c = np.frombuffer((left + inside).encode("utf-32-le"), np.uint32)
+    inside, right = text[start:stop].ljust(WITHIN, "\0"), text[stop : stop + AFTER].ljust(AFTER, "\0")
+    c = np.frombuffer((left + inside + right).encode("utf-32-le"), np.uint32)
     return np.where(c == 0, 0, np.where((c > 32) & (c < 127), c - 32, np.where(np.isin(c, (9, 10, 13, 32)), 97, 96))).astype(np.int64)
 
 
@@ -88,23 +115,40 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: f'{pick(["key", "auth", "credential", "access", "private", "bearer", "pwd"])}{pick([" = ", ": ", "=", " "])}{pick(["", chr(34), chr(39)])}',
         lambda: words(4) + " ", lambda: "Authorization: Bearer ", lambda: words(2) + ".\n", lambda: words(3) + "*** ", lambda: "",
     ]
+    tail = [lambda: "", lambda: pick([chr(34), chr(39), ".", ",", ")", ";"]) + pick([" ", "\n", ""]) + words(3), lambda: " " + words(4), lambda: "\n" + words(3), lambda: " ***"]
+    based = [lambda: "AKIA" + some(string.ascii_uppercase + digits, 16, 16), lambda: some("0123456789abcdef", 24, 40)]
     # assignment contexts are more often those of secrets, hosts and paths follow prose
-    x, y = np.zeros((n, BEFORE + WITHIN), np.int64), np.arange(n) % 2
+    x, y = np.zeros((n, BEFORE + WITHIN + AFTER), np.int64), np.arange(n) % 2
     for k in range(n):
         made = pick(secrets)() if y[k] else pick(harmless)()
         before = pick(lead)() if y[k] or rng.random() < 0.4 else lead[1]()
-        x[k] = window(before + made, len(before), len(before) + len(made))
+        if rng.random() < 0.3:  # a long run, or what a base finding leaves of one
+            ahead = pick("/.-=_")
+            if rng.random() < 0.3:
+                before += pick(based)() + pick("/.-=_")
+                ahead = ""
+            else:
+                while len(ahead) < rng.integers(20, 120):
+                    ahead = pick(harmless)() + pick("/.-=_") + ahead
+                if rng.random() < 0.2:
+                    ahead = pick("./-=_") * int(rng.integers(48, 90))
+            end = len(before) + len(ahead) + len(made)
+            at = [a for a in starts(len(before), end) if not y[k] or min(end, a + WITHIN) - max(a, len(before) + len(ahead)) >= min(len(made), STRIDE)]
+            made, at = ahead + made, at[int(rng.integers(len(at)))]
+        else:
+            at = len(before)
+        x[k] = window(before + made + pick(tail)(), at, len(before) + len(made))
     return x, y
 
 
 class Network:
-    """Embedding, one convolution, maxima over the context and over the candidate, one logistic unit."""
+    """Embedding, one convolution, maxima over the context before, the candidate and the context after, one logistic unit."""
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.p = {
             "e": rng.normal(0, 0.3, (98, EMBED)), "k": rng.normal(0, (2 / (WIDTH * EMBED)) ** 0.5, (WIDTH * EMBED, FILTERS)),
-            "b": np.zeros(FILTERS), "w": rng.normal(0, 0.2, 2 * FILTERS), "c": np.zeros(1),
+            "b": np.zeros(FILTERS), "w": rng.normal(0, 0.2, 3 * FILTERS), "c": np.zeros(1),
         }
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
@@ -113,8 +157,8 @@ class Network:
         e = p["e"][x]
         cols = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), -1, WIDTH * EMBED)
         a = np.maximum(cols @ p["k"] + p["b"], 0)
-        cut = BEFORE - WIDTH + 1
-        tops = [a[:, :cut].argmax(1), a[:, cut:].argmax(1) + cut]
+        cuts = [0, BEFORE - WIDTH + 1, BEFORE + WITHIN, a.shape[1]]
+        tops = [a[:, i:j].argmax(1) + i for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         pooled = np.concatenate([np.take_along_axis(a, t[:, None], 1)[:, 0] for t in tops], 1)
         return cols, tops, pooled, pooled @ p["w"] + p["c"][0]
 
@@ -187,14 +231,17 @@ def spans_of(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]
     for k, text in enumerate(texts):
         base = base_spans(text)
         out.append(base)
-        for a, b in candidates(text):
-            asked.append(window(text, a, b))
+        for a, b in candidates(text, base):
             place.append((k, a, b))
-    if asked:
-        p = net.probability(np.stack(asked))
-        for (k, a, b), q in zip(place, p, strict=True):
-            if q >= net.threshold and not any(s < b and a < e for s, e, kind in out[k] if kind != "model"):
-                out[k].append((a, b, "model"))
+            asked += [(len(place) - 1, at) for at in starts(a, b)]
+    secret = np.zeros(len(place), bool)
+    for c in range(0, len(asked), TOGETHER):
+        some = asked[c : c + TOGETHER]
+        p = net.probability(np.stack([window(texts[place[j][0]], at, place[j][2]) for j, at in some]))
+        secret[[j for (j, _), q in zip(some, p, strict=True) if q >= net.threshold]] = True
+    for j in np.flatnonzero(secret).tolist():
+        k, a, b = place[j]
+        out[k].append((a, b, "model"))
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in out]
 
 
