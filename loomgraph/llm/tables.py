@@ -39,11 +39,16 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it from there; its lineage is cut."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/loomgraph/{uuid.uuid4().hex}/{name}"
+
+
+def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write `df` once to the shared folder, or to `path`, and read it from there; its lineage is cut."""
     spark = df.sparkSession
     bounded(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/loomgraph/{uuid.uuid4().hex}/{name}"
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path  # type: ignore[attr-defined]
