@@ -23,26 +23,31 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v")
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one edge, to its root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    state = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return state.agg(F.max(F.expr("out > 1 OR (out = 1 AND into = 1)"))).first()[0] is not True
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has a link.
 
     links: pairs of integers in columns `a` and `b`, in either order; repeats and
     self-links change nothing; an empty table gives an empty result.  Every round is
     a written table, so no lineage grows and a lost executor costs one round at most.
+    `forget` deletes the table under the result.
     """
     edges = keep(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "links"
     )
-    before = None
-    while True:
+    while not _is_stars(edges):
         now = keep(_small(_large(edges)).distinct(), "round")
         forget(edges)
         edges = now
-        state = edges.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            break
-        before = state
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out.kept_at = edges.kept_at  # type: ignore[attr-defined]
+    return out

@@ -21,8 +21,9 @@ Groups that share a block word are never expanded to all pairs.  First each memb
 is compared with the group's smallest member, then over a spanning forest of the closest pairs;
 the components of those links swallow whole clusters of copies.  Only pairs from
 different components that still share a block word are then all compared, which
-makes the result complete.  Before two
-sets are fetched, their dense parity sketches (DENSE bits) must be within the
+makes the result complete: members outside of a group's largest component meet each
+other and that component, in tiles.  Before two sets are fetched, their dense parity
+sketches (DENSE bits, for large sets 2 to 4 bits an element too) must be within the
 admissible distance.
 """
 
@@ -43,7 +44,8 @@ from .textkit import SPACED, Words, chunks, grams, mix
 SHINGLE = 5
 #: of block words met often: counted at once by a task, kept of those, and kept in all.  They order the
 #: emitted words; no row is dropped.
-HOT_COUNTED, HOT_IN_TASK, HOT_IN_ALL = 8_000_000, 16_384, 262_144
+HOT_COUNTED, HOT_IN_TASK, HOT_IN_ALL = 4_000_000, 16_384, 262_144
+LARGE = 1000  # groups of words met so often are told by partial sums, not by a window over the word
 TILE = 2048  # most rows of a group that are compared with as many others in one step
 #: bits of the dense sketch that filters pairs before their sets are fetched, and of the filter of documents to fetch
 DENSE, FILTER_BITS = 1024, 1 << 23
@@ -89,6 +91,7 @@ def meetings(n: int) -> list[tuple[int, int]]:
 
 
 def _emitted(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The words a set emits, given the words met often and how often."""
     out, few = [], False
     for bits, most in meetings(len(s)):
         words = block_words(s, bits)
@@ -153,30 +156,41 @@ def fine_parity(s: np.ndarray) -> np.ndarray:
     return parity(s, 4 << (len(s).bit_length() - 1)) if len(s) >= DENSE else np.zeros(0, np.int64)
 
 
+def _often(words: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which words were met LARGE times or more."""
+    if not len(hot[0]):
+        return np.zeros(len(words), bool)
+    at = np.minimum(np.searchsorted(hot[0], words), len(hot[0]) - 1)
+    return (hot[0][at] == words) & (hot[1][at] >= LARGE)
+
+
 def _describe(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
-    """Per document its set's name and size; for a set's first document in the task its dense sketch and emitted words."""
+    """Per document its set's name and size; for a set's first document in the task its sketches and emitted words, those met often apart."""
     seen: set[int] = set()
     found = hot.value
     none = np.zeros(0, np.int64)
     for batch in chunks(batches):
-        names, sizes, words, sketches, fines = [], [], [], [], []
+        names, sizes, words, often, sketches, fines = [], [], [], [], [], []
         for s in sets_of(batch.column("text")):
             name = identity(s)
             new = len(s) > 0 and name not in seen
             names.append(name)
             sizes.append(len(s))
-            words.append(_emitted(s, found).view(np.int64) if new else none)
+            own = _emitted(s, found) if new else _EMPTY
+            many = _often(own, found)
+            words.append(own[~many].view(np.int64))
+            often.append(own[many].view(np.int64))
             sketches.append(parity(s) if new else none)
             fines.append(fine_parity(s) if new else none)
             if new:
                 seen.add(name)
         lists = []
-        for parts in (sketches, fines, words):
+        for parts in (sketches, fines, words, often):
             at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([none, *parts]))))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *lists],
-            names=["doc_id", "name", "n", "sketch", "fine", "words"],
+            names=["doc_id", "name", "n", "sketch", "fine", "words", "often"],
         )
 
 
@@ -187,22 +201,28 @@ def _slots(ids: np.ndarray) -> np.ndarray:
 def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for batch in batches:
-        slot = _slots(batch.column("doc_id").to_numpy())
-        np.bitwise_or.at(bits, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
+        for c in ("x", "y"):
+            slot = _slots(batch.column(c).to_numpy())
+            np.bitwise_or.at(bits, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
     words = bits.view(np.int64)
     at = np.flatnonzero(words)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the documents that the filter lets pass."""
-    some = bits.value
+    """Whole sets, with their names, of the documents that the filter lets pass."""
+    some, seen = bits.value, set()
     for batch in batches:
         slot = _slots(batch.column("doc_id").to_numpy())
         asked = batch.filter(pa.array((some[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
         for part in chunks(iter([asked])):
-            sets = [x.tobytes() for x in sets_of(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "elements"])
+            names, sets = [], []
+            for x in sets_of(part.column("text")):
+                if (name := identity(x)) not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    sets.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["name", "elements"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,15 +237,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
 
-def _close(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sizes and dense sketches allow similarity 4/5: Hamming distance at most (|A| + |B|) / 9."""
-    x, y = (sketched.select(F.col("name").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
-    return (
-        pairs.join(x, "a").join(y, "b").where("n_a * 5 >= n_b * 4 AND n_b * 5 >= n_a * 4")
-        .where(_apart("s_a", "s_b") * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
-    )
-
-
 def _apart(a: str, b: str):
     """Hamming distance of two sketches; one of twice the other's size is folded first."""
 
@@ -236,13 +247,15 @@ def _apart(a: str, b: str):
     return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
 
 
-def _close_finely(pairs: DataFrame, fines: DataFrame) -> DataFrame:
-    """Those pairs that finer sketches, where both sets have them, allow too."""
-    x, y = (fines.select(F.col("name").alias(k), F.col("n").alias(f"n_{k}"), F.col("fine").alias(f"s_{k}")) for k in "ab")
-    return (
-        pairs.join(x, "a", "left").join(y, "b", "left")
-        .where(F.col("n_a").isNull() | F.col("n_b").isNull() | (_apart("s_a", "s_b") * 9 <= F.col("n_a") + F.col("n_b"))).select("a", "b")
-    )
+def _finely_close(x: np.ndarray, y: np.ndarray, most: int) -> bool:
+    """Whether the finer sketches, where both sets have them, differ in `most` bits or fewer."""
+    if not len(x) or not len(y):
+        return True
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = x[: len(y)] ^ x[len(y) :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= most
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -276,7 +289,7 @@ def _spanning(pairs: np.ndarray, roots: np.ndarray, order: np.ndarray) -> np.nda
 def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each run of equal (word, low, high) whose sizes and sketches are close.
 
-    Rows come sorted by that key and root; a run has at most 2 TILE rows.  If low < high,
+    Rows come sorted by that key and root; a run has about 2 TILE rows.  If low < high,
     only pairs of one row of either tile are made.  forest: of a slice's pairs only a
     spanning forest over the components, closest pairs first, so no more than rows.
     """
@@ -286,13 +299,15 @@ def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterato
             held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
         if held is None or not held.num_rows:
             continue
-        word, low, high, tile, name, root, n = (held[c].to_numpy() for c in ("word", "low", "high", "tile", "name", "root", "n"))
+        word, low, high, tile, name, root, n, least = (held[c].to_numpy() for c in ("word", "low", "high", "tile", "name", "root", "n", "least"))
         edges = _runs(word, low, high)
         ready = held.num_rows if batch is None else int(edges[-2])  # the last run may go on
         if ready:
             edges = edges[edges <= ready]
             size = held.num_rows
             sketch = held["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(size, -1)
+            fine = held["fine"].combine_chunks()
+            fines, fine_at = fine.values.to_numpy(), fine.offsets.to_numpy()
             own = _runs(word, low, high, root)
             after = np.repeat(own[1:], np.diff(own))[:ready]  # pairs go from a row to those after its component's
             later = np.repeat(edges[1:], np.diff(edges)) - after
@@ -307,114 +322,153 @@ def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterato
                 for c in range(0, len(x), 65_536):
                     p, q = x[c : c + 65_536], y[c : c + 65_536]
                     apart = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64)
-                    near = apart * 9 <= n[p] + n[q]
-                    found.append(np.stack([name[p][near], name[q][near], root[p][near], root[q][near], apart[near]], 1))
+                    near = np.flatnonzero(apart * 9 <= n[p] + n[q])
+                    near = near[[_finely_close(fines[fine_at[i] : fine_at[i + 1]], fines[fine_at[j] : fine_at[j + 1]], (int(n[i]) + int(n[j])) // 9) for i, j in zip(p[near].tolist(), q[near].tolist(), strict=True)]] if len(near) else near
+                    found.append(np.stack([name[p][near], name[q][near], least[p][near], least[q][near], root[p][near], root[q][near], apart[near]], 1))
                 at = to
-            found = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-            pairs = found[:, :2]
+            found = np.concatenate(found) if found else np.zeros((0, 7), np.int64)
+            pairs = found[:, :4]
             if forest:
-                pairs = _spanning(pairs, found[:, 2:4], np.lexsort((pairs[:, 1], pairs[:, 0], found[:, 4])))
-            pairs = np.unique(np.sort(pairs, 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                pairs = _spanning(pairs, found[:, 4:6], np.lexsort((pairs[:, 1], pairs[:, 0], found[:, 6])))
+            pairs = np.unique(np.where(pairs[:, :1] < pairs[:, 1:2], pairs, pairs[:, [1, 0, 3, 2]]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "x", "y"])
             held = held.slice(ready)
 
 
-def _cross(met: DataFrame, links: DataFrame, sketched: DataFrame, forest: bool) -> DataFrame:
-    """Distinct close pairs of different components of links that share a word.
+def _met(wide: DataFrame) -> DataFrame:
+    """(members, rows, centre, name, word): the words that several sets share; of words that the same sets share one.
 
-    met: word, name.  Groups are cut into tiles of TILE rows; every pair of tiles is a
-    run of its own, so no task holds a whole large group.
+    Members are told by a hash of their names, centre is the smallest of them.  Each
+    task emits the words of its own copies of a set, so repeats of (word, name) go first,
+    else they cancel out of the hash.  Words met often are told by sums that are made
+    partly before the shuffle, and joined with at most HOT_IN_ALL rows.
     """
-    roots = components(links, "a", "b").withColumnRenamed("node", "name")
     by_word = Window.partitionBy("word")
-    labelled = (
-        met.join(roots, "name", "left").select("word", "name", F.coalesce("root", "name").alias("root"))
-        .withColumns({"first": F.min("root").over(by_word), "last": F.max("root").over(by_word), "row": F.row_number().over(by_word.orderBy("name"))})
-        .where("first < last").withColumn("tile", F.floor((F.col("row") - 1) / TILE).cast("int"))
-        .withColumn("tiles", F.max("tile").over(by_word)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
+    some = (
+        wide.where("size(words) > 0").select("name", F.explode("words").alias("word"))
+        .withColumn("before", F.lag("name").over(by_word.orderBy("name"))).where("before IS NULL OR before < name").drop("before")
+        .withColumns(
+            {
+                "centre": F.min("name").over(by_word), "last": F.max("name").over(by_word),
+                "members": F.bit_xor(F.xxhash64("name")).over(by_word), "rows": F.count("*").over(by_word),
+            }
+        )
     )
+    often = wide.where("size(often) > 0").select("name", F.explode("often").alias("word")).distinct()
+    told = often.groupBy("word").agg(
+        F.min("name").alias("centre"), F.max("name").alias("last"), F.bit_xor(F.xxhash64("name")).alias("members"), F.count("*").alias("rows")
+    )
+    shared = some.unionByName(often.join(F.broadcast(told), "word")).where("centre < last")
+    return shared.groupBy("members", "rows", "centre", "name").agg(F.min("word").alias("word"))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Close pairs (a, b, x, y) of a group's smallest member and each other one; x, y: a document of either."""
+    centre = rows.where("name = centre").dropDuplicates(["name"]).select(*(F.col(c).alias(f"{c}_a") for c in ("name", "n", "sketch", "fine", "least")))
+    near = F.col("n_a") + F.col("n")
+    return (
+        rows.where("name <> centre").dropDuplicates(["centre", "name"]).join(centre, F.col("centre") == F.col("name_a"))
+        .where("n_a * 5 >= n * 4 AND n * 5 >= n_a * 4").where(_apart("sketch_a", "sketch") * 9 <= near)
+        .where((F.size("fine_a") == 0) | (F.size("fine") == 0) | (_apart("fine_a", "fine") * 9 <= near))
+        .select(F.col("name_a").alias("a"), F.col("name").alias("b"), F.col("least_a").alias("x"), F.col("least").alias("y"))
+    )
+
+
+def _cross(rows: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
+    """Distinct close pairs (a, b, x, y) of different components that share a word.
+
+    A group's members outside of its largest component are dealt into tiles of about
+    TILE rows, those of the largest one into chunks; every pair of tiles, and of a chunk
+    and a tile, is a run of its own, so no task holds a whole large group and pairs
+    inside the largest component are never made.
+    """
+    labelled = rows.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    told = (
+        labelled.groupBy("word", "root").agg(F.count("*").alias("n")).groupBy("word")
+        .agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).where("all > most")
+        .select("word", "main", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("tiles"), F.ceil(F.col("most") / TILE).cast("int").alias("chunks"))
+    )
+    is_main = F.col("root") == F.col("main")
+    dealt = labelled.join(told, "word").withColumn("tile", F.when(is_main, -1 - F.pmod(F.xxhash64("name"), "chunks")).otherwise(F.pmod(F.xxhash64("name"), "tiles")).cast("int"))
+    tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
+    key = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    with_main = F.transform(tiles, lambda t: key(F.col("tile"), t))
+    with_tiles = F.transform(tiles, lambda t: key(F.least("tile", t), F.greatest("tile", t)))
+    with_chunks = F.transform(F.sequence(F.lit(1), F.col("chunks")), lambda c: key(-c, F.col("tile")))
     keys = ["word", "low", "high"]
-    rows = labelled.select("word", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "name", "root")
     return (
-        rows.join(sketched, "name").select(*keys, "tile", "name", "root", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys, "root")
-        .mapInArrow(lambda it: _close_in_groups(it, forest), "a long, b long").distinct()
+        dealt.withColumn("run", F.explode(F.when(is_main, with_main).otherwise(F.concat(with_tiles, with_chunks))))
+        .select("word", "run.low", "run.high", "tile", "name", "root", "n", "least", "sketch", "fine").repartition(*keys).sortWithinPartitions(*keys, "root")
+        .mapInArrow(lambda it: _close_in_groups(it, forest), "a long, b long, x long, y long").dropDuplicates(["a", "b"])
     )
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, fines: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of set names whose whole sets are similar.
+def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of set names whose whole sets are similar; x, y: documents that have them.
 
     A bit filter of fixed size (1 MB) keeps most documents without a pair from being
-    set up or shuffled; the join on doc_id makes the result exact.
+    set up or shuffled; the join on the sets' names makes the result exact.
     """
     sc = docs.sparkSession.sparkContext
-    pairs = keep(_close_finely(pairs, fines), "fine_pairs")
-    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    asked = keep(names.join(first_doc, "name"), "asked")
-    words = asked.select("doc_id").mapInArrow(_filter_words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = pairs.select("x", "y").mapInArrow(_filter_words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[words["at"].to_numpy()] = words["bits"].to_numpy()
     sent = sc.broadcast(bits.view(np.uint8))
-    found = docs.mapInArrow(lambda it: _sets(it, sent), "doc_id long, elements binary")
-    sets = keep(found.join(asked, "doc_id").select("name", "elements").dropDuplicates(["name"]), "sets")
+    sets = keep(docs.mapInArrow(lambda it: _sets(it, sent), "name long, elements binary").dropDuplicates(["name"]), "sets")
     links = keep(
-        pairs.join(sets.select(F.col("name").alias("b"), F.col("elements").alias("y")), "b")
+        pairs.select("a", "b").join(sets.select(F.col("name").alias("b"), F.col("elements").alias("y")), "b")
         .join(sets.select(F.col("name").alias("a"), F.col("elements").alias("x")), "a")
         .select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"),
         "links",
     )
-    forget(asked, sets, pairs)
+    sent.unpersist()
+    forget(sets)
     release(docs.sparkSession)
     return links
 
 
-def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(described, links): per document its set's name and size; all links needed to connect similar sets.
+def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(described, links, roots): per document its set's name and size; links that connect all similar sets; (node, root) of linked names.
 
     docs: doc_id, text.  A null text is empty; rows with a null doc_id are left out, and a
     doc_id that repeats is taken as one document per row.  Two names are linked only if
     their sets' Jaccard similarity is 4/5 or more; sets that are similar are in the
     same component of links.  Equal sets have the same name.
     """
+    spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
+    hot = spark.sparkContext.broadcast(frequent_words(docs))
     wide = keep(
-        docs.mapInArrow(lambda it: _describe(it, hot), "doc_id long, name long, n long, sketch array<long>, fine array<long>, words array<long>"), "wide"
+        docs.mapInArrow(
+            lambda it: _describe(it, hot), "doc_id long, name long, n long, sketch array<long>, fine array<long>, words array<long>, often array<long>"
+        ),
+        "wide",
     )
-    described = keep(wide.select("doc_id", "name", "n", "sketch"), "described")
-    fines = keep(wide.where("size(fine) > 0").select("name", "n", "fine").dropDuplicates(["name"]), "fines")
-    by_word = Window.partitionBy("word")
-    groups = keep(
-        wide.where("size(words) > 0").select("name", F.explode("words").alias("word"))
-        # every task emits the words of its own copies; once a name, else they cancel out of members
-        .withColumn("before", F.lag("name").over(by_word.orderBy("name"))).where("before IS NULL OR before < name").drop("before")
-        .withColumns(
-            {
-                "centre": F.min("name").over(by_word), "last": F.max("name").over(by_word),
-                "members": F.bit_xor(F.xxhash64("name")).over(by_word), "rows": F.count("*").over(by_word),
-            }
-        )
-        .where("centre < last").select("word", "name", "centre", "members", "rows"),
-        "groups",
+    described = keep(wide.select("doc_id", "name", "n"), "described")
+    met = keep(_met(wide), "met")
+    about = (
+        wide.where("n > 0").groupBy("name")
+        .agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.max_by(c, F.size("sketch")).alias(c) for c in ("sketch", "fine")))
     )
-    # of the words that the same sets share, one is enough
-    one = groups.where("name = centre").groupBy("members", "rows", "centre").agg(F.min("word").alias("word"))
-    met = keep(groups.join(one.select("word"), "word", "left_semi").select("word", "name", "centre").distinct(), "met")
-    forget(wide, groups)
-    release(docs.sparkSession)
-    some = described.where("n > 0")
-    first_doc = some.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    sketched = keep(some.where("size(sketch) > 0").join(met.select("name").distinct(), "name").select("name", "n", "sketch").dropDuplicates(["name"]), "sketched")
-    stars = keep(
-        _close(met.where("name != centre").select(F.col("centre").alias("a"), F.col("name").alias("b")).distinct(), sketched), "stars"
-    )
-    links = _verify(stars, docs, first_doc, fines)
+    rows = keep(met.select("word", "centre", "name").join(about, "name"), "rows")
+    forget(wide, met)
+    release(spark)
+    stars = keep(_stars(rows), "stars")
+    links = _verify(stars, docs)
+    roots = components(links, "a", "b")
+    forget(stars)
     for forest in (True, False):
-        close = keep(_cross(met.select("word", "name"), links, sketched, forest), "close")
-        links = keep(links.unionByName(_verify(close, docs, first_doc, fines)), "linked")
+        close = keep(_cross(rows, roots, forest), "close")
+        if close.isEmpty():  # a spanning forest of no pairs: there are none
+            forget(close)
+            break
+        found = _verify(close, docs)
         forget(close)
-    forget(met, stars, sketched, fines)
-    return described.select("doc_id", "name", "n"), links
+        links, before = links.unionByName(found), roots
+        roots = components(found.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+        forget(before)
+    forget(rows)
+    return described, links, roots
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -425,17 +479,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     with a null doc_id has its size and a null component.  Columns other than doc_id and
     text are ignored.  An empty table gives no rows.
     """
-    described, links = similar_sets(docs)
-    roots = components(links, "a", "b").withColumnRenamed("node", "name")
-    first = described.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
-    named = first.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    ids = named.select("name", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    out = described.join(ids.select("name", "component_id"), "name", "left")
-    out = out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    described, _, roots = similar_sets(docs)
+    some = described.where("n > 0").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    ids = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = some.join(ids, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    none = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     unnamed = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return out.unionByName(unnamed.mapInArrow(_sizes, "doc_id long, n_shingles long").withColumn("component_id", F.lit(None).cast("long")))
+    unnamed = unnamed.mapInArrow(_sizes, "doc_id long, n_shingles long").withColumn("component_id", F.lit(None).cast("long"))
+    return out.unionByName(none).unionByName(unnamed)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
