@@ -1,19 +1,22 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-log P(word | context) = log P(class | context) + log P(word | class).  The class
-distribution is a softmax over CLASSES scores; a score is the sum of weights of
-hashed features of the context: the last word, the last two words, and the words
-two and three places back (skip features).  Inside a class a word has its smoothed
-share of the class's training tokens.  The most frequent words have classes of
-their own; all others, unknown ones too, are classed by a hash of their last two
-bytes.
-
-Weights are trained by distributed gradient updates: every task runs minibatch
-gradient descent from the common weights over all its training documents, and the
-changes are averaged over the tasks, weighted by their tokens, in two levels.
+log P(word | context) = log P(class | context) + log P(word | class, context), a softmax
+each.  Classes are the end of a text and hashes of a word's last two bytes.  Inside a
+class the most frequent words have a slot each; slot 0 holds all others, unknown ones
+too, which share it by their smoothed counts.  Both scores are the log prior and the
+weights of hashed features of the context: the last word, the last two words, and the
+words two and three places back (skip features); inside a class the features are hashed
+together with the class.
+
+Training is by whole-batch gradient rounds.  In each, all tasks sum over all training
+documents what was observed of every feature and outcome, or what the model expects,
+and a weight moves by RATE times the log of their smoothed ratio, a step in the
+gradient's direction (observed less expected).  Sums don't depend on how the documents
+are dealt to tasks, so neither does the model, up to rounding.  The number of hashed rows grows with the training
+tokens up to ROWS, which bounds what a task adds to the shuffle (8 MB a round).
 
 Counts are over all training documents.  The counts of the most frequent words (at
-most HEAD) are broadcast, 12 MB at most; tokens of all other words are joined with
+most HEAD) are broadcast, 20 MB at most; tokens of all other words are joined with
 the full count table, so nothing depends on the size of the vocabulary.
 """
 
@@ -26,23 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep
-from .textkit import SPACED, Words, chunks, mix
+from .tables import forget, keep
+from .textkit import SPACED, Lookup, Words, chunks, mix
 
-CLASSES, SINGLE = 32, 7  # classes; frequent words with a class of their own (class 0: end of text)
-ROWS = 1 << 15  # hashed feature rows
+CLASSES, SLOTS = 32, 32  # class 0: the end of a text; slot 0: all words of a class without a slot of their own
+ROWS = 1 << 15  # most hashed feature rows of each factor
 HEAD = 1 << 20  # most words with broadcast counts
-STEP, MINIBATCH, ROUNDS = 0.12, 4096, 2
-PIECES, FAN = 64, 64  # pieces of the weights, and groups of tasks, when changes are summed
+RATES, SMOOTH = (0.5, 0.35), 4.0  # one rate a round
+TOGETHER = 32_768  # tokens scored at once
+PIECES, FAN = 64, 64  # pieces of the sums, and groups of tasks, when they are added up
 _END = np.uint64(0x5851F42D4C957F2D)
-_FEATURES = 5
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_FEATURES = 4
 
 
 def suffix_class(words: Words) -> np.ndarray:
     last = words.data[words.end - 1].astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
     long = words.end - words.start > 1
     before = np.where(long, words.data[np.maximum(words.end - 2, 0)], 0).astype(np.uint64) if len(words) else last
-    return (1 + SINGLE + mix(last * np.uint64(256) + before) % np.uint64(CLASSES - 1 - SINGLE)).astype(np.int64)
+    return (1 + mix(last * np.uint64(256) + before) % np.uint64(CLASSES - 1)).astype(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,48 +63,39 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-class Lookup:
-    """Position of 64-bit keys in a sorted array, or -1; a table over the leading bits saves the binary search."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.bits = max(1, min(20, len(keys).bit_length()))
-        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        if not len(self.keys):
-            return out
-        at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
-        open_ = np.arange(len(h))
-        while len(open_):
-            here = at[open_]
-            inside = here < len(self.keys)
-            open_, here = open_[inside], here[inside]
-            found = self.keys[here]
-            same = found == h[open_]
-            out[open_[same]] = here[same]
-            more = found < h[open_]
-            open_ = open_[more]
-            at[open_] += 1
-        return out
-
-
 class Model:
     """What scoring needs: all of bounded size."""
 
-    def __init__(self, keys, counts, singles, class_tokens, class_words, tokens, words):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, kinds: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, ends: int):
+        """Head words with counts and classes; tokens and distinct words of each class over all words; the number of ends."""
         order = np.argsort(keys)
-        self.lookup = Lookup(keys[order])
-        self.counts = counts[order]
-        self.singles = singles  # hashes of the words with a class of their own
-        self.norm = np.log10(class_tokens + class_words + 1.0)
-        self.tokens, self.words = tokens, words
-        self.base_norm = np.log10(tokens + words + 1.0)
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
-
-    def stream(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, classes and documents of all tokens, an end after each document's words; feature rows of each."""
+        keys, counts, kinds = keys[order], counts[order], kinds[order]
+        self.lookup, self.counts, self.ends = Lookup(keys), counts, ends
+        self.tokens, self.words = int(class_tokens.sum()) + ends, int(class_words.sum()) + bool(ends)
+        self.base_norm = np.log10(self.tokens + self.words + 1.0)
+        # the words of most counts of each class have slots 1 and on
+        by_count = np.lexsort((keys, -counts, kinds))
+        place = np.arange(len(keys)) - np.searchsorted(kinds[by_count], kinds[by_count])
+        chosen = by_count[place < SLOTS - 1]
+        slot = place[place < SLOTS - 1] + 1
+        again = np.argsort(keys[chosen])
+        chosen, slot = chosen[again], slot[again]
+        self.own, self.slot = Lookup(keys[chosen]), slot
+        shares = np.zeros((SLOTS, CLASSES))
+        shares[slot, kinds[chosen]] = counts[chosen]
+        rest_tokens, rest_words = class_tokens - shares.sum(0), class_words - (shares > 0).sum(0)
+        shares[0] = rest_tokens + rest_words + 1.0
+        self.norm = np.log10(shares[0])
+        whole = class_tokens + 1.0
+        whole[0] = ends + 1.0
+        with np.errstate(divide="ignore"):
+            self.class_prior = np.log(whole / whole.sum()).astype(np.float32)
+            self.slot_prior = np.log(shares / shares.sum(0)).astype(np.float32)
+        self.rows = min(ROWS, max(1 << 10, 1 << max(0, self.tokens.bit_length() - 9)))
+        self.weights = np.zeros((2, CLASSES, self.rows), np.float32)
+
+    def stream(self, column: pa.Array):
+        """Hashes, classes, slots and documents of all tokens, an end after each document's words; feature rows of both factors."""
         words = Words(column, SPACED)
         docs = len(words.first) - 1
         place = np.arange(len(words)) + words.doc
@@ -108,93 +104,96 @@ class Model:
         h[place] = words.hash
         cls = np.zeros(total, np.int64)
         cls[place] = suffix_class(words)
-        for k, s in enumerate(self.singles):
-            cls[h == s] = 1 + k
+        slot = np.zeros(total, np.int64)
+        at = self.own(words.hash)
+        slot[place] = np.where(at >= 0, self.slot[np.maximum(at, 0)], 0) if len(self.slot) else 0
         doc = np.repeat(np.arange(docs), np.diff(words.first) + 1)
         before = np.concatenate([np.full(3, _END), h])  # a document's start looks like an end before it
         w1, w2, w3 = before[2:-1], before[1:-2], before[:-3]
         back = np.arange(total) - (words.first[:-1] + np.arange(docs))[doc]
         w2 = np.where(back < 2, _END, w2)
         w3 = np.where(back < 3, _END, w3)
-        rows = np.empty((total, _FEATURES), np.int64)
-        m = np.uint64(ROWS - 1)
-        rows[:, 0] = 0
-        rows[:, 1] = (w1 >> np.uint64(7)) & m
-        rows[:, 2] = (w2 >> np.uint64(23)) & m
-        rows[:, 3] = (w3 >> np.uint64(39)) & m
-        rows[:, 4] = ((w1 * np.uint64(3) + w2 * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & m
-        return h, cls, doc, rows
-
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        s = self.weights[rows[:, 0]]
+        m, inner = np.uint64(self.rows - 1), self.rows // CLASSES
+        seen = (w1, w2 * np.uint64(5), w3 * np.uint64(7), w1 * np.uint64(3) + w2 * _GOLD)
+        by_class = np.stack([((x * _GOLD >> np.uint64(40)) & m).astype(np.int64) for x in seen])
+        by_slot = np.stack([((x * _GOLD >> np.uint64(24)) % np.uint64(inner)).astype(np.int64) + cls * inner for x in seen])  # a row is of one class
+        return h, cls, slot, doc, (by_class, by_slot)
+
+    def scores(self, factor: int, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """(outcomes, tokens): log prior and weights."""
+        w = self.weights[factor]
+        s = np.take(w, rows[0], axis=1)
         for k in range(1, _FEATURES):
-            s += self.weights[rows[:, k]]
+            s += np.take(w, rows[k], axis=1)
+        s += self.slot_prior[:, cls] if factor else self.class_prior[:, None]
+        s -= s.max(0)
         return s
 
-    def train(self, cls: np.ndarray, rows: np.ndarray) -> None:
-        for a in range(0, len(cls), MINIBATCH):
-            r, c = rows[a : a + MINIBATCH], cls[a : a + MINIBATCH]
-            p = self.scores(r)
-            p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(c)), c] -= 1
-            flat = r[:, 1:].ravel()
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            total = np.add.reduceat(p[order // (_FEATURES - 1)], first, axis=0)
-            met = np.diff(np.concatenate([first, [len(flat)]])).astype(np.float32)
-            # rows met often in a minibatch take a mean step, rare ones a full one
-            self.weights[flat[first]] -= STEP * total / np.sqrt(met)[:, None]
-            self.weights[0] -= STEP * p.mean(0)
-
-    def log_class(self, cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        out = np.empty(len(cls))
-        for a in range(0, len(cls), MINIBATCH):
-            s = self.scores(rows[a : a + MINIBATCH])
-            s -= s.max(1, keepdims=True)
-            right = s[np.arange(len(s)), cls[a : a + MINIBATCH]]
-            out[a : a + MINIBATCH] = (right - np.log(np.exp(s).sum(1))) / np.log(10)
+    def log_probability(self, factor: int, outcome: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Log10 probability of each token's outcome under one factor."""
+        out = np.empty(len(outcome))
+        for a in range(0, len(outcome), TOGETHER):
+            s = self.scores(factor, rows[:, a : a + TOGETHER], cls[a : a + TOGETHER])
+            right = s[outcome[a : a + TOGETHER], np.arange(s.shape[1])]
+            out[a : a + TOGETHER] = (right - np.log(np.exp(s, out=s).sum(0))) / np.log(10)
         return out
 
-
-def _trained(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    def observe(self, sums: np.ndarray, factor: int, outcome: np.ndarray, rows: np.ndarray) -> None:
+        for k in range(_FEATURES):
+            sums[factor] += np.bincount(outcome * self.rows + rows[k], minlength=CLASSES * self.rows).reshape(CLASSES, -1)
+
+    def expect(self, sums: np.ndarray, factor: int, rows: np.ndarray, cls: np.ndarray) -> None:
+        for a in range(0, len(cls), TOGETHER):
+            r = rows[:, a : a + TOGETHER]
+            p = np.exp(self.scores(factor, r, cls[a : a + TOGETHER]))
+            p /= p.sum(0)
+            for k in range(_FEATURES):
+                for outcome in range(CLASSES):
+                    sums[factor, outcome] += np.bincount(r[k], p[outcome], self.rows)
+
+    def prior_of_rows(self) -> np.ndarray:
+        """Prior probability of each outcome in each row of both factors."""
+        inner = self.rows // CLASSES
+        return np.stack([np.repeat(np.exp(self.class_prior)[:, None], self.rows, 1), np.repeat(np.exp(self.slot_prior), inner, 1)])
+
+    def move(self, observed: np.ndarray, expected: np.ndarray, rate: float) -> None:
+        weight = SMOOTH * self.prior_of_rows()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.log((observed + weight) / (expected + weight))
+        self.weights = self.weights + (rate * np.where(weight > 0, step, 0)).astype(np.float32)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], model, expected: bool) -> Iterator[pa.RecordBatch]:
+    """A task's sums over its documents, in pieces."""
     from pyspark import TaskContext
 
-    start = model.value
-    own = start.__class__.__new__(start.__class__)
-    own.__dict__.update(start.__dict__, weights=start.weights.copy())
-    n = 0
+    m, met = model.value, False
+    sums = np.zeros((2, CLASSES, m.rows))
     for batch in chunks(batches):
-        _, cls, _, rows = own.stream(batch.column("text"))
-        own.train(cls, rows)
-        n += len(cls)
-    if n:
-        change = ((own.weights - start.weights) * np.float32(n)).reshape(PIECES, -1)
+        _, cls, slot, _, rows = m.stream(batch.column("text"))
+        met = met or len(cls) > 0
+        for factor, outcome in enumerate((cls, slot)):
+            if expected:
+                m.expect(sums, factor, rows[factor], cls)
+            else:
+                m.observe(sums, factor, outcome, rows[factor])
+    if met:
+        parts = sums.astype(np.float32).reshape(PIECES, -1)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(PIECES), pa.int32()), pa.array([TaskContext.get().partitionId() % FAN] * PIECES, pa.int32()),
-                pa.array([n] * PIECES, pa.int64()), pa.array([x.tobytes() for x in change], pa.binary()),
-            ],
-            names=["piece", "fan", "n", "change"],
-        )
+            [pa.array(range(PIECES), pa.int32()), pa.array([TaskContext.get().partitionId() % FAN] * PIECES, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())],
+            names=["piece", "fan", "sums"],
+        )
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in group["change"])
-    return pa.table(
-        {
-            "piece": group["piece"][:1], "fan": group["fan"][:1],
-            "n": pa.array([sum(group["n"].to_pylist())], pa.int64()), "change": pa.array([total.astype(np.float32).tobytes()], pa.binary()),
-        }
-    )
+def _added(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in group["sums"])
+    return pa.table({"piece": group["piece"][:1], "fan": group["fan"][:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m = model.value
     for batch in chunks(batches):
-        h, cls, doc, rows = m.stream(batch.column("text"))
+        h, cls, slot, doc, rows = m.stream(batch.column("text"))
         docs = batch.num_rows
         at = m.lookup(h)
         end = h == _END
@@ -203,7 +202,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
         c[end] = m.ends
         log_count = np.where(head, np.log10(c + 1.0), 0)
         n = np.bincount(doc, minlength=docs)
-        factored = m.log_class(cls, rows) - m.norm[cls] + log_count
+        rest = (slot == 0) & ~end
+        factored = m.log_probability(0, cls, rows[0], cls) + np.where(end, 0, m.log_probability(1, slot, rows[1], cls)) + np.where(rest, log_count - m.norm[cls], 0)
         tail = np.flatnonzero(~head)
         # one entry for each document and word
         order = tail[np.lexsort((h[tail], doc[tail]))]
@@ -231,9 +231,22 @@ def prepare(docs: DataFrame, held_out: str) -> DataFrame:
     )
 
 
+def _gathered(train: DataFrame, model: Model, expected: bool) -> np.ndarray | None:
+    """What all training documents sum to; of a fixed size, one row a piece."""
+    sent = train.sparkSession.sparkContext.broadcast(model)
+    got = (
+        train.select("text").mapInArrow(lambda it: _sums(it, sent, expected), "piece int, fan int, sums binary")
+        .groupBy("piece", "fan").applyInArrow(_added, "piece int, fan int, sums binary")
+        .groupBy("piece").applyInArrow(_added, "piece int, fan int, sums binary").collect()
+    )
+    sent.unpersist()
+    if not got:
+        return None
+    return np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(got, key=lambda r: r["piece"])]).reshape(2, CLASSES, -1).astype(np.float64)
+
+
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     """A model of the texts in column `text`, and the kept table of all its word counts (word, kind, n)."""
-    sc = train.sparkSession.sparkContext
     counts = keep(
         train.select("text").mapInArrow(_counted, "word long, kind int, n long")
         .groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n")),
@@ -249,31 +262,17 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
         if size > HEAD:
             break
         least = r["level"]
-    head = (counts.where(level >= least) if least is not None else counts.limit(0)).select("word", "n").toArrow()
-    keys, n = head["word"].to_numpy().view(np.uint64), head["n"].to_numpy()
-    top = np.lexsort((keys, -n))[:SINGLE]
+    head = (counts.where(level >= least) if least is not None else counts.limit(0)).toArrow()
     by_class = np.zeros((2, CLASSES))
-    for r in counts.where(~F.col("word").isin(keys[top].view(np.int64).tolist())).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+    for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # one row a class
         by_class[:, r["kind"]] = r["n"], r["v"]
-    for k, i in enumerate(top):
-        by_class[:, 1 + k] = n[i], 1
-    by_class[:, 0] = ends, bool(ends)
-    model = Model(keys, n, keys[top], by_class[0], by_class[1], int(by_class[0].sum()), int(by_class[1].sum()))
-    model.ends = ends
-    for k in range(ROUNDS):
-        start = sc.broadcast(model)
-        part = train.where(F.pmod(F.hash("text"), F.lit(ROUNDS)) == k).select("text")
-        got = (
-            part.mapInArrow(lambda it, start=start: _trained(it, start), "piece int, fan int, n long, change binary")
-            .groupBy("piece", "fan").applyInArrow(_summed, "piece int, fan int, n long, change binary")
-            .groupBy("piece").applyInArrow(_summed, "piece int, fan int, n long, change binary").collect()
-        )
-        if got:
-            change = np.zeros((PIECES, ROWS * CLASSES // PIECES), np.float32)
-            for r in got:
-                change[r["piece"]] = np.frombuffer(r["change"], np.float32) / r["n"]
-            model.weights = model.weights + change.reshape(ROWS, CLASSES)
-        start.unpersist()
+    model = Model(head["word"].to_numpy().view(np.uint64), head["n"].to_numpy(), head["kind"].to_numpy(), *by_class, ends)
+    observed = _gathered(train, model, False)
+    if observed is not None:
+        # before any weight is learnt the model expects every outcome by its prior
+        expected = model.prior_of_rows() * observed.sum(1, keepdims=True)
+        for k, rate in enumerate(RATES):
+            model.move(observed, expected if k == 0 else _gathered(train, model, True), rate)
     return model, counts
 
 
@@ -282,7 +281,8 @@ def maxent_scores(docs: DataFrame, held_out: str = "coalesce(crc32(cast(doc_id A
 
     docs: doc_id, text; other columns are ignored.  A null text is empty: its only
     token is the end.  The model learns from rows where `held_out` (SQL) is false.
-    Repeated rows are scored each and learnt from each.  Without training rows all
+    Repeated rows are scored each and learnt from each; of words with equal counts those
+    of least hash get a slot.  Without training rows all
     words are unknown.  Result: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score; an empty table gives no rows.
     """
@@ -299,10 +299,12 @@ def maxent_scores(docs: DataFrame, held_out: str = "coalesce(crc32(cast(doc_id A
         "scored",
     )
     tail = scored.where("size(tail) > 0").select("row", F.explode(F.arrays_zip("tail", "times")).alias("t"))
-    rest = (
+    rest = keep(
         tail.select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times")).join(counts.select("word", "n"), "word")
-        .groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("part"))
+        .groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("part")),
+        "tail",
     )
+    forget(counts)
     part = F.coalesce("part", F.lit(0.0))
     return scored.join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
