@@ -2,8 +2,10 @@
 
 A page is cut into leaf blocks, each with the path of open elements above it.  A
 bidirectional LSTM in numpy reads one vector a block (hashed tag path with classes and
-ids, hashed words, shape) in page order, so every block is labelled in the context of
-the whole page; blocks labelled as main text are joined.
+ids, the hashed words of the whole block, shape) in page order, so every block is labelled in the context of
+the whole page; blocks labelled as main text are joined.  Pages of like length are read
+side by side; what is held at once is CELLS block vectors, so a longer page is read in
+tiles whose states are carried on.
 
 The network is trained here, on made pages of many layouts whose labels are known:
 articles in several kinds of containers among menus, headers, footers, side bars,
@@ -24,29 +26,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import chunks
+from .textkit import SPACED, Words, chunks
 
 #: fixed values: HTML element kinds
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|math"
+RAW = frozenset("script style iframe textarea".split())  # their content is no markup
+INERT = frozenset("svg math noscript template object canvas".split())  # text inside is not shown
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div article section main aside nav header footer ul ol table blockquote form td th".split())
+#: fixed values: HTML elements that end foreign content when they open in it
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+) | SCOPES
 
 _TOKEN = re.compile(
-    rf"(?P<comment><!--.*?(?:-->|\Z)|<[!?][^>]*>)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"(?P<comment><!--.*?(?:-->|\Z)|<[!?][^>]*>)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*+)>""",
-    re.DOTALL | re.IGNORECASE,
+    re.DOTALL,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
-_DIGIT = re.compile(r"[0-9]")
+DEEPEST = 512  # elements deeper than this count as their parents' children
 
 PATHS, WORDS, SHAPES = 192, 48, 10
 INPUT, HIDDEN = PATHS + WORDS + SHAPES, 20
 PAGES, EPOCHS, TOGETHER = 600, 6, 128  # made pages to train on, passes, pages labelled side by side
+CELLS = 16_384  # block vectors held at once (16 MB)
 STEP, CLIP = 0.01, 5.0
 
 
@@ -57,66 +66,112 @@ class Block:
     linked: int  # characters inside links
 
 
+@dataclass
+class _Open:
+    name: str
+    extra: tuple[str, ...]
+    links: int  # open links up to here
+    inert: int  # open inert elements up to here
+
+
 @dataclass
 class _Parser:
-    stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    stack: list[_Open] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
+    paths: dict[tuple[str, ...], tuple[str, ...]] = field(default_factory=dict)  # equal paths share one object
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(t for t, _ in self.parts).split())
             if text:
-                path = tuple(x for name, extra in self.stack if name not in INLINE for x in (name, *extra))
-                self.blocks.append(Block(path, text, sum(len(t) for t, linked in self.parts if linked)))
+                path = tuple(x for e in self.stack if e.name not in INLINE for x in (e.name, *e.extra))
+                self.blocks.append(Block(self.paths.setdefault(path, path), text, sum(len(t) for t, linked in self.parts if linked)))
             self.parts = []
 
     def text(self, raw: str) -> None:
-        if raw:
-            self.parts.append((unescape(raw), any(name == "a" for name, _ in self.stack)))
+        if raw and not (self.stack and self.stack[-1].inert):
+            self.parts.append((unescape(raw), bool(self.stack and self.stack[-1].links)))
 
     def open(self, name: str, attributes: str) -> None:
+        if name in BREAKS_OUT and self.stack and self.stack[-1].inert:
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k].name in FOREIGN:
+                    del self.stack[k:]
+                    break
+                if self.stack[k].name in ("foreignobject", "template", "object"):
+                    break
         if name == "br":
             self.parts.append((" ", False))
         if name not in INLINE:
             self.flush()
             closes = CLOSES.get(name, {"p"} if name not in VOID else set())
             for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in closes:
+                if self.stack[k].name in closes:
                     del self.stack[k:]
                     break
-                if self.stack[k][0] in SCOPES:
+                if self.stack[k].name in SCOPES:
                     break
-        if name not in VOID and not attributes.endswith("/"):
+        inert = self.stack[-1].inert if self.stack else 0
+        closed = attributes.endswith("/") and (name in INERT or inert > 0)  # elsewhere the mark means nothing
+        if name not in VOID and not closed and len(self.stack) < DEEPEST:
             extra = []
             if "=" in attributes:
                 for m in _NAMED.finditer(attributes):
                     extra += [f".{w}" for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())]
-            self.stack.append((name, tuple(extra)))
+            links = self.stack[-1].links if self.stack else 0
+            self.stack.append(_Open(name, tuple(extra), links + (name == "a"), inert + (name in INERT)))
 
     def close(self, name: str) -> None:
         if name not in INLINE:
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
+            if self.stack[k].name == name:
                 del self.stack[k:]
                 break
-            if name in INLINE and self.stack[k][0] not in INLINE:
+            if name in INLINE and self.stack[k].name not in INLINE:
                 break
 
 
+@functools.cache
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.IGNORECASE)
+
+
 def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page in order; comments, scripts and the like are not text."""
+    """The text blocks of a page in order; comments, scripts and the like are not text.
+
+    Scripts and styles go on to their end tag or the page's end.  Other elements whose
+    content is not shown end at once if they are self-closed, and are only left out
+    themselves if no end tag follows.  An empty page has no blocks; equal blocks stay.
+    """
     parser, at = _Parser(), 0
-    for m in _TOKEN.finditer(html):
+    ends: dict[str, tuple[int, int]] = {}  # the next end tag of an element, found before
+
+    def ending(name: str, start: int) -> tuple[int, int] | None:
+        if name not in ends or 0 <= ends[name][0] < start:
+            m = _end_tag(name).search(html, start)
+            ends[name] = m.span() if m else (-1, -1)
+        return ends[name] if ends[name][0] >= 0 else None
+
+    while m := _TOKEN.search(html, at):
         parser.text(html[at : m.start()])
         at = m.end()
-        if m["name"]:
-            name = m["name"].lower()
-            if m["end"]:
-                parser.close(name)
-            else:
-                parser.open(name, m["attributes"])
+        if not m["name"]:
+            continue
+        name, attributes = m["name"].lower(), m["attributes"]
+        if m["end"]:
+            parser.close(name)
+        elif name in RAW:
+            if name not in ("script", "style") and attributes.endswith("/"):
+                continue
+            end = ending(name, at)
+            if end:
+                at = end[1]
+            elif name in ("script", "style"):
+                at = len(html)
+        elif name not in INERT or attributes.endswith("/") or ending(name, at):
+            parser.open(name, attributes)
     parser.text(html[at:])
     parser.flush()
     return parser.blocks
@@ -137,29 +192,33 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return row
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One input row a block; words and shape are those of its first 400 characters, its length that of the whole."""
-    x = np.zeros((len(blocks), INPUT), np.float32)
+def vectors(blocks: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+    """One input row a block, made of the whole block; `first` and `of` place the blocks in their page."""
+    of = len(blocks) if of is None else of
+    n = len(blocks)
+    x = np.zeros((n, INPUT), np.float32)
+    if not n:
+        return x
     x[:, :PATHS] = [_path_vector(b.path) for b in blocks]
-    buckets, many, shapes, last = [], [], [], len(blocks) - 1
-    for k, b in enumerate(blocks):
-        head = b.text[:400].lower()
-        words = head.split()
-        buckets += [_bucket(w, WORDS) for w in words[:24]]
-        many.append(min(24, len(words)))
-        n = len(b.text)
-        shapes.append(
-            (
-                n, len(words), min(1.0, b.linked / n), head.count(",") / 8, head.count(".") / 8, len(_DIGIT.findall(head)) / len(head),
-                "©" in head, k / len(blocks), k == 0, k == last,
-            )
-        )
-    owner = np.repeat(np.arange(len(blocks)), many)
-    counts = np.bincount(owner * WORDS + np.array(buckets), minlength=len(blocks) * WORDS).reshape(-1, WORDS)
-    x[:, PATHS : PATHS + WORDS] = counts / np.array(many)[:, None]
-    shape = np.array(shapes, np.float64)
-    shape[:, :2] = np.log1p(shape[:, :2]) / (8, 4)
-    x[:, PATHS + WORDS :] = shape
+    words = Words(pa.array([b.text for b in blocks], pa.string()), SPACED)
+    many = np.diff(words.first)
+    counts = np.bincount(words.doc * WORDS + (words.hash % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(-1, WORDS)
+    x[:, PATHS : PATHS + WORDS] = counts / np.maximum(many, 1)[:, None]
+    size = np.array([len(b.text) for b in blocks])
+    marks = np.zeros((4, len(words.data) + 1))
+    for k, mark in enumerate((b",", b".")):
+        np.cumsum(words.data == mark[0], out=marks[k, 1:])
+    np.cumsum((words.data >= 0x30) & (words.data < 0x3A), out=marks[2, 1:])
+    sign = words.data == 0xA9  # the copyright sign's second byte
+    sign[1:] &= words.data[:-1] == 0xC2
+    np.cumsum(sign, out=marks[3, 1:])
+    commas, stops, digits, signs = marks[:, words.at[1:]] - marks[:, words.at[:-1]]
+    place = np.arange(first, first + n)
+    shape = [
+        np.log1p(size) / 8, np.log1p(many) / 4, np.minimum(1.0, np.array([b.linked for b in blocks]) / size), np.log1p(commas) / 3, np.log1p(stops) / 3, digits / size,
+        signs > 0, place / of, place == 0, place == of - 1,
+    ]
+    x[:, PATHS + WORDS :] = np.stack(shape, 1)
     return x
 
 
@@ -174,12 +233,12 @@ class Labeller:
             self.p[f"h{d}"] = rng.normal(0, 0.15, (HIDDEN, 4 * HIDDEN))
             self.p[f"s{d}"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])  # forget gates start open
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, kept: list | None) -> np.ndarray:
-        """Hidden states (time, pages, HIDDEN) of one direction; x (time, pages, INPUT)."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, kept: list | None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Hidden states (time, pages, HIDDEN) of one direction, and the last state; x (time, pages, INPUT)."""
         steps, pages = mask.shape
         kind = self.p["o"].dtype
         z = (x.reshape(-1, INPUT) @ self.p[f"x{d}"]).reshape(steps, pages, -1) + self.p[f"s{d}"]
-        h, c = np.zeros((pages, HIDDEN), kind), np.zeros((pages, HIDDEN), kind)
+        h, c = state or (np.zeros((pages, HIDDEN), kind), np.zeros((pages, HIDDEN), kind))
         out = np.zeros((steps, pages, HIDDEN), kind)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a = z[t] + h @ self.p[f"h{d}"]
@@ -192,15 +251,30 @@ class Labeller:
             c = np.where(on, new, c)
             h = np.where(on, o * np.tanh(new), h)
             out[t] = h
-        return out
+        return out, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d, None) for d in "fb"], 2)
+        both = np.concatenate([self._run(x, mask, d, None)[0] for d in "fb"], 2)
         return both @ self.p["o"] + self.p["c"][0]
 
+    def tiled(self, pages: list[list[Block]], tile: int) -> np.ndarray:
+        """As `logits`, (blocks, pages), with the vectors of `tile` blocks a page held at once."""
+        steps = max(map(len, pages))
+        z = np.full((steps, len(pages)), self.p["c"][0], np.float64)
+        made = None
+        for k, d in enumerate("fb"):
+            state = None
+            places = range(0, steps, tile)
+            for a in places if d == "f" else reversed(places):
+                if made is None or len(places) > 1:
+                    made = padded([vectors(p[a : a + tile], a, len(p)) for p in pages])
+                h, state = self._run(*made, d, None, state)
+                z[a : a + len(h)] += h @ self.p["o"][k * HIDDEN : (k + 1) * HIDDEN]
+        return z
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         kept: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._run(x, mask, d, kept[d]) for d in "fb"], 2)
+        both = np.concatenate([self._run(x, mask, d, kept[d])[0] for d in "fb"], 2)
         z = both @ self.p["o"] + self.p["c"][0]
         d_z = np.where(mask, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0) / mask.sum()
         g = {"o": np.einsum("tp,tph->h", d_z, both), "c": np.array([d_z.sum()])}
@@ -245,16 +319,21 @@ class Labeller:
         """Whether each block of each page is main text."""
         out = [np.zeros(len(p), bool) for p in pages]
         order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
-        for a in range(0, len(order), TOGETHER):
-            some = order[a : a + TOGETHER]
-            x, mask = padded([vectors(pages[k]) for k in some])
-            z = self.logits(x, mask)
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and b - a < TOGETHER and (b + 1 - a) * len(pages[order[b]]) <= CELLS:
+                b += 1
+            some = order[a:b]
+            z = self.tiled([pages[k] for k in some], max(1, CELLS // len(some)))
             for col, k in enumerate(some):
                 out[k] = z[: len(pages[k]), col] > 0
+            a = b
         return out
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (blocks, pages, INPUT) and which of them are there."""
     steps = max(map(len, pages))
     x, mask = np.zeros((steps, len(pages), INPUT), np.float32), np.zeros((steps, len(pages)), bool)
     for k, p in enumerate(pages):
