@@ -13,11 +13,17 @@ item's length in word edits (insertions, deletions, substitutions).
    place and moves on or not by a random bit of (t, word).  Word edit distance becomes
    Hamming distance.  Tables of bit-sampling LSH each compare a few positions of the
    embedding; embeddings are repeated until made edits of the items, at the largest
-   distance allowed, are found with RECALL.
+   distance allowed, are found with RECALL, measured on edits that the choice has not
+   seen.  A class that MOST_WALKS embeddings don't bring there is searched without LSH:
+   all its items are verified at every place left.
 3. Candidates are verified: the least edit distance of the item to any run of words
    around the window.
 
-Items are taken in blocks of BLOCK, so that what is sent to the tasks is bounded.
+Items of under LEAST_WORDS words, which an edit would make another question, are found
+where all their words stand in a row, without LSH.
+
+Items are taken in blocks of at most BLOCK items and BLOCK_BYTES bytes (one longer item
+is a block of its own), so that what is sent to the tasks is bounded.
 """
 
 from __future__ import annotations
@@ -31,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .maxent import Lookup
-from .textkit import ALNUM, Words, chunks, mix
+from .textkit import ALNUM, Lookup, Words, chunks, grams, mix
 
 EDITS = 0.2
-LEAST_WORDS = 8  # shorter items are not searched: their words meet by chance
+LEAST_WORDS = 8  # shorter items are searched verbatim
 RECALL = 0.97
 SAMPLED, TABLES, MOST_WALKS = 2, 12, 24  # positions a table compares, tables of an embedding, most embeddings
-BLOCK = 20_000
+BLOCK, BLOCK_BYTES = 20_000, 8 << 20
 RARE = 0.03  # a word of at most this share of the items is rare
 _NOTHING = np.uint64(0xA0761D6478BD642F)  # beyond a window's end
 MATCHES = "array<struct<item_id: long, edits: int, first_word: long, n_words: int>>"
@@ -131,30 +136,33 @@ class Class:
         self.size, self.need = max(lengths), min(n - allowed(n) for n in lengths)
         self.tables = Tables(min(lengths))
         strings = np.stack([cut(x, self.tables.size) for x in items])
-        self.walks = self._walks_for_recall()
-        keys = np.stack([self.tables.keys(strings, s) for s in range(self.walks)])  # walk, item, table
-        flat = keys.transpose(0, 2, 1).reshape(self.walks, -1)
+        self.walks = self._walks_for_recall()  # 0: no LSH
         owner = np.tile(np.arange(len(items)), TABLES)
         self.index = []
-        for k in flat:
+        for walk_ in range(self.walks):
+            k = self.tables.keys(strings, walk_).T.ravel()
             order = np.argsort(k, kind="stable")
             self.index.append((k[order], owner[order]))
 
     def _walks_for_recall(self) -> int:
+        """How many embeddings find RECALL of edits at the largest distance allowed; 0: more than MOST_WALKS."""
         rng = np.random.default_rng(len(self.items))
         asked = [self.items[k] for k in rng.permutation(len(self.items))[:64]]
-        pairs = [(x, edited(x, allowed(len(x)), rng)) for x in asked for _ in range(max(1, 128 // len(asked)))]
+        pairs = [(x, edited(x, allowed(len(x)), rng)) for x in asked for _ in range(max(2, 256 // len(asked)))]
         a = np.stack([cut(x, self.tables.size) for x, _ in pairs])
         b = np.stack([cut(y, self.tables.size) for _, y in pairs])
         found = np.zeros(len(pairs), bool)
+        chosen = np.arange(len(pairs)) % 2 == 0  # the others tell whether the choice holds
         for s in range(MOST_WALKS):
             found |= (self.tables.keys(a, s) == self.tables.keys(b, s)).any(1)
-            if found.mean() >= RECALL:  # one more, as the first to seem enough is often a lucky one
-                return min(s + 2, MOST_WALKS)
-        return MOST_WALKS
+            if found[chosen].mean() >= RECALL and found[~chosen].mean() >= RECALL:
+                return s + 1
+        return 0
 
     def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs that share a table's key, each once."""
+        """(window, item) pairs that share a table's key, each once; without LSH all pairs."""
+        if not self.walks:
+            return np.repeat(np.arange(len(windows)), len(self.items)), np.tile(np.arange(len(self.items)), len(windows))
         pairs = []
         for s, (keys, owner) in enumerate(self.index):
             mine = self.tables.keys(windows, s).ravel()
@@ -173,10 +181,18 @@ class Searcher:
     def __init__(self, ids: list[int], texts: list[str | None]):
         words = Words(pc.utf8_lower(pa.array(texts, pa.string())), ALNUM)
         items: dict[tuple, list[int]] = {}
+        brief: dict[tuple, set[int]] = {}
         for k, i in enumerate(ids):
             w = words.hash[words.first[k] : words.first[k + 1]]
             if len(w) >= LEAST_WORDS:
                 items.setdefault(tuple(w.tolist()), []).append(i)
+            elif len(w):
+                brief.setdefault(tuple(w.tolist()), set()).add(i)
+        # items under LEAST_WORDS words, by their number of words: hashes of the whole, and the ids
+        self.brief = []
+        for n in sorted({len(w) for w in brief}):
+            by_hash = sorted((int(grams(np.array(w, np.uint64), n)[0]), sorted(v)) for w, v in brief.items() if len(w) == n)
+            self.brief.append((n, Lookup(np.array([h for h, _ in by_hash], np.uint64)), [v for _, v in by_hash]))
         self.same = {min(v): sorted(set(v)) for v in items.values()}  # items of equal words are searched once
         ordered = sorted((len(k), min(v), k) for k, v in items.items())
         groups: list[list] = []
@@ -194,7 +210,7 @@ class Searcher:
         where = {w: k for k, w in enumerate(known.tolist())}
         for w, c in pairs:
             self.has[c, where[w]] = True
-        times = np.bincount([where[w] for ws in items for w in set(ws)], minlength=len(known))
+        times = np.bincount(np.array([where[w] for ws in items for w in set(ws)], np.int64), minlength=len(known))
         self.rare = np.append(times <= max(2, RARE * len(items)), False)
         for cls in self.classes:
             cls.need_rare = min(int(self.rare[[where[w] for w in x.tolist()]].sum()) - allowed(len(x)) for x in cls.items)
@@ -204,6 +220,14 @@ class Searcher:
         h, n = words.hash, len(words)
         docs = len(words.first) - 1
         out: list[list[dict]] = [[] for _ in range(docs)]
+        for size, lookup, owners in self.brief:
+            at = lookup(grams(h, size))
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[words.doc[hit] == words.doc[hit + size - 1]]
+            _, first = np.unique(words.doc[hit] * len(owners) + at[hit], return_index=True)  # the first place of each
+            for k in hit[first].tolist():
+                d = int(words.doc[k])
+                out[d] += [{"item_id": i, "edits": 0, "first_word": k - int(words.first[d]), "n_words": size} for i in owners[at[k]]]
         at = self.lookup(h)
         rare = np.flatnonzero(self.rare[at])
         for c, cls in enumerate(self.classes):
@@ -267,8 +291,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row of docs with `matches`: item_id, edits, first_word, n_words of each item it holds, by item_id.
 
     docs: any columns with text (null: empty, no match); a column matches is replaced.
-    benchmark: item_id, text; a null or short text (under LEAST_WORDS words) matches
-    nothing; a null item_id is left out; items of equal words all match.  Words are runs
+    benchmark: item_id, text; a null text, or one without words, matches nothing, one of
+    under LEAST_WORDS words only itself; a null item_id is left out; items of equal words all match.  Words are runs
     of letters, digits and characters beyond ASCII, lower-cased in every script.  Of several runs
     the one with fewest edits is told, the first of equals.  Repeated documents are
     searched each.  An empty benchmark gives empty arrays.
@@ -278,11 +302,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = T.DataType.fromDDL(MATCHES)
     out = docs.select(*columns, F.array().cast(kind).alias("matches"))
     schema = docs.select(*columns).schema.add("matches", kind)
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = -(-items.count() // BLOCK)
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(-(-size[0] // BLOCK), -(-(size[1] or 0) // BLOCK_BYTES))
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about BLOCK rows
-        searcher = spark.sparkContext.broadcast(Searcher([r["item_id"] for r in rows], [r["text"] or "" for r in rows]))
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about BLOCK rows, BLOCK_BYTES bytes
+        searcher = spark.sparkContext.broadcast(Searcher([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
             at = len(columns)
@@ -297,6 +322,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, first_word, n_words), one row a document and item it holds."""
+    """(doc_id, item_id, edits, first_word, n_words), one row a document and item it holds; see `find_items`.
+
+    Documents that hold nothing, and a null or empty text, have no row; a document row that
+    repeats has its rows each time; an empty table gives no rows.
+    """
     found = find_items(docs.select("doc_id", "text"), benchmark)
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
