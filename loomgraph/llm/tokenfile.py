@@ -6,10 +6,11 @@ ranks of whole documents: first the control bytes, two bits a rank for its lengt
 decoded without branches: a 256-entry table gives the four lengths of a control
 byte, their running sum the place of every rank.
 
-The file is a table in the shared folder, so that it is written through Spark's
-committer and survives lost executors: one row a block (part, block, start in its
-part, doc_ids, lengths, payload), blocks of about BLOCK_IDS ids in ascending doc_id
-order.  The rank table is stored beside it.
+A token file is a folder of tables, written through Spark's committer so that it
+survives lost executors: `blocks`, one row a block (part, block, start in its part,
+doc_ids, lengths, payload), of about BLOCK_IDS ids in ascending doc_id order; `ranks`,
+the id of each rank; `parts`, the number of ids before each part; and `about`, the
+tokenizer file's name, the end id and totals.  It is read from these alone.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import zlib
 from array import array
@@ -24,16 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import forget, keep
+from .tables import forget, keep, new_path
 from .textkit import SPACED, Words, chunks, raw
 
 BLOCK_IDS = 1 << 17
 MEMO = 150_000  # words whose ids a task remembers, in each of two generations
 MAGIC = b"LGVB"
+BLOCKS = "part int, block long, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
+MARKS = string.punctuation.encode()
 _SHIFT = np.arange(0, 8, 2)
 #: lengths of the four ranks under each control byte
 LENGTHS = (((np.arange(256)[:, None] >> _SHIFT) & 3) + 1).astype(np.uint8)
@@ -114,7 +118,7 @@ class Encoder:
             spelt = piece if piece.isascii() else piece.translate(self.levels)
             ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             if len(self.pieces) >= 2 * MEMO:
-                self.pieces = {}
+                self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
@@ -132,22 +136,32 @@ class Encoder:
         """All ids, and the n + 1 offsets of the texts."""
         words = Words(column, SPACED)
         text = words.data.tobytes()
+        plain = self.fast
         if b"<|" in text:
-            words = Words(column, SPACED, lower=False)
+            words, plain = Words(column, SPACED, lower=False), False
             text = words.data.tobytes()
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(words.first), np.int64)
         found, first, index = np.unique(words.hash, return_index=True, return_inverse=True)
-        known = []
-        young, old = self.young, self.old
-        for h, a, b in zip(found.tolist(), words.start[first].tolist(), words.end[first].tolist(), strict=True):
-            ids = young.get(h)
+        hashes = found.tolist()
+        young, old, pieces = self.young, self.old, self.pieces
+        known = list(map(young.get, hashes))
+        new = [k for k, ids in enumerate(known) if ids is None]
+        first = first[new]
+        for k, a, b in zip(new, words.start[first].tolist(), words.end[first].tolist(), strict=True):
+            h = hashes[k]
+            ids = old.get(h)
             if ids is None:
-                ids = old.get(h)
-                if ids is None:
-                    ids = self.word(text[a:b].decode())
-                young[h] = ids
-            known.append(ids)
+                word = text[a:b]
+                core = word.rstrip(MARKS) if plain else b""
+                if core.isalpha():  # ASCII letters, lower-cased, and a run of marks: a pre-token each
+                    mark, core = word[len(core) :].decode(), core.decode()
+                    ids = pieces.get(core) or self._piece(core)
+                    if mark:
+                        ids += pieces.get(mark) or self._piece(mark)
+                else:
+                    ids = self.word(word.decode())
+            known[k] = young[h] = ids
         if len(young) > MEMO:
             self.old, self.young = young, {}
         size = np.array([len(x) >> 2 for x in known])
@@ -229,13 +243,15 @@ def _blocks(ranks_of):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, end: int) -> tuple[DataFrame, np.ndarray]:
-    """Encode every text and write the token file; returns its block table and the ids by rank.
+def write_tokens(docs: DataFrame, path: str, end: int, to: str | None = None) -> str:
+    """Encode every text and write the token file; returns its folder, `to` or a new one in the shared folder.
 
     docs: doc_id (integer), text; other columns are ignored.  A null text is empty and has
-    the end id alone; a null doc_id sorts first; repeated doc_ids keep a row each.
+    the end id alone; a null doc_id sorts first; repeated doc_ids keep a row each, in the order
+    of their ids.  An empty table gives a file without blocks.
     """
     spark = docs.sparkSession
+    to = to or new_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = keep(rows.mapInArrow(_tokenised(path, end), "doc_id long, ids binary, width int"), "ids")
     counted = ids.select("ids", "width").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -244,22 +260,30 @@ def write_tokens(docs: DataFrame, path: str, end: int) -> tuple[DataFrame, np.nd
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = keep(
-        ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-        .mapInArrow(_blocks(spark.sparkContext.broadcast(rank_of)), "part int, block long, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"),
-        "tokens",
-    )
+        ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(_blocks(spark.sparkContext.broadcast(rank_of)), BLOCKS), "blocks", f"{to}/blocks"
+    )
     forget(ids)
-    return blocks, by_rank
-
-
-def read_tokens(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """Per document of a token file: doc_id, start, n_tokens, ids_crc32, all from the decoded blocks."""
-    spark = blocks.sparkSession
-    totals = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # one row a part
-    before, rows = 0, []
-    for part, n in totals:
-        rows.append((part, before))
-        before += n
+    before, starts = 0, []
+    for r in sorted(blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["part"]):  # one row a part
+        starts.append((r["part"], before))
+        before += r["n"]
+    spark.createDataFrame(starts, "part int, before long").coalesce(1).write.parquet(f"{to}/parts")
+    ranks = pa.table({"rank": pa.array(np.arange(len(by_rank))), "id": pa.array(by_rank.astype(np.int64))})
+    spark.createDataFrame(ranks).coalesce(1).write.parquet(f"{to}/ranks")
+    spark.createDataFrame([(os.path.basename(path), end, before)], "tokenizer string, end_id long, n_ids long").coalesce(1).write.parquet(f"{to}/about")
+    return to
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Per document of the token file at `path`: doc_id, start, n_tokens, ids_crc32, all from the decoded blocks.
+
+    start counts the ids of all documents before.  A doc_id that repeats, or is null, has
+    a row for each time it was written; a file without blocks gives no rows.
+    """
+    blocks, parts = spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/parts")
+    ranks = spark.read.parquet(f"{path}/ranks").toArrow()
+    by_rank = np.zeros(ranks.num_rows, np.uint32)
+    by_rank[ranks["rank"].to_numpy()] = ranks["id"].to_numpy()
     ids_by_rank = spark.sparkContext.broadcast(by_rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +302,6 @@ def read_tokens(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
                     names=["part", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    parts = spark.createDataFrame(rows, "part int, before long")
     found = blocks.select("part", "start", "doc_ids", "lengths", "payload").mapInArrow(
         run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
     )
