@@ -6,15 +6,24 @@ UNKNOWN below the least score).  Forward Viterbi scores are exact heuristics for
 backward A-star search, which yields segmentations in order of falling score.
 
 A text is cut into parts where no piece can cross: before a run of word marks, and
-around characters that are in no piece.  The lattice of a text is then a chain of
+around characters that are in no piece; a part of more than LONG bytes, such as a text in
+a script without spaces, is cut further where no piece of the vocabulary spans the
+place.  The lattice of a text is then a chain of
 independent ones.  Viterbi and its backward twin run in numpy over all new parts of
 a slice at once, which also gives every part's loss to its second-best segmentation.
 The N best segmentations of a text change only the parts with the N - 1 least losses,
-so A-star runs on those parts alone, and the texts' N best are merged exactly.
+so A-star runs on those parts alone, and the texts' N best are merged exactly.  A part
+of more than LONG bytes that can't be cut (one letter over and over) is searched by
+dynamic programming that keeps the N best at every place, which needs some 50 bytes a
+character, where A-star's queue has no such bound.
+
+Ids are those of highest summed score.  They need not be what the library's byte-pair
+encoder gives, which merges greedily.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
@@ -25,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .maxent import Lookup
-from .textkit import _BYTE, _powers, chunks, mix, raw
+from .textkit import Lookup, chunks, mix, raw, spelt
 
 MARK = "▁"
 UNKNOWN = 10.0  # what a character without a piece costs, below the least score
-MEMO = 100_000  # parts a task remembers in each of two generations
+MEMO_BYTES = 12 << 20  # what a process remembers of parts met before, in each of two generations
+ENTRY = 320  # bytes of a remembered part besides its ids
+LONG, LEAST = 2048, 96  # bytes from which a part is cut further, and least characters of what it is cut into
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,6 +142,56 @@ class Vocabulary:
                 heapq.heappush(queue, (-(best[start] + score + done), start, made, score + done, (own, path)))
         return sorted(found, key=lambda f: (-f[0], f[1]))
 
+    def ranked(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """As `n_best`, for a long part: the n best ways to every place, each told by its last edge and the way before it."""
+        size = len(part)
+        score = np.full((size + 1, n), -np.inf)
+        length, before = np.zeros((size + 1, n), np.int32), np.zeros((size + 1, n), np.int8)
+        score[0, 0] = 0.0
+        for end in range(1, size + 1):
+            ways = [(s + own, end - start, k) for start, own, _ in self.edges(part, end) for k, s in enumerate(score[start].tolist()) if s > -np.inf]
+            for k, (s, edge, way) in enumerate(heapq.nlargest(n, ways)):
+                score[end, k], length[end, k], before[end, k] = s, edge, way
+        found = []
+        for k, s in enumerate(score[size].tolist()):
+            if s > -np.inf:
+                ids, end, way = [], size, k
+                while end:
+                    edge, way, last = int(length[end, way]), int(before[end, way]), end
+                    end = last - edge
+                    own = self.ids.get(part[end:last])
+                    ids.append((own,) if own is not None else tuple(self.spelt(part[end:last])))
+                found.append((s, tuple(i for own in reversed(ids) for i in own)))
+        return found
+
+    def places(self, part: str) -> np.ndarray:
+        """Places, LEAST characters or more apart, that no piece of a part spans."""
+        n = len(part)
+        coded = mix(np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.uint64))
+        spans = np.zeros(n + 1, np.int64)
+        for a in range(0, n, 1 << 16):
+            live = np.arange(a, min(a + (1 << 16), n))
+            h = np.zeros(len(live), np.uint64)
+            for k in range(self.longest):
+                h = h * _BASE + coded[live + k]
+                at = self.lookup(mix(h))
+                known = at >= 0
+                live, h, at = live[known], h[known], at[known]
+                if k:
+                    hit = live[self.by_key[at] >= 0]
+                    np.add.at(spans, hit + 1, 1)
+                    np.add.at(spans, hit + k + 1, -1)
+                inside = live + k + 1 < n
+                live, h = live[inside], h[inside]
+                if not len(live):
+                    break
+        free = np.flatnonzero(np.cumsum(spans[:n]) == 0)
+        out, last = [], 0
+        while len(free) and (k := int(np.searchsorted(free, last + LEAST))) < len(free):
+            last = int(free[k])
+            out.append(last)
+        return np.array(out, np.int64)
+
     # many parts --------------------------------------------------------------------
 
     def solve(self, parts: list[str]) -> list[tuple[bytes, float, float]]:
@@ -215,6 +275,12 @@ class Vocabulary:
             yield own, score, lost
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a model file, made once a process."""
+    return Vocabulary(path)
+
+
 def cut(column: pa.Array, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Parts of texts, found over their bytes: (bytes, starts, ends, whether a text's first, index of each text's first part).
 
@@ -243,37 +309,67 @@ def cut(column: pa.Array, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Segmenter:
-    """N-best segmentations of whole texts; remembers parts met before."""
+    """N-best segmentations of whole texts; remembers parts met before, within MEMO_BYTES a generation."""
 
     def __init__(self, path: str, n: int):
-        self.vocabulary, self.n = Vocabulary(path), n
+        self.vocabulary, self.n = vocabulary(path), n
         self.young: dict[int, tuple[bytes, float, float]] = {}
         self.old: dict[int, tuple[bytes, float, float]] = {}
         self.searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.held = self.held_searched = 0
 
     def _alternatives(self, part: str, solved: tuple[bytes, float, float]) -> list[tuple[float, tuple[int, ...]]]:
         """(loss, ids) of a part's other segmentations, least loss first."""
         found = self.searched.get(part)
         if found is None:
             best = tuple(np.frombuffer(solved[0], np.int32).tolist())
-            ranked = self.vocabulary.n_best(part, self.n)
+            ranked = self.vocabulary.n_best(part, self.n) if len(part) <= LONG else self.vocabulary.ranked(part, self.n)
             found = [(solved[1] - s, ids) for s, ids in ranked if ids != best][: self.n - 1]
-            if len(self.searched) > MEMO:
-                self.searched = {}
+            if self.held_searched > MEMO_BYTES:
+                self.searched, self.held_searched = {}, 0
             self.searched[part] = found
+            self.held_searched += ENTRY + 4 * len(part) + sum(ENTRY + 8 * len(ids) for _, ids in found)
         return found
 
+    def _solved(self, parts: list[str]) -> Iterator[tuple[bytes, float, float]]:
+        """As `Vocabulary.solve`; long parts by the N best of every place."""
+        v = self.vocabulary
+        short = iter(v.solve([p for p in parts if len(p) <= LONG]))
+        for part in parts:
+            if len(part) <= LONG:
+                yield next(short)
+                continue
+            best, *other = v.ranked(part, max(2, self.n))
+            yield np.array(best[1], np.int32).tobytes(), best[0], best[0] - other[0][0] if other else np.inf
+
+    def _cut(self, column: pa.Array):
+        """As `cut`; parts of more than LONG bytes are cut further where no piece can cross."""
+        data, start, end, begins, first_part = cut(column, self.vocabulary.alone)
+        more = []
+        for k in np.flatnonzero(end - start > LONG).tolist():
+            own = data[start[k] : end[k]]
+            chars = np.flatnonzero((own & 0xC0) != 0x80)  # where each character starts
+            lead = int(begins[k])  # the dummy prefix stands before the first one
+            at = self.vocabulary.places((MARK if lead else "") + own.tobytes().decode().replace(" ", MARK)) - lead
+            more += [(k, start[k] + chars[at[at > 0]])]
+        if more:
+            n = np.zeros(len(start), np.int64)
+            n[[k for k, _ in more]] = [len(at) for _, at in more]
+            new = np.concatenate([at for _, at in more])
+            owner = np.repeat([k for k, _ in more], [len(at) for _, at in more])
+            start, begins = np.insert(start, owner + 1, new), np.insert(begins, owner + 1, False)
+            end = np.insert(end, owner, new)
+            first_part = first_part + np.concatenate([[0], np.cumsum(n)])[first_part]
+        return data, start, end, begins, first_part
+
     def run(self, column: pa.Array):
         """(ids of all texts, n + 1 offsets of the texts, and per text its n best).
 
         The n best are (score, [(part number, ids put there instead)]), best first.
         """
         v = self.vocabulary
-        data, start, end, begins, first_part = cut(column, v.alone)
-        power, back = _powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-        key = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(2) + begins.astype(np.uint64))
+        data, start, end, begins, first_part = self._cut(column)
+        key = mix(spelt(data, start, end) + (end - start).astype(np.uint64) * np.uint64(2) + begins.astype(np.uint64))
         found, at, index = np.unique(key, return_index=True, return_inverse=True)
         text = data.tobytes()
         named = lambda k: (MARK if begins[k] else "") + text[start[k] : end[k]].decode().replace(" ", MARK)
@@ -287,11 +383,14 @@ class Segmenter:
                     new.append(j)
                 else:
                     young[h] = r
+                    self.held += ENTRY + len(r[0])
             known.append(r)
-        for j, r in zip(new, v.solve([named(at[j]) for j in new]), strict=True):
-            known[j] = young[int(found[j])] = r
-        if len(young) > MEMO:
-            self.old, self.young = young, {}
+        for a in range(0, len(new), 50_000):
+            for j, r in zip(new[a : a + 50_000], self._solved([named(at[j]) for j in new[a : a + 50_000]]), strict=True):
+                known[j] = young[int(found[j])] = r
+                self.held += ENTRY + len(r[0])
+        if self.held > MEMO_BYTES:
+            self.old, self.young, self.held = young, {}, 0
         size = np.array([len(r[0]) >> 2 for r in known], np.int64)
         flat = np.frombuffer(b"".join([r[0] for r in known]), np.int32)
         base = np.cumsum(size) - size
@@ -356,9 +455,9 @@ def encode_texts(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = Segmenter(path, n)
+        segment = Segmenter(path, n)  # its memory ends with the task
         kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("part", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=1_000_000):
             ids, at, best = segment.run(batch.column("text"))
             ranked = [[{"score": s, "changes": [{"part": k, "ids": list(own)} for k, own in changes]} for s, changes in x] for x in best]
             data = ids.astype("<i4").tobytes()
@@ -374,7 +473,10 @@ def encode_texts(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, best_score, the n best scores, and whether the text came back."""
+    """doc_id, n_pieces, ids_crc32, best_score, the n best scores, and whether the text came back, of `encode_texts`.
+
+    A row each for every row, repeated ones too; the ids of an empty text have crc32 0.
+    """
     return encoded.select(
         "doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "best_score",
         F.transform("n_best", lambda b: b["score"]).alias("scores"), "lossless",
