@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Weights (1 MB) and intercept from labelled rows.
 
     labels: doc_id, label 0 or 1; rows with a null in either are left out, a doc_id that
-    repeats counts once with its least label.  One task fits on the bounded sample;
+    repeats counts once with its least label, and with the least of its texts if it
+    repeats in docs.  One task fits on the bounded sample (2 * TRAIN_PER_LABEL texts);
     without labels of both kinds the score is the share of label 1 everywhere.
     """
     labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -139,8 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         one = labels.where(F.col("label") == y).select("doc_id", "label", turn.alias("turn")).orderBy("turn", "doc_id").limit(TRAIN_PER_LABEL)
         sample = one if sample is None else sample.unionByName(one)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    one_each = rows.groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"))  # so the sample stays bounded
     got = (
-        rows.select("text", "label", "turn").repartition(1)
+        one_each.select("text", "label", "turn").repartition(1)
         .mapInArrow(_fit, "weights binary, intercept double, ones long, zeros long").first()
     )
     count = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
