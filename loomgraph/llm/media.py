@@ -12,6 +12,9 @@ more than an adaptive threshold, the mean and deviation of the differences aroun
 
 A text is stored as a film: its UTF-8 bytes, followed by bytes 0 up to a positive
 multiple of 64, are the samples of frames 64 wide and at most 64 high.
+
+`clip_rows` takes any motion-JPEG AVI files and gives a row a shot; `store_texts` and
+`read_texts` are the text columns' way there and back.
 """
 
 from __future__ import annotations
@@ -465,49 +468,106 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, media binary")
 
 
-def _clips(film: Film, frames: np.ndarray) -> list[dict]:
-    return [{"first_frame": a, "last_frame": b, "start_s": a / film.rate, "end_s": (b + 1) / film.rate} for a, b in shots(histograms(frames))]
+def _clips(film: Film, shares: np.ndarray) -> list[dict]:
+    return [{"first_frame": a, "last_frame": b, "start_s": a / film.rate, "end_s": (b + 1) / film.rate} for a, b in shots(shares)]
+
+
+#: what a damaged file may raise on its way through the parsers
+DAMAGE = (ValueError, IndexError, KeyError, struct.error)
+
+
+def grey(frame: bytes) -> np.ndarray:
+    """A frame's samples; of a colour frame the mean of its channels."""
+    samples = decode_baseline(frame)
+    return samples if samples.ndim == 2 else samples.mean(2).astype(np.uint8)
+
+
+def clip_rows(films: DataFrame) -> DataFrame:
+    """A row for each shot of each film: film_id, clip, first_frame, last_frame, start_s, end_s, error.
+
+    films: film_id (any type), media (a whole AVI file of baseline or lossless JPEG
+    frames); other columns are ignored.  Frames are decoded one at a time, so a task holds
+    a file and its frames' histograms.  A film without frames has no rows; a null or
+    damaged one has a single row that names the error, other fields null.  Repeated films
+    have their rows each time; an empty table gives none.
+    """
+    kind = films.schema["film_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, owner = [], []
+            for k, data in enumerate(batch.column("media")):
+                try:
+                    if not data.is_valid:
+                        raise ValueError("no file")
+                    film = parse_avi(data.as_py())
+                    shares = np.concatenate([np.zeros((0, BINS)), *(histograms(grey(f)[None]) for f in film.frames)])
+                    found = [(n, *clip.values(), None) for n, clip in enumerate(_clips(film, shares))]
+                except DAMAGE as e:
+                    found = [(None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                rows += found
+                owner += [k] * len(found)
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("film_id").take(pa.array(owner, pa.int32())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))],
+                names=["film_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "error"],
+            )
+
+    return films.select("film_id", "media").mapInArrow(
+        run, f"film_id {kind}, clip int, first_frame int, last_frame int, start_s double, end_s double, error string"
+    )
+
+
+def _read(data: bytes, film: Film, decoded: list[np.ndarray]) -> tuple:
+    frames = np.stack(decoded)
+    n, size = (int(x) for x in re.findall(r"\d+", film.comment))
+    payload = frames.tobytes()[:size]
+    if not n <= len(payload) == size:
+        raise ValueError("the film is shorter than its text")
+    clips = _clips(film, histograms(frames))
+    return (
+        n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(),
+        f"frames={len(frames)};shots=" + ",".join(f"{c['first_frame']}-{c['last_frame']}" for c in clips), clips, None,
+    )
+
+
+def _read_all(files: list[bytes | None]) -> list[tuple]:
+    """The fields of each film; frames of all are decoded together, and one film at a time if any is damaged."""
+    try:
+        films = [parse_avi(f or b"") for f in files]
+        decoded = decode_lossless([f for film in films for f in film.frames])
+        at = np.cumsum([0, *(len(film.frames) for film in films)]).tolist()
+        return [_read(data, film, decoded[a:b]) for data, film, a, b in zip(files, films, at[:-1], at[1:], strict=True)]
+    except DAMAGE as e:
+        if len(files) > 1:
+            return [_read_all([f])[0] for f in files]
+        return [(*[None] * 8, f"{type(e).__name__}: {e}" if files[0] is not None else "no file")]
 
 
 def read_texts(films: DataFrame) -> DataFrame:
     """What films of `store_texts` hold, decoded from their bytes.
 
-    Result: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (frames and shots) and clips, the shots with their times.
+    films: doc_id, media.  Result: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature (frames and shots), clips, the shots with their times, and
+    error.  A null or damaged film has its error and nulls elsewhere.  Repeated rows are
+    read each; an empty table gives no rows.
     """
     kind = films.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "media"):
-            if batch.num_rows:
-                rows = []
-                files = [x.as_py() for x in batch.column("media")]
-                films = [parse_avi(f) for f in files]
-                decoded = decode_lossless([f for film in films for f in film.frames])
-                first = 0
-                for data, film in zip(files, films, strict=True):
-                    frames = np.stack(decoded[first : first + len(film.frames)])
-                    first += len(film.frames)
-                    n, size = (int(x) for x in re.findall(r"\d+", film.comment))
-                    payload = frames.tobytes()[:size]
-                    clips = _clips(film, frames)
-                    rows.append(
-                        (
-                            n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(),
-                            f"frames={len(frames)};shots=" + ",".join(f"{c['first_frame']}-{c['last_frame']}" for c in clips), clips,
-                        )
-                    )
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), CLIPS]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"],
-                )
+            columns = zip(*_read_all([x.as_py() for x in batch.column("media")]), strict=True)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), CLIPS, pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "error"],
+            )
 
     return films.select("doc_id", "media").mapInArrow(
         run,
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-        "feature string, clips array<struct<first_frame: int, last_frame: int, start_s: double, end_s: double>>",
+        "feature string, clips array<struct<first_frame: int, last_frame: int, start_s: double, end_s: double>>, error string",
     )
 
 
