@@ -18,7 +18,7 @@ def op1_html_extraction(spark, sf_dir):
 
 
 def op2_media_columns(spark, sf_dir):
-    return media.read_texts(media.store_texts(read(spark, sf_dir, "documents"))).drop("clips")
+    return media.read_texts(media.store_texts(read(spark, sf_dir, "documents"))).drop("clips", "error")
 
 
 def op3_quality_classifier(spark, sf_dir):
@@ -29,7 +29,7 @@ def op3_quality_classifier(spark, sf_dir):
 
 def op4_token_id_output(spark, sf_dir, tokenizer: str | None = None):
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    return tokenfile.read_tokens(*tokenfile.write_tokens(read(spark, sf_dir, "documents"), path, 2))
+    return tokenfile.read_tokens(spark, tokenfile.write_tokens(read(spark, sf_dir, "documents"), path, 2))
 
 
 def op5_benchmark_decontamination(spark, sf_dir):
@@ -65,6 +65,7 @@ SELECT n.doc_id, n.n AS n_shingles, c.component_id
 FROM n JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) c USING (doc_id)
 """
 
+
 def op8_sentencepiece(spark, sf_dir, model: str | None = None):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encode_texts(docs, model or public_tokenizers.path("piece_bpe_32k.model")))

@@ -33,6 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 
+#: fixed: a candidate's least length, with a digit and a letter; shorter keys and those of letters alone are left to the patterns
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.\-]{{{LEAST},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
@@ -283,7 +284,11 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 
 def findings(scanned: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans of a `secret_scan`, from its spans."""
+    """doc_id, counts of the base kinds, base_sha256 and spans of a `secret_scan`, from its spans.
+
+    A row each for every row, repeated ones too.  Without findings counts are 0, spans is
+    empty and base_sha256 that of nothing.
+    """
     spans = F.filter(F.split("secret_spans", ","), lambda s: s != "")
     base = F.filter(spans, lambda s: ~s.startswith("model:"))
     count = lambda kind: F.size(F.filter(spans, lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
