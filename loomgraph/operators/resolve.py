@@ -1,66 +1,79 @@
-"""Call resolution (RS): raw calls to typed edges, as one cascade of joins in which the first match wins."""
+"""Call resolution (RS): call forms to typed edges, as one cascade of joins in which the first match wins.
+
+Records are those of `functions.python_source` and `functions.static_source`: symbols
+(free, method, type, field, import) and calls as forms.  Symbol tables are keyed by module
+and name; no row is collected.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import BOUNDARY, UNRESOLVED
 
+#: what ends the name of a Rust function that makes an object
+CONSTRUCTORS = ("new", "default", "from")
 
-def resolve_python(records: DataFrame) -> DataFrame:
-    """RS-P: edges of extracted Python records.
 
-    Bare names: class of the module, function of the module, imported class or function
-    of the code, anything else imported, unresolved.  self.m: method of the class.
-    self.a.m: method of the attribute's class.  p.m: method of the parameter's class.
-    module.f: imported.
+def _last(c: Column) -> Column:
+    return F.regexp_extract(c, r"([^.:]*)$", 1)
+
+
+def _symbols(records: DataFrame, kind: str, keys: list[str], target: Column, out: str, first: bool) -> DataFrame:
+    """One target a key: of the first or the last module; inside a module the last definition counts."""
+    at = F.struct(F.col("file_ord") * (-1 if first else 1), "ord")
+    return records.where(F.col("kind") == kind).groupBy(*keys).agg(F.max_by(target, at).alias(out))
+
+
+def _edges(calls: DataFrame, cascade: list[tuple[Column, str, Column]], otherwise: Column) -> DataFrame:
+    kind, callee = F.lit("unresolved"), F.concat(F.lit(UNRESOLVED), otherwise)
+    for cond, k, target in reversed(cascade):
+        kind, callee = F.when(cond, F.lit(k)).otherwise(kind), F.when(cond, target).otherwise(callee)
+    return calls.select(F.struct("file_ord", "ord").alias("at"), F.col("id").alias("caller_id"), callee.alias("callee_id"), "is_await", kind.alias("call_type"), "line", "raw")
+
+
+def resolve_python(records: DataFrame) -> DataFrame:
+    """RS-P: edges (at, caller_id, callee_id, is_await, call_type, line, raw) of extracted Python records.
+
+    Bare names: class of the module, function of the module, imported name (a class that
+    another module has; anything else starting with a capital outside; a function of a
+    module whose id is the first segment; outside).  self.m: method of the class.
+    self.a.m: method of the attribute's class.  p.m: method of the parameter's class;
+    imported class; imported module.  A class of a name is the last module's that has it.
+    Calls of records that repeat are resolved each; without records there are no edges.
     """
-    modules = records.select("file", F.regexp_replace("file", r"\.py$", "").alias("module")).distinct()
-    classes = records.where("kind = 'class'").select("file", F.col("name").alias("c_name"), F.col("id").alias("c_id")).dropDuplicates(["file", "c_name"])
-    functions = records.where("kind = 'function' AND class_name IS NULL AND qualname = name").select("file", F.col("name").alias("f_name"), F.col("id").alias("f_id")).dropDuplicates(["file", "f_name"])
-    methods = records.where("kind = 'method'").select("file", "class_name", F.col("name").alias("m_name"), F.col("id").alias("m_id")).dropDuplicates(["file", "class_name", "m_name"])
-    returns = records.where("kind = 'method' AND target IS NOT NULL").select("file", "class_name", F.col("name").alias("target"), F.col("target").alias("returned")).dropDuplicates(["file", "class_name", "target"])
-    typed = records.where("kind = 'attr_type'").select("file", "class_name", "name", "line", "target")
-    by_return = records.where("kind = 'attr_return'").select("file", "class_name", "name", "line", "target").join(returns, ["file", "class_name", "target"]).select("file", "class_name", "name", "line", F.col("returned").alias("target"))
-    attrs = typed.unionByName(by_return).groupBy("file", "class_name", F.col("name").alias("a_name")).agg(F.min_by("target", "line").alias("a_type"))
-    # names by which code of other modules is imported: a/b.C is a.b.C
-    public = modules.select("file", F.replace("module", F.lit("/"), F.lit(".")).alias("dotted"))
-    by_path = (
-        classes.join(public, "file").select(F.concat_ws(".", "dotted", "c_name").alias("path"), F.col("c_id").alias("p_id"), F.lit(True).alias("p_class"))
-        .unionByName(functions.join(public, "file").select(F.concat_ws(".", "dotted", "f_name").alias("path"), F.col("f_id").alias("p_id"), F.lit(False).alias("p_class")))
-        .dropDuplicates(["path"])
-    )
-    any_method = methods.join(public, "file").select(F.concat_ws(".", "dotted", "class_name").alias("t_path"), F.col("m_name").alias("t_method"), F.col("m_id").alias("t_id")).dropDuplicates(["t_path", "t_method"])
-
-    c = records.where("kind = 'call'").join(public, "file", "left")
-    first, rest = F.split_part("tail", F.lit("."), F.lit(1)), F.regexp_replace("tail", r"^[^.]*\.?", "")
-    c = c.withColumns({"first": first, "rest": rest, "imported": F.when(F.col("target").isNotNull(), F.concat_ws(".", "target", F.nullif("tail", F.lit(""))))})
-    bare, me = F.lit("").alias("tail"), F.lit("self").alias("head")
-    c = c.join(classes.select("file", F.col("c_name").alias("head"), bare, "c_id"), ["file", "head", "tail"], "left")
-    c = c.join(functions.select("file", F.col("f_name").alias("head"), bare, "f_id"), ["file", "head", "tail"], "left")
-    c = c.join(by_path.withColumnRenamed("path", "imported"), "imported", "left")
-    c = c.join(methods.select("file", "class_name", me, F.col("m_name").alias("tail"), "m_id"), ["file", "class_name", "head", "tail"], "left")
-    c = c.join(attrs.select("file", "class_name", me, F.col("a_name").alias("first"), "a_type"), ["file", "class_name", "head", "first"], "left")
-    c = c.withColumn("a_type", F.when(F.col("rest") != "", F.col("a_type")))
-    kind_of = F.coalesce("a_type", F.when((F.col("tail") != "") & (F.col("rest") == ""), F.element_at("params_types", F.col("head"))))
-    local = F.when(~F.contains(kind_of, F.lit(".")), F.concat_ws(".", "dotted", kind_of)).otherwise(kind_of)
-    c = c.withColumns({"of": local, "said": kind_of, "method": F.when(F.col("a_type").isNotNull(), F.col("rest")).otherwise(F.col("first"))})
-    c = c.join(any_method.toDF("of", "method", "t_id"), ["of", "method"], "left")
-    attr, param = F.col("a_type").isNotNull(), F.col("said").isNotNull() & F.col("a_type").isNull()
-    upper = F.element_at(F.split("name", r"\."), -1).rlike(r"^\p{Lu}")
+    r = records.where("lang = 'python'")
+    modules = r.select("module").distinct().withColumnRenamed("module", "first_part").withColumn("is_module", F.lit(True))
+    classes = _symbols(r, "type", ["name"], F.col("module"), "type_module", first=False).withColumnRenamed("name", "type")
+    own = r.where("kind = 'type'").select("module", "name").distinct().withColumn("own_class", F.lit(True))
+    free = r.where("kind = 'free'").select("module", "name").distinct().withColumn("own_function", F.lit(True))
+    methods = r.where("kind = 'method'").select("module", F.col("owner").alias("class_name"), "name").distinct().withColumn("own_method", F.lit(True))
+    fields = _symbols(r, "field", ["owner", "name"], F.col("target"), "field_type", first=False).select(F.col("owner").alias("class_name"), F.col("name").alias("head"), "field_type")
+
+    form = F.col("form")
+    c = r.where("kind = 'call'").join(fields.withColumn("form", F.lit("self_attr")), ["form", "class_name", "head"], "left")
+    said = F.when(form == "self_attr", F.col("field_type")).when(form == "member", F.try_element_at("params_types", F.col("head")))
+    c = c.withColumn("said", said).withColumn("type", F.when(form == "bare", _last(F.col("target"))).when(F.col("said").isNotNull(), _last(F.col("said"))).when(form == "member", F.col("head")))
+    c = c.withColumn("first_part", F.when(form == "bare", F.split_part("target", F.lit("."), F.lit(1))))
+    c = c.join(classes, "type", "left").join(modules, "first_part", "left")
+    c = c.join(own, ["module", "name"], "left").join(free, ["module", "name"], "left").join(methods, ["module", "class_name", "name"], "left")
+
+    dotted = lambda *parts: F.concat_ws(".", *parts)
+    outside = lambda *parts: F.concat(F.lit(BOUNDARY), dotted(*parts))
+    bare, member, attr = form == "bare", form == "member", form == "self_attr"
+    has_type, typed, imported = F.col("type_module").isNotNull(), F.col("said").isNotNull(), F.col("target").isNotNull()
+    upper = F.col("type").rlike(r"^\p{Lu}")
+    in_type = dotted("type_module", "type", "name")
     cascade = [
-        (F.col("c_id").isNotNull(), "internal_constructor", F.concat("c_id", F.lit(".__init__"))), (F.col("f_id").isNotNull(), "internal_func", F.col("f_id")),
-        (F.col("m_id").isNotNull(), "self_method", F.col("m_id")), (attr & F.col("t_id").isNotNull(), "self_attr_method", F.col("t_id")),
-        (attr, "boundary", F.concat(F.lit(BOUNDARY), "said", F.lit("."), "method")), (param & F.col("t_id").isNotNull(), "param_method", F.col("t_id")),
-        (F.col("p_class"), "internal_constructor", F.concat("p_id", F.lit(".__init__"))), (F.col("p_id").isNotNull(), "internal_func", F.col("p_id")),
-        (param & F.contains("said", F.lit(".")), "boundary", F.concat(F.lit(BOUNDARY), "said", F.lit("."), "method")),
-        (F.col("imported").isNotNull() & upper, "boundary_constructor", F.concat(F.lit(BOUNDARY), "imported")), (F.col("imported").isNotNull(), "boundary", F.concat(F.lit(BOUNDARY), "imported")),
+        (bare & F.col("own_class"), "internal_constructor", dotted("module", "name", F.lit("__init__"))), (bare & F.col("own_function"), "internal_func", dotted("module", "name")),
+        (bare & imported & upper & has_type & (F.col("type_module") != F.col("module")), "internal_constructor", dotted("type_module", "type", F.lit("__init__"))),
+        (bare & imported & upper, "boundary_constructor", outside("target")), (bare & imported & F.col("is_module"), "internal_func", F.col("target")), (bare & imported, "boundary", outside("target")),
+        ((form == "self") & F.col("own_method"), "self_method", dotted("module", "class_name", "name")),
+        (attr & typed & has_type, "self_attr_method", in_type), (attr & typed, "boundary", outside("said", "name")), (member & typed & has_type, "param_method", in_type), (member & typed, "boundary", outside("said", "name")),
+        (member & imported & has_type, "internal_func", in_type), (member & imported, "boundary", outside("target", "name")),
     ]
-    kind, callee = F.lit("unresolved"), F.concat(F.lit(UNRESOLVED), "name")
-    for cond, k, target in reversed(cascade):
-        kind, callee = F.when(cond, F.lit(k)).otherwise(kind), F.when(cond, target).otherwise(callee)
-    return c.select(F.struct("file_ord", "ord").alias("at"), F.col("id").alias("caller_id"), callee.alias("callee_id"), "is_await", kind.alias("call_type"), "line", "raw")
+    return _edges(c, cascade, F.when(bare, F.col("name")).when(attr, dotted(F.lit("self"), "head", "name")).when(form.isin("self", "member"), dotted("head", "name")).otherwise(F.col("raw")))
 
 
 def unique_match(symbols: DataFrame) -> DataFrame:
@@ -75,61 +88,58 @@ def resolve_scripts(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return c.select("ord", "caller_id", F.coalesce("f_id", F.concat(F.lit(BOUNDARY), "name")).alias("callee_id"), F.when(F.col("f_id").isNotNull(), "internal_func").otherwise("boundary").alias("call_type"), "line")
 
 
-#: per language: where free functions are looked for, and how a call through an import ends
-STATIC = {
-    "go": {"free": "file", "imported": "boundary"},
-    "typescript": {"free": "file", "imported": "boundary"},
-    "rust": {"free": "file", "imported": "rust"},
-}
-CONSTRUCTORS = ("new", "default", "from")
-
+def resolve_forms(records: DataFrame, lang: str, unique: bool = True) -> DataFrame:
+    """RS-R, RS-G, RS-T: edges (at, caller_id, callee_id, is_await, call_type, line, raw) of extracted records of one language.
 
-def resolve_static(calls: DataFrame, symbols: DataFrame, lang: str) -> DataFrame:
-    """RS-R, RS-G, RS-T: edges of calls given as forms.
-
-    calls: ord, file, caller_id, class_name, form (bare, self, self_attr, param, path,
-    macro), head (attribute, parameter, owner or name space), name.
-    symbols: file, kind (free, method, type, field, param, import), owner, name, target:
-    the id of a function or type, the type of a field or parameter (owner: the class or
-    the calling function), or what an import stands for.
+    A method call on a field or parameter whose type some module defines goes to that
+    type (the first module's) whether or not it has the method; types defined nowhere are
+    outside.  Free functions are looked for in the own module; in Rust, where `unique`,
+    also by the last part of a path if exactly one function answers (without it: RS-Rs).
+    Files of one Rust module are taken together; of functions with one id there the first file's counts.
     """
-    spec = STATIC[lang]
-    s = symbols.select("file", "kind", "owner", "name", "target")
-    pick = lambda kind, keys, out: s.where(F.col("kind") == kind).groupBy(*keys).agg(F.min("target").alias(out))
-    c = calls.join(pick("free", ["file", "name"], "free"), ["file", "name"], "left")
-    c = c.join(pick("method", ["owner", "name"], "own").withColumnRenamed("owner", "class_name"), ["class_name", "name"], "left")
-    typed = s.where("kind IN ('field', 'param')").groupBy("kind", F.col("owner").alias("o"), F.col("name").alias("head")).agg(F.min("target").alias("type"))
-    c = c.withColumns({"kind": F.when(F.col("form") == "self_attr", "field").when(F.col("form") == "param", "param"), "o": F.when(F.col("form") == "self_attr", F.col("class_name")).otherwise(F.col("caller_id"))})
-    c = c.join(typed, ["kind", "o", "head"], "left")
-    c = c.join(pick("method", ["owner", "name"], "of_type").withColumnRenamed("owner", "type"), ["type", "name"], "left")
-    imported = F.when(F.col("form").isin("path", "param", "self_attr"), F.col("head")).otherwise(F.col("name"))
-    c = c.withColumn("local", imported).join(s.where("kind = 'import'").groupBy("file", F.col("name").alias("local")).agg(F.min("target").alias("import")), ["file", "local"], "left")
-    owner = F.when(F.col("form") == "path", F.regexp_extract(F.coalesce("import", "head"), r"([^:.]*)$", 1)).otherwise(F.regexp_extract("import", r"([^:.]*)$", 1))
-    c = c.withColumn("owner", owner).join(s.where("kind = 'type'").groupBy(F.col("name").alias("owner")).agg(F.min("target").alias("type_id")), "owner", "left")
-    # a free function that only one module of that last name has
-    tail = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    only = unique_match(s.where("kind = 'free'").select(tail.alias("tail"), "name", F.col("target").alias("id"))).withColumnRenamed("id", "only")
-    last = F.when(F.col("form") == "path", F.regexp_extract(F.coalesce("import", "head"), r"([^:.]*)$", 1)).otherwise(F.element_at(F.split("import", "::"), -2) if lang == "rust" else F.lit(None).cast("string"))
-    c = c.withColumn("tail", last).join(only, ["tail", "name"], "left")
+    sep = "::" if lang == "rust" else "."
+    r = records.where(F.col("lang") == lang)
+    if lang == "rust":
+        kept = r.where("kind = 'function'").groupBy("id").agg(F.min("file_ord").alias("kept"))
+        r = r.join(kept, "id", "left").where("kept IS NULL OR kept = file_ord").drop("kept")
+    types = _symbols(r, "type", ["name"], F.col("module"), "type_module", first=True).withColumnRenamed("name", "type")
+    free = r.where("kind = 'free'").select("module", "name").distinct().withColumn("own_function", F.lit(True))
+    methods = r.where("kind = 'method'").select("module", "owner", "name").distinct().withColumn("own_method", F.lit(True))
+    fields = _symbols(r, "field", ["module", "owner", "name"], F.col("target"), "field_type", first=False).withColumnRenamed("name", "head").withColumn("form", F.lit("self_attr"))
+    imports = _symbols(r, "import", ["module", "name"], F.col("target"), "import", first=True).withColumnRenamed("name", "local")
+
     form = F.col("form")
-    bare, path, rust = form == "bare", form == "path", spec["imported"] == "rust"
-    outside = F.concat(F.lit(BOUNDARY), F.when(bare, F.col("import")).when(form.isin("self_attr", "param"), F.concat_ws("::" if rust else ".", "type", "name")).otherwise(F.concat_ws("::" if rust else ".", F.coalesce("import", "head"), "name")))
-    sep = F.lit("::")
-    rules = [
-        (bare & F.col("free").isNotNull(), "internal_func", F.col("free")), ((form == "self") & F.col("own").isNotNull(), "self_method", F.col("own")),
-        ((form == "self_attr") & F.col("of_type").isNotNull(), "self_attr_method", F.col("of_type")), ((form == "self_attr") & F.col("type").isNotNull(), "boundary", outside),
-        ((form == "param") & F.col("of_type").isNotNull(), "param_method", F.col("of_type")), ((form == "param") & F.col("type").isNotNull(), "boundary", outside),
-    ]
-    if rust:
-        rules += [
-            (form == "macro", "boundary", F.concat(F.lit(BOUNDARY), "name", F.lit("!"))), (bare & F.col("type_id").isNotNull(), "internal_constructor", F.concat("type_id", sep, F.lit("new"))),
-            (bare & F.col("import").isNotNull() & F.col("only").isNotNull(), "internal_func", F.col("only")),
-            (path & F.col("type_id").isNotNull() & F.col("name").isin(*CONSTRUCTORS), "internal_constructor", F.concat("type_id", sep, "name")),
-            (path & F.col("type_id").isNotNull(), "internal_func", F.concat("type_id", sep, "name")), (path & F.col("only").isNotNull(), "internal_func", F.col("only")),
-            (path & F.col("owner").rlike(r"^\p{Lu}") & F.col("name").isin(*CONSTRUCTORS), "boundary_constructor", outside), (path, "boundary", outside),
+    bare, path, member, attr = form == "bare", form == "path", form == "member", form == "self_attr"
+    c = r.where("kind = 'call'").drop("target").withColumn("local", F.when(bare, F.col("name")).when(member, F.col("head")))
+    c = c.join(imports, ["module", "local"], "left").join(fields, ["form", "module", "owner", "head"], "left")
+    c = c.withColumn("said", F.when(attr, F.col("field_type")).when(member, F.try_element_at("params_types", F.col("head"))))
+    part = F.when(path, _last(F.col("head"))).when(bare, F.regexp_extract("import", r"([^:]*)::[^:]*$", 1))
+    c = c.withColumns({"type": F.when(bare, F.col("name")).when(path, _last(F.col("head"))).otherwise(F.col("said")), "tail": part, "leaf": F.when(bare, _last(F.col("import"))).when(path, F.col("name"))})
+    c = c.join(types, "type", "left").join(free, ["module", "name"], "left").join(methods, ["module", "owner", "name"], "left")
+    if lang == "rust" and unique:
+        ids = r.where("kind = 'function' AND class_name IS NULL").select(F.regexp_extract("module", r"([^:]*)$", 1).alias("tail"), "name", "id")
+        c = c.join(unique_match(ids).select("tail", F.col("name").alias("leaf"), F.col("id").alias("only")), ["tail", "leaf"], "left")
+    else:
+        c = c.withColumn("only", F.lit(None).cast("string"))
+
+    joined = lambda *parts: F.concat_ws(sep, *parts)
+    outside = lambda *parts: F.concat(F.lit(BOUNDARY), joined(*parts))
+    has_type, typed, imported = F.col("type_module").isNotNull(), F.col("said").isNotNull(), F.col("import").isNotNull()
+    in_type, makes = joined("type_module", "type", "name"), F.col("name").isin(*CONSTRUCTORS)
+    cascade = [(bare & F.col("own_function"), "internal_func", joined("module", "name"))]
+    if lang == "rust":
+        cascade += [
+            (form == "macro", "boundary", F.concat(F.lit(BOUNDARY), "name", F.lit("!"))), (bare & imported & has_type, "internal_constructor", joined("type_module", "name", F.lit("new"))),
+            (bare & imported & F.col("only").isNotNull(), "internal_func", F.col("only")), (path & has_type & makes, "internal_constructor", in_type), (path & has_type, "internal_func", in_type),
+            (path & F.col("only").isNotNull(), "internal_func", F.col("only")), (path & F.col("type").rlike(r"^\p{Lu}") & makes, "boundary_constructor", outside("head", "name")), (path, "boundary", outside("head", "name")),
         ]
-    rules += [(F.col("import").isNotNull(), "boundary", outside)]
-    kind, callee = F.lit("unresolved"), F.concat(F.lit(UNRESOLVED), F.concat_ws(".", F.when(form == "self", "self"), "head", "name"))
-    for cond, k, target in reversed(rules):
-        kind, callee = F.when(cond, F.lit(k)).otherwise(kind), F.when(cond, target).otherwise(callee)
-    return c.select("ord", "caller_id", callee.alias("callee_id"), kind.alias("call_type"))
+    if lang != "go":
+        cascade.append((bare & imported, "boundary", outside("import")))
+    cascade += [
+        ((form == "self") & F.col("own_method"), "self_method", joined("module", "class_name", "name")),
+        (attr & typed & has_type, "self_attr_method", in_type), (attr & typed, "boundary", outside("said", "name")), (member & typed & has_type, "param_method", in_type), (member & typed, "boundary", outside("said", "name")),
+    ]
+    if lang != "rust":
+        cascade.append((member & imported, "boundary", F.concat(F.lit(BOUNDARY), "import", F.lit("."), "name")))
+    me = F.regexp_extract("raw", r"^(\w+)", 1)
+    return _edges(c, cascade, F.when(bare, F.col("name")).when(attr, F.concat_ws(".", me, "head", "name")).when(form.isin("self", "member"), F.concat_ws(".", "head", "name")).otherwise(F.col("raw")))

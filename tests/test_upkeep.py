@@ -1,38 +1,8 @@
 """Static resolution, sequential changes, the file-level resync and Markdown helpers."""
 
-from loomgraph.operators import resolve
 from loomgraph.plans import doctor, stage_queries, surrogate, upkeep_queries
 from loomgraph.sources import markdown
 
-CALL = "ord int, file string, caller_id string, class_name string, form string, head string, name string"
-SYMBOL = "file string, kind string, owner string, name string, target string"
-
-
-def resolved(spark, lang, calls, symbols):
-    c = spark.createDataFrame([(k, *x) for k, x in enumerate(calls)], CALL)
-    return [(r["callee_id"], r["call_type"]) for r in sorted(resolve.resolve_static(c, spark.createDataFrame(symbols, SYMBOL), lang).collect())]
-
-
-def test_go(spark):
-    symbols = [("a.go", "free", None, "helper", "a.helper"), ("a.go", "method", "Srv", "Run", "a.Srv.Run"), ("b.go", "method", "DB", "Get", "b.DB.Get"), ("a.go", "field", "Srv", "db", "DB"), ("a.go", "field", "Srv", "log", "Logger"),
-               ("a.go", "param", "a.main", "d", "DB"), ("a.go", "import", None, "fmt", "fmt")]
-    calls = [("a.go", "a.main", None, "bare", None, "helper"), ("b.go", "b.x", None, "bare", None, "helper"), ("a.go", "a.Srv.Run", "Srv", "self", None, "Run"), ("a.go", "a.Srv.Run", "Srv", "self_attr", "db", "Get"),
-             ("a.go", "a.Srv.Run", "Srv", "self_attr", "log", "Put"), ("a.go", "a.main", None, "param", "d", "Get"), ("a.go", "a.main", None, "path", "fmt", "Println")]
-    assert resolved(spark, "go", calls, symbols) == [
-        ("a.helper", "internal_func"), ("unresolved:helper", "unresolved"), ("a.Srv.Run", "self_method"), ("b.DB.Get", "self_attr_method"), ("boundary:Logger.Put", "boundary"), ("b.DB.Get", "param_method"), ("boundary:fmt.Println", "boundary"),
-    ]
-
-
-def test_rust(spark):
-    symbols = [("src/a.rs", "type", None, "Foo", "a::Foo"), ("src/util.rs", "free", None, "go", "util::go"), ("src/a.rs", "import", None, "go", "crate::util::go"), ("src/a.rs", "import", None, "ext", "serde::ext")]
-    calls = [("src/a.rs", "a::f", None, "path", "Foo", "new"), ("src/a.rs", "a::f", None, "path", "Foo", "run"), ("src/a.rs", "a::f", None, "bare", None, "go"), ("src/a.rs", "a::f", None, "bare", None, "ext"),
-             ("src/a.rs", "a::f", None, "path", "Vec", "new"), ("src/a.rs", "a::f", None, "macro", None, "println"), ("src/a.rs", "a::f", None, "bare", None, "zip"), ("src/a.rs", "a::f", None, "path", "util", "go")]
-    assert resolved(spark, "rust", calls, symbols) == [
-        ("a::Foo::new", "internal_constructor"), ("a::Foo::run", "internal_func"), ("util::go", "internal_func"), ("boundary:serde::ext", "boundary"), ("boundary:Vec::new", "boundary_constructor"), ("boundary:println!", "boundary"),
-        ("unresolved:zip", "unresolved"), ("util::go", "internal_func"),
-    ]
-
-
 def test_sequential_changes():
     tree = [{"id": "a", "title": "A"}, {"id": "b", "title": "B", "parent": "a"}, {"id": "c", "title": "C"}, {"id": "x", "title": "X", "crosscut": True}]
     proposed = [
