@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,12 +112,13 @@ def anchor_plan(anchors: DataFrame, envelopes: DataFrame) -> DataFrame:
     return a.where("to_start <> line_start OR to_end <> line_end").select("stage", "qualname", "line_start", "line_end", "to_start", "to_end")
 
 
-@F.udf(T.StringType())
-def unified_diff(before, after):
-    """CH-17: unified diff of two texts; there is no built-in for it."""
+@F.pandas_udf(T.StringType())
+def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    """CH-17: unified diff of two texts, a null one as empty; there is no built-in for it, so whole Arrow batches go to Python."""
     import difflib
 
-    return "\n".join(difflib.unified_diff((before or "").split("\n"), (after or "").split("\n"), "before", "after", lineterm=""))
+    lines = lambda t: (t or "").split("\n")
+    return pd.Series(["\n".join(difflib.unified_diff(lines(a), lines(b), "before", "after", lineterm="")) for a, b in zip(before, after, strict=True)])
 
 
 def integrity(members: DataFrame, texts: DataFrame, cards: DataFrame, frozen: DataFrame) -> DataFrame:
@@ -126,3 +128,60 @@ def integrity(members: DataFrame, texts: DataFrame, cards: DataFrame, frozen: Da
     no_card = m.select("qualname").distinct().join(cards.select("qualname"), "qualname", "left_anti").select(F.lit("entry without card").alias("problem"), "qualname")
     no_entry = cards.select("qualname").distinct().join(m.select("qualname"), "qualname", "left_anti").select(F.lit("card without entry").alias("problem"), "qualname")
     return bad.unionByName(no_card).unionByName(no_entry).join(frozen.select("qualname"), "qualname", "left_anti")
+
+
+def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """CH-22: (file, state, diff) of files (file, content) that two snapshots of a tree have otherwise: added, deleted or modified."""
+    b = before.select("file", F.col("content").alias("b"), F.lit(True).alias("in_b"))
+    a = after.select("file", F.col("content").alias("a"), F.lit(True).alias("in_a"))
+    d = b.join(a, "file", "full").where("in_a IS NULL OR in_b IS NULL OR NOT (a <=> b)")
+    state = F.when(F.col("in_b").isNull(), "added").when(F.col("in_a").isNull(), "deleted").otherwise("modified")
+    return d.select("file", state.alias("state"), unified_diff("b", "a").alias("diff"))
+
+
+def report(ledger: DataFrame, most: int = 200) -> DataFrame:
+    """CH-6: (kind, n, items): per kind of a resync ledger (kind, item) the count and the first items by name, cut as a report's list."""
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("item"))
+    top = ledger.withColumn("rank", rank).groupBy("kind").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.col("item")))).alias("items"))
+    return top
+
+
+def card_surgery(cards: DataFrame, renamed: DataFrame, gone: DataFrame, patched: DataFrame) -> DataFrame:
+    """CH-16: function cards (qualname, stage, text): those of functions that are gone go, renamed ones take the new name in heading and key, patches (qualname, text) replace a text.
+
+    A patch is taken only if it still starts with a heading that names the function.
+    """
+    c = cards.join(gone.select("qualname"), "qualname", "left_anti").join(renamed.select(F.col("old_name").alias("qualname"), "new_name"), "qualname", "left")
+    head = lambda name: F.concat(F.lit("`"), name, F.lit("`"))
+    c = c.withColumn("text", F.when(F.col("new_name").isNotNull(), F.replace("text", head(F.col("qualname")), head(F.col("new_name")))).otherwise(F.col("text")))
+    c = c.withColumn("qualname", F.coalesce("new_name", "qualname")).drop("new_name")
+    p = patched.where(F.col("text").startswith("#") & F.contains(F.split_part("text", F.lit("\n"), F.lit(1)), head(F.col("qualname")))).select("qualname", F.col("text").alias("patch"))
+    return c.join(p, "qualname", "left").select("qualname", "stage", F.coalesce("patch", "text").alias("text"))
+
+
+def resync_members(members: DataFrame, old: DataFrame, new: DataFrame, placed: DataFrame) -> dict[str, DataFrame]:
+    """CH-19: members, ledger (kind, item) and rows to describe again, after a code change.
+
+    members: stage, ord, qualname, type, file, line_start, line_end, sha1, purpose; old, new:
+    functions (ord, qualname, file, name, text, line_start, line_end); placed: qualname, stage for
+    functions that are new, unmapped without one.
+    """
+    ledger = members.select("qualname").distinct()
+    verdicts = function_verdicts(ledger, old, new)
+    gone = verdicts.where("verdict = 'gone'").select("qualname")
+    fresh = new_definitions(ledger, old, new)
+    moved = renames(old.join(gone, "qualname", "left_semi"), fresh)
+    gone = gone.join(moved.select(F.col("old_name").alias("qualname")), "qualname", "left_anti")
+    fresh = fresh.join(moved.select(F.col("new_name").alias("qualname")), "qualname", "left_anti")
+    kept = apply_renames(members, moved, gone)
+    text = new.select("qualname", F.sha1("text").alias("now"), F.col("line_start").alias("s"), F.col("line_end").alias("e"))
+    whole = (F.col("type") == "function") & F.col("now").isNotNull()
+    kept = kept.join(text, "qualname", "left").withColumns({"sha1": F.when(whole, F.col("now")).otherwise(F.col("sha1")), "line_start": F.when(whole, F.col("s")).otherwise(F.col("line_start")), "line_end": F.when(whole, F.col("e")).otherwise(F.col("line_end"))}).drop("now", "s", "e")
+    added = (
+        fresh.join(placed.select("qualname", "stage"), "qualname", "left")
+        .select(F.coalesce("stage", F.lit("unmapped")).alias("stage"), F.col("ord").cast("long").alias("ord"), "qualname", F.lit("function").alias("type"), "file", "line_start", "line_end", F.sha1("text").alias("sha1"), F.lit("").alias("purpose"))
+    )
+    told = lambda df, kind, c="qualname": df.select(F.lit(kind).alias("kind"), F.col(c).alias("item"))
+    log = told(gone, "removed").unionByName(told(fresh, "new")).unionByName(told(moved, "renamed", "new_name")).unionByName(told(verdicts.where("verdict = 'changed'"), "changed"))
+    again = log.where("kind IN ('new', 'changed')").select(F.col("item").alias("qualname"))
+    return {"members": kept.select(*added.columns).unionByName(added), "ledger": log, "again": again}

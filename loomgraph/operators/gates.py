@@ -76,15 +76,19 @@ def weighted_verdict(rubric: DataFrame, scores: DataFrame) -> DataFrame:
     """QS-1: per unit the weighted mean of its scores, failed gates, and whether it passes.
 
     rubric: criterion, kind, weight, floor; scores: unit, criterion, score (text).  Missing
-    and bad scores are 1, others are clamped to 1..5.
+    and bad scores are 1, others are clamped to 1..5.  As a missing score is the least one,
+    told scores only add to the rubric's totals, and no unit is paired with every criterion.
+    Weights are summed as decimals, so that the mark is met or not whatever the order.
     """
-    units = scores.select("unit").distinct()
-    told = scores.groupBy("unit", "criterion").agg(F.max(F.expr("try_cast(score AS int)")).alias("score"))
-    grid = units.crossJoin(F.broadcast(rubric)).join(told, ["unit", "criterion"], "left")  # a rubric has some six rows
+    w, gate = F.col("weight").cast("decimal(18,6)"), (F.col("kind") == "gate") & (F.col("floor") > 1)
+    total = rubric.agg(F.sum(w).alias("total"), F.count_if(gate).alias("gates"))  # one row
     s = F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce("score", F.lit(1))))
-    mean = F.sum(F.col("weight") * s) / F.sum("weight")
-    failed = F.count_if((F.col("kind") == "gate") & (s < F.col("floor")))
-    return grid.groupBy("unit").agg(F.round(mean, 3).alias("overall"), failed.alias("gate_failures"), ((mean >= PASS_MARK) & (failed == 0)).alias("passed"))
+    told = scores.groupBy("unit", "criterion").agg(F.max(F.expr("try_cast(score AS int)")).alias("score")).join(rubric, "criterion")
+    own = told.groupBy("unit").agg(F.sum(w * (s - 1)).alias("more"), F.count_if(gate & (s >= F.col("floor"))).alias("held"))
+    u = scores.select("unit").distinct().join(own, "unit", "left").crossJoin(F.broadcast(total))
+    points, failed = F.col("total") + F.coalesce("more", F.lit(0)), F.col("gates") - F.coalesce("held", F.lit(0))
+    mean = points.cast("double") / F.col("total").cast("double")
+    return u.select("unit", F.round(mean, 3).alias("overall"), failed.alias("gate_failures"), ((points >= F.col("total") * int(PASS_MARK)) & (failed == 0)).alias("passed"))
 
 
 def best_of_n(rounds: DataFrame) -> DataFrame:

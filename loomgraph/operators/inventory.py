@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,19 +59,26 @@ def batches(items: DataFrame, key: str, order: list[str], size: int) -> DataFram
 def greedy_chunks(items: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
     """CD-4: chunks of consecutive items, closed when the next would go over the limit; never empty.
 
-    A fold in order: each chunk's start depends on the one before, which sums over windows can't express.
+    A fold in order, as each chunk's start depends on the one before: a key's rows stream
+    through one task, which holds its running size only.
     """
-    group = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("int").alias("chunk"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<o: bigint, chunk: int>>").alias("out"))
-
-    def step(state, row):
-        new = (state["held"] > 0) & (state["held"] + row["s"] > limit)
-        chunk = F.when(new, state["chunk"] + 1).otherwise(state["chunk"])
-        held = F.when(new, row["s"]).otherwise(state["held"] + row["s"])
-        return F.struct(chunk.alias("chunk"), held.alias("held"), F.concat(state["out"], F.array(F.struct(row["o"].cast("long").alias("o"), chunk.alias("chunk")))).alias("out"))
-
-    done = group.select(key, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
-    return done.select(key, F.col("r.o").alias(order), F.col("r.chunk").alias("chunk"))
+    rows = items.select(key, F.col(order).cast("long").alias(order), F.col(size).cast("long").alias("__size")).repartition(key).sortWithinPartitions(key, order, "__size")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, held = object(), 0, 0
+        for batch in batches:
+            out = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = n or 0
+                if k != now:
+                    now, chunk, held = k, 0, 0
+                elif held > 0 and held + n > limit:
+                    chunk, held = chunk + 1, 0
+                held += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[key, order, "chunk"])
+
+    return rows.mapInArrow(fold, f"`{key}` {items.schema[key].dataType.simpleString()}, `{order}` long, chunk int")
 
 
 def coerce_cards(replies: DataFrame, batch: DataFrame) -> DataFrame:

@@ -48,10 +48,18 @@ def derive_crosscuts(stages: DataFrame, members: DataFrame, nodes: DataFrame, ke
 
 
 def derive_subsystems(members: DataFrame, nodes: DataFrame, kept: DataFrame, markers: DataFrame) -> DataFrame:
-    """MP-6: per stage the subsystems (marker, subsystem) whose marker is in the id of a boundary node its members call."""
+    """MP-6: per stage the subsystems (marker, subsystem) whose marker is in the id of a boundary node its members call.
+
+    Ids and markers meet on the markers' first characters, as many as the shortest one has,
+    and are then compared whole.  A blank marker stands for nothing.
+    """
     q = nodes.where("kind = 'internal'").select(F.col("id").alias("caller_id"), "qualname")
     targets = kept.where("callee_id LIKE 'boundary:%'").select("callee_id").distinct()
-    named = targets.join(F.broadcast(markers), F.instr(F.col("callee_id"), F.col("marker")) > 0)  # a table of some dozen markers
+    marks = markers.where("length(marker) > 0")
+    n = marks.agg(F.coalesce(F.min(F.length("marker")), F.lit(1))).first()[0]
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("callee_id") - (n - 1), F.lit(1))), lambda k: F.substr("callee_id", k, F.lit(n)))
+    parts = targets.select("callee_id", F.explode(F.array_distinct(starts)).alias("head"))
+    named = parts.join(marks.withColumn("head", F.substr("marker", F.lit(1), F.lit(n))), "head").where(F.instr(F.col("callee_id"), F.col("marker")) > 0).select("callee_id", "subsystem").distinct()
     calls = kept.join(q, "caller_id").select("qualname", "callee_id").distinct()
     return (
         members.select("stage", "qualname").distinct().join(calls, "qualname").join(named, "callee_id")
@@ -145,3 +153,16 @@ def remove_members(members: DataFrame, removed: DataFrame) -> DataFrame:
     for c in ("type", "line_start", "line_end"):
         same = same & (F.col(f"x_{c}").isNull() | (F.col(c) == F.col(f"x_{c}")))
     return members.join(r, same, "left_anti")
+
+
+def outlier_moves(outliers: DataFrame, members: DataFrame, stages: DataFrame) -> DataFrame:
+    """MP-4: members after moves of outliers (qualname, source, target) to known stages other than their own; of several moves of one member the least target counts."""
+    good = outliers.where("source <> target").join(stages.select(F.col("id").alias("target")), "target", "left_semi")
+    return reassign(members, good.groupBy("qualname", "source").agg(F.min("target").alias("target")))
+
+
+def audit_due(members: DataFrame, cache: DataFrame) -> DataFrame:
+    """MP-15: (stage, fingerprint) of stages whose members or purposes are not as the cache (stage, fingerprint) has them."""
+    identity = F.concat_ws("|", "qualname", "type", "line_start", "line_end", F.coalesce("purpose", F.lit("")))
+    now = members.groupBy("stage").agg(F.sha1(F.array_join(F.sort_array(F.collect_list(F.sha1(identity))), "\n")).alias("fingerprint"))
+    return now.join(cache.select("stage", "fingerprint"), ["stage", "fingerprint"], "left_anti")

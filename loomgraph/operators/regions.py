@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stages import first_error
@@ -11,8 +14,18 @@ from .stages import first_error
 THRESHOLD = 3
 
 
+def _settled(start: Column, end: Column, a: Column, b: Column, none: Column, threshold: int) -> Column:
+    """(start, end, status, distance) of a range whose borders would move to a and b; inverted results keep the range."""
+    inverted = none | (b < a)
+    distance = F.when(inverted, F.lit(0)).otherwise(F.greatest(F.abs(a - start), F.abs(b - end)))
+    status = F.when(inverted | (distance > threshold), "needs_review").when(distance == 0, "ok").otherwise("snapped")
+    return F.struct(
+        F.when(inverted, start).otherwise(a).alias("start"), F.when(inverted, end).otherwise(b).alias("end"), status.alias("status"), distance.alias("distance")
+    )
+
+
 def snapped(start: Column, end: Column, spans: Column, threshold: int = THRESHOLD) -> Column:
-    """RG-1: (start, end, status, distance): a range moved to statement borders.
+    """RG-1 for one range and its function's statements: (start, end, status, distance).
 
     spans: array of (s, e).  The start goes to the least statement start at or after it
     (else the last one), the end to the greatest statement end at or before it (else the
@@ -22,20 +35,29 @@ def snapped(start: Column, end: Column, spans: Column, threshold: int = THRESHOL
     a = F.coalesce(F.array_min(F.filter(starts, lambda x: x >= start)), F.array_max(starts))
     # of no end at or before the requested one, the end of the statement that comes first
     b = F.coalesce(F.array_max(F.filter(ends, lambda x: x <= end)), F.array_min(spans)["e"])
-    none = F.coalesce(F.size(spans), F.lit(0)) <= 0
-    inverted = none | (b < a)
-    distance = F.when(inverted, F.lit(0)).otherwise(F.greatest(F.abs(a - start), F.abs(b - end)))
-    status = F.when(inverted | (distance > threshold), "needs_review").when(distance == 0, "ok").otherwise("snapped")
-    return F.struct(
-        F.when(inverted, start).otherwise(a).alias("start"), F.when(inverted, end).otherwise(b).alias("end"), status.alias("status"), distance.alias("distance")
-    )
+    return _settled(start, end, a, b, F.coalesce(F.size(spans), F.lit(0)) <= 0, threshold)
 
 
 def snap(requests: DataFrame, statements: DataFrame, keys: list[str], threshold: int = THRESHOLD) -> DataFrame:
-    """RG-1: requests (keys, a, b, ...) snapped to the statements (keys, s, e) of the same function."""
-    spans = statements.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    r = requests.join(spans, keys, "left").withColumn("x", snapped(F.col("a"), F.col("b"), F.col("spans"), threshold))
-    return r.drop("spans").select(*requests.columns, "x.*")
+    """RG-1: requests (keys, a, b, ...) snapped to the statements (keys, s, e) of the same function.
+
+    Borders are found by running over requests and statements together in order, one sort
+    for starts and one for ends, so a function's statements are not gathered for every request.
+    """
+    st = statements.dropna(subset=keys)
+    row = F.struct(*(F.col(c) for c in requests.columns))
+    kind = requests.select(row.alias("row")).schema["row"].dataType
+    found = requests.select(*keys, row.alias("row"), F.lit(None).cast("int").alias("up"))
+    for column, asked, border in (("s", "a", F.desc("at")), ("e", "b", F.asc("at"))):
+        marks = st.select(*keys, F.col(column).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("row"), F.lit(None).cast("int").alias("up"), F.col(column).cast("int").alias("v"))
+        rows = found.select(*keys, F.col(f"row.{asked}").alias("at"), F.lit(1).alias("kind"), "row", "up", F.lit(None).cast("int").alias("v"))
+        w = Window.partitionBy(*keys).orderBy(border, "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        near = marks.unionByName(rows).withColumn("near", F.last("v", ignorenulls=True).over(w)).where("kind = 1")
+        found = near.select(*keys, "row", (F.col("near") if column == "s" else F.col("up")).alias("up"), F.col("near").alias("down"))
+    ends = st.groupBy(*keys).agg(F.max("s").alias("last_start"), F.min(F.struct("s", "e")).alias("first"))
+    r = found.join(ends, keys, "left")
+    x = _settled(F.col("row.a"), F.col("row.b"), F.coalesce("up", "last_start"), F.coalesce("down", F.col("first.e")), F.col("last_start").isNull(), threshold)
+    return r.select("row.*", x.alias("x")).select(*requests.columns, "x.*")
 
 
 def check_lines(status: Column, first: Column, last: Column, real_first: Column, real_last: Column) -> Column:
@@ -85,18 +107,26 @@ def validate_actions(actions: DataFrame, most: int = 3) -> DataFrame:
 def conflicts(actions: DataFrame) -> DataFrame:
     """RG-8: (qualname, ord, accepted): an action that names a region killed before is rejected and kills nothing.
 
-    A merge kills all its regions but the least, a split its own.  actions: qualname, ord, action, refs.
+    A merge kills all its regions but the least, a split its own.  actions: qualname, ord,
+    action, refs.  A function's actions stream through one task in order, which holds the
+    regions killed so far.
     """
-    rows = actions.groupBy("qualname").agg(F.array_sort(F.collect_list(F.struct("ord", "action", "refs"))).alias("rows"))
-    start = F.struct(F.array().cast("array<int>").alias("dead"), F.array().cast("array<struct<ord: int, accepted: boolean>>").alias("out"))
+    rows = actions.select("qualname", F.col("ord").cast("int").alias("ord"), "action", "refs").repartition("qualname").sortWithinPartitions("qualname", "ord", "action")
 
-    def step(state, row):
-        ok = ~F.arrays_overlap(state["dead"], row["refs"])
-        kills = F.when(row["action"] == "merge", F.array_except(row["refs"], F.array(F.array_min(row["refs"])))).when(row["action"] == "split", row["refs"]).otherwise(F.array().cast("array<int>"))
-        dead = F.when(ok, F.concat(state["dead"], kills)).otherwise(state["dead"])
-        return F.struct(dead.alias("dead"), F.concat(state["out"], F.array(F.struct(row["ord"].cast("int").alias("ord"), ok.alias("accepted")))).alias("out"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, dead = object(), set()
+        for batch in batches:
+            out = []
+            for name, action, refs in zip(*(batch.column(c).to_pylist() for c in ("qualname", "action", "refs")), strict=True):
+                if name != now:
+                    now, dead = name, set()
+                refs = set(refs or ())
+                out.append(not refs & dead)
+                if out[-1] and action in ("merge", "split"):
+                    dead |= refs - ({min(refs)} if action == "merge" and refs else set())
+            yield pa.RecordBatch.from_arrays([batch.column("qualname"), batch.column("ord"), pa.array(out, pa.bool_())], names=["qualname", "ord", "accepted"])
 
-    return rows.select("qualname", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select("qualname", "r.*")
+    return rows.mapInArrow(fold, "qualname string, ord int, accepted boolean")
 
 
 def revise(regions: DataFrame, actions: DataFrame) -> DataFrame:
@@ -111,7 +141,7 @@ def revise(regions: DataFrame, actions: DataFrame) -> DataFrame:
     rows = regions.select("qualname", "stage", "line_start", "line_end", F.lit(None).cast("int").alias("ord"), "purpose").unionByName(told)
 
     def apply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["ord"].isna()].sort_values(["line_start", "line_end", "stage"])
+        own = rows[rows["ord"].isna()].sort_values(["line_start", "line_end", "stage", "purpose"])
         state: list[list[dict]] = [[{"stage": r.stage, "line_start": int(r.line_start), "line_end": int(r.line_end), "purpose": r.purpose}] for r in own.itertuples()]
         for r in rows[rows["ord"].notna()].sort_values("ord").itertuples():
             a = json.loads(r.purpose)

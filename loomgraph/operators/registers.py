@@ -12,6 +12,8 @@ SHAPE_WORDS = "reg state table map cache list queue set store data info flag ind
 #: fixed values: names of methods that change their object
 MUTATORS = "append add insert update pop remove clear extend push put set delete discard setdefault".split()
 
+MOST_PATTERNS = 10_000  # patterns that are sent to the tasks at once
+
 
 def words_of(column) -> F.Column:
     """Lower-case words of letters and digits."""
@@ -68,7 +70,12 @@ def code_sites(lines: DataFrame, patterns: DataFrame) -> DataFrame:
     method = F.nullif(F.regexp_extract("text", r"^\s*(?:async\s+)?def\s+(\w+)", 1), F.lit(""))
     w = Window.partitionBy("file").orderBy("line")
     inside = lines.withColumn("method", F.last(method, ignorenulls=True).over(w))
-    hit = inside.join(F.broadcast(patterns), F.expr("text RLIKE pattern"))  # a pattern a register: some dozen
+    # a line can match any pattern, so patterns go to all tasks, in blocks of a bounded size
+    blocks = max(1, -(-patterns.count() // MOST_PATTERNS))
+    hit = None
+    for k in range(blocks):
+        some = inside.join(F.broadcast(patterns.where(F.pmod(F.xxhash64("id", "pattern"), F.lit(blocks)) == k)), F.expr("text RLIKE pattern"))
+        hit = some if hit is None else hit.unionByName(some)
     after = F.expr("substring(text, regexp_instr(text, pattern))")
     write = after.rlike(r"^[\w.\[\]'\"]*\s*(?:[-+*/|&]?=)(?!=)") | after.rlike(r"^[\w.\[\]'\"]*\.(?:" + "|".join(MUTATORS) + r")\(")
     kind = F.when(F.col("method") == "__init__", "init").when(F.lower("method").rlike("reset|clear"), "reset").when(write, "write").otherwise("read")
