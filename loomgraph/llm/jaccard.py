@@ -481,7 +481,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     described, _, roots = similar_sets(docs)
     some = described.where("n > 0").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    ids = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join with a component of very many documents can be split
+    ids = keep(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
     out = some.join(ids, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     unnamed = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
