@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries, stage_queries, upkeep_queries
+from .plans import graph_queries, output_queries, source_queries, stage_queries, upkeep_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES, **stage_queries.QUERIES, **upkeep_queries.QUERIES}
-SQL: dict[str, str] = {**graph_queries.SQL, **stage_queries.SQL, **upkeep_queries.SQL}
+_PARTS = (graph_queries, stage_queries, upkeep_queries, source_queries, output_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+SQL: dict[str, str] = {name: text for part in _PARTS for name, text in part.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

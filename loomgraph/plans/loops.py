@@ -12,8 +12,14 @@ from ..operators import tree
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where a folder is set, else the table in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    """A reliable checkpoint where a folder is set, in the context or as spark.checkpoint.dir, else the table in memory."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df.cache()
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def converge(stages: DataFrame, file_stage: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], most: int = 6, patience: int = 2) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:

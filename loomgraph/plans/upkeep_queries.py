@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import json_block, python_source
-from ..operators import changes, gates, locate, regions, registers, resolve
+from ..functions import json_block
+from ..operators import changes, gates, locate, regions, registers
 from ..sources import markdown
 from .graph_queries import flat
 from .stage_queries import TREE
@@ -304,7 +304,8 @@ def lm_parse_verdict(r):
 
 
 @query("""WITH g AS (SELECT u.unit, b.*, greatest(1, least(5, coalesce((SELECT max(TRY_CAST(s.score AS INT)) FROM {scores} s WHERE s.unit = u.unit AND s.criterion = b.criterion), 1))) AS s FROM (SELECT DISTINCT unit FROM {scores}) u, {rubric} b)
-SELECT unit, round(sum(weight * s) / sum(weight), 3) AS overall, count(*) FILTER (kind = 'gate' AND s < floor) AS gate_failures, sum(weight * s) / sum(weight) >= 4 AND count(*) FILTER (kind = 'gate' AND s < floor) = 0 AS passed FROM g GROUP BY 1""")
+SELECT unit, round(CAST(sum(CAST(weight AS DECIMAL(18,6)) * s) AS DOUBLE) / CAST(sum(CAST(weight AS DECIMAL(18,6))) AS DOUBLE), 3) AS overall, count(*) FILTER (kind = 'gate' AND s < floor) AS gate_failures,
+  sum(CAST(weight AS DECIMAL(18,6)) * s) >= 4 * sum(CAST(weight AS DECIMAL(18,6))) AND count(*) FILTER (kind = 'gate' AND s < floor) = 0 AS passed FROM g GROUP BY 1""")
 def qs_verdict(r):
     return gates.weighted_verdict(r.rubric, r.scores)
 
@@ -350,39 +351,25 @@ def sc_declarations(r):
     return markdown.declarations(r.part.select(F.col("p_partkey").alias("doc"), F.when(F.col("p_partkey") % 3 == 0, three).otherwise(one).alias("text")))
 
 
-CODE_FILES = """SELECT concat('pkg', p_partkey % 20, '/mod', p_partkey, '.py') AS file, p_partkey AS ord, concat(
-  'from pkg', (p_partkey + 1) % 20, '.mod', (p_partkey + 1) % 200, ' import helper', chr(10), 'import json', chr(10), 'class Box:', chr(10), '    def __init__(self):', chr(10), '        self.n = ', p_partkey, chr(10),
-  '    def get(self):', chr(10), '        return self.put(json.loads("1"))', chr(10), '    def put(self, x):', chr(10), '        self.n += x', chr(10), '        return helper(x)', chr(10), 'def helper(x):', chr(10), '    return Box().get() + len(x)', chr(10)) AS source FROM {part}"""
-
-
-@query()
-def ex_python_functions(r):
-    """Functions of a made source file a part."""
-    return python_source.extract(r.spark.sql(CODE_FILES, part=r.part)).where("kind = 'function'").select("id", "qualname", "line_start", "line_end", "is_method", "signature")
-
-
-@query()
-def ex_python_calls(r):
-    return python_source.extract(r.spark.sql(CODE_FILES, part=r.part)).where("kind = 'call'").select("id", "name", "line", "is_await", "raw")
-
-
-@query()
-def rs_python_resolve(r):
-    """Resolved calls by type over the same files."""
-    records = python_source.extract(r.spark.sql(CODE_FILES, part=r.part)).persist()
-    return resolve.resolve_python(records).select("caller_id", "callee_id", "call_type", "line")
-
-
-@query()
+@query("SELECT event_id, props AS json FROM {events}")
 def lm_json_block(r):
     text = F.concat(F.lit("Answer {no} "), F.col("props"), F.lit(" done"))
     return r.events.select("event_id", json_block.extract_json(text).alias("json"))
 
 
-@query()
+@query("""WITH x AS (SELECT qualname, stage, line_start, line_end, purpose, ord, row_number() OVER (PARTITION BY qualname ORDER BY line_start, line_end, stage, purpose) AS k FROM {members} WHERE type = 'region'),
+g AS (SELECT qualname, count(*) AS n, min(ord) % 3 AS a FROM x GROUP BY 1), y AS (SELECT x.*, n, CASE WHEN n > 1 THEN a ELSE -1 END AS a FROM x JOIN g USING (qualname))
+SELECT qualname, stage, line_start, line_end, purpose FROM y WHERE a = -1 OR k > 2 OR (a > 0 AND k > 1) OR (a = 1 AND line_start >= line_end)
+UNION ALL SELECT qualname, max(CASE WHEN k = 1 THEN stage END), min(line_start), max(line_end), 'both' FROM y WHERE a = 0 AND k <= 2 GROUP BY 1
+UNION ALL SELECT qualname, stage, line_start, CASE WHEN h = 0 THEN line_start ELSE line_end END, purpose FROM (SELECT y.*, h, CASE WHEN h = 0 THEN y.line_start ELSE y.line_start + 1 END AS from_line FROM y, (VALUES (0), (1)) v(h) WHERE a = 1 AND k = 1 AND y.line_start < y.line_end) z WHERE h = 0
+UNION ALL SELECT qualname, stage, line_start + 1, line_end, purpose FROM y WHERE a = 1 AND k = 1 AND line_start < line_end
+UNION ALL SELECT qualname, 'stage-1', line_start, line_end, purpose FROM y WHERE a = 2 AND k = 1""")
 def rg_revise(r):
+    """Merges, splits and reassignments, one a function by its first region's order."""
     row = r.members.where("type = 'region'")
-    actions = row.groupBy("qualname").agg(F.count("*").alias("n")).where("n > 1").select(
-        "qualname", F.lit(0).alias("ord"), F.lit("merge").alias("action"), F.array(F.lit(0), F.lit(1)).alias("refs"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("target"), F.lit("both").alias("purpose")
-    )
+    first = F.min(F.struct("line_start", "line_end", "stage", "purpose"))["line_start"]
+    g = row.groupBy("qualname").agg(F.count("*").alias("n"), (F.min("ord") % 3).alias("k"), first.alias("at")).where("n > 1")
+    action = F.when(F.col("k") == 0, "merge").when(F.col("k") == 1, "split").otherwise("reassign")
+    refs = F.when(F.col("k") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    actions = g.select("qualname", F.lit(0).alias("ord"), action.alias("action"), refs.alias("refs"), "at", F.lit("stage-1").alias("target"), F.lit("both").alias("purpose"))
     return regions.revise(row, actions)

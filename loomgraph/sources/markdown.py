@@ -96,6 +96,14 @@ def chapters(docs: DataFrame) -> DataFrame:
     return title.join(text, ["doc", "head"], "left").select("doc", F.col("head").alias("line"), "title", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def sections(docs: DataFrame, level: int) -> DataFrame:
+    """SK-14: (doc, line, title, text): headings of one level outside fences, each with the lines up to the next of that or a higher level."""
+    lines = with_heading(lines_of(docs), rf"^#{{1,{level}}} ").where("head IS NOT NULL")
+    title = lines.where("line = head").where(F.col("text").rlike(rf"^#{{{level}}} ")).select("doc", "head", F.regexp_replace("text", r"^#+\s*", "").alias("title"))
+    text = lines.where("line > head").groupBy("doc", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    return title.join(text, ["doc", "head"], "left").select("doc", F.col("head").alias("line"), "title", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def blurb(text, most: int = 900):
     """PL-2: the paragraph after an Opening Explanation heading, cut to `most` characters at a sentence's end."""
     part = F.trim(F.regexp_replace(F.regexp_extract(text, r"(?si)opening explanation[^\n]*\n+(.*?)(?:\n\s*\n|\z)", 1), r"\s+", " "))
