@@ -35,7 +35,7 @@ from .textkit import SPACED, Lookup, Words, chunks, mix
 CLASSES, SLOTS = 32, 32  # class 0: the end of a text; slot 0: all words of a class without a slot of their own
 ROWS = 1 << 15  # most hashed feature rows of each factor
 HEAD = 1 << 20  # most words with broadcast counts
-RATES, SMOOTH = (0.5, 0.35), 4.0  # one rate a round
+RATES, SMOOTH = (0.5, 0.25), 64.0  # one rate a round; how many tokens of the prior a row starts with
 TOGETHER = 32_768  # tokens scored at once
 PIECES, FAN = 64, 64  # pieces of the sums, and groups of tasks, when they are added up
 _END = np.uint64(0x5851F42D4C957F2D)
