@@ -362,27 +362,28 @@ def _met(wide: DataFrame) -> DataFrame:
     return shared.groupBy("members", "rows", "centre", "name").agg(F.min("word").alias("word"))
 
 
-def _stars(rows: DataFrame) -> DataFrame:
+def _stars(met: DataFrame, about: DataFrame) -> DataFrame:
     """Close pairs (a, b, x, y) of a group's smallest member and each other one; x, y: a document of either."""
-    centre = rows.where("name = centre").dropDuplicates(["name"]).select(*(F.col(c).alias(f"{c}_a") for c in ("name", "n", "sketch", "fine", "least")))
+    centre = about.select(*(F.col(c).alias(f"{c}_a") for c in about.columns))
     near = F.col("n_a") + F.col("n")
     return (
-        rows.where("name <> centre").dropDuplicates(["centre", "name"]).join(centre, F.col("centre") == F.col("name_a"))
+        met.where("name <> centre").select("centre", "name").distinct().join(about, "name").join(centre, F.col("centre") == F.col("name_a"))
         .where("n_a * 5 >= n * 4 AND n * 5 >= n_a * 4").where(_apart("sketch_a", "sketch") * 9 <= near)
         .where((F.size("fine_a") == 0) | (F.size("fine") == 0) | (_apart("fine_a", "fine") * 9 <= near))
         .select(F.col("name_a").alias("a"), F.col("name").alias("b"), F.col("least_a").alias("x"), F.col("least").alias("y"))
     )
 
 
-def _cross(rows: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
+def _cross(met: DataFrame, about: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
     """Distinct close pairs (a, b, x, y) of different components that share a word.
 
     A group's members outside of its largest component are dealt into tiles of about
     TILE rows, those of the largest one into chunks; every pair of tiles, and of a chunk
     and a tile, is a run of its own, so no task holds a whole large group and pairs
-    inside the largest component are never made.
+    inside the largest component are never made.  Sketches join last, so they are
+    shuffled once, and only where a group still has several components.
     """
-    labelled = rows.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    labelled = met.select("word", "name").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     told = (
         labelled.groupBy("word", "root").agg(F.count("*").alias("n")).groupBy("word")
         .agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).where("all > most")
@@ -398,7 +399,8 @@ def _cross(rows: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
     keys = ["word", "low", "high"]
     return (
         dealt.withColumn("run", F.explode(F.when(is_main, with_main).otherwise(F.concat(with_tiles, with_chunks))))
-        .select("word", "run.low", "run.high", "tile", "name", "root", "n", "least", "sketch", "fine").repartition(*keys).sortWithinPartitions(*keys, "root")
+        .select("word", "run.low", "run.high", "tile", "name", "root").join(about, "name")
+        .select(*keys, "tile", "name", "root", "n", "least", "sketch", "fine").repartition(*keys).sortWithinPartitions(*keys, "root")
         .mapInArrow(lambda it: _close_in_groups(it, forest), "a long, b long, x long, y long").dropDuplicates(["a", "b"])
     )
 
@@ -446,19 +448,20 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     described = keep(wide.select("doc_id", "name", "n"), "described")
     met = keep(_met(wide), "met")
-    about = (
+    about = keep(
         wide.where("n > 0").groupBy("name")
         .agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.max_by(c, F.size("sketch")).alias(c) for c in ("sketch", "fine")))
+        .join(met.select("name").distinct(), "name", "left_semi"),
+        "about",
     )
-    rows = keep(met.select("word", "centre", "name").join(about, "name"), "rows")
-    forget(wide, met)
+    forget(wide)
     release(spark)
-    stars = keep(_stars(rows), "stars")
+    stars = keep(_stars(met, about), "stars")
     links = _verify(stars, docs)
     roots = components(links, "a", "b")
     forget(stars)
     for forest in (True, False):
-        close = keep(_cross(rows, roots, forest), "close")
+        close = keep(_cross(met, about, roots, forest), "close")
         if close.isEmpty():  # a spanning forest of no pairs: there are none
             forget(close)
             break
@@ -467,7 +470,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         links, before = links.unionByName(found), roots
         roots = components(found.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
         forget(before)
-    forget(rows)
+    forget(met, about)
     return described, links, roots
 
 
