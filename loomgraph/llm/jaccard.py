@@ -247,17 +247,6 @@ def _apart(a: str, b: str):
     return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
 
 
-def _finely_close(x: np.ndarray, y: np.ndarray, most: int) -> bool:
-    """Whether the finer sketches, where both sets have them, differ in `most` bits or fewer."""
-    if not len(x) or not len(y):
-        return True
-    if len(x) < len(y):
-        x, y = y, x
-    if len(x) > len(y):
-        x = x[: len(y)] ^ x[len(y) :]
-    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= most
-
-
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """Where each run of equal rows starts, and the number of rows."""
     new = np.zeros(len(columns[0]) + 1, bool)
@@ -306,8 +295,6 @@ def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterato
             edges = edges[edges <= ready]
             size = held.num_rows
             sketch = held["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(size, -1)
-            fine = held["fine"].combine_chunks()
-            fines, fine_at = fine.values.to_numpy(), fine.offsets.to_numpy()
             own = _runs(word, low, high, root)
             after = np.repeat(own[1:], np.diff(own))[:ready]  # pairs go from a row to those after its component's
             later = np.repeat(edges[1:], np.diff(edges)) - after
@@ -322,8 +309,7 @@ def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterato
                 for c in range(0, len(x), 65_536):
                     p, q = x[c : c + 65_536], y[c : c + 65_536]
                     apart = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64)
-                    near = np.flatnonzero(apart * 9 <= n[p] + n[q])
-                    near = near[[_finely_close(fines[fine_at[i] : fine_at[i + 1]], fines[fine_at[j] : fine_at[j + 1]], (int(n[i]) + int(n[j])) // 9) for i, j in zip(p[near].tolist(), q[near].tolist(), strict=True)]] if len(near) else near
+                    near = apart * 9 <= n[p] + n[q]
                     found.append(np.stack([name[p][near], name[q][near], least[p][near], least[q][near], root[p][near], root[q][near], apart[near]], 1))
                 at = to
             found = np.concatenate(found) if found else np.zeros((0, 7), np.int64)
@@ -364,16 +350,25 @@ def _met(wide: DataFrame) -> DataFrame:
 
 def _stars(met: DataFrame, about: DataFrame) -> DataFrame:
     """Close pairs (a, b, x, y) of a group's smallest member and each other one; x, y: a document of either."""
-    centre = about.select(*(F.col(c).alias(f"{c}_a") for c in about.columns))
-    near = F.col("n_a") + F.col("n")
+    other = about.select("name", "n", "sketch", "least")
+    centre = other.select(*(F.col(c).alias(f"{c}_a") for c in other.columns))
     return (
-        met.where("name <> centre").select("centre", "name").distinct().join(about, "name").join(centre, F.col("centre") == F.col("name_a"))
-        .where("n_a * 5 >= n * 4 AND n * 5 >= n_a * 4").where(_apart("sketch_a", "sketch") * 9 <= near)
-        .where((F.size("fine_a") == 0) | (F.size("fine") == 0) | (_apart("fine_a", "fine") * 9 <= near))
+        met.where("name <> centre").select("centre", "name").distinct().join(other, "name").join(centre, F.col("centre") == F.col("name_a"))
+        .where("n_a * 5 >= n * 4 AND n * 5 >= n_a * 4").where(_apart("sketch_a", "sketch") * 9 <= F.col("n_a") + F.col("n"))
         .select(F.col("name_a").alias("a"), F.col("name").alias("b"), F.col("least_a").alias("x"), F.col("least").alias("y"))
     )
 
 
+def _close_finely(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Those pairs that finer sketches, where both sets have them, allow too.  Only pairs meet them, as they are long."""
+    fines = about.where("size(fine) > 0")
+    p, q = (fines.select(F.col("name").alias(k), F.col("n").alias(f"n_{k}"), F.col("fine").alias(f"s_{k}")) for k in "ab")
+    return (
+        pairs.join(p, "a", "left").join(q, "b", "left")
+        .where(F.col("n_a").isNull() | F.col("n_b").isNull() | (_apart("s_a", "s_b") * 9 <= F.col("n_a") + F.col("n_b"))).select("a", "b", "x", "y")
+    )
+
+
 def _cross(met: DataFrame, about: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
     """Distinct close pairs (a, b, x, y) of different components that share a word.
 
@@ -399,8 +394,8 @@ def _cross(met: DataFrame, about: DataFrame, roots: DataFrame, forest: bool) ->
     keys = ["word", "low", "high"]
     return (
         dealt.withColumn("run", F.explode(F.when(is_main, with_main).otherwise(F.concat(with_tiles, with_chunks))))
-        .select("word", "run.low", "run.high", "tile", "name", "root").join(about, "name")
-        .select(*keys, "tile", "name", "root", "n", "least", "sketch", "fine").repartition(*keys).sortWithinPartitions(*keys, "root")
+        .select("word", "run.low", "run.high", "tile", "name", "root").join(about.drop("fine"), "name")
+        .select(*keys, "tile", "name", "root", "n", "least", "sketch").repartition(*keys).sortWithinPartitions(*keys, "root")
         .mapInArrow(lambda it: _close_in_groups(it, forest), "a long, b long, x long, y long").dropDuplicates(["a", "b"])
     )
 
@@ -456,15 +451,15 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     forget(wide)
     release(spark)
-    stars = keep(_stars(met, about), "stars")
+    stars = keep(_close_finely(_stars(met, about), about), "stars")
     links = _verify(stars, docs)
     roots = components(links, "a", "b")
     forget(stars)
     for forest in (True, False):
-        close = keep(_cross(met, about, roots, forest), "close")
-        if close.isEmpty():  # a spanning forest of no pairs: there are none
+        close = keep(_close_finely(_cross(met, about, roots, forest), about), "close")
+        if close.isEmpty():
             forget(close)
-            break
+            continue
         found = _verify(close, docs)
         forget(close)
         links, before = links.unionByName(found), roots
