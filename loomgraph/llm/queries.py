@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, licences, maxent, media, pieces, quality, secrets, tokenfile
+from . import decontaminate, html, jaccard, licences, maxent, media, phrases, pieces, quality, secrets, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -79,6 +79,33 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.findings(secrets.secret_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_phrase_collocation(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+SQL_13 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (
+  SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND NOT EXISTS (
+    SELECT 1 FROM f AS o WHERE o.lang = f.lang AND o.k > f.k AND 100 * o.f >= 100 * f.f AND contains(' ' || o.phrase || ' ', ' ' || f.phrase || ' '))),
+t AS (SELECT c.*, unnest(range(1, c.k)) AS cut, string_split(phrase, ' ') AS w FROM c),
+s AS (
+  SELECT t.lang, t.phrase, t.a, x.f AS l, y.f AS r, n.n, cut, 1000 * t.a::HUGEINT * n.n::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM t JOIN f AS x ON x.lang = t.lang AND x.phrase = array_to_string(w[:cut], ' ')
+  JOIN f AS y ON y.lang = t.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') JOIN n ON n.lang = t.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM b)
+SELECT * FROM z WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_media_columns": op2_media_columns,
@@ -90,8 +117,10 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_lm_scoring": op9_lm_scoring,
+    "op13_phrase_collocation": op13_phrase_collocation,
 }
 
 SQL = {
     "op7_ngram_jaccard_join": SQL_7,
+    "op13_phrase_collocation": SQL_13,
 }
