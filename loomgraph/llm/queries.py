@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, licences, maxent, media, phrases, pieces, quality, secrets, tokenfile
+from . import decontaminate, html, jaccard, licences, maxent, media, negatives, phrases, pieces, quality, secrets, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -79,6 +79,30 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.findings(secrets.secret_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (cast(label as bigint) + 1) % 10, label)"))
+    return negatives.hard_negatives(rows, "vec_id % 50 = 0")
+
+
+SQL_11 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS s
+  FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (
+  SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.same WHERE 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def op13_phrase_collocation(spark, sf_dir):
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
@@ -117,10 +141,12 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_lm_scoring": op9_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_phrase_collocation": op13_phrase_collocation,
 }
 
 SQL = {
     "op7_ngram_jaccard_join": SQL_7,
+    "op11_hard_negatives": SQL_11,
     "op13_phrase_collocation": SQL_13,
 }
