@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, licences, maxent, media, negatives, phrases, pieces, quality, secrets, tokenfile
+from . import decontaminate, html, jaccard, licences, maxent, media, negatives, personal, phrases, pieces, quality, secrets, tokenfile
 from .tables import read
 
 #: DuckDB: ASCII-lower-cased text and its words
@@ -103,6 +103,10 @@ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, n
 """
 
 
+def op12_pii(spark, sf_dir):
+    return personal.findings(personal.pii_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_phrase_collocation(spark, sf_dir):
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
@@ -142,6 +146,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_lm_scoring": op9_lm_scoring,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_pii": op12_pii,
     "op13_phrase_collocation": op13_phrase_collocation,
 }
 
