@@ -9,11 +9,13 @@ An n-gram is frequent only if all words and word pairs in it are, so the countin
 up: words, then pairs of frequent words, then longer runs of frequent pairs; in these
 rounds a key is a 64-bit hash, and the frequent keys are handed on as a bitmap of fixed
 size, whatever their number.  A hash that is shared only lets an n-gram through.  The last
-round counts what came through by its text, so that results are exact.
+round counts what came through, adds up what a task has met, and sums by text over
+tasks.  Within a task words and phrases are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import bounded, keep
+from .tables import bounded, keep, release
 from .textkit import Words, chunks, grams, mix, raw
 
 #: fixed values: bytes that end a piece, and those that end a word (these too)
@@ -31,6 +33,8 @@ INSIDE = ~PIECE_END
 INSIDE[[0x20, 0x09]] = False
 
 SHARD_BYTES = 6_000_000
+#: phrases that a task holds before it gives them on
+HELD = 500_000
 #: log2 of the bitmap's bits; 8 MB, and at most 16 MB come to the driver for it
 BITS = 26
 #: parts a language's phrases are ranked in before they are ranked together
@@ -176,25 +180,56 @@ def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFr
             known = spark.sparkContext.broadcast(found)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held = Counter(), Held()
         for batch in chunks(batches, most=SHARD_BYTES):
             shard = Shard(batch)
-            doc = shard.words.doc
-            n_words = np.bincount(doc, minlength=len(shard.langs)) if len(doc) else np.zeros(len(shard.langs), np.int64)
-            yield _rows(shard.langs, [None] * len(shard.langs), 0, n_words)
+            for lang, n in zip(shard.langs, np.diff(shard.words.first).tolist(), strict=True):
+                words[lang] += n
             for n, at, key, f in shard.counted(range(1, longest + 1), known.value):
                 hot = known.value(key)
-                at, f = at[hot], f[hot]
-                for a in range(0, len(at), 50_000):
-                    some = at[a : a + 50_000]
-                    yield _rows([shard.langs[d] for d in doc[some]], [shard.text(i, n) for i in some.tolist()], n, f[a : a + 50_000])
+                held.add(shard, n, at[hot], key[hot], f[hot])
+            if len(held.keys) > HELD:
+                yield from held.rows()
+                held = Held()
+        yield from held.rows()
+        yield _rows(list(words), [None] * len(words), np.zeros(len(words), np.int32), np.array(list(words.values()), np.int64))
 
     rows = texts.mapInArrow(spell, "lang string, phrase string, k int, f long")
     return rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
 
 
-def _rows(langs: list, phrases: list, n: int, f: np.ndarray) -> pa.RecordBatch:
+class Held:
+    """Phrases that a task has met, with their counts; a phrase is spelt when it is first met."""
+
+    def __init__(self) -> None:
+        self.keys, self.f = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.langs, self.texts, self.sizes = (np.zeros(0, kind) for kind in (object, object, np.int32))
+
+    def add(self, shard: Shard, n: int, at: np.ndarray, key: np.ndarray, f: np.ndarray) -> None:
+        """Keys ascend and none is met twice here."""
+        order = np.argsort(key)
+        at, key, f = at[order], key[order], f[order]
+        place = np.searchsorted(self.keys, key)
+        same = np.zeros(len(key), bool)
+        inside = place < len(self.keys)
+        same[inside] = self.keys[place[inside]] == key[inside]
+        self.f[place[same]] += f[same]
+        at, key, f, place = at[~same], key[~same], f[~same], place[~same]
+        new = np.empty(len(at), object), np.empty(len(at), object)
+        new[0][:] = [shard.langs[d] for d in shard.words.doc[at].tolist()]
+        new[1][:] = [shard.text(i, n) for i in at.tolist()]
+        self.keys, self.f, self.sizes = np.insert(self.keys, place, key), np.insert(self.f, place, f), np.insert(self.sizes, place, n)
+        self.langs, self.texts = np.insert(self.langs, place, new[0]), np.insert(self.texts, place, new[1])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.keys), 50_000):
+            some = slice(a, a + 50_000)
+            yield _rows(self.langs[some].tolist(), self.texts[some].tolist(), self.sizes[some], self.f[some])
+
+
+def _rows(langs: list, phrases: list, sizes: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
     text = pa.array(phrases, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), text, pa.array(np.full(len(langs), n, np.int32)), pa.array(f.astype(np.int64))], names=["lang", "phrase", "k", "f"])
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), text, pa.array(sizes.astype(np.int32)), pa.array(f.astype(np.int64))], names=["lang", "phrase", "k", "f"])
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000) -> DataFrame:
