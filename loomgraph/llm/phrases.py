@@ -178,6 +178,7 @@ def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFr
             if known is not None:
                 known.unpersist()
             known = spark.sparkContext.broadcast(found)
+            release(spark)  # a round's shuffle files aren't read again
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = Counter(), Held()
