@@ -37,6 +37,8 @@ SHARD_BYTES = 6_000_000
 HELD = 500_000
 #: log2 of the bitmap's bits; 8 MB, and at most 16 MB come to the driver for it
 BITS = 26
+#: most languages whose totals are sent to all tasks
+LANGS = 10_000
 #: parts a language's phrases are ranked in before they are ranked together
 PARTS = 64
 
@@ -244,6 +246,8 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     """
     counts = keep(phrase_counts(docs, longest, least), "phrases")
     total = counts.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    if total.count() <= LANGS:  # else a join by language, which one language may fill
+        total = F.broadcast(total)
     known = counts.where("phrase IS NOT NULL").withColumn("words", F.split("phrase", " "))
     phrases = known.where("k > 1")
     # a longer phrase as frequent goes through one that is longer by one word
