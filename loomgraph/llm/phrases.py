@@ -8,13 +8,16 @@ their counts.  Counts of all shards are summed by key.
 An n-gram is frequent only if all words and word pairs in it are, so the counting goes
 up: words, then pairs of frequent words, then longer runs of frequent pairs; in these
 rounds a key is a 64-bit hash, and the frequent keys are handed on as a bitmap of fixed
-size, whatever their number.  A hash that is shared only lets an n-gram through.  The last
-round counts what came through, adds up what a task has met, and sums by text over
-tasks.  Within a task words and phrases are told apart by 64-bit hashes.
+size, whatever their number; a bit that is shared only lets an n-gram through.  Counts are
+summed by 64-bit hashes of the n-grams and their language.  With each goes the least of its documents'
+hashes, and in a last round only those documents spell the n-gram, so that its text is
+not gathered from every task.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,8 +36,9 @@ INSIDE = ~PIECE_END
 INSIDE[[0x20, 0x09]] = False
 
 SHARD_BYTES = 6_000_000
-#: phrases that a task holds before it gives them on
-HELD = 500_000
+#: bits of a document's name, and the hash of an n-gram that a document of some name spells
+NAME = 24
+NAMED = f"key ^ shiftleft(cast(name as long), {64 - NAME})"
 #: log2 of the bitmap's bits; 8 MB, and at most 16 MB come to the driver for it
 BITS = 26
 #: most languages whose totals are sent to all tasks
@@ -49,11 +53,11 @@ class Known:
     def __init__(self) -> None:
         self.bits = np.zeros(1 << (BITS - 6), np.uint64)
 
-    def add(self, counted: DataFrame) -> None:
+    def add(self, counted: DataFrame, key: str = "key") -> None:
         """Also the keys of `counted`; Spark makes the bitmap's 64-bit parts, the driver puts them together."""
-        at = F.shiftrightunsigned("key", 64 - BITS)
-        parts = counted.groupBy(F.shiftright(at, 6).alias("part")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int))")).alias("bits"))
-        found = parts.toArrow()
+        at = F.shiftrightunsigned(F.expr(key), 64 - BITS)
+        bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+        found = counted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("part")).agg(F.bit_or(bit).alias("bits")).toArrow()
         self.bits[found["part"].to_numpy()] |= found["bits"].to_numpy().view(np.uint64)
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
@@ -91,13 +95,14 @@ def suffix_array(ids: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
     return order, common
 
 
-def intervals(order: np.ndarray, common: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A place of every n-gram and its count: the maximal intervals of suffixes that share n ids."""
+def intervals(order: np.ndarray, common: np.ndarray, left: np.ndarray, n: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of every n-gram, its count and the least value of its places: the maximal intervals of suffixes that share n ids."""
     first = np.flatnonzero(common < n)
     count = np.diff(np.append(first, len(order)))
+    least = np.minimum.reduceat(value[order], first)
     at = order[first]
     whole = left[at] >= n
-    return at[whole], count[whole]
+    return at[whole], count[whole], least[whole]
 
 
 class Shard:
@@ -108,6 +113,8 @@ class Shard:
 
     def __init__(self, batch: pa.RecordBatch):
         words = self.words = Words(batch.column("text"), INSIDE)
+        spans = words.at.tolist()
+        self.name = np.array([zlib.crc32(words.data[a:b]) >> (32 - NAME) for a, b in itertools.pairwise(spans)], np.int64)
         self.langs = [x if x is not None else "und" for x in batch.column("lang").to_pylist()]
         salt = Words(pa.array([f"l{x}" for x in self.langs]), np.ones(256, bool), lower=False).hash if self.langs else np.zeros(0, np.uint64)
         self.hash = mix(words.hash ^ salt[words.doc]) if len(words) else words.hash
@@ -117,8 +124,8 @@ class Shard:
         if len(words) > 1:
             self.together[:-1] = (ends[words.start[1:]] == ends[words.end[:-1]]) & (words.doc[1:] == words.doc[:-1])
 
-    def counted(self, sizes: range, known: Known | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(n, places, keys, counts) of the n-grams whose words and pairs are known."""
+    def counted(self, sizes: range, known: Known | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, places, keys, counts, least names of their documents) of the n-grams whose words and pairs are known."""
         place, together = np.arange(len(self.hash)), self.together.copy()
         if known is not None:
             fine = known(grams(self.hash, 1))
@@ -139,13 +146,14 @@ class Shard:
                 return
         _, ids = np.unique(self.hash[place], return_inverse=True)
         order, common = suffix_array(ids.astype(np.int64) + 1, left, sizes[-1])
+        name = self.name[self.words.doc[place]]
         for n in sizes:
-            at, count = intervals(order, common, left, n)
+            at, count, least = intervals(order, common, left, n, name)
             at = place[at]
             key = np.full(len(at), np.uint64(n))
             for k in range(n):
                 key = key * np.uint64(0xD6E8FEB86659FD93) + self.hash[at + k]
-            yield n, at, mix(key), count
+            yield n, at, mix(key), count, least
 
     def text(self, at: int, n: int) -> bytes:
         w = self.words
@@ -153,14 +161,15 @@ class Shard:
 
 
 def _keys(texts: DataFrame, sizes: range, known, least: int) -> DataFrame:
-    """Hashed keys of the n-grams met `least` times and more."""
+    """key, f and name (the least of its documents') of the n-grams met `least` times and more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=SHARD_BYTES):
-            for _, _, key, f in Shard(batch).counted(sizes, known.value if known else None):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f.astype(np.int64))], names=["key", "f"])
+            for _, _, key, f, name in Shard(batch).counted(sizes, known.value if known else None):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f.astype(np.int64)), pa.array(name.astype(np.int32))], names=["key", "f", "name"])
 
-    return texts.mapInArrow(count, "key long, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("key")
+    rows = texts.mapInArrow(count, "key long, f long, name int")
+    return rows.groupBy("key").agg(F.sum("f").alias("f"), F.min("name").alias("name")).where(F.col("f") >= least)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
@@ -173,66 +182,43 @@ def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFr
     spark = docs.sparkSession
     bounded(spark)
     texts = docs.select("text", "lang")
-    found, known = Known(), None
+    found, chosen, known, frequent = Known(), Known(), None, None
     for sizes in (range(1, 2), range(2, 3), range(3, longest + 1)):
         if sizes and sizes[-1] <= longest:
-            found.add(_keys(texts, sizes, known, least))
+            counted = keep(_keys(texts, sizes, known, least), "keys")
+            found.add(counted)
+            chosen.add(counted, NAMED)
+            frequent = counted if frequent is None else frequent.unionByName(counted)
             if known is not None:
                 known.unpersist()
             known = spark.sparkContext.broadcast(found)
             release(spark)  # a round's shuffle files aren't read again
+    namers = spark.sparkContext.broadcast(chosen)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Counter(), Held()
+        words: Counter = Counter()
         for batch in chunks(batches, most=SHARD_BYTES):
             shard = Shard(batch)
             for lang, n in zip(shard.langs, np.diff(shard.words.first).tolist(), strict=True):
                 words[lang] += n
-            for n, at, key, f in shard.counted(range(1, longest + 1), known.value):
-                hot = known.value(key)
-                held.add(shard, n, at[hot], key[hot], f[hot])
-            if len(held.keys) > HELD:
-                yield from held.rows()
-                held = Held()
-        yield from held.rows()
-        yield _rows(list(words), [None] * len(words), np.zeros(len(words), np.int32), np.array(list(words.values()), np.int64))
-
-    rows = texts.mapInArrow(spell, "lang string, phrase string, k int, f long")
-    return rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
-
-
-class Held:
-    """Phrases that a task has met, with their counts; a phrase is spelt when it is first met."""
-
-    def __init__(self) -> None:
-        self.keys, self.f = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.langs, self.texts, self.sizes = (np.zeros(0, kind) for kind in (object, object, np.int32))
-
-    def add(self, shard: Shard, n: int, at: np.ndarray, key: np.ndarray, f: np.ndarray) -> None:
-        """Keys ascend and none is met twice here."""
-        order = np.argsort(key)
-        at, key, f = at[order], key[order], f[order]
-        place = np.searchsorted(self.keys, key)
-        same = np.zeros(len(key), bool)
-        inside = place < len(self.keys)
-        same[inside] = self.keys[place[inside]] == key[inside]
-        self.f[place[same]] += f[same]
-        at, key, f, place = at[~same], key[~same], f[~same], place[~same]
-        new = np.empty(len(at), object), np.empty(len(at), object)
-        new[0][:] = [shard.langs[d] for d in shard.words.doc[at].tolist()]
-        new[1][:] = [shard.text(i, n) for i in at.tolist()]
-        self.keys, self.f, self.sizes = np.insert(self.keys, place, key), np.insert(self.f, place, f), np.insert(self.sizes, place, n)
-        self.langs, self.texts = np.insert(self.langs, place, new[0]), np.insert(self.texts, place, new[1])
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(self.keys), 50_000):
-            some = slice(a, a + 50_000)
-            yield _rows(self.langs[some].tolist(), self.texts[some].tolist(), self.sizes[some], self.f[some])
-
-
-def _rows(langs: list, phrases: list, sizes: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            for n, at, key, _, name in shard.counted(range(1, longest + 1), known.value):
+                hot = np.flatnonzero(known.value(key) & namers.value(key ^ (name.astype(np.uint64) << np.uint64(64 - NAME))))
+                for a in range(0, len(hot), 50_000):
+                    some = hot[a : a + 50_000]
+                    langs = [shard.langs[d] for d in shard.words.doc[at[some]].tolist()]
+                    yield _rows(langs, [shard.text(i, n) for i in at[some].tolist()], n, key[some].view(np.int64), [0] * len(some))
+        yield _rows(list(words), [None] * len(words), 0, [None] * len(words), list(words.values()))
+
+    rows = texts.mapInArrow(spell, "lang string, phrase string, k int, key long, f long")
+    once = rows.groupBy("key", F.when(F.col("key").isNull(), F.col("lang")).alias("of")).agg(F.min(F.struct("lang", "phrase", "k")).alias("p"), F.sum("f").alias("words"))
+    spelt = keep(once.select("key", "p.*", "words"), "phrases")
+    counted = spelt.drop("words").join(frequent.select("key", "f"), "key").select("lang", "phrase", "k", "f")
+    return counted.unionByName(spelt.where("key IS NULL").select("lang", "phrase", "k", F.col("words").alias("f")))
+
+
+def _rows(langs: list, phrases: list, n: int, key, f: list) -> pa.RecordBatch:
     text = pa.array(phrases, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), text, pa.array(sizes.astype(np.int32)), pa.array(f.astype(np.int64))], names=["lang", "phrase", "k", "f"])
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), text, pa.array(np.full(len(langs), n, np.int32)), pa.array(key, pa.int64()), pa.array(f, pa.int64())], names=["lang", "phrase", "k", "key", "f"])
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000) -> DataFrame:
@@ -244,7 +230,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     often as at all is left out.  Ranked by score, then a, both falling, then the phrase's bytes.
     Rows as `phrase_counts` takes them; products are decimals of 38 digits.
     """
-    counts = keep(phrase_counts(docs, longest, least), "phrases")
+    counts = keep(phrase_counts(docs, longest, least), "counts")
     total = counts.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     if total.count() <= LANGS:  # else a join by language, which one language may fill
         total = F.broadcast(total)

@@ -236,7 +236,7 @@ def test_collocations(spark):
 
 def test_phrase_counts_with_a_full_bitmap(spark, monkeypatch):
     """Keys that share bits cost, but change nothing."""
-    monkeypatch.setattr(phrases.Known, "add", lambda self, counted: self.bits.fill(np.uint64(2**64 - 1)))
+    monkeypatch.setattr(phrases.Known, "add", lambda self, counted, key="key": self.bits.fill(np.uint64(2**64 - 1)))
     rows = phrase_rows()
     df = spark.createDataFrame(rows, "text string, lang string")
     f, n = plain_counts(rows, 4)
@@ -257,6 +257,9 @@ def test_suffix_array():
     shared = lambda a, b: sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(a, b, strict=False)))
     assert common[1:].tolist() == [shared(a, b) for a, b in itertools.pairwise(suffix)]
     for n in range(1, 6):
-        at, count = phrases.intervals(order, common, left, n)
+        value = rng.integers(0, 1000, 300)
+        at, count, least = phrases.intervals(order, common, left, n, value)
         want = Counter(tuple(ids[i : i + n].tolist()) for i in range(300) if left[i] >= n)
-        assert dict(zip([tuple(ids[i : i + n].tolist()) for i in at], count.tolist(), strict=True)) == want
+        grams = [tuple(ids[i : i + n].tolist()) for i in at]
+        assert dict(zip(grams, count.tolist(), strict=True)) == want
+        assert all(least[k] == min(value[i] for i in range(300) if left[i] >= n and tuple(ids[i : i + n].tolist()) == g) for k, g in enumerate(grams))
