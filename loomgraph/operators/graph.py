@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: fixed values: names that count as built-in functions when a call to them stays unresolved
 BUILTINS = (
-    "abs all any bool bytes callable chr dict dir enumerate filter float format frozenset getattr hasattr hash hex id input int "
-    "isinstance issubclass iter len list map max min next object open ord print range repr reversed round set setattr sorted str sum super tuple type zip"
+    "len isinstance range enumerate zip list dict tuple set str int float bool type id print repr min max sum abs any all sorted reversed "
+    "getattr setattr hasattr callable open iter next map filter "
+    "RuntimeError ValueError TypeError TimeoutError Exception KeyError IndexError StopIteration NotImplementedError"
 ).split()
 UNRESOLVED, BOUNDARY, INIT = "unresolved:", "boundary:", ".__init__"
 
@@ -28,7 +29,7 @@ def dropped_calls(calls: DataFrame) -> DataFrame:
 
 def drop_category(target: Column) -> Column:
     """GR-2: the first rule that fits names the category."""
-    head = F.split_part(target, F.lit("."), F.lit(1))
+    head = F.trim(F.split_part(F.split_part(target, F.lit("."), F.lit(1)), F.lit("("), F.lit(1)))
     return (
         F.when(target.startswith("self.logger") | target.startswith("self._logger"), "inherited_method")
         .when(target.startswith("self."), "self_attr_unknown")

@@ -9,9 +9,12 @@ from . import tree
 from .nav import dirname
 
 #: fixed values: words of titles that tell nothing
-GENERIC = "the and for with from into stage module system core main code file files data".split()
+GENERIC = (
+    "mod lib main src rs errors error tests test common types type util utils helpers helper win unix core the and for of to a an with "
+    "support services service startup runtime shared cross cutting local data user system management handling primitives miscellaneous small libraries library"
+).split()
 #: fixed values: roles in the order in which core files are named; roles not listed come last
-CORE_ROLES = "entrypoint orchestration domain_logic io adapter data_model config util test".split()
+CORE_ROLES = "entrypoint orchestration domain_logic data_model io adapter config util test".split()
 LEAST_DF, MOST_DF, MOST_CORE, MOST_ENTRIES = 2, 6, 6, 8
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import numbering
 from .nav import internal
 
 IDENTITY = ["qualname", "type", "line_start", "line_end"]
@@ -98,7 +99,7 @@ def clean_queue(queue: DataFrame, nodes: DataFrame, missing: DataFrame) -> DataF
     asked = queue.groupBy("qualname").agg(F.min("ord").alias("ord")).join(known, "qualname", "left_semi").withColumn("again", F.lit(0))
     more = missing.where("reason = 'missing_llm_output'").select("qualname").distinct().join(asked.select("qualname"), "qualname", "left_anti")
     both = asked.unionByName(more.select("qualname", F.lit(None).cast("long").alias("ord"), F.lit(1).alias("again")), True)
-    return both.select("qualname", "again", F.row_number().over(Window.orderBy("again", "ord", "qualname")).alias("position"))
+    return numbering.numbered(both, "again", "ord", "qualname").select("qualname", "again", "position")
 
 
 def carry_over(invalidated: DataFrame, processed: DataFrame, failed: DataFrame) -> DataFrame:

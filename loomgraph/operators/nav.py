@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import numbering
+
 #: fixed values: names that hint at an entry point
-HINTS = "main run start serve handle execute process launch cli app entry entrypoint dispatch init".split()
+HINTS = "main run serve start execute exec dispatch handle handler cmd command app loop bootstrap".split()
 
 
 def first_sentence(text: Column, most: int) -> Column:
@@ -83,8 +85,8 @@ def totals(nodes: DataFrame, kept: DataFrame) -> DataFrame:
 def all_files(profile: DataFrame, scanned: DataFrame) -> DataFrame:
     """NV-8: scanned files with their function counts; files with functions first, by name, then the rest in scan order."""
     both = scanned.join(profile.select("file", "n_functions"), "file", "full")
-    w = Window.orderBy(F.col("n_functions").isNull(), F.when(F.col("n_functions").isNotNull(), F.col("file")), "ord")
-    return both.select("file", F.coalesce("n_functions", F.lit(0)).alias("n_functions"), F.row_number().over(w).alias("position"))
+    placed = numbering.numbered(both, F.col("n_functions").isNull(), F.when(F.col("n_functions").isNotNull(), F.col("file")), "ord", "file")
+    return placed.select("file", F.coalesce("n_functions", F.lit(0)).alias("n_functions"), "position")
 
 
 def file_adjacency(nodes: DataFrame, kept: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import tree
 
-#: fixed values: marks of register kinds
-ICONS = {"table": "▦", "queue": "⇥", "cache": "◌", "flag": "⚑"}
+#: fixed values: marks of what is done to a register
+ICONS = {"write": "✏️ writes", "read": "👁 reads", "clear": "🧹 clears", "reset": "♻️ resets"}
 #: what stands around a block that is put into a page, and is replaced when it is put there again
 OPENED, CLOSED = "<!-- enriched -->", "<!-- /enriched -->"
 
@@ -28,14 +28,20 @@ def relation_text(item: Column) -> Column:
     return F.when(target.isNotNull(), F.concat_ws(" — ", F.concat(F.lit("`"), target, F.lit("`")), why)).otherwise(item)
 
 
-def register_icon(ident: Column) -> Column:
-    """SK-13: the mark of a register by its id's words."""
-    out = F.lit("•")
-    for word, mark in ICONS.items():
-        out = F.when(F.contains(ident, F.lit(word)), mark).otherwise(out)
+def action_mark(action: Column) -> Column:
+    """SK-13: the mark of an action; one without a mark stands for itself, none is a question mark."""
+    out = F.coalesce(F.nullif(action, F.lit("")), F.lit("?"))
+    for name, mark in ICONS.items():
+        out = F.when(action == name, mark).otherwise(out)
     return out
 
 
+def interactions_text(items: Column) -> Column:
+    """SK-13: interactions (array of action, register, note) on one line."""
+    note = lambda i: F.when(F.coalesce(i["note"], F.lit("")) != "", F.concat(F.lit(" — "), i["note"])).otherwise("")
+    return F.array_join(F.transform(F.coalesce(items, F.array().cast("array<struct<action:string,register:string,note:string>>")), lambda i: F.concat(action_mark(i["action"]), F.lit(" `"), F.coalesce(i["register"], F.lit("")), F.lit("`"), note(i))), "; ")
+
+
 def function_cards(functions: DataFrame) -> DataFrame:
     """SK-7: (file, ord, id, text): a Markdown card a function; blank fields have no line.
 

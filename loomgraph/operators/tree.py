@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 1000  # a deeper tree is an error; the walk ends with the deepest stage, so the bound costs nothing
-
+from . import numbering
 
 def linked(stages: DataFrame) -> DataFrame:
     """TR-1: stages with parents that exist; the rest are at the top.  Children keep the stages' order."""
@@ -14,34 +13,33 @@ def linked(stages: DataFrame) -> DataFrame:
     return stages.join(ids, "parent", "left").withColumn("parent", F.when(F.col("known") & (F.col("parent") != F.col("id")), F.col("parent"))).drop("known")
 
 
-def paths(stages: DataFrame) -> DataFrame:
-    """TR-4, TR-7: (id, depth, path): ids from the top to each stage, and the ordinals along it; stages in a ring have depth 0 and their own path.
+def _links(stages: DataFrame) -> DataFrame:
+    return linked(stages).select("id", F.col("parent").alias("up"), "ord")
 
-    One recursive query over a tree of a few hundred rows and bounded depth.
-    """
-    spark = stages.sparkSession
-    tree = linked(stages).select("id", "parent", "ord")
-    found = spark.sql(
-        f"""WITH RECURSIVE t MAX RECURSION LEVEL {MOST_DEPTH} AS (
-          SELECT id, 0 AS depth, array(id) AS path, array(ord) AS ords FROM {{tree}} WHERE parent IS NULL
-          UNION ALL SELECT c.id, t.depth + 1, concat(t.path, array(c.id)), concat(t.ords, array(c.ord)) FROM {{tree}} c JOIN t ON c.parent = t.id)
-        SELECT * FROM t""",
-        tree=tree,
-    )
-    all_ids = stages.select("id", "ord").join(found, "id", "left")
-    return all_ids.select("id", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("path", F.array("id")).alias("path"), F.coalesce("ords", F.array("ord")).alias("ords"))
+
+def depths(stages: DataFrame) -> DataFrame:
+    """TR-4: (id, depth, top): steps from the top-level stage above each; stages in a ring, and below one, count as top-level."""
+    found = numbering.along(_links(stages).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)), {"depth": "int"})
+    return found.select("id", F.when(F.col("top").isNull(), 0).otherwise(F.col("depth")).alias("depth"), F.coalesce("top", "id").alias("top"))
+
+
+def _rooted(stages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, up, ord) without rings, and `depths`."""
+    d = numbering.settle(depths(stages))
+    links = _links(stages).join(d, "id")
+    return links.select("id", F.when(F.col("depth") > 0, F.col("up")).alias("up"), "ord"), d
 
 
 def closure(stages: DataFrame) -> DataFrame:
     """TR-5: (ancestor, id, distance), every stage its own ancestor at distance 0."""
-    p = paths(stages)
-    return p.select("id", "depth", F.posexplode("path").alias("k", "ancestor")).select("ancestor", "id", (F.col("depth") - F.col("k")).alias("distance"))
+    return numbering.pairs(_links(stages))
 
 
 def subtree_counts(stages: DataFrame, file_stage: DataFrame) -> DataFrame:
     """TR-2: files of each stage and all below it."""
     n = file_stage.groupBy(F.col("stage").alias("id")).agg(F.count("*").alias("n"))
-    return closure(stages).join(n, "id", "left").groupBy(F.col("ancestor").alias("id")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
+    own = _links(stages).join(n, "id", "left").select("id", "up", F.coalesce("n", F.lit(0)).alias("n"))
+    return numbering.below(own).select("id", F.col("total").alias("n_files"))
 
 
 def direct_files(file_stage: DataFrame, organised: DataFrame) -> DataFrame:
@@ -61,26 +59,41 @@ def chain_test(groups: DataFrame, stages: DataFrame) -> DataFrame:
     return size.join(most, "key", "left").select("key", "n", (F.coalesce("m", F.lit(0)) == F.col("n") - 1).alias("chain"))
 
 
+def _walk(stages: DataFrame, rank) -> DataFrame:
+    """(id, depth, top, position): each stage before those below it, which are in their order; stages at the top by `rank` of them first.
+
+    A stage's place is its parent's, and what stands before it among its siblings with all that is below them.
+    """
+    links, d = _rooted(stages)
+    size = numbering.below(links.withColumn("n", F.lit(1)))
+    first = F.when(F.col("up").isNull(), rank).otherwise(0)
+    before = numbering.running(links.join(size, "id"), [F.coalesce("up", F.lit("")), F.col("up").isNotNull(), first, F.col("ord"), F.col("id")], "before", F.col("total"))
+    least = before.groupBy(F.col("up").alias("of")).agg(F.min("before").alias("least"))
+    own = before.join(least, F.equal_null("up", "of")).select("id", "up", (F.col("before") - F.col("least") + 1).alias("position"))
+    return numbering.along(own, {"position": "long"}).select("id", F.col("position").cast("int").alias("position")).join(d, "id")
+
+
 def pre_order(stages: DataFrame) -> DataFrame:
     """TR-7: walk with heading levels (two more than the depth, six at most)."""
-    p = paths(stages)
-    return p.select("id", "depth", F.least(F.col("depth") + 2, F.lit(6)).alias("heading"), F.row_number().over(Window.orderBy("ords", "id")).alias("position"))
+    return _walk(stages, F.lit(0)).select("id", "depth", F.least(F.col("depth") + 2, F.lit(6)).alias("heading"), "position")
 
 
 def render_order(stages: DataFrame) -> DataFrame:
     """TR-8: top-level stages with all below them, then side stages, then cross-cutting ones and subsystems."""
-    p = paths(stages).withColumn("top", F.col("path")[0])
-    rank = F.when(F.col("top").startswith("stage-"), 0).when(F.col("top").startswith("side-"), 1).otherwise(2)
-    return p.select("id", F.row_number().over(Window.orderBy(rank, "ords", "id")).alias("position"))
+    rank = F.when(F.col("id").startswith("stage-"), 0).when(F.col("id").startswith("side-"), 1).otherwise(2)
+    return _walk(stages, rank).select("id", "position")
 
 
 def chapter_numbers(stages: DataFrame) -> DataFrame:
     """TR-9: numbers without gaps by place in the tree, for top-level stages (id stage-...) and all below them."""
-    t = linked(stages)
-    own = t.withColumn("k", F.row_number().over(Window.partitionBy("parent", F.col("parent").isNull() & F.col("id").startswith("stage-")).orderBy("ord", "id"))).select("id", "k")
-    p = paths(stages).where(F.col("path")[0].startswith("stage-"))
-    parts = p.select(F.col("id").alias("of"), F.posexplode("path").alias("at", "id")).join(own, "id")
-    return parts.groupBy(F.col("of").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "k"))), lambda s: s["k"].cast("string")), ".").alias("chapter"))
+    links, d = _rooted(stages)
+    group = F.struct(F.col("up"), (F.col("up").isNull() & F.col("id").startswith("stage-")).alias("top"))
+    ranked = numbering.running(links.withColumn("group", group), [F.col("group"), F.col("ord"), F.col("id")], "k")
+    least = ranked.groupBy(F.col("group").alias("of")).agg(F.min("k").alias("least"))
+    number = (F.col("k") - F.col("least") + 1).cast("string")
+    own = ranked.join(least, F.equal_null("group", "of")).select("id", "up", F.when(F.col("up").isNull(), number).otherwise(F.concat(F.lit("."), number)).alias("chapter"))
+    found = numbering.along(own, {"chapter": "string"}, joined=("chapter",))
+    return found.where(F.col("top").startswith("stage-")).select("id", "chapter")
 
 
 def cache_key(*parts) -> F.Column:
@@ -96,15 +109,16 @@ def with_content(stages: DataFrame, file_stage: DataFrame) -> DataFrame:
 
 def neighbours(stages: DataFrame) -> DataFrame:
     """TR-14: the stages before and after each in render order."""
-    w = Window.orderBy("position")
-    return render_order(stages).select("id", "position", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
+    o = numbering.settle(render_order(stages))
+    side = lambda by, name: o.select((F.col("position") + by).alias("position"), F.col("id").alias(name))
+    return o.join(side(1, "before"), "position", "left").join(side(-1, "after"), "position", "left").select("id", "position", "before", "after")
 
 
 def breadcrumbs(stages: DataFrame) -> DataFrame:
     """TR-15: titles from the top down to each stage."""
-    t = stages.select(F.col("id").alias("step"), "title")
-    p = paths(stages).select("id", F.posexplode("path").alias("k", "step")).join(t, "step")
-    return p.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda s: s["title"]), " / ").alias("trail"))
+    links, _ = _rooted(stages)
+    title = F.when(F.col("up").isNull(), F.col("title")).otherwise(F.concat(F.lit(" / "), "title"))
+    return numbering.along(links.join(stages.select("id", "title"), "id").select("id", "up", title.alias("trail")), {"trail": "string"}, joined=("trail",)).select("id", "trail")
 
 
 def landing_totals(stages: DataFrame, file_stage: DataFrame) -> DataFrame:

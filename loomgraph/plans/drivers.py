@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import python_source, scan, static_source
 from ..operators import graph, mapping, ordering, regions, resolve, stages
+from ..operators.numbering import settle
 from . import annotate, doctor, requests
-from .loops import settle
 
 Writer = Callable[[DataFrame], DataFrame]
 FUNCTION_COLUMNS = (

@@ -54,7 +54,7 @@ def gr_partition_edges(r):
 
 @query("""
 SELECT CASE WHEN t LIKE 'self.logger%' OR t LIKE 'self._logger%' THEN 'inherited_method' WHEN t LIKE 'self.%' THEN 'self_attr_unknown' WHEN t[1] IN ('''', '"') THEN 'string_literal_method'
-  WHEN split_part(t, '.', 1) IN ('len', 'sorted') THEN 'builtin' WHEN t LIKE '%.%' THEN 'local_var_method' ELSE 'bare_name' END AS category, count(*) AS n
+  WHEN trim(split_part(split_part(t, '.', 1), '(', 1)) IN ('len', 'isinstance', 'range', 'enumerate', 'zip', 'list', 'dict', 'tuple', 'set', 'str', 'int', 'float', 'bool', 'type', 'id', 'print', 'repr', 'min', 'max', 'sum', 'abs', 'any', 'all', 'sorted', 'reversed', 'getattr', 'setattr', 'hasattr', 'callable', 'open', 'iter', 'next', 'map', 'filter', 'RuntimeError', 'ValueError', 'TypeError', 'TimeoutError', 'Exception', 'KeyError', 'IndexError', 'StopIteration', 'NotImplementedError') THEN 'builtin' WHEN t LIKE '%.%' THEN 'local_var_method' ELSE 'bare_name' END AS category, count(*) AS n
 FROM (SELECT substr(callee_id, 12) AS t FROM {calls} WHERE call_type = 'unresolved') GROUP BY 1""")
 def gr_dropped_categories(r):
     return graph.dropped_calls(r.calls).groupBy("category").agg(F.count("*").alias("n"))
@@ -116,7 +116,7 @@ def nv_dir_map(r):
 
 
 @query(f"""WITH {NODES}, p AS (SELECT *, CASE WHEN n_callers = 0 AND line_start > 0 THEN 'root' ELSE 'name' END AS why FROM own
-  WHERE (n_callers = 0 AND line_start > 0) OR regexp_matches(lower(name), '^(main|run|start|serve|handle|execute|process|launch|cli|app|entry|entrypoint|dispatch|init)(_.*)?$'))
+  WHERE (n_callers = 0 AND line_start > 0) OR regexp_matches(lower(name), '^(main|run|serve|start|execute|exec|dispatch|handle|handler|cmd|command|app|loop|bootstrap)(_.*)?$'))
 SELECT qualname, file, CAST(n_callees AS BIGINT) AS n_callees, why FROM p QUALIFY row_number() OVER (PARTITION BY qualname ORDER BY n_callees DESC, CASE why WHEN 'root' THEN 0 ELSE 1 END, ord) = 1""")
 def nv_entry_points(r):
     return nav.entry_points(nodes_of(r))

@@ -9,17 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stages as stage_ops
 from ..operators import tree
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where a folder is set, in the context or as spark.checkpoint.dir, else the table in memory."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.cache()
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+from ..operators.numbering import settle
 
 
 def converge(stages: DataFrame, file_stage: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], most: int = 6, patience: int = 2) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
@@ -64,7 +54,7 @@ def rollup(stages: DataFrame, file_stage: DataFrame, cards: DataFrame, summarise
     description or title.
     """
     spark = stages.sparkSession
-    linked = tree.linked(stages).join(tree.paths(stages).select("id", "depth"), "id")
+    linked = tree.linked(stages).join(tree.depths(stages).select("id", "depth"), "id")
     own = file_stage.join(cards.select("file", "purpose"), "file", "left").groupBy(F.col("stage").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "purpose"))), lambda s: F.concat_ws(": ", s["file"], s["purpose"])), "\n").alias("files"))
     done = spark.createDataFrame([], "id string, parent string, ord long, summary string")
     for depth in range(linked.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], -1, -1):

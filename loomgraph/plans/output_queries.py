@@ -251,17 +251,21 @@ def lm_progress(r):
     return drivers.progress(asked, asked.where("doc_id % 4 = 0").unionByName(asked.where("doc_id % 8 = 0")))
 
 
-@query("""WITH t(tier, criterion, kind, weight, floor) AS (VALUES (1, 'grounding', 'gate', '0.30', 3), (1, 'coverage', 'gate', '0.25', 3), (1, 'flow', 'soft', '0.20', 2), (1, 'clarity', 'soft', '0.15', 2), (1, 'length', 'soft', '0.10', 2))
-SELECT tier, string_agg(concat('- ', criterion, ' (', kind, ', weight ', weight, CASE WHEN kind = 'gate' THEN concat(', at least ', floor) ELSE '' END, ')'), chr(10) ORDER BY kind, criterion) AS text FROM t GROUP BY 1""")
+@query("""WITH t(tier, criterion, kind, weight, floor) AS (VALUES (1, 'purpose_clarity', 'gate', '0.25', 3), (1, 'what_it_does', 'gate', '0.20', 3), (1, 'novice_accessibility', 'gate', '0.20', 3), (1, 'shape_fidelity', 'soft', '0.20', 3), (1, 'scannability_style', 'soft', '0.15', 3), (2, 'stage_role', 'gate', '0.18', 3), (2, 'control_flow', 'gate', '0.22', 3), (2, 'data_flow_validity', 'gate', '0.25', 3), (2, 'explains_why', 'soft', '0.15', 3), (2, 'adjacency', 'soft', '0.10', 3), (2, 'right_altitude_style', 'soft', '0.10', 3), (3, 'accuracy', 'gate', '0.25', 3), (3, 'io_params_precision', 'gate', '0.25', 3), (3, 'register_accuracy', 'gate', '0.15', 3), (3, 'code_detail_fidelity', 'soft', '0.15', 3), (3, 'non_obvious_surfaced', 'soft', '0.12', 3), (3, 'section_purity_style', 'soft', '0.08', 3)),
+x AS (SELECT tier, string_agg(concat('- ', criterion, ' (', kind, ', weight ', weight, CASE WHEN kind = 'gate' THEN concat(', at least ', floor) ELSE '' END, ')'), chr(10) ORDER BY kind, criterion) AS text FROM t GROUP BY 1)
+SELECT c.conv_id, tier, text FROM (SELECT DISTINCT conv_id FROM {conversations}) c JOIN x ON x.tier = c.conv_id % 3 + 1""")
 def qs_rubric_lines(r):
-    return requests.rubric_lines(requests.rubrics(r.spark).where("tier = 1"))
+    """The criteria that each conversation's judge is given, by its tier."""
+    judged = r.conversations.select("conv_id", (F.col("conv_id") % 3 + 1).cast("int").alias("tier")).distinct()
+    return judged.join(F.broadcast(requests.rubric_lines(requests.rubrics(r.spark))), "tier").select("conv_id", "tier", "text")  # three rows
 
 
-@query("""WITH s AS (SELECT l_orderkey AS unit, criterion, l_partkey % 6 AS score, CASE WHEN l_suppkey % 3 = 0 THEN concat('f', l_linenumber) ELSE ' ' END AS finding FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 'accuracy' WHEN 2 THEN 'coverage' WHEN 3 THEN 'flow' ELSE 'none' END AS criterion FROM {lineitem}) x)
+@query("""WITH s AS (SELECT l_orderkey AS unit, criterion, l_partkey % 6 AS score, CASE WHEN l_suppkey % 3 = 0 THEN concat('f', l_linenumber) ELSE ' ' END AS finding FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 'accuracy' WHEN 2 THEN 'io_params_precision' WHEN 3 THEN 'register_accuracy' WHEN 4 THEN 'code_detail_fidelity' WHEN 5 THEN 'non_obvious_surfaced' WHEN 6 THEN 'none' ELSE 'section_purity_style' END AS criterion FROM {lineitem}) x)
 SELECT unit, string_agg(concat('- ', criterion, ' ', score, CASE WHEN trim(finding) = '' THEN '' ELSE concat(': ', finding) END), chr(10) ORDER BY kind, criterion, concat('- ', criterion, ' ', score, CASE WHEN trim(finding) = '' THEN '' ELSE concat(': ', finding) END)) AS text FROM s JOIN {rubric} USING (criterion) WHERE score < floor OR trim(finding) <> '' GROUP BY 1""")
 def qs_findings(r):
-    criterion = F.element_at(F.array(F.lit("accuracy"), F.lit("coverage"), F.lit("flow")), F.least("l_linenumber", F.lit(3)))
-    s = r.lineitem.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("unit"), criterion.alias("criterion"), (F.col("l_partkey") % 6).alias("score"), F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("f"), "l_linenumber")).otherwise(" ").alias("finding"))
+    names = "accuracy io_params_precision register_accuracy code_detail_fidelity non_obvious_surfaced none section_purity_style".split()
+    criterion = F.element_at(F.array(*map(F.lit, names)), F.least("l_linenumber", F.lit(7)))
+    s = r.lineitem.select(F.col("l_orderkey").alias("unit"), criterion.alias("criterion"), (F.col("l_partkey") % 6).alias("score"), F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("f"), "l_linenumber")).otherwise(" ").alias("finding"))
     return requests.findings_lines(s, r.rubric)
 
 

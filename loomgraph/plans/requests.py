@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..operators import nav, stages, tree
 from .annotate import request_key
 
-#: fixed values: criteria of the three tiers (tier, criterion, kind, weight, floor): QS-2
+#: fixed values: criteria of the three tiers (tier, criterion, kind, weight, floor), of which only gates heed the floor: QS-2
 RUBRICS = (
-    (1, "grounding", "gate", 0.3, 3), (1, "coverage", "gate", 0.25, 3), (1, "flow", "soft", 0.2, 2), (1, "clarity", "soft", 0.15, 2), (1, "length", "soft", 0.1, 2),
-    (2, "purpose_validity", "gate", 0.18, 3), (2, "grounding", "gate", 0.22, 3), (2, "data_flow_validity", "gate", 0.25, 3), (2, "relations", "soft", 0.15, 2), (2, "clarity", "soft", 0.1, 2), (2, "length", "soft", 0.1, 2),
-    (3, "faithfulness", "gate", 0.25, 3), (3, "completeness", "gate", 0.2, 3), (3, "data_flow", "gate", 0.2, 3), (3, "relations", "soft", 0.15, 2), (3, "clarity", "soft", 0.1, 2), (3, "length", "soft", 0.1, 2),
+    (1, "purpose_clarity", "gate", 0.25, 3), (1, "what_it_does", "gate", 0.20, 3), (1, "novice_accessibility", "gate", 0.20, 3), (1, "shape_fidelity", "soft", 0.20, 3), (1, "scannability_style", "soft", 0.15, 3),
+    (2, "stage_role", "gate", 0.18, 3), (2, "control_flow", "gate", 0.22, 3), (2, "data_flow_validity", "gate", 0.25, 3), (2, "explains_why", "soft", 0.15, 3), (2, "adjacency", "soft", 0.10, 3), (2, "right_altitude_style", "soft", 0.10, 3),
+    (3, "accuracy", "gate", 0.25, 3), (3, "io_params_precision", "gate", 0.25, 3), (3, "register_accuracy", "gate", 0.15, 3), (3, "code_detail_fidelity", "soft", 0.15, 3), (3, "non_obvious_surfaced", "soft", 0.12, 3), (3, "section_purity_style", "soft", 0.08, 3),
 )
 
 

@@ -290,7 +290,7 @@ def rg_conflicts(r):
 
 @query(f"WITH RECURSIVE {TREE} SELECT id, depth FROM t")
 def tr_depth(r):
-    return tree.paths(r.stages).select("id", "depth")
+    return tree.depths(r.stages).select("id", "depth")
 
 
 @query(f"WITH RECURSIVE {TREE} SELECT ancestor, id, CAST(distance AS INT) AS distance FROM clo")

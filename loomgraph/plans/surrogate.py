@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS: dict[str, str] = {
     "functions": """
         SELECT p_partkey AS ord, concat('f', p_partkey) AS id,
-          CASE WHEN p_partkey % 97 = 0 THEN 'main' WHEN p_partkey % 89 = 0 THEN concat('run_', p_partkey % 50) ELSE concat('fn', p_partkey % 1500) END AS name,
+          CASE WHEN p_partkey % 97 = 0 THEN 'main' WHEN p_partkey % 89 = 0 THEN concat('run_', p_partkey % 50) WHEN p_partkey % 83 = 0 THEN 'Bootstrap' WHEN p_partkey % 79 = 0 THEN concat('exec_', p_partkey % 50)
+            WHEN p_partkey % 73 = 0 THEN 'cli' WHEN p_partkey % 71 = 0 THEN 'process' WHEN p_partkey % 67 = 0 THEN 'cmd' ELSE concat('fn', p_partkey % 1500) END AS name,
           concat(CASE WHEN p_partkey % 3 = 0 THEN concat('C', p_partkey % 11, '.') ELSE '' END,
-            CASE WHEN p_partkey % 97 = 0 THEN 'main' WHEN p_partkey % 89 = 0 THEN concat('run_', p_partkey % 50) ELSE concat('fn', p_partkey % 1500) END) AS qualname,
+            CASE WHEN p_partkey % 97 = 0 THEN 'main' WHEN p_partkey % 89 = 0 THEN concat('run_', p_partkey % 50) WHEN p_partkey % 83 = 0 THEN 'Bootstrap' WHEN p_partkey % 79 = 0 THEN concat('exec_', p_partkey % 50)
+            WHEN p_partkey % 73 = 0 THEN 'cli' WHEN p_partkey % 71 = 0 THEN 'process' WHEN p_partkey % 67 = 0 THEN 'cmd' ELSE concat('fn', p_partkey % 1500) END) AS qualname,
           concat(lower(p_type), '/', lower(replace(p_brand, '#', '_')), '.py') AS file, p_size AS line_start,
           CAST(p_size + p_partkey % 80 AS INT) AS line_end, concat('def ', p_name, '(', repeat('x, ', CAST(p_partkey % 60 AS INT)), ')') AS signature,
           CASE WHEN p_partkey % 3 = 0 THEN concat('C', p_partkey % 11) END AS class_name, p_partkey % 41 = 0 AS synthetic, 'internal' AS kind,
@@ -26,8 +28,8 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     "calls": """
         SELECT l_orderkey * 10 + l_linenumber AS ord, concat('f', l_partkey) AS caller_id,
-          CASE WHEN l_returnflag = 'R' THEN concat('unresolved:', CASE l_linenumber % 7 WHEN 0 THEN 'self.logger.info' WHEN 1 THEN 'self.other' WHEN 2 THEN '''s''.join' WHEN 3 THEN 'len'
-              WHEN 4 THEN 'obj.run' WHEN 5 THEN 'helper' ELSE 'sorted.x' END)
+          CASE WHEN l_returnflag = 'R' THEN concat('unresolved:', CASE l_linenumber % 7 WHEN 0 THEN 'self.logger.info' WHEN 1 THEN 'self.other' WHEN 2 THEN '''s''.join' WHEN 3 THEN CASE l_orderkey % 5 WHEN 0 THEN 'len' WHEN 1 THEN 'ValueError' WHEN 2 THEN 'super' WHEN 3 THEN 'hash' ELSE 'StopIteration' END
+              WHEN 4 THEN CASE l_orderkey % 3 WHEN 0 THEN 'obj.run' WHEN 1 THEN 'print (x).flush' ELSE 'input.read' END WHEN 5 THEN 'helper' ELSE 'sorted.x' END)
             WHEN l_suppkey % 5 = 0 THEN concat('boundary:pkg', l_orderkey % 7, CASE WHEN l_orderkey % 2 = 0 THEN concat('.Cls', l_orderkey % 3) ELSE '.sub' END, '.f', l_orderkey % 11)
             WHEN l_suppkey % 5 = 1 THEN concat('m', l_orderkey % 13, '.K', l_orderkey % 17, '.__init__') ELSE concat('f', l_orderkey) END AS callee_id,
           CASE WHEN l_returnflag = 'R' THEN 'unresolved' WHEN l_suppkey % 5 = 0 THEN 'boundary' WHEN l_suppkey % 5 = 1 THEN 'internal_constructor' ELSE 'internal_func' END AS call_type,
@@ -43,9 +45,13 @@ VIEWS: dict[str, str] = {
           concat('Part of it. Number ', n_nationkey), CASE WHEN n_nationkey % 11 = 10 THEN 'stage-77' ELSE concat('stage-', n_regionkey + 1) END, n_nationkey % 8 = 0 FROM {nation}
         UNION ALL SELECT CAST(n_regionkey * 1000 + 100 + n_nationkey AS BIGINT), concat('stage-', n_regionkey + 1, '.', n_nationkey, '.1'), concat('Leaf unit', n_nationkey % 5), 'Leaf',
           concat('stage-', n_regionkey + 1, '.', n_nationkey), FALSE FROM {nation} WHERE n_nationkey % 3 = 0
+        UNION ALL SELECT CAST(10000 + c.c_custkey AS BIGINT), concat('stage-c', c.c_custkey), concat('Account ', lower(c.c_mktsegment), ' desk', c.c_custkey % 400, ' support'),
+          concat('Holds account ', c.c_custkey, '. More.'), CASE WHEN c.c_custkey % 5 = 0 AND c.c_custkey >= 10 THEN concat('stage-c', CAST(floor(c.c_custkey / 5) AS BIGINT))
+            WHEN c.c_custkey % 5 = 1 AND c.c_custkey % 100 > 1 THEN concat('stage-c', c.c_custkey - 5) ELSE concat('stage-', n.n_regionkey + 1, '.', n.n_nationkey) END, FALSE
+          FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey
         UNION ALL SELECT CAST(9000 + k AS BIGINT), concat('crosscut-', k), concat('Shared zone', k), '', CAST(NULL AS VARCHAR(9)), TRUE FROM (SELECT DISTINCT n_nationkey % 4 AS k FROM {nation}) c""",
     "file_stage": """
-        SELECT f.file, f.k AS ord, CASE WHEN f.k % 9 = 0 THEN 'unassigned' WHEN f.k % 13 = 0 THEN 'stage-99' ELSE concat('stage-', n.n_regionkey + 1, '.', n.n_nationkey) END AS stage
+        SELECT f.file, f.k AS ord, CASE WHEN f.k % 9 = 0 THEN 'unassigned' WHEN f.k % 13 = 0 THEN 'stage-99' WHEN f.k % 4 = 1 THEN concat('stage-c', f.k % 700 + 1) ELSE concat('stage-', n.n_regionkey + 1, '.', n.n_nationkey) END AS stage
         FROM (SELECT file, min(ord) AS k FROM {functions} GROUP BY file) f JOIN {nation} n ON n.n_nationkey = f.k % 25""",
     "members": """
         SELECT CASE WHEN o.o_orderkey % 10 = 0 THEN concat('crosscut-', o.o_orderkey % 4) ELSE concat('stage-', n.n_regionkey + 1, '.', n.n_nationkey) END AS stage, o.o_orderkey AS ord, f.qualname,
@@ -60,7 +66,9 @@ VIEWS: dict[str, str] = {
     "contents": "SELECT doc_id AS ord, concat(source, '/', lang, '/', doc_id, '.py') AS file, concat(coalesce(text, ''), '') AS content FROM {documents}",
     "registers": """
         SELECT CAST(n_nationkey AS BIGINT) AS ord, concat('reg-zone', n_nationkey % 7, '-state') AS id, concat('State of stage-', n_regionkey + 1, ' and more') AS semantics,
-          split(concat('stage-', n_regionkey + 1, ',stage-', n_regionkey + 1, '.', n_nationkey, ',stage-99'), ',') AS stages FROM {nation}""",
+          split(concat('stage-', n_regionkey + 1, ',stage-', n_regionkey + 1, '.', n_nationkey, ',stage-99'), ',') AS stages FROM {nation}
+        UNION ALL SELECT CAST(1000 + s_suppkey AS BIGINT), concat('reg-desk', s_suppkey % 400, '-Queue'), concat('Queue of stage-c', s_suppkey, ' and more'),
+          split(concat('stage-', s_nationkey % 5 + 1, ',stage-c', s_suppkey), ',') FROM {supplier}""",
     "verdicts": """
         SELECT conv_id AS proposal, CAST(turn + 1 AS INT) AS round, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS INT) AS role_ord, role,
           CASE (conv_id * 7 + turn * 3 + length(role)) % 5 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'REVISE' WHEN 2 THEN 'REVISE' ELSE 'APPROVE' END AS decision,
@@ -69,11 +77,12 @@ VIEWS: dict[str, str] = {
     "rounds": """
         SELECT conv_id AS unit, CAST(turn + 1 AS INT) AS round, CAST(min(length(text)) % 40 AS DOUBLE) / 8.0 AS overall, min(length(text)) % 40 >= 32 AS passed FROM {conversations} GROUP BY conv_id, turn""",
     "scores": """
-        SELECT l_orderkey AS unit, CASE l_linenumber WHEN 1 THEN 'accuracy' WHEN 2 THEN 'coverage' WHEN 3 THEN 'flow' WHEN 4 THEN 'style' ELSE 'length' END AS criterion,
+        SELECT l_orderkey AS unit, CASE l_linenumber WHEN 1 THEN 'accuracy' WHEN 2 THEN 'io_params_precision' WHEN 3 THEN 'register_accuracy' WHEN 4 THEN 'code_detail_fidelity' WHEN 5 THEN 'non_obvious_surfaced' ELSE 'section_purity_style' END AS criterion,
           CASE WHEN l_suppkey % 11 = 0 THEN 'bad' ELSE concat('', l_suppkey % 8) END AS score FROM {lineitem}""",
     "rubric": """
-        SELECT 'accuracy' AS criterion, 'gate' AS kind, CAST(0.3 AS DOUBLE) AS weight, 3 AS floor UNION ALL SELECT 'coverage', 'gate', CAST(0.25 AS DOUBLE), 2 UNION ALL SELECT 'flow', 'soft', CAST(0.2 AS DOUBLE), 3
-        UNION ALL SELECT 'style', 'soft', CAST(0.15 AS DOUBLE), 3 UNION ALL SELECT 'length', 'soft', CAST(0.1 AS DOUBLE), 3""",
+        SELECT 'accuracy' AS criterion, 'gate' AS kind, CAST(0.25 AS DOUBLE) AS weight, 3 AS floor UNION ALL SELECT 'io_params_precision', 'gate', CAST(0.25 AS DOUBLE), 3
+        UNION ALL SELECT 'register_accuracy', 'gate', CAST(0.15 AS DOUBLE), 3 UNION ALL SELECT 'code_detail_fidelity', 'soft', CAST(0.15 AS DOUBLE), 3
+        UNION ALL SELECT 'non_obvious_surfaced', 'soft', CAST(0.12 AS DOUBLE), 3 UNION ALL SELECT 'section_purity_style', 'soft', CAST(0.08 AS DOUBLE), 3""",
     "spans": """
         SELECT user_id % 40 AS fn, CAST(event_id % 300 AS INT) AS s, CAST(event_id % 300 + user_id % 9 AS INT) AS e FROM {events}""",
     "requests": """

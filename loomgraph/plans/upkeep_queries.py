@@ -36,8 +36,8 @@ def re_stage_hits(r):
 
 
 @query(f"""WITH RECURSIVE {TREE}, h AS (SELECT id AS rid, unnest(stages) AS stage FROM {{registers}}), leaf AS (SELECT id FROM {{stages}} WHERE id NOT IN (SELECT up FROM s WHERE up IS NOT NULL)),
-cw AS (SELECT id AS leaf, unnest(string_split_regex(lower(title), '[^a-z0-9]+')) AS word FROM {{stages}}), rw AS (SELECT rid, stage, unnest(string_split_regex(lower(rid), '[^a-z0-9]+')) AS word FROM h),
-sunk AS (SELECT clo.id AS stage, rw.rid, min(rw.word) AS via FROM rw JOIN clo ON clo.ancestor = rw.stage AND distance > 0 JOIN leaf ON leaf.id = clo.id JOIN cw ON cw.leaf = clo.id AND cw.word = rw.word WHERE rw.word NOT IN ('reg', 'state', 'table', 'map', 'cache', 'list', 'queue', 'set', 'store', 'data', 'info', 'flag', 'index', 'buffer', '') GROUP BY 1, 2)
+cw AS (SELECT id AS leaf, unnest(string_split_regex(lower(title), '[^a-z0-9]+')) AS word FROM {{stages}}), rw AS (SELECT rid, stage, unnest(string_split(replace(lower(rid), 'reg-', ''), '-')) AS word FROM h),
+sunk AS (SELECT clo.id AS stage, rw.rid, min(rw.word) AS via FROM rw JOIN clo ON clo.ancestor = rw.stage AND distance > 0 JOIN leaf ON leaf.id = clo.id JOIN cw ON cw.leaf = clo.id AND cw.word = rw.word WHERE length(rw.word) > 2 AND rw.word NOT IN ('reg', 'state', 'catalog', 'store', 'context', 'policy', 'registry', 'config', 'runtime', 'data', 'id', 'identity', 'set', 'cache', 'buffer', 'profile', 'info', 'metadata', 'snapshot', 'window', 'queue') GROUP BY 1, 2)
 SELECT stage, rid AS id, '' AS via FROM h UNION ALL SELECT stage, rid, via FROM sunk WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.stage = sunk.stage AND h.rid = sunk.rid)""")
 def re_sunk(r):
     concepts = r.stages.select(F.col("id").alias("stage"), F.explode(registers.words_of(F.col("title"))).alias("word"))
@@ -54,16 +54,21 @@ def re_evidence(r):
     return registers.evidence(r.cards)
 
 
-CODE = """SELECT concat('f', o_custkey % 40) AS file, o_orderkey AS line, CASE o_orderkey % 9 WHEN 0 THEN '    def __init__(self):' WHEN 1 THEN '  def reset_all(self):' WHEN 2 THEN 'def work(x):' WHEN 3 THEN '        self.jobs = []' WHEN 4 THEN 'self.jobs.append(1)' WHEN 5 THEN 'if jobs == 3:'
-  WHEN 6 THEN 'y = cache.get(1)' WHEN 7 THEN 'cache[1] += 2' ELSE 'pass' END AS text FROM {orders}"""
+CODE = """SELECT concat('f', o_custkey % 40) AS file, o_orderkey AS line, CASE o_orderkey % 16 WHEN 0 THEN '    def __init__(self):' WHEN 1 THEN '    async def _reset_per_run_state(self):' WHEN 2 THEN 'def work(x):' WHEN 3 THEN '        self.jobs = []' WHEN 4 THEN 'self.jobs.append(1)' WHEN 5 THEN 'if self.jobs == 3:'
+  WHEN 6 THEN 'y = cache.get(1)' WHEN 7 THEN 'cache[1] += 2' WHEN 8 THEN 'cache[1][k] //= 2' WHEN 9 THEN 'class Other:' WHEN 10 THEN 'cache.sort (key=f)' WHEN 11 THEN 'cache.push(1)' WHEN 12 THEN '  def inner(self):' WHEN 13 THEN 'cache @= m; self.jobs' WHEN 14 THEN 'cache <= 3' ELSE 'pass' END AS text FROM {orders}"""
 
 
-@query(f"""WITH l AS ({CODE}), m AS (SELECT *, last_value(nullif(regexp_extract(text, '^\\s*(?:async\\s+)?def\\s+(\\w+)', 1), '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS method FROM l),
-h AS (SELECT p.id, m.*, substr(text, instr(text, regexp_extract(text, p.pattern))) AS rest FROM m JOIN (VALUES ('reg-jobs', 'jobs'), ('reg-cache', 'cache')) p(id, pattern) ON regexp_matches(m.text, p.pattern))
-SELECT id, file, line, method, CASE WHEN method = '__init__' THEN 'init' WHEN regexp_matches(lower(method), 'reset|clear') THEN 'reset' WHEN regexp_matches(rest, '^(jobs = |jobs\\.append|cache\\[1\\] \\+= )') THEN 'write' ELSE 'read' END AS kind FROM h""")
+SITES = (("reg-jobs", r"self\.jobs\b"), ("reg-cache", "cache"), ("reg-any", "jobs|cache"))
+
+
+@query(f"""WITH l AS ({CODE}), d AS (SELECT *, CASE WHEN text LIKE 'class %' THEN '?' WHEN text IN ('    def __init__(self):', '    async def _reset_per_run_state(self):', 'def work(x):') THEN regexp_extract(text, 'def (\\w+)', 1) END AS opened FROM l),
+m AS (SELECT file, line, text, coalesce(last_value(opened IGNORE NULLS) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING), '?') AS method FROM d),
+p AS (SELECT * FROM (VALUES ('reg-jobs', 'self\\.jobs\\b'), ('reg-cache', 'cache'), ('reg-any', 'jobs|cache')) v(id, pattern)),
+h AS (SELECT p.id, m.*, substr(text, instr(text, regexp_extract(text, p.pattern)) + length(regexp_extract(text, p.pattern))) AS rest FROM m JOIN p ON regexp_matches(m.text, p.pattern)),
+w AS (SELECT *, rest IN (' = []', '.append(1)', '[1] += 2', '[1][k] //= 2', '.sort (key=f)', ' @= m; self.jobs') AS writes FROM h)
+SELECT id, file, line, method, CASE WHEN NOT writes THEN 'read' WHEN method = '__init__' THEN 'init' WHEN method = '_reset_per_run_state' THEN 'reset' ELSE 'write' END AS kind FROM w""")
 def re_code_sites(r):
-    patterns = r.spark.createDataFrame([("reg-jobs", "jobs"), ("reg-cache", "cache")], "id string, pattern string")
-    return registers.code_sites(r.spark.sql(CODE, orders=r.orders), patterns)
+    return registers.code_sites(r.spark.sql(CODE, orders=r.orders), r.spark.createDataFrame(SITES, "id string, pattern string"))
 
 
 @query("SELECT file, arg_max(stage, concat(lpad(CAST(k AS VARCHAR), 9, '0'), stage)) AS stage FROM (SELECT file, stage, ord % 7 AS k FROM {file_stage} UNION ALL SELECT file, concat(stage, 'b'), 3 FROM {file_stage}) GROUP BY 1")
@@ -80,7 +85,7 @@ def lo_twins(r):
     return locate.twins(r.spark.sql(RS.replace("//", "DIV"), part=r.part).distinct())
 
 
-TOKENS = "tok AS (SELECT DISTINCT ord, id, w AS word FROM {stages}, unnest(string_split_regex(lower(title), '[^a-z0-9]+')) q(w) WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'into', 'stage', 'module', 'system', 'core', 'main', 'code', 'file', 'files', 'data'))"
+TOKENS = "tok AS (SELECT DISTINCT ord, id, w AS word FROM {stages}, unnest(string_split_regex(lower(title), '[^a-z0-9]+')) q(w) WHERE length(w) > 2 AND w NOT IN ('mod', 'lib', 'main', 'src', 'rs', 'errors', 'error', 'tests', 'test', 'common', 'types', 'type', 'util', 'utils', 'helpers', 'helper', 'win', 'unix', 'core', 'the', 'and', 'for', 'of', 'to', 'a', 'an', 'with', 'support', 'services', 'service', 'startup', 'runtime', 'shared', 'cross', 'cutting', 'local', 'data', 'user', 'system', 'management', 'handling', 'primitives', 'miscellaneous', 'small', 'libraries', 'library'))"
 
 
 @query(f"WITH {TOKENS} SELECT word, count(DISTINCT id) AS df FROM tok GROUP BY 1")
@@ -110,13 +115,13 @@ def lo_exemplar(r):
     return locate.exemplars(r.spark.sql(GROUPED, cards=r.cards))
 
 
-@query(f"WITH g AS ({GROUPED}) SELECT stage, CAST(k AS INT) AS rank, file, role, n_functions FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY coalesce(nullif(list_position(['entrypoint', 'orchestration', 'domain_logic', 'io', 'adapter', 'data_model', 'config', 'util', 'test'], role), 0), 99), n_functions DESC, file) AS k FROM g) WHERE k <= 6")
+@query(f"WITH g AS ({GROUPED}) SELECT stage, CAST(k AS INT) AS rank, file, role, n_functions FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY coalesce(nullif(list_position(['entrypoint', 'orchestration', 'domain_logic', 'data_model', 'io', 'adapter', 'config', 'util', 'test'], role), 0), 99), n_functions DESC, file) AS k FROM g) WHERE k <= 6")
 def lo_core_files(r):
     return locate.core_files(r.spark.sql(GROUPED, cards=r.cards))
 
 
 @query("""WITH x AS (SELECT stage, stem, min(ord) AS position FROM (SELECT stage, ord, regexp_extract(regexp_extract(file, '([^/]*)$', 1), '^(.*?)(\\.[^.]*)?$', 1) AS stem FROM {file_stage}) GROUP BY 1, 2)
-SELECT stage, string_agg(stem, ',' ORDER BY k) AS concepts FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY position, stem) AS k FROM x) WHERE k <= 8 GROUP BY 1""")
+SELECT stage, string_agg(stem, ',' ORDER BY k) AS concepts FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY position, stem) AS k FROM x WHERE stem NOT IN ('mod', 'lib', 'main', 'src', 'rs', 'errors', 'error', 'tests', 'test', 'common', 'types', 'type', 'util', 'utils', 'helpers', 'helper', 'win', 'unix', 'core', 'the', 'and', 'for', 'of', 'to', 'a', 'an', 'with', 'support', 'services', 'service', 'startup', 'runtime', 'shared', 'cross', 'cutting', 'local', 'data', 'user', 'system', 'management', 'handling', 'primitives', 'miscellaneous', 'small', 'libraries', 'library')) WHERE k <= 8 GROUP BY 1""")
 def lo_entry_concepts(r):
     return flat(locate.entry_concepts(r.file_stage.withColumn("position", F.col("ord"))), "concepts")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: fixed values: directories that hold no source of their own
 COMMON_SKIP = (
-    ".git .hg .svn .idea .vscode .tox .venv venv env node_modules __pycache__ .mypy_cache .pytest_cache .ruff_cache build dist target out vendor third_party .eggs"
+    ".git .hg .svn node_modules vendor target build dist out __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox venv .venv env .env site-packages .idea .vscode"
 ).split()
 #: per language: extensions in order, directories to skip, endings to drop
 LANGUAGES: dict[str, dict] = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import numbering
+
 #: fixed values: prefixes of stage ids, and of plan entries
 STAGE_ID = r"`((?:stage|side|crosscut)-[^`]*)`"
 PLAN_KINDS = ("will_modify", "will_add", "will_remove")
@@ -119,7 +121,7 @@ def rebuilt_index(old: DataFrame, new: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("after").orderBy("id"))
     fresh = fresh.select("id", F.coalesce(F.col("at"), F.col("last") + 1).alias("at"), rank.alias("k"))
     both = old.select("id", F.col("ord").cast("double").alias("at"), F.lit(0).alias("k")).unionByName(fresh)
-    return both.select("id", F.row_number().over(Window.orderBy("at", "k", "id")).alias("position"))
+    return numbering.numbered(both, "at", "k", "id").select("id", "position")
 
 
 def macros(lines: DataFrame) -> DataFrame:

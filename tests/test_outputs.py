@@ -2,10 +2,12 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomgraph.functions import python_source
-from loomgraph.operators import gates, inventory, mapping, regions, render
-from loomgraph.plans import drivers, targets
-from loomgraph.sources import artifacts
+from loomgraph.operators import gates, graph, inventory, locate, mapping, nav, numbering, patterns, regions, registers, render, tree
+from loomgraph.plans import drivers, requests, targets
+from loomgraph.sources import artifacts, discover
 
 STAGES = "ord long, id string, title string, description string, parent string, crosscut boolean"
 
@@ -67,8 +69,8 @@ def test_recovery(spark):
 def test_render_helpers(spark):
     t = spark.createDataFrame([('{"target": "f", "why": "x"}',), ("plain",)], "t string")
     assert [r[0] for r in t.select(render.relation_text(t.t)).collect()] == ["`f` — x", "plain"]
-    ids = spark.createDataFrame([("reg-job-queue",), ("reg-x",)], "i string")
-    assert [r[0] for r in ids.select(render.register_icon(ids.i)).collect()] == ["⇥", "•"]
+    ids = spark.createDataFrame([("read",), ("x",)], "i string")
+    assert [r[0] for r in ids.select(render.action_mark(ids.i)).collect()] == ["👁 reads", "x"]
     heads = spark.createDataFrame([("d", 1, 2, "A", "a"), ("d", 2, 3, "B", "b")], "doc string, line int, level int, title string, slug string")
     assert [r["text"] for r in render.toc(heads).orderBy("line").collect()] == ["- [A](#a)", "  - [B](#b)"]
 
@@ -204,3 +206,72 @@ def test_folds_and_snapping_match_plain_versions(spark):
     rubric = spark.createDataFrame([("a", "gate", 0.3, 3), ("b", "soft", 0.7, 3)], "criterion string, kind string, weight double, floor int")
     scores = spark.createDataFrame([("u", "a", "9"), ("u", "b", "4"), ("v", "b", "bad"), ("w", "zz", "5")], "unit string, criterion string, score string")
     assert {x["unit"]: (x["overall"], x["gate_failures"], x["passed"]) for x in gates.weighted_verdict(rubric, scores).collect()} == {"u": (4.3, 0, True), "v": (1.0, 1, False), "w": (1.0, 1, False)}
+
+
+def test_fixed_values():
+    """Values that results depend on, spelt out."""
+    assert {"ValueError", "KeyError", "StopIteration", "len", "filter"} <= set(graph.BUILTINS) and not {"super", "hash", "input", "object"} & set(graph.BUILTINS) and len(graph.BUILTINS) == 43
+    assert nav.HINTS == ["main", "run", "serve", "start", "execute", "exec", "dispatch", "handle", "handler", "cmd", "command", "app", "loop", "bootstrap"]
+    assert {"mod", "win", "unix", "shared", "libraries", "startup"} <= set(locate.GENERIC) and not {"stage", "module", "code", "file", "from"} & set(locate.GENERIC) and len(locate.GENERIC) == 46
+    assert locate.CORE_ROLES.index("data_model") == 3 and locate.CORE_ROLES[-1] == "test"
+    assert {"catalog", "registry", "window", "identity"} <= set(registers.SHAPE_WORDS) and not {"table", "map", "list", "flag", "index"} & set(registers.SHAPE_WORDS) and len(registers.SHAPE_WORDS) == 21
+    assert "sort" in registers.MUTATORS and not {"push", "put", "set", "delete"} & set(registers.MUTATORS) and len(registers.MUTATORS) == 11
+    assert {".env", "site-packages"} <= set(discover.COMMON_SKIP) and not {".eggs", "third_party"} & set(discover.COMMON_SKIP) and len(discover.COMMON_SKIP) == 21
+    assert [sum(round(100 * w) for t, _, _, w, _ in requests.RUBRICS if t == k) for k in (1, 2, 3)] == [100] * 3 and len(requests.RUBRICS) == 17
+    assert [c for t, c, kind, _, _ in requests.RUBRICS if t == 1 and kind == "gate"] == ["purpose_clarity", "what_it_does", "novice_accessibility"]
+
+
+def test_dropped_categories(spark):
+    ids = ["unresolved:self.logger.info", "unresolved:self.x.y", "unresolved:'a'.join", "unresolved:len", "unresolved:print (x).flush", "unresolved:KeyError", "unresolved:super", "unresolved:a.b"]
+    calls = spark.createDataFrame([(c, "f", "unresolved", False, 1, "", k) for k, c in enumerate(ids)], "callee_id string, caller_id string, call_type string, is_await boolean, line int, raw string, ord long")
+    got = [r["category"] for r in graph.dropped_calls(calls).orderBy("ord").collect()]
+    assert got == ["inherited_method", "self_attr_unknown", "string_literal_method", "builtin", "builtin", "builtin", "bare_name", "local_var_method"]
+
+
+def test_code_sites(spark):
+    text = "class A:\n    def __init__(self):\n        self.q = []\n        x = self.q\n    async def _reset_per_run_state(self):\n        self.q.clear()\nclass B:\n    z = self.q @ 1\ndef f():\n    self.q[a][b] **= 2\n    self.q.push(1)\n    self.q == 1\n    self.qq = 1\n"
+    lines = spark.createDataFrame([("a.py", k, t) for k, t in enumerate(text.split("\n"))] + [("b.py", 0, None)], "file string, line int, text string")
+    patterns = spark.createDataFrame([("r", r"self\.q\b"), ("any", "(?i)SELF.Q{2}"), ("or", "zzz|B:")], "id string, pattern string")
+    got = sorted((r["id"], r["line"], r["method"], r["kind"]) for r in registers.code_sites(lines, patterns).collect())
+    assert got == [
+        ("any", 12, "f", "write"), ("or", 6, "?", "read"), ("r", 2, "__init__", "init"), ("r", 3, "__init__", "read"), ("r", 5, "_reset_per_run_state", "reset"),
+        ("r", 7, "?", "read"), ("r", 9, "f", "write"), ("r", 10, "f", "read"), ("r", 11, "f", "read"),
+    ]
+
+
+def test_needles(spark, monkeypatch):
+    assert [patterns.literal_of(p) for p in (r"self\._x\b", "a|bcd", "ab*cde?f", "(abc)+de", "[abc]x", r"\d{3}foo", "x+yz", "(?i)abc", r"a\Qb", "", "ab{2}cd", "[]a]b", r"lo\.g")] == ["self._x", "", "cd", "de", "x", "foo", "yz", "", "", "", "cd", "b", "lo.g"]
+    rows = spark.createDataFrame([(0, "stage-12"), (1, "no"), (2, None), (3, "")], "k int, t string")
+    needles = spark.createDataFrame([("stage-1",), ("stage-12",), ("age",), (None,), ("age",)], "n string")
+    want = [(0, "age"), (0, "stage-1"), (0, "stage-12")]
+    assert sorted((r["k"], r["n"]) for r in patterns.found_in(rows, "t", needles, "n").collect()) == want
+    monkeypatch.setattr(patterns, "MOST_NEEDLES", 1)
+    assert sorted((r["k"], r["n"]) for r in patterns.found_in(rows, "t", needles, "n").collect()) == want
+    assert patterns.found_in(rows, "t", needles.limit(0), "n").count() == 0
+    assert patterns.found_in(rows, "t", spark.createDataFrame([("",)], "n string"), "n").count() == 3
+
+
+def test_deep_tree(spark):
+    """A chain of 100,000 stages, a ring, and what hangs below it."""
+    chain = lambda n: spark.range(n).selectExpr("concat('s', id) AS id", "IF(id = 0, NULL, concat('s', id - 1)) AS parent", "id AS ord", "'t' AS title")
+    more = spark.createDataFrame([("r1", "r2", 1, "x"), ("r2", "r1", 2, "y"), ("under", "r1", 3, "z"), ("self", "self", 4, "w"), ("lost", "nowhere", 5, "v")], "id string, parent string, ord long, title string")
+    d = tree.depths(chain(100_000).unionByName(more))
+    assert d.where("top = 's0'").agg(F.count("*"), F.max("depth"), F.count_if(F.col("id") != F.concat(F.lit("s"), "depth"))).first() == (100_000, 99_999, 0)
+    assert {r["id"]: (r["depth"], r["top"]) for r in d.where("top <> 's0'").collect()} == {x: (0, x) for x in ("r1", "r2", "under", "self", "lost")}
+    n = 1000
+    stages = chain(n).unionByName(more)
+    counts = {r["id"]: r["n_files"] for r in tree.subtree_counts(stages, stages.select(F.col("id").alias("stage"))).collect()}
+    assert all(counts[f"s{k}"] == n - k for k in range(n)) and counts["r1"] == counts["under"] == 1
+    at = {r["id"]: r["position"] for r in tree.pre_order(stages).collect()}
+    assert sorted(at.values()) == list(range(1, n + 6)) and all(at[f"s{k}"] == at["s0"] + k for k in range(n))
+    few = chain(40).unionByName(more)
+    assert tree.closure(few).count() == 40 * 41 // 2 + 5
+
+
+def test_running_numbers(spark):
+    df = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 AS k", "id % 3 AS w").repartition(7)
+    got = {r["k"]: (r["position"], r["s"]) for r in numbering.running(numbering.numbered(df, "k"), [F.col("k")], "s", F.col("w")).collect()}
+    weight = {(k * 7919) % 1000: k % 3 for k in range(1000)}
+    assert got == {k: (k + 1, sum(weight[j] for j in range(k))) for k in range(1000)}
+    assert "SinglePartition" not in numbering.numbered(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert numbering.numbered(df.limit(0), "k").count() == 0
