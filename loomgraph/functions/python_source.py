@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import static_source
+from . import static_source, syntax
 from .static_source import RECORDS
 
 #: fixed values: built-in types that say nothing about a parameter
@@ -324,7 +324,7 @@ def definitions(files: DataFrame) -> DataFrame:
                 else:
                     lang = next((lang for lang, ends in static_source.EXTENSIONS.items() if file.endswith(ends)), None)
                     own = [r for r in static_source.records(lang, file, source or "") if r["kind"] == "function"] if lang else []
-                    ok, found = static_source.balanced(lang, source or "") if lang else True, [(r["qualname"], r["line_start"], r["line_end"]) for r in own]
+                    ok, found = not syntax.errors(lang, source or "", file.endswith(".tsx")) if lang else True, [(r["qualname"], r["line_start"], r["line_end"]) for r in own]
                 rows += [(file, *x, ok) for x in found or [(None, None, None)]]
             yield pd.DataFrame(rows, columns=["file", "qualname", "line_start", "line_end", "parses"]).astype({"line_start": "Int32", "line_end": "Int32"})
 
@@ -345,7 +345,7 @@ def freeze_gate(files: DataFrame) -> DataFrame:
                 fixed = source
                 if source is not None and file.endswith(".py"):
                     fixed = tail_repaired(source)
-                elif source is not None and lang and not static_source.balanced(lang, source):
+                elif source is not None and lang and syntax.errors(lang, source, file.endswith(".tsx")):
                     fixed = None
                 rows.append((file, fixed, "frozen" if fixed is None else "ok" if fixed == source else "repaired"))
             yield pd.DataFrame(rows, columns=["file", "source", "state"])

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import typescript_lexer
+
 #: fixed values: types that say nothing about whose method is called
 PLAIN_TYPES = {
     "rust": frozenset("i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char str String Vec Box Option Result HashMap HashSet BTreeMap Rc Arc RefCell Cell Mutex RwLock Cow".split()),
@@ -42,38 +44,46 @@ RECORDS = (
 _STRINGS = {
     "rust": r"""b?r(?P<hash>#*)".*?"(?P=hash)|b?"(?:\\.|[^"\\])*"|b?'(?:\\(?:x..|u\{[^}]*\}|.)|[^'\\\n])'|'[A-Za-z_]\w*""",
     "go": r"""`[^`]*`|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""",
-    "typescript": r"""`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""",
 }
 _LEXERS = {
     lang: re.compile(rf"//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<string>{strings})|(?P<word>[A-Za-z_$#@]?[A-Za-z_$]\w*|_)|(?P<number>\d[\w.]*)|(?P<mark>::|->|=>|\.\.\.|\.\.=?|:=|<-|\?\.|[-+*/%^&|]=|[=!]==?|&&|\|\||[^\s\w])", re.DOTALL)
     for lang, strings in _STRINGS.items()
 }
 _ASSIGNS = frozenset("= += -= *= /= %= ^= &= |= :=".split())
-_CLOSING = {"(": ")", "[": "]", "{": "}"}
+_CLOSING = {"(": ")", "[": "]", "{": "}", "${": "}"}
+
+
+def _tokens(lang: str, text: str, jsx: bool) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the tokens of a source text."""
+    if lang == "typescript":
+        yield from typescript_lexer.lex(text, jsx)
+        return
+    for m in _LEXERS[lang].finditer(text):
+        if m.lastgroup and m.lastgroup != "hash" or m["string"]:
+            yield "string" if m["string"] else "word" if m["word"] else "number" if m["number"] else "mark", m.start(), m.end()
 
 
 class Source:
     """Tokens of a file: text, kind, start offset and line of each, and the partner of each bracket."""
 
-    def __init__(self, lang: str, text: str):
+    def __init__(self, lang: str, text: str, jsx: bool = False):
         self.lang, self.source = lang, text
         self.text: list[str] = []
         self.kind: list[str] = []
         self.start: list[int] = []
         self.line: list[int] = []
         line, seen = 1, 0
-        for m in _LEXERS[lang].finditer(text):
-            line += text.count("\n", seen, m.start())
-            seen = m.start()
-            if m.lastgroup and m.lastgroup != "hash" or m["string"]:
-                self.text.append(m[0])
-                self.kind.append("string" if m["string"] else "word" if m["word"] else "number" if m["number"] else "mark")
-                self.start.append(m.start())
-                self.line.append(line)
+        for kind, start, end in _tokens(lang, text, jsx):
+            line += text.count("\n", seen, start)
+            seen = start
+            self.text.append(text[start:end])
+            self.kind.append(kind)
+            self.start.append(start)
+            self.line.append(line)
         self.match: dict[int, int] = {}
         stack: list[int] = []
         for k, t in enumerate(self.text):
-            if self.kind[k] == "mark" and t in "([{":
+            if self.kind[k] == "mark" and t in _CLOSING:
                 stack.append(k)
             elif self.kind[k] == "mark" and t in ")]}" and stack and _CLOSING[self.text[stack[-1]]] == t:
                 self.match[stack[-1]] = k
@@ -210,7 +220,7 @@ class Reader:
     """Reads a file's items: its functions and the symbols by which calls are resolved."""
 
     def __init__(self, lang: str, file: str, text: str):
-        self.lang, self.file, self.s = lang, file, Source(lang, text)
+        self.lang, self.file, self.s = lang, file, Source(lang, text, file.endswith(".tsx"))
         self.sep, self.module = SEPARATOR[lang], module_of(lang, file)
         self.functions: list[Function] = []
         self.symbols: list[tuple[str, str | None, str, str]] = []  # kind, owner, name, target
@@ -651,7 +661,8 @@ def calls_of(s: Source, f: Function) -> list[dict]:
             found.append((s.start[first], -last, {"form": "macro", "head": None, "name": name, "raw": name[:80], "line": s.line[first], "is_await": s.at(last + 1) == "." and s.at(last + 2) == "await"}))
             k = last + 1
             continue
-        if s.at(k) == "(" and k > a and k - 1 not in patterns:
+        tagged = s.lang == "typescript" and s.kind[k] == "string" and s.text[k].startswith("`") and k > a and s.is_word(k - 1) and s.start[k - 1] + len(s.text[k - 1]) == s.start[k]
+        if (s.at(k) == "(" or tagged) and k > a and k - 1 not in patterns:
             call = _call(s, f, k, a)
             if call:
                 found.append(call)
@@ -741,10 +752,10 @@ def records(lang: str, file: str, text: str) -> list[dict]:
     return out
 
 
-def balanced(lang: str, text: str) -> bool:
-    """Whether all brackets have partners: what stands for the syntax gate (EX-X4) where no parser is installed."""
-    s = Source(lang, text)
-    return all(k in s.match for k in range(len(s)) if s.kind[k] == "mark" and s.text[k] in "()[]{}")
+def balanced(lang: str, text: str, jsx: bool = False) -> bool:
+    """Whether all brackets have partners."""
+    s = Source(lang, text, jsx)
+    return all(k in s.match for k in range(len(s)) if s.kind[k] == "mark" and s.text[k] in ("(", ")", "[", "]", "{", "}", "${"))
 
 
 def spans(lang: str, text: str, name: str) -> list[tuple[int, int]]:

@@ -84,6 +84,8 @@ export class Box«p» {
   put(x: number) {}
 }
 const helper«p» = (n: number) => missing(n);
+export function clean«p»(s: string) { return s.replace(/[{"]/g, "").split(`${helper«p»(2)} {`); }
+function last«p»() { return clean«p»(`a${`b${load(1 / 2)}`}`); }
 """,
 }
 #: per function: qualname, first and last line, whether a method, signature
@@ -91,7 +93,8 @@ FUNCTIONS = {
     "python": [("Box.__init__", 4, 5, True, "def __init__(self)"), ("Box.get", 6, 7, True, "def get(self)"), ("Box.put", 8, 10, True, "def put(self, x)"), ("helper", 11, 12, False, "def helper(x)")],
     "rust": [("Box«p»::new", 4, 4, False, "fn new() -> Self"), ("Box«p»::get", 5, 9, True, "fn get(&self, other: &Box«q») -> u8"), ("Box«p»::put", 10, 10, True, "fn put(&self, x: u8)"), ("helper«p»", 12, 12, False, "fn helper«p»(n: u8) -> u8")],
     "go": [("Box«p».Get", 6, 11, True, "func (b *Box«p») Get(other *Box«q») int"), ("Box«p».Put", 12, 12, True, "func (b *Box«p») Put(x int)"), ("helper«p»", 13, 13, False, "func helper«p»(n int) int")],
-    "typescript": [("Box«p».get", 4, 8, True, "async get(other: Box«q»): Promise<number>"), ("Box«p».put", 9, 9, True, "put(x: number)"), ("helper«p»", 11, 11, False, "helper«p» = (n: number) =>")],
+    "typescript": [("Box«p».get", 4, 8, True, "async get(other: Box«q»): Promise<number>"), ("Box«p».put", 9, 9, True, "put(x: number)"), ("helper«p»", 11, 11, False, "helper«p» = (n: number) =>"),
+        ("clean«p»", 12, 12, False, "function clean«p»(s: string)"), ("last«p»", 13, 13, False, "function last«p»()")],
 }
 MODULE = {"python": "pkg«k»/mod«p».", "rust": "pkg«k»::mod«p»::", "go": "pkg«k».mod«p».", "typescript": "pkg«k».mod«p»."}
 NEXT = {lang: m.replace("«k»", "«j»").replace("«p»", "«q»") for lang, m in MODULE.items()}
@@ -113,6 +116,8 @@ CALLS = {
     "typescript": [
         ("Box«p».get", 5, "@Box«p».put", "self_method"), ("Box«p».get", 5, "@helper«p»", "internal_func"), ("Box«p».get", 6, ">Box«q».get", "self_attr_method", "boundary:Box«q».get", "boundary"),
         ("Box«p».get", 6, "boundary:./util::load", "boundary"), ("Box«p».get", 7, ">Box«q».size", "param_method", "boundary:Box«q».size", "boundary"), ("helper«p»", 11, "unresolved:missing", "unresolved"),
+        ("clean«p»", 12, 'unresolved:s.replace(/[{"]/g, "").split', "unresolved"), ("clean«p»", 12, "unresolved:s.replace", "unresolved"), ("clean«p»", 12, "@helper«p»", "internal_func"),
+        ("last«p»", 13, "@clean«p»", "internal_func"), ("last«p»", 13, "boundary:./util::load", "boundary"),
     ],
 }
 EXTRACTS = {"python": python_source.extract}

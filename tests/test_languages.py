@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgraph.functions import python_source, static_source
+from loomgraph.functions import python_source, static_source, syntax, typescript_lexer
 from loomgraph.operators import resolve
 from loomgraph.plans import drivers
 
@@ -115,6 +115,51 @@ def test_typescript():
     ]
 
 
+LEXED = '''function a(x: string) { return x.replace(/[{]/g, "").split(/['"`]/); }
+function b(n: number) { const t = `one ${f(n, `two ${g({k: 1})} end`)} ${h()}`; return n / 2 / 3; }
+const c = (x) => { if (x) /}/.test(x); return tag`x${y()}`; };
+class K { m() { i++ / 2; const z = q! / 3; return this.n(/\\//); } n(r: RegExp) { return r } }
+function last() { done() }
+'''
+JSX = '''export function App(props: P) {
+  const [n, set] = useState(0);
+  const id = <T,>(x: T) => x;
+  return <div className="it's" onClick={() => set(n + 1)} data={load(n)}>
+    It's {render(n)} {/* c */} <b/> {list.map(x => <Item key={x} {...more(x)}>don't {inner(x)}</Item>)}
+    <></>
+  </div>;
+}
+function after() { return ok(1 < 2, a > b); }
+'''
+
+
+def test_typescript_lexing():
+    found = static_source.records("typescript", "a.ts", LEXED)
+    assert [f["qualname"] for f in kinds(found, "function")] == ["a", "b", "c", "K.m", "K.n", "last"]
+    assert [(c["id"], c["raw"]) for c in kinds(found, "call")] == [
+        ("a.a", 'x.replace(/[{]/g, "").split'), ("a.a", "x.replace"), ("a.b", "f"), ("a.b", "g"), ("a.b", "h"), ("a.c", "/}/.test"), ("a.c", "tag"), ("a.c", "y"), ("a.K.m", "this.n"), ("a.last", "done"),
+    ]
+    found = static_source.records("typescript", "a.tsx", JSX)
+    assert [f["qualname"] for f in kinds(found, "function")] == ["App", "after"]
+    assert [c["raw"] for c in kinds(found, "call")] == ["useState", "load", "render", "list.map", "ok"]
+    for text in ("`", "`${", "`${a", "/", "a /", "<div", "<div a=", "<div>{", "</", "`\\", "a++ /", "x = <T"):
+        for jsx in (False, True):
+            list(typescript_lexer.lex(text, jsx))
+
+
+def test_syntax_gate():
+    good = [("rust", RUST), ("go", GO), ("typescript", TS), ("typescript", LEXED), ("go", "package p\nfunc f(g func(int) List[int], x any) {\n\tswitch y := x.(type) {\n\tcase nil:\n\t\tz := y\n\t}\n}\n")]
+    good += [("rust", "fn f() { let Some(x) = y else { return }; if let Some(a) = b && let c = d { x == -1; } let g = || 1; let h = |v: &str| -> u8 { 2 }; matches!(x, = / %); }"), ("typescript", "const x = { class: 1, import: 2, let: 3 } as const;\nexport default function () {}\ntype A =\n  | 'x'\n  | 'y';\nimport('x');")]
+    assert [syntax.errors(lang, text) for lang, text in good] == [[]] * len(good) and syntax.errors("typescript", JSX, jsx=True) == []
+    bad = [
+        ("rust", "fn f( { }"), ("rust", "fn f() { let = 1; }"), ("rust", "fn f() { let x = 1 }"), ("rust", "fn f() { a = ; }"), ("rust", "fn f() { x == / 2 }"), ("rust", "struct { a: u8 }"), ("rust", "impl { }"), ("rust", "use a::b"),
+        ("go", "func {"), ("go", "package\n"), ("go", "func f() { x := / 2 }"), ("go", "import x y"), ("typescript", "const = 2"), ("typescript", "function (a) { return a == ; }"), ("typescript", "class A extends B"),
+        ("typescript", "x = 'abc\n"), ("typescript", "import { a } from;"), ("typescript", "function f { }"), ("typescript", "let x = `a ${b`;"),
+    ]
+    assert [t for lang, t in bad if not syntax.errors(lang, t)] == []
+    assert [line for line, _ in syntax.errors("rust", "fn f() { a = ; }\nfn g() {}\nfn h() { let = 2; }")] == [1, 3]  # reading goes on
+
+
 @pytest.mark.parametrize("text", ["", "fn", "fn f(", "impl {", "struct A {", "func (", "class A {", "}}}}", "use a::{b", "'", '"x', "import", "type", "const x =", "fn f() { let a = |", "match x {"])
 def test_broken_files_stop_nothing(spark, text):
     for lang in static_source.SEPARATOR:
