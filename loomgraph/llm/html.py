@@ -43,11 +43,12 @@ BREAKS_OUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 ) | SCOPES
 
-_TOKEN = re.compile(
-    r"(?P<comment><!--.*?(?:-->|\Z)|<[!?][^>]*>)"
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*+)>""",
-    re.DOTALL,
-)
+_START = re.compile(r"<(?:[!?/]|[a-zA-Z])")
+#: comments, and what HTML reads as one
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*>", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: what stands in a tag: only a quote after an equals sign opens a quoted value
+_ATTRIBUTES = re.compile(r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 DEEPEST = 512  # elements deeper than this count as their parents' children
@@ -154,13 +155,26 @@ def blocks_of(html: str) -> list[Block]:
             ends[name] = m.span() if m else (-1, -1)
         return ends[name] if ends[name][0] >= 0 else None
 
-    while m := _TOKEN.search(html, at):
-        parser.text(html[at : m.start()])
-        at = m.end()
-        if not m["name"]:
+    last = html.rfind(">")  # behind it nothing closes
+    while m := _START.search(html, at):
+        start = m.start()
+        comment = _COMMENT.match(html, start) if start < last or html.startswith("<!--", start) else None
+        if start > last and not comment:
+            break
+        parser.text(html[at:start])
+        if comment:
+            at = comment.end()
             continue
-        name, attributes = m["name"].lower(), m["attributes"]
-        if m["end"]:
+        tag = _NAME.match(html, start)
+        stop = _ATTRIBUTES.match(html, tag.end()).end()
+        if html[stop : stop + 1] != ">":  # the page's last quote opens here and doesn't close: its value ends with the tag
+            stop = html.find(">", stop)
+            if stop < 0:
+                at = start
+                break
+        at = stop + 1
+        name, attributes = tag[2].lower(), html[tag.end() : stop]
+        if tag[1]:
             parser.close(name)
         elif name in RAW:
             if name not in ("script", "style") and attributes.endswith("/"):

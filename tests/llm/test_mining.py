@@ -4,13 +4,14 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from loomgraph.llm import negatives, personal, phrases
+from loomgraph.llm import html, negatives, personal, phrases
 
 from . import cases
 
@@ -263,3 +264,19 @@ def test_suffix_array():
         grams = [tuple(ids[i : i + n].tolist()) for i in at]
         assert dict(zip(grams, count.tolist(), strict=True)) == want
         assert all(least[k] == min(value[i] for i in range(300) if left[i] >= n and tuple(ids[i : i + n].tolist()) == g) for k, g in enumerate(grams))
+
+
+# 1, its scanner -------------------------------------------------------------------
+
+
+def test_html_scanner():
+    text = lambda page: [b.text for b in html.blocks_of(page)]
+    assert text("<p>a<!-->b</p><p>c<!--->d<!-- x -- > y -->e<!-- z --!>f</p>") == ["ab", "cdef"]
+    assert text("<p data-x=it's>one</p><p>two's</p>") == ["one", "two's"]
+    assert text('<p class="x>Second</p>') == ["Second"] and text('<p class="a>b" title=\'<i>\'>c</p>') == ["c"]
+    assert text("<p a = 'x>y' b==c d=\"\">z</p>") == ["z"] and text('<p"x>q</p></3>r</>s<?php x ?>t<!doctype html>u') == ["q", "rstu"]
+    assert text("a < b and 1<2") == ["a < b and 1<2"] and text("x <b") == ["x <b"]
+    for page in ("<p x='" * 350_000, "<a " * 700_000, "<!" * 1_000_000, "<!--" * 500_000, "<p x='\">" * 200_000, "</" * 1_000_000, "<p x=\"<" * 300_000 + ">", "<" * 2_000_000):
+        began = time.monotonic()
+        html.blocks_of(page)
+        assert time.monotonic() - began < 20  # 2 MB, linear
