@@ -39,10 +39,15 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.\-]{{{LEAST},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key")
 
+#: words that names in code are made of, beside made-up ones
+TERMS = (
+    "get set user profile by id from cache or database load order item list update session parser handle request response build query index data model view render image file path config value string number "
+    "array object map filter reduce count total price account customer address street city country default max min size width height color key name type class method event listener service client server buffer"
+).split()
 BEFORE, WITHIN, AFTER = 24, 48, 24  # characters a window reads before its part of a candidate, of it, and after it
 STRIDE, TOGETHER = 24, 4096  # from window to window; windows made at once
 EMBED, WIDTH, FILTERS = 12, 5, 24
-EXAMPLES, EPOCHS, RECALL = 4000, 8, 0.98
+EXAMPLES, EPOCHS, RECALL = 6000, 8, 0.98
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -99,8 +104,12 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     low, digits = string.ascii_lowercase, string.digits
     word = lambda a=2, b=9: some("aeiou", 1, 1) + some("etaoinshrdlu", a, b)
     words = lambda k: " ".join(word() for _ in range(k))
+    syllable = lambda: pick(["", "s", "t", "c", "st", "tr", "pr", "ch", "b", "d", "f", "g", "m", "n", "p", "r", "v", "w", "qu", "j", "k", "y", "h", "l"]) + pick("aeiou") + pick(["", "n", "r", "t", "l", "s", "m", "ck", "nd", "st", "x", "p", "g", "te", "re", "ing"])
+    term = lambda: pick(TERMS) if rng.random() < 0.6 else "".join(syllable() for _ in range(int(rng.integers(1, 4))))
+    camel = lambda: "".join((term().title() if k else term()) + (str(rng.integers(200)) if rng.random() < 0.25 else "") for k in range(int(rng.integers(3, 7)))) + str(rng.integers(10))
+    uuid = lambda: "-".join(some(pick(["0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF"]), k, k) for k in (8, 4, 4, 4, 12))
     secrets = [
-        lambda: some("0123456789abcdef", 24, 64), lambda: some(string.ascii_letters + digits, 20, 48),
+        lambda: some("0123456789abcdef", 24, 64), lambda: some("0123456789ABCDEF", 24, 64), lambda: some(string.ascii_letters + digits, 20, 48),
         lambda: some(string.ascii_letters + digits + "+/", 28, 60) + pick(["", "=", "=="]), lambda: "AKIA" + some(string.ascii_uppercase + digits, 16, 16),
         lambda: pick(["sk-", "ghp_", "xoxb-", "glpat-", "pk_live_"]) + some(string.ascii_letters + digits, 20, 40), lambda: some(string.ascii_letters + digits + "_-", 22, 44),
     ]
@@ -111,6 +120,9 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: word(10, 18) + str(rng.integers(10)), lambda: f"{word(6, 9).title()}{word(6, 9).title()}{rng.integers(99)}",
         lambda: "=" * int(rng.integers(14, 30)) + pick(low) + pick(digits), lambda: f"{pick(low)}{pick(digits)}" * int(rng.integers(9, 16)),
         lambda: f"{word()}.{word()}.{word()}.{rng.integers(99)}.{word()}",
+        lambda: camel(), lambda: camel(), lambda: uuid(), lambda: uuid(), lambda: "_".join(term().upper() for _ in range(int(rng.integers(3, 6)))) + f"_{rng.integers(99)}", lambda: f"{term()}.{term()}.{term()}.{camel().title()}", lambda: f"{term().upper()}{rng.integers(99)}_{term().upper()}_{term().upper()}",
+        lambda: "_".join(term() for _ in range(int(rng.integers(3, 6)))) + str(rng.integers(99)), lambda: camel(),
+        lambda: f"{word(2, 4).upper()}-20{rng.integers(10, 30)}-{rng.integers(10**6):06d}", lambda: f"{word(4, 8)}{rng.integers(9)}{word(4, 8)}{rng.integers(9)}{word(3, 6)}",
     ]
     lead = [
         lambda: f'{pick(["key", "auth", "credential", "access", "private", "bearer", "pwd"])}{pick([" = ", ": ", "=", " "])}{pick(["", chr(34), chr(39)])}',

@@ -4,14 +4,16 @@ import itertools
 import math
 import random
 import re
+import string
 import time
+import uuid
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from loomgraph.llm import html, negatives, personal, phrases
+from loomgraph.llm import html, negatives, personal, phrases, secrets
 
 from . import cases
 
@@ -280,3 +282,28 @@ def test_html_scanner():
         began = time.monotonic()
         html.blocks_of(page)
         assert time.monotonic() - began < 20  # 2 MB, linear
+
+
+# 10, on what its generator does not make -------------------------------------------
+
+
+def test_secrets_outside_the_generator():
+    """Identifiers of words not trained on, and keys of plain alphabets."""
+    net, rng = secrets.network(), random.Random(5)
+    words = "create delete fetch invoice shipment widget panel timeout retry policy engine matrix vector tensor kernel thread socket protocol header footer sidebar button".split()
+    assert not set(words) & set(secrets.TERMS)
+
+    def camel():
+        some = [rng.choice(words) for _ in range(rng.randint(3, 7))]
+        some[rng.randrange(len(some))] += str(rng.randint(1, 99))
+        return some[0] + "".join(w.title() for w in some[1:])
+
+    harmless = {
+        "camel": camel, "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))), "snake": lambda: "_".join(rng.choice(words) for _ in range(4)) + str(rng.randint(1, 99)),
+        "constant": lambda: "_".join(rng.choice(words).upper() for _ in range(4)) + f"_{rng.randint(1, 99)}", "path": lambda: "/".join(rng.choice(words) for _ in range(4)) + f"/v{rng.randint(1, 9)}/a.html", "package": lambda: "org." + ".".join(rng.choice(words) for _ in range(3)) + f".{camel()}",
+    }
+    letters = string.ascii_letters + string.digits
+    keys = {"letters": lambda: "".join(rng.choice(letters) for _ in range(32)), "base64": lambda: "".join(rng.choice(letters + "+/") for _ in range(40)) + "=", "hex": lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(32)), "prefixed": lambda: "ghp_" + "".join(rng.choice(letters) for _ in range(36))}
+    share = lambda made, frame: np.mean([any(k == "model" for _, _, k in found) for found in secrets.spans_of([frame.format(made()) for _ in range(250)], net)])
+    assert all(share(f, "We call {} when the page loads.") <= 0.02 for f in harmless.values())
+    assert all(share(f, "Authorization: Bearer {} and more words.") >= 0.95 for f in keys.values())
