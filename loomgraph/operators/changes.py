@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 
 from .stages import UNASSIGNED
 
+#: parts a report's kind is ranked in before it is ranked whole
+REPORT_PARTS = 64
+
 
 def file_verdicts(known: DataFrame, edited: DataFrame) -> DataFrame:
     """CH-1: (file, verdict): removed, new, unchanged or changed.
@@ -141,9 +144,11 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def report(ledger: DataFrame, most: int = 200) -> DataFrame:
     """CH-6: (kind, n, items): per kind of a resync ledger (kind, item) the count and the first items by name, cut as a report's list."""
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("item"))
-    top = ledger.withColumn("rank", rank).groupBy("kind").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.col("item")))).alias("items"))
-    return top
+    part = F.pmod(F.xxhash64("item"), F.lit(REPORT_PARTS))
+    few = ledger.withColumn("rank", F.row_number().over(Window.partitionBy("kind", part).orderBy("item"))).where(F.col("rank") <= most)  # first in parts: a kind may hold the whole ledger
+    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("item"))).where(F.col("rank") <= most)
+    items = first.groupBy("kind").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return ledger.groupBy("kind").agg(F.count("*").alias("n")).join(items, "kind", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 
 def card_surgery(cards: DataFrame, renamed: DataFrame, gone: DataFrame, patched: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import random
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import python_source, scan, static_source
@@ -283,6 +283,45 @@ def assemble(units: DataFrame, cache: DataFrame, texts: DataFrame, replies: Data
     return whole.select("stage", "ord", "qualname", "kind", F.col("reply").alias("text")), open_.select("stage", "qualname", "request_key", "text")
 
 
+#: fixed value: how many units before a unit its request tells
+TOLD_BEFORE = 8
+
+
+def build_document(units: DataFrame, texts: DataFrame, replies: DataFrame, write: Writer | None = None, synopsis: Callable[[Column], Column] = lambda reply: reply) -> tuple[DataFrame, DataFrame]:
+    """QS-8: (document, open requests): a wavefront over all stages, in which a unit is asked once the units before it in its stage are answered.
+
+    Round k asks the k-th unit of every stage, with the synopses of the last TOLD_BEFORE
+    replies of the stage in its request; all stages advance together, each round is written,
+    and a run that stops goes on from the replies it has.  A stage with a unit that stays without a
+    reply is left out, its request stays open.  units: stage, ord, qualname, kind; one of a stage and name.
+    """
+    place = F.row_number().over(Window.partitionBy("stage").orderBy("ord", "qualname")) - 1
+    placed = settle(units.select("stage", "ord", "qualname", "kind", place.alias("k")))
+    rounds = placed.agg(F.max("k")).first()[0]
+    told = placed.select("stage", "k", "qualname", F.lit("").alias("reply")).limit(0)
+    open_ = None
+    for k in range(-1 if rounds is None else rounds + 1):
+        last = told.where(F.col("k") >= k - TOLD_BEFORE)
+        line = F.concat("qualname", F.lit(": "), F.coalesce(synopsis(F.col("reply")), F.lit("")))
+        before = last.groupBy("stage").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda s: s["line"]).alias("before"))  # TOLD_BEFORE at most
+        ready = placed.where(F.col("k") == k)
+        if k:  # a stage that misses a reply goes no further
+            ready = ready.join(told.where(F.col("k") == k - 1).select("stage"), "stage", "left_semi")
+        ready = ready.join(before, "stage", "left").withColumn("before", F.coalesce("before", F.array().cast("array<string>")))
+        asked = ready.join(requests.unit_requests(ready, texts), ["stage", "qualname"])
+        answered, replies = ask(settle(asked), replies, write)
+        answered = settle(answered)
+        told = settle(told.unionByName(answered.where("reply IS NOT NULL").select("stage", "k", "qualname", "reply")).repartition("stage", "k"))
+        missed = answered.where("reply IS NULL").select("stage", "qualname", "request_key", "text")
+        open_ = missed if open_ is None else open_.unionByName(missed)
+        if told.where(F.col("k") == k).isEmpty():
+            break
+    if open_ is None:
+        open_ = placed.select("stage", "qualname", F.lit("").alias("request_key"), F.lit("").alias("text")).limit(0)
+    whole = placed.join(told, ["stage", "k", "qualname"]).join(open_.select("stage").distinct(), "stage", "left_anti")
+    return whole.select("stage", "ord", "qualname", "kind", F.col("reply").alias("text")), open_
+
+
 def replay(scale: str, by_file: Callable[[], dict[str, DataFrame]], by_function: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
     """CH-20, CH-21: a resync at the named scale; run again with the same replies it gives the same tables, as nothing else goes in."""
     if scale not in ("large", "small"):

@@ -178,7 +178,7 @@ def mp_outliers(r):
     return mapping.outlier_moves(moves, r.members, r.stages).select("stage", "ord", "qualname")
 
 
-@query("""WITH p AS (SELECT stage, sha1(concat_ws('|', qualname, type, line_start, line_end, purpose)) AS h FROM {members}) SELECT stage, sha1(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM p GROUP BY 1 HAVING length(stage) % 2 = 1 OR count(*) % 2 = 0""")
+@query("""WITH p AS (SELECT stage, sha1(concat_ws('|', qualname, type, line_start, line_end, purpose)) AS h FROM {members}) SELECT stage, sha1(concat_ws('|', count(*), sum(CAST(concat('0x', substr(h, 1, 12)) AS BIGINT)), sum(CAST(concat('0x', substr(h, 13, 12)) AS BIGINT)))) AS fingerprint FROM p GROUP BY 1 HAVING length(stage) % 2 = 1 OR count(*) % 2 = 0""")
 def mp_audit_due(r):
     """Stages that are due where the cache has those of even names and odd sizes as they are, and others otherwise."""
     none = r.spark.createDataFrame([], "stage string, fingerprint string")
@@ -238,6 +238,20 @@ def _resync(r):
     return changes.resync_members(members, old, new, new.where("ord % 2 = 0").select("qualname", F.lit("placed").alias("stage")))
 
 
+@query("""WITH RECURSIVE u AS (SELECT conv_id AS stage, turn AS ord, concat('c', conv_id, '.t', turn) AS qualname, coalesce(min(text), '') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM {conversations} GROUP BY 1, 2, 3),
+w AS (SELECT stage, ord, k, qualname, sha1(concat('Describe ', qualname, ' (single).', chr(10), 'Told before: ', chr(10), chr(10), body)) AS h, CAST([] AS VARCHAR[]) AS told FROM u WHERE k = 0
+  UNION ALL SELECT u.stage, u.ord, u.k, u.qualname, sha1(concat('Describe ', u.qualname, ' (single).', chr(10), 'Told before: ', array_to_string(list_append(w.told, concat(w.qualname, ': ', substr(w.h, 1, 8)))[-8:], ', '), chr(10), chr(10), u.body)),
+    list_append(w.told, concat(w.qualname, ': ', substr(w.h, 1, 8))) FROM w JOIN u ON u.stage = w.stage AND u.k = w.k + 1 WHERE w.h NOT LIKE '0%')
+SELECT stage, ord, qualname, substr(h, 1, 8) AS text FROM w WHERE stage NOT IN (SELECT stage FROM w WHERE h LIKE '0%')""")
+def qs_document(r):
+    """Conversations as stages, turns as units; the writer answers with a hash of the request, and leaves some without an answer."""
+    turns = r.conversations.groupBy(F.col("conv_id").alias("stage"), F.col("turn").alias("ord")).agg(F.min("text").alias("text"))
+    units = turns.withColumn("qualname", F.concat(F.lit("c"), "stage", F.lit(".t"), "ord")).withColumn("kind", F.lit("single"))
+    write = lambda asked: asked.select("request_key", F.sha1("text").alias("h")).where("h NOT LIKE '0%'").select("request_key", F.substr("h", F.lit(1), F.lit(8)).alias("reply"))
+    none = r.spark.createDataFrame([], "request_key string, reply string")
+    return drivers.build_document(units, units, none, write)[0].select("stage", "ord", "qualname", "text")
+
+
 @query("SELECT file, CASE WHEN ord % 3 = 0 THEN 'a' WHEN ord % 3 = 1 AND ord % 2 = 0 THEN 'b' ELSE 'c' END AS reply, CASE WHEN ord % 3 = 0 THEN 0 WHEN ord % 3 = 1 AND ord % 2 = 0 THEN 1 ELSE 2 END AS tier FROM {cards} WHERE ord % 11 > 0 OR ord % 3 = 0 OR (ord % 3 = 1 AND ord % 2 = 0)")
 def cd_degrade(r):
     """Three tiers, of which the last leaves some files without an answer."""
