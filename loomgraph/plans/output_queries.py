@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes, mapping, nav, render, stages
 from ..sources import artifacts, markdown
-from . import drivers, requests
+from . import dialogue, drivers, requests
 from .graph_queries import flat
 from .stage_queries import TREE
 from .surrogate import Relations, sql
@@ -238,6 +238,30 @@ def _resync(r):
     return changes.resync_members(members, old, new, new.where("ord % 2 = 0").select("qualname", F.lit("placed").alias("stage")))
 
 
+@query("""WITH d AS (SELECT concat('d', user_id) AS dir, user_id AS u, count(*) AS n FROM {events} GROUP BY 1, 2)
+SELECT dir AS session, CASE WHEN u % 6 = 5 THEN concat('["once ', dir, '"]') ELSE concat('["', n, ' files"]') END AS stages, CASE WHEN u % 6 = 5 THEN 'oneshot' ELSE 'agent' END AS how,
+  CASE u % 6 WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 3 THEN 5 WHEN 4 THEN 3 ELSE 9 END AS n_turns FROM d""")
+def as_dialogue(r):
+    """Users as directories, their events as files.  The scripted writer orients itself, then proposes; some first propose nothing, call an unknown tool or say no JSON, and some never come to a draft."""
+    dirs = r.events.groupBy("user_id").agg(F.count("*").alias("n")).select(F.concat(F.lit("d"), "user_id").alias("dir"), F.concat("n", F.lit(" files")).alias("line"))
+
+    def write(asked):
+        u = F.regexp_extract("text", r"directory d(\d+)\.", 1).cast("long") % 6
+        files = F.regexp_extract("text", r"result: (\d+ files)", 1)
+        look = F.lit('I look: {"tool": "get_orientation", "argument": ""}')
+        propose = F.concat(F.lit('```json\n{"tool": "propose_skeleton", "argument": ["'), files, F.lit('"]}\n```'))
+        wrong = F.when(u == 1, '{"tool": "propose_skeleton", "argument": []}').when(u == 2, '{"tool": "read_file", "argument": "x"}').when(u == 3, "no call at all")
+        once = F.concat(F.lit('{"stages": ["once '), F.regexp_extract("text", r"directory (d\d+)\.", 1), F.lit('"]}'))
+        reply = F.when(F.startswith("text", F.lit("One request")), once).when((u == 5) | (files == ""), look).when(wrong.isNotNull() & ~F.contains("text", F.lit("error:")), wrong).otherwise(propose)
+        return asked.select("request_key", reply.alias("reply"))
+
+    sessions = dirs.select(F.col("dir").alias("session"), F.concat(F.lit("Draft stages of directory "), "dir", F.lit(".")).alias("task"))
+    once = lambda left: left.select("session", F.concat(F.lit("One request for directory "), "session", F.lit(".")).alias("text"))
+    none = r.spark.createDataFrame([], "request_key string, reply string")
+    drafts, turns = dialogue.converse(sessions, {"get_orientation": dialogue.orientation(dirs)}, none, write, once, most=4)
+    return drafts.join(turns.groupBy("session").agg(F.max("n").alias("n")), "session").select("session", "stages", "how", F.when(F.col("how") == "agent", F.col("n")).otherwise(F.col("n") + 1).cast("int").alias("n_turns"))
+
+
 @query("""WITH RECURSIVE u AS (SELECT conv_id AS stage, turn AS ord, concat('c', conv_id, '.t', turn) AS qualname, coalesce(min(text), '') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM {conversations} GROUP BY 1, 2, 3),
 w AS (SELECT stage, ord, k, qualname, sha1(concat('Describe ', qualname, ' (single).', chr(10), 'Told before: ', chr(10), chr(10), body)) AS h, CAST([] AS VARCHAR[]) AS told FROM u WHERE k = 0
   UNION ALL SELECT u.stage, u.ord, u.k, u.qualname, sha1(concat('Describe ', u.qualname, ' (single).', chr(10), 'Told before: ', array_to_string(list_append(w.told, concat(w.qualname, ': ', substr(w.h, 1, 8)))[-8:], ', '), chr(10), chr(10), u.body)),
