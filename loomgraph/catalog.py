@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries, output_queries, source_queries, stage_queries, upkeep_queries
+from .plans import detail_queries, graph_queries, output_queries, source_queries, stage_queries, upkeep_queries
 
-_PARTS = (graph_queries, stage_queries, upkeep_queries, source_queries, output_queries)
+_PARTS = (graph_queries, stage_queries, upkeep_queries, source_queries, output_queries, detail_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL: dict[str, str] = {name: text for part in _PARTS for name, text in part.SQL.items()}
