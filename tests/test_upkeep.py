@@ -48,6 +48,7 @@ def test_views_cover_their_tables(spark):
     ids = spark.range(0, 100_000, 2500).withColumnRenamed("id", "k")
     r.made["nation"] = spark.range(25).selectExpr("id AS n_nationkey", "id % 5 AS n_regionkey", "concat('N', id) AS n_name")
     r.made["region"] = spark.range(5).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name")
+    r.made["customer"] = spark.range(10).selectExpr("id AS c_custkey", "id AS c_nationkey", "'A' AS c_mktsegment")
     r.made["functions"] = spark.createDataFrame([(0, "q", "f", 1, 9)], "ord long, qualname string, file string, line_start int, line_end int")
     r.made["orders"] = ids.selectExpr("k AS o_orderkey", "0L AS o_custkey", "'F' AS o_orderstatus")
     r.made["lineitem"] = ids.selectExpr("k AS l_orderkey", "1 AS l_linenumber", "k AS l_partkey", "k AS l_suppkey")
