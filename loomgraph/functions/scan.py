@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import scripts
+
 #: fixed values: definition patterns by language; group `name`, and `owner` where a line names it
 DEFINITIONS = {
     "rust": re.compile(r"^(?P<indent>\s*)(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?P<async>async\s+)?(?:unsafe\s+)?fn\s+(?P<name>\w+)"),
@@ -39,7 +41,13 @@ def module_of(lang: str, file: str) -> str:
 
 
 def scan(lang: str, file: str, source: str) -> Iterator[dict]:
-    """Functions of a file, each followed by its calls."""
+    """Functions of a file, each followed by its calls; scripts by their syntax, or by lines where that can't be read."""
+    if lang in scripts.READERS:
+        try:
+            yield from list(scripts.records(lang, file, source, module_of(lang, file)))
+            return
+        except (SyntaxError, ValueError, RecursionError):
+            pass
     lines, sep, owner = source.split("\n"), SEPARATOR.get(lang, "."), None
     pattern, found = DEFINITIONS[lang], []
     for k, line in enumerate(lines):

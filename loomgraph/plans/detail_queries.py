@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import static_source
+from ..functions import markdown_html, static_source
 from ..operators import changes, gates, inventory, mapping, ordering, regions, tree
 from ..operators.numbering import shared_folder
 from ..sources import artifacts, discover, exports, markdown
@@ -14,6 +14,7 @@ from .graph_queries import flat
 from .source_queries import filled, made_files
 from .surrogate import Relations, sql
 
+NL = "chr(10)"
 QUERIES, SQL = {}, {}
 
 
@@ -294,3 +295,31 @@ def sk_card_store(r):
 def sk_slugs(r):
     heads = F.explode(F.array(*(F.struct(F.lit(n).alias("line"), t.alias("title")) for n, t in ((1, F.concat(F.lit("A & b "), "s_suppkey")), (2, F.concat(F.lit("a--B "), "s_suppkey")), (3, F.lit("!c"))))))
     return exports.unique_slugs(r.supplier.select(F.col("s_suppkey").alias("doc"), heads.alias("h")).select("doc", "h.*"))
+
+
+# --- pages -------------------------------------------------------------------------------
+
+PAGE = f"""SELECT s_suppkey AS k, concat('p', s_suppkey) AS id, s_name AS title, concat('# A <b> `x', s_suppkey, '`', {NL}, 'One *two*', {NL}, 'three & **four**', {NL}, {NL}, '- a', {NL}, '  - b [c](d.html)', {NL}, '    1. deep', {NL}, '- e', {NL}, {NL}, '| h | i |', {NL}, '|---|:-:|', {NL}, '| ', s_nationkey, ' | `z` |', {NL}, {NL},
+  '```python', {NL}, 'def f(x):  # no', {NL}, '    return "s" + ', s_nationkey, {NL}, '```', {NL}, '> said', {NL}, '> on', {NL}, '---', {NL}, 'end') AS text FROM {{supplier}}"""
+
+
+@query(f"""WITH p AS ({PAGE}), n AS (SELECT *, s_nationkey FROM p JOIN {{supplier}} ON s_suppkey = k)
+SELECT id, concat('<!doctype html><html><head><meta charset="utf-8"><title>', title, ' — Handbook</title></head><body><nav>', CASE WHEN k > 1 THEN concat('<a href="p', k - 1, '.html">previous</a>') ELSE '' END, '</nav><main>',
+  '<h1>A &lt;b&gt; <code>x', k, '</code></h1><p>One <em>two</em> three &amp; <strong>four</strong></p><ul><li>a<ul><li>b <a href="d.html">c</a><ol><li>deep</li></ol></li></ul></li><li>e</li></ul><table><tr><th>h</th><th>i</th></tr><tr><td>', s_nationkey, '</td><td><code>z</code></td></tr></table>',
+  '<pre><code class="python"><span class="k">def</span> f(x):  <span class="c"># no</span>', {NL}, '    <span class="k">return</span> <span class="s">&quot;s&quot;</span> + ', '<span class="n">', s_nationkey, '</span></code></pre><blockquote><p>said on</p></blockquote><hr><p>end</p></main></body></html>') AS html FROM n""")
+def sk_html_pages(r):
+    """SK-8: a page a supplier, with a nested list, a table and code."""
+    docs = r.spark.sql(PAGE, supplier=r.supplier).withColumns({"before": F.when(F.col("k") > 1, F.concat(F.lit("p"), F.col("k") - 1)), "after": F.lit(None).cast("string")})
+    return markdown_html.pages(docs)
+
+
+@query("SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'delete' ELSE 'write' END AS what, concat('p', s_suppkey) AS id FROM {supplier} WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 = 0")
+def sk_changed_pages(r):
+    """SK-9: pages written once, some changed and some gone since; a second run has nothing to write."""
+    docs = r.spark.sql(PAGE, supplier=r.supplier).withColumns({"before": F.lit(None).cast("string"), "after": F.lit(None).cast("string")})
+    first, _ = markdown_html.changed_pages(markdown_html.pages(docs), r.spark.createDataFrame([], "id string, sha1 string"))
+    path = _again(r, docs, "pages")
+    first.write.parquet(path)
+    now = docs.where("k % 4 > 0").withColumn("text", F.when(F.col("k") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    write, gone = markdown_html.changed_pages(markdown_html.pages(now), r.spark.read.parquet(path))
+    return write.select(F.lit("write").alias("what"), "id").unionByName(gone.select(F.lit("delete").alias("what"), "id"))

@@ -13,10 +13,10 @@ COMMON_SKIP = (
 LANGUAGES: dict[str, dict] = {
     "go": {"ext": [".go"], "skip": [".git", "vendor"], "drop": ["_test.go"]},
     "python": {"ext": [".py"], "skip": COMMON_SKIP, "drop": []},
-    "powershell": {"ext": [".ps1", ".psm1"], "skip": COMMON_SKIP, "drop": []},
+    "powershell": {"ext": [".ps1", ".psm1", ".psd1"], "skip": COMMON_SKIP, "drop": []},
     "rust": {"ext": [".rs"], "skip": ["target", ".git", "node_modules"], "drop": []},
     "shell": {"ext": [".sh", ".bash"], "skip": COMMON_SKIP, "drop": []},
-    "starlark": {"ext": [".bzl", ".star"], "skip": COMMON_SKIP, "drop": []},
+    "starlark": {"ext": [".star", ".bzl", ".bazel"], "skip": COMMON_SKIP, "drop": []},
     "typescript": {"ext": [".ts", ".tsx"], "skip": ["node_modules", ".git", "dist", "build"], "drop": [".d.ts"]},
 }
 

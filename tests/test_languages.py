@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgraph.functions import python_source, static_source, syntax, typescript_lexer
+from loomgraph.functions import python_source, scripts, static_source, syntax, typescript_lexer
 from loomgraph.operators import resolve
 from loomgraph.plans import drivers
 
@@ -244,3 +244,69 @@ def test_analyse_all_languages(spark):
     assert drivers.graph_of(files.limit(0))["nodes"].count() == 0
     with pytest.raises(KeyError, match="python"):
         drivers.language("cobol")
+
+
+SHELL = '''#!/bin/bash
+# go() { no; }
+run_all() {
+  local x=$(find "$DIR" -name '*.sh' | sort) y="a $(date +%s) b"
+  A=1 B="two words" make build && /usr/bin/git push "$@" || { echo "failed; rm -rf /"; exit 1; }
+  cat <<EOF > out
+not_a_command here
+EOF
+  if [ -f x ]; then helper one; elif grep -q y z; then :; fi
+  for f in a b; do step "$f"; done
+  case "$1" in
+    start|stop) service "$1" ;;
+    *) usage ;;
+  esac
+  arr=(one two); n=$((1 + 2)); z=${x#*/}
+  cat <<'A' <<-B
+$(never)
+A
+	B
+  `old style`
+}
+function helper { trap 'cleanup' EXIT; tail -n 1 -- "$1" 2>/dev/null; }
+helper
+'''
+POWER = '''# function No { Bad-Thing }
+function Get-Thing {
+  param([string]$Name)
+  $x = Get-Item -Path "a Remove-It b" | Where-Object { $_.Name -eq $Name }
+  if (Test-Path $x) { return Format-Thing $x }
+  $x.Run(); [void](New-Item y)
+  @'
+Not-A-Command
+'@ | Out-Null
+}
+function Format-Thing($v) { Write-Output $v }
+'''
+STAR = '''load("//a:b.bzl", "rule")
+def macro(name, srcs = [], **kwargs):
+    native.filegroup(name = name, srcs = [f(s) for s in srcs])
+    rule(
+        name = "x",
+        deps = select({"a": helper("b")}),
+    )
+
+def helper(x): return x.strip()
+'''
+
+
+def test_scripts():
+    fs = scripts.shell(SHELL)
+    assert [(f.name, f.first, f.last) for f in fs] == [("run_all", 3, 21), ("helper", 22, 22)]
+    assert [c[0] for c in fs[0].calls] == ["find", "sort", "date", "make", "git", "echo", "exit", "cat", "helper", "grep", ":", "step", "service", "usage", "cat", "old"]
+    assert [c[0] for c in fs[1].calls] == ["trap", "tail"]
+    assert [c[0] for c in scripts.shell("f() {\n  A=1\n  find x y; B=2; ls a b\n}")[0].calls] == ["find", "ls"]
+    fs = scripts.powershell(POWER)
+    assert [(f.name, f.first, f.last) for f in fs] == [("Get-Thing", 2, 10), ("Format-Thing", 11, 11)]
+    assert [c[0] for c in fs[0].calls] == ["Get-Item", "Where-Object", "Test-Path", "Format-Thing", "New-Item", "Out-Null"] and [c[0] for c in fs[1].calls] == ["Write-Output"]
+    fs = scripts.starlark(STAR)
+    assert [(f.name, f.first, f.last) for f in fs] == [("macro", 2, 7), ("helper", 9, 9)]
+    assert fs[1].signature == "def helper(x):"
+    assert [(c[0], c[1], c[2]) for c in fs[0].calls] == [("filegroup", 3, "native.filegroup"), ("f", 3, "f"), ("rule", 4, "rule"), ("select", 6, "select"), ("helper", 6, "helper")]
+    for text in ("", "f() {", "'", '"', "`", "$(", "${", "<<E", "case x in", "function", "@'", "{", "}}}", "a=(", "((", "f()", "\\"):
+        scripts.shell(text)
+        scripts.powershell(text)
