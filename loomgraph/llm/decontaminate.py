@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import forget, keep
 from .textkit import ALNUM, Lookup, Words, chunks, grams, mix
 
 EDITS = 0.2
@@ -44,6 +45,7 @@ LEAST_WORDS = 8  # shorter items are searched verbatim
 RECALL = 0.97
 SAMPLED, TABLES, MOST_WALKS = 2, 12, 24  # positions a table compares, tables of an embedding, most embeddings
 BLOCK, BLOCK_BYTES = 20_000, 8 << 20
+PAIRS = 1 << 20  # window and item pairs compared at once where LSH is not used
 RARE = 0.03  # a word of at most this share of the items is rare
 _NOTHING = np.uint64(0xA0761D6478BD642F)  # beyond a window's end
 MATCHES = "array<struct<item_id: long, edits: int, first_word: long, n_words: int>>"
@@ -240,8 +242,9 @@ class Searcher:
             ok = inside[np.minimum(start + cls.size, limit)] - inside[start] >= cls.need
             start, limit = start[ok], limit[ok]
             found: dict[tuple[int, int], list[int]] = {}
-            for a in range(0, len(start), 4096):
-                s, e = start[a : a + 4096], limit[a : a + 4096]
+            step = 4096 if cls.walks else max(1, PAIRS // len(cls.items))
+            for a in range(0, len(start), step):
+                s, e = start[a : a + step], limit[a : a + step]
                 grid = s[:, None] + np.arange(cls.tables.size)
                 windows = np.where(grid < e[:, None], h[np.minimum(grid, n - 1)], _NOTHING)
                 for w, item in zip(*(x.tolist() for x in cls.candidates(windows)), strict=True):
@@ -305,6 +308,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(-(-size[0] // BLOCK), -(-(size[1] or 0) // BLOCK_BYTES))
+    held = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about BLOCK rows, BLOCK_BYTES bytes
         searcher = spark.sparkContext.broadcast(Searcher([r["item_id"] for r in rows], [r["text"] for r in rows]))
@@ -318,6 +322,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.set_column(at, batch.schema.field(at), both)
 
         out = out.mapInArrow(run, schema)
+        if k + 1 < blocks:  # the next block is searched by a job of its own, so that one block's tables are held at a time
+            stored = keep(out, f"block{k}")
+            searcher.destroy()
+            forget(*(x for x in [held] if x is not None))
+            out = held = stored
     return out
 
 

@@ -13,7 +13,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from loomgraph.llm import html, negatives, personal, phrases, secrets
+from loomgraph.llm import decontaminate, html, negatives, personal, phrases, secrets
 
 from . import cases
 
@@ -307,3 +307,22 @@ def test_secrets_outside_the_generator():
     share = lambda made, frame: np.mean([any(k == "model" for _, _, k in found) for found in secrets.spans_of([frame.format(made()) for _ in range(250)], net)])
     assert all(share(f, "We call {} when the page loads.") <= 0.02 for f in harmless.values())
     assert all(share(f, "Authorization: Bearer {} and more words.") >= 0.95 for f in keys.values())
+
+
+# 5, in blocks ----------------------------------------------------------------------
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    """Several blocks, each a job of its own, and slices of pairs give what one block gives."""
+    rng = random.Random(3)
+    items = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice((4, 12, 25, 60)))) for _ in range(25)]
+    texts = [" ".join([cases.prose(k, 30), items[k % 25], cases.prose(k + 50, 20), items[(k * 7) % 25] if k % 3 == 0 else ""]) for k in range(40)] + [None, "", cases.prose(1, 50)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, matches string").repartition(3)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    found = lambda: sorted((r["doc_id"], [(m["item_id"], m["edits"], m["first_word"]) for m in r["matches"]]) for r in decontaminate.find_items(docs, benchmark).collect())
+    whole = found()
+    assert sum(len(m) for _, m in whole) >= 45 and len(whole) == 43
+    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    assert found() == whole
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", 0)  # no LSH at all
+    assert found() == whole
