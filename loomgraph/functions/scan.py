@@ -92,8 +92,10 @@ def extract(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows = []
             for lang, file, source in zip(b["lang"], b["file"], b["source"], strict=True):
-                rows = list(scan(lang, file, source or "")) if lang in DEFINITIONS else []
-                yield pd.DataFrame([{**dict.fromkeys(_COLUMNS), **r, "lang": lang, "ord": k} for k, r in enumerate(rows)], columns=_COLUMNS).astype(object)
+                found = scan(lang, file, source or "") if lang in DEFINITIONS else ()
+                rows += [{**dict.fromkeys(_COLUMNS), **r, "lang": lang, "ord": k} for k, r in enumerate(found)]
+            yield pd.DataFrame(rows, columns=_COLUMNS).astype(object)
 
     return files.select("lang", "file", "source").mapInPandas(run, SCHEMA)

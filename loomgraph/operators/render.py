@@ -68,6 +68,23 @@ def stage_pages(stages: DataFrame, files: DataFrame) -> DataFrame:
     return stages.join(walk, "id").join(own, "id", "left").select("id", F.col("at").alias("position"), F.concat_ws("\n\n", head, _said("description"), _said("files")).alias("text"))
 
 
+def page_lines(stages: DataFrame, files: DataFrame) -> DataFrame:
+    """SK-6, as lines: (page, part, position, file, text): the lines of all stage pages, in order of page, part, position and file.
+
+    No page is one value, so a stage may have any number of files; `exports.write_lines` writes them.
+    """
+    walk = tree.pre_order(stages).select("id", "heading", F.col("position").alias("page"))
+    s = stages.join(walk, "id")
+    head = F.concat(F.repeat(F.lit("#"), F.col("heading")), F.lit(" "), F.coalesce(_said("title"), F.col("id")), F.lit(" — `"), "id", F.lit("`"))
+    none = (F.lit(0).cast("long").alias("position"), F.lit("").alias("file"))
+    line = F.concat(F.lit("- `"), "file", F.lit("`"), F.coalesce(F.concat(F.lit(": "), _said("purpose")), F.lit("")))
+    return (
+        s.select("page", F.lit(0).alias("part"), *none, head.alias("text"))
+        .unionByName(s.where(_said("description").isNotNull()).select("page", F.lit(1).alias("part"), *none, _said("description").alias("text")))
+        .unionByName(files.join(s.select(F.col("id").alias("stage"), "page"), "stage").select("page", F.lit(2).alias("part"), F.col("position").cast("long").alias("position"), "file", line.alias("text")))
+    )
+
+
 def index_lines(stages: DataFrame) -> DataFrame:
     """SK-6: (position, text): an indented line a stage, in walking order."""
     walk = tree.pre_order(stages).select("id", "depth", "position")

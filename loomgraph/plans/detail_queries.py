@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import markdown_html, static_source
-from ..operators import changes, gates, inventory, mapping, ordering, regions, tree
+from ..functions import markdown_html, scan, static_source
+from ..operators import changes, gates, inventory, mapping, ordering, regions, render, resolve, tree
 from ..operators.numbering import shared_folder
 from ..sources import artifacts, discover, exports, markdown
 from .graph_queries import flat
+from .stage_queries import TREE
 from .source_queries import filled, made_files
 from .surrogate import Relations, sql
 
@@ -323,3 +324,57 @@ def sk_changed_pages(r):
     now = docs.where("k % 4 > 0").withColumn("text", F.when(F.col("k") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     write, gone = markdown_html.changed_pages(markdown_html.pages(now), r.spark.read.parquet(path))
     return write.select(F.lit("write").alias("what"), "id").unionByName(gone.select(F.lit("delete").alias("what"), "id"))
+
+
+@query(f"""WITH RECURSIVE {TREE}, o AS (SELECT id, depth, CAST(row_number() OVER (ORDER BY ords, id) AS INT) AS page FROM t)
+SELECT page, 0 AS part, '' AS file, concat(repeat('#', CAST(least(depth + 2, 6) AS INT)), ' ', title, ' — `', s.id, '`') AS text FROM o JOIN {{stages}} s ON s.id = o.id
+UNION ALL SELECT page, 1, '', description FROM o JOIN {{stages}} s ON s.id = o.id WHERE trim(description) <> ''
+UNION ALL SELECT page, 2, file, concat('- `', file, '`', CASE WHEN ord % 4 = 0 THEN '' ELSE concat(': P', ord) END) FROM o JOIN {{file_stage}} f ON f.stage = o.id""")
+def sk_page_lines(r):
+    """SK-6: stage pages as lines, written in order and read again."""
+    files = r.file_stage.select("stage", F.col("ord").alias("position"), "file", F.when(F.col("ord") % 4 > 0, F.concat(F.lit("P"), "ord")).alias("purpose"))
+    lines = render.page_lines(r.stages, files)
+    exports.write_lines(lines, ["page", "part", "position", "file"], _again(r, lines, "lines"))
+    return lines.select("page", "part", "file", "text")
+
+
+# --- scripts ----------------------------------------------------------------------------
+
+#: per language: file, source, and per function name, lines and the names it calls
+SCRIPTS = {
+    "shell": ("pkg«k»/s«p».sh", "# f«p»() { no; }\nf«p»() {\n  local x=$(find . | sort)\n  cat <<EOF\nnever\nEOF\n  A=1 /bin/g«p» \"a; b\"\n}\nfunction g«p» { f«p» && echo 'c; d'; }\n",
+              [("f«p»", 2, 8, [("find", 3), ("sort", 3), ("cat", 4), ("g«p»", 7)]), ("g«p»", 9, 9, [("f«p»", 9), ("echo", 9)])]),
+    "powershell": ("pkg«k»/p«p».ps1", "function Get-T«p» {\n  $x = Get-Item \"a; Remove-It\" | Sort-Object\n  if ($x) { return Set-T«p» $x }\n}\nfunction Set-T«p» { Write-Output 1 }\n",
+                   [("Get-T«p»", 1, 4, [("Get-Item", 2), ("Sort-Object", 2), ("Set-T«p»", 3)]), ("Set-T«p»", 5, 5, [("Write-Output", 5)])]),
+    "starlark": ("pkg«k»/b«p».bzl", "def macro«p»(name):\n    native.rule(\n        name = name,\n        deps = [h«p»(x) for x in select({})],\n    )\ndef h«p»(x): return x.strip()\n",
+                 [("macro«p»", 1, 5, [("rule", 2), ("h«p»", 4), ("select", 4)]), ("h«p»", 6, 6, [("strip", 6)])]),
+}
+
+
+def _scripts(lang: str) -> None:
+    file, source, functions = SCRIPTS[lang]
+    module = file.rsplit(".", 1)[0].replace("/", ".") + "."
+    own = {name for name, *_ in functions}
+
+    def made(spark, sf_dir):
+        return scan.extract(Relations(spark, sf_dir).part.selectExpr(f"'{lang}' AS lang", f"{filled(file)} AS file", f"{filled(source.replace(chr(10), '«n»'))} AS source"))
+
+    def records(spark, sf_dir):
+        return made(spark, sf_dir).where("kind = 'function'").select("id", "name", "line_start", "line_end")
+
+    def edges(spark, sf_dir):
+        got = made(spark, sf_dir)
+        calls = got.where("kind = 'call'").select("ord", F.col("id").alias("caller_id"), "name", F.col("line_start").alias("line"), "raw")
+        done = resolve.resolve_scripts(calls, got.where("kind = 'function'").select("id", "name", "ord"))
+        return done.select("caller_id", "callee_id", "call_type", "line")
+
+    QUERIES[f"ex_{lang}_functions"], QUERIES[f"rs_{lang}_resolve"] = records, edges
+    SQL[f"ex_{lang}_functions"] = " UNION ALL ".join(f"SELECT {filled(module + name)} AS id, {filled(name)} AS name, {a} AS line_start, {b} AS line_end FROM part" for name, a, b, _ in functions)
+    rows = [(name, called, line) for name, _, _, calls in functions for called, line in calls]
+    SQL[f"rs_{lang}_resolve"] = " UNION ALL ".join(
+        f"SELECT {filled(module + name)} AS caller_id, {filled(module + called if called in own else 'boundary:' + called)} AS callee_id, '{'internal_func' if called in own else 'boundary'}' AS call_type, {line} AS line FROM part" for name, called, line in rows
+    )
+
+
+for _lang in SCRIPTS:
+    _scripts(_lang)

@@ -12,6 +12,11 @@ def graph_json(nodes: DataFrame, kept: DataFrame, path: str) -> None:
     kept.write.mode("overwrite").json(f"{path}/edges")
 
 
+def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
+    """Lines (text) as text files whose names ascend in the order: ranges are sorted apart, and no task sees all."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("overwrite").text(path)
+
+
 def functions_csv(functions: DataFrame, path: str) -> None:
     """SK-2: functions as CSV with a header; lists are joined by a pipe, truth values written as words."""
     flat = [F.array_join(f.name, "|").alias(f.name) if f.dataType.typeName() == "array" else F.to_json(f.name).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in functions.schema]
