@@ -149,7 +149,7 @@ def html_of(texts: pd.Series) -> pd.Series:
     return texts.map(to_html)
 
 
-def pages(docs: DataFrame, title: str = "Handbook") -> DataFrame:
+def pages(docs: DataFrame, title: str = "Stages") -> DataFrame:
     """SK-8: (id, html) of pages (id, title, text, before, after): a whole HTML page each, with links to the pages before and after."""
     link = lambda c, word: F.when(F.col(c).isNotNull(), F.concat(F.lit('<a href="'), c, F.lit(f'.html">{word}</a>')))
     nav = F.concat(F.lit("<nav>"), F.concat_ws(" ", link("before", "previous"), link("after", "next")), F.lit("</nav>"))

@@ -305,7 +305,7 @@ PAGE = f"""SELECT s_suppkey AS k, concat('p', s_suppkey) AS id, s_name AS title,
 
 
 @query(f"""WITH p AS ({PAGE}), n AS (SELECT *, s_nationkey FROM p JOIN {{supplier}} ON s_suppkey = k)
-SELECT id, concat('<!doctype html><html><head><meta charset="utf-8"><title>', title, ' — Handbook</title></head><body><nav>', CASE WHEN k > 1 THEN concat('<a href="p', k - 1, '.html">previous</a>') ELSE '' END, '</nav><main>',
+SELECT id, concat('<!doctype html><html><head><meta charset="utf-8"><title>', title, ' — Stages</title></head><body><nav>', CASE WHEN k > 1 THEN concat('<a href="p', k - 1, '.html">previous</a>') ELSE '' END, '</nav><main>',
   '<h1>A &lt;b&gt; <code>x', k, '</code></h1><p>One <em>two</em> three &amp; <strong>four</strong></p><ul><li>a<ul><li>b <a href="d.html">c</a><ol><li>deep</li></ol></li></ul></li><li>e</li></ul><table><tr><th>h</th><th>i</th></tr><tr><td>', s_nationkey, '</td><td><code>z</code></td></tr></table>',
   '<pre><code class="python"><span class="k">def</span> f(x):  <span class="c"># no</span>', {NL}, '    <span class="k">return</span> <span class="s">&quot;s&quot;</span> + ', '<span class="n">', s_nationkey, '</span></code></pre><blockquote><p>said on</p></blockquote><hr><p>end</p></main></body></html>') AS html FROM n""")
 def sk_html_pages(r):
