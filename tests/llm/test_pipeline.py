@@ -89,4 +89,4 @@ def test_queries_cover_whole_tables(spark):
     n, pages = pq.read_metadata(f"{SF}/documents.parquet").num_rows, pq.read_metadata(f"{SF}/pages.parquet").num_rows
     for name, f in queries.QUERIES.items():
         count = f(spark, SF).count()
-        assert count == (pages if name.startswith("op1_") else n) or name.startswith("op5_")
+        assert count == (pages if name.startswith("op1_") else n) or name.startswith(("op5_", "op11_", "op13_"))  # these give rows of matches, negatives and phrases
