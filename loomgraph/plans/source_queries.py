@@ -152,8 +152,8 @@ def edges_sql(lang: str) -> str:
 
 def _register(lang: str) -> None:
     def functions(spark, sf_dir):
-        records = EXTRACTS.get(lang, static_source.extract)(made_files(Relations(spark, sf_dir), lang))
-        return records.where("kind = 'function'").select("id", "qualname", "line_start", "line_end", "is_method", "signature")
+        records = EXTRACTS.get(lang, static_source.extract)(made_files(Relations(spark, sf_dir), lang), ("function",))
+        return records.select("id", "qualname", "line_start", "line_end", "is_method", "signature")
 
     def edges(spark, sf_dir):
         # written once, as every symbol table and the calls are made of the records
@@ -170,7 +170,7 @@ for _lang in SOURCES:
 
 def ex_python_calls(spark, sf_dir):
     """Calls as forms of the Python files."""
-    return python_source.extract(made_files(Relations(spark, sf_dir), "python")).where("kind = 'call'").select("id", "form", "head", "name", "line", "is_await", "raw")
+    return python_source.extract(made_files(Relations(spark, sf_dir), "python"), ("call",)).select("id", "form", "head", "name", "line", "is_await", "raw")
 
 
 _FORMS = [("Box.get", "self", "self", "put", 7, "self.put"), ("Box.get", "member", "json", "loads", 7, "json.loads"), ("Box.put", "bare", None, "helper", 10, "helper"), ("helper", "other", None, "Box().get", 12, "Box().get"), ("helper", "bare", None, "Box", 12, "Box"), ("helper", "bare", None, "len", 12, "len")]
