@@ -148,8 +148,8 @@ SYMBOLS = {
 
 def _symbols(lang: str) -> None:
     def symbols(spark, sf_dir):
-        records = static_source.extract(made_files(Relations(spark, sf_dir), lang))
-        return records.where("kind IN ('import', 'type', 'field', 'method', 'free')").select("kind", "owner", "name", "target")
+        records = static_source.extract(made_files(Relations(spark, sf_dir), lang), ("import", "type", "field", "method", "free"))
+        return records.select("kind", "owner", "name", "target")
 
     rows = [f"SELECT '{kind}' AS kind, {filled(owner) if owner else 'CAST(NULL AS VARCHAR)'} AS owner, {filled(name)} AS name, {filled(target) if target else repr('')} AS target FROM part" for kind, owner, name, target in SYMBOLS[lang]]
     QUERIES[f"ex_{lang}_symbols"], SQL[f"ex_{lang}_symbols"] = symbols, " UNION ALL ".join(rows)
