@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown_html, scan, static_source
 from ..operators import changes, gates, inventory, mapping, ordering, regions, render, resolve, tree
-from ..operators.numbering import shared_folder
+from ..operators.numbering import shared_folder, stored
 from ..sources import artifacts, discover, exports, markdown
 from .graph_queries import flat
 from .stage_queries import TREE
@@ -363,7 +363,7 @@ def _scripts(lang: str) -> None:
         return made(spark, sf_dir).where("kind = 'function'").select("id", "name", "line_start", "line_end")
 
     def edges(spark, sf_dir):
-        got = made(spark, sf_dir)
+        got = stored(made(spark, sf_dir).select("kind", "ord", "id", "name", "line_start", "raw"))  # calls and functions are made of it
         calls = got.where("kind = 'call'").select("ord", F.col("id").alias("caller_id"), "name", F.col("line_start").alias("line"), "raw")
         done = resolve.resolve_scripts(calls, got.where("kind = 'function'").select("id", "name", "ord"))
         return done.select("caller_id", "callee_id", "call_type", "line")
