@@ -31,7 +31,7 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _stored(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
+def stored(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """df as a table in the shared folder; the one of the round before, which nothing reads any more, goes.
 
     Rounds don't use checkpoints: what the optimiser knows of a checkpoint's rows is taken
@@ -58,7 +58,7 @@ def running(df: DataFrame, order: list[Column], name: str, weight: Column | None
     weight = F.lit(1) if weight is None else weight
     own = df.withColumns({**keys, "__weight": weight.cast("long")})
     ranged = own.repartitionByRange(*_sorted(order)).withColumn("__part", F.spark_partition_id())
-    ranged = _stored(ranged)  # ranges are sampled, and would not be the same again
+    ranged = stored(ranged)  # ranges are sampled, and would not be the same again
     total, before = {}, 0
     for r in sorted(ranged.groupBy("__part").agg(F.sum("__weight").alias("n")).collect(), key=lambda r: r["__part"]):
         total[r["__part"]] = before
@@ -85,7 +85,7 @@ def along(links: DataFrame, sums: dict[str, str], joined: tuple[str, ...] = ())
     has, so a way of n steps is done after log2(n) rounds.  Rows whose way has no end (a
     ring) have a null top.
     """
-    state = _stored(links.select("id", "up", F.col("id").alias("top"), *sums))
+    state = stored(links.select("id", "up", F.col("id").alias("top"), *sums))
     rounds = max(1, state.count()).bit_length() + 1
     for _ in range(rounds):
         open_ = state.where("up IS NOT NULL")
@@ -94,7 +94,7 @@ def along(links: DataFrame, sums: dict[str, str], joined: tuple[str, ...] = ())
         far = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("top").alias("__top"), *(F.col(c).alias(f"__{c}") for c in sums))
         met = open_.join(far, "up")
         step = met.select("id", F.col("__up").alias("up"), F.col("__top").alias("top"), *((F.concat(f"__{c}", c) if c in joined else F.col(f"__{c}") + F.col(c)).alias(c) for c in sums))
-        state = _stored(state.where("up IS NULL").unionByName(step).repartition("id"), state)  # a union adds up partitions
+        state = stored(state.where("up IS NULL").unionByName(step).repartition("id"), state)  # a union adds up partitions
     return state.withColumn("top", F.when(F.col("up").isNull(), F.col("top"))).drop("up")
 
 
@@ -103,7 +103,7 @@ def below(links: DataFrame) -> DataFrame:
 
     Round k adds what the rows 2^k steps below have gathered from their own 2^k levels.
     """
-    state = _stored(links.select("id", "up", F.col("n").cast("long").alias("total"), F.col("n").cast("long").alias("n")))
+    state = stored(links.select("id", "up", F.col("n").cast("long").alias("total"), F.col("n").cast("long").alias("n")))
     rounds = max(1, state.count()).bit_length() + 1
     for _ in range(rounds):
         open_ = state.where("up IS NOT NULL")
@@ -112,19 +112,19 @@ def below(links: DataFrame) -> DataFrame:
         gained = open_.groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("more"))
         far = state.select(F.col("id").alias("up"), F.col("up").alias("__up"))
         moved = open_.join(far, "up").select("id", F.col("__up").alias("up"), "total", "n").unionByName(state.where("up IS NULL"))
-        state = _stored(moved.join(gained, "id", "left").select("id", "up", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), "n").repartition("id"), state)
+        state = stored(moved.join(gained, "id", "left").select("id", "up", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), "n").repartition("id"), state)
     return state.select("id", F.when(F.col("up").isNull(), F.col("total")).otherwise(F.col("n")).alias("total"))
 
 
 def pairs(links: DataFrame) -> DataFrame:
     """(ancestor, id, distance) of links (id, up): every row its own ancestor at distance 0; a ring's rows have no others."""
     ended = along(links.withColumn("n", F.lit(0)), {"n": "int"}).where("top IS NULL").select("id")
-    up = _stored(links.select("id", "up").join(ended.withColumn("ring", F.lit(True)), "id", "left").select("id", F.when(F.col("ring").isNull(), F.col("up")).alias("up")))
-    found, step = _stored(up.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("distance"))), 1
+    up = stored(links.select("id", "up").join(ended.withColumn("ring", F.lit(True)), "id", "left").select("id", F.when(F.col("ring").isNull(), F.col("up")).alias("up")))
+    found, step = stored(up.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("distance"))), 1
     while not (open_ := up.where("up IS NOT NULL")).isEmpty():
         # an ancestor of the row `step` above a row is one of the row, `step` further away
         more = found.select("ancestor", F.col("id").alias("up"), "distance").join(open_, "up").select("ancestor", "id", (F.col("distance") + step).alias("distance"))
-        found = _stored(found.unionByName(more).repartition("id", "ancestor"), found)
-        up = _stored(open_.join(up.select(F.col("id").alias("up"), F.col("up").alias("__up")), "up").select("id", F.col("__up").alias("up")), up)
+        found = stored(found.unionByName(more).repartition("id", "ancestor"), found)
+        up = stored(open_.join(up.select(F.col("id").alias("up"), F.col("up").alias("__up")), "up").select("id", F.col("__up").alias("up")), up)
         step *= 2
     return found

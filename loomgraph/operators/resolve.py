@@ -16,10 +16,28 @@ from .graph import BOUNDARY, UNRESOLVED
 CONSTRUCTORS = ("new", "default", "from")
 
 
+#: what resolution reads of records
+COLUMNS = ("lang", "module", "kind", "name", "owner", "target", "form", "head", "id", "class_name", "params_types", "line", "is_await", "raw", "file_ord", "ord")
+
+
 def _last(c: Column) -> Column:
     return F.regexp_extract(c, r"([^.:]*)$", 1)
 
 
+def _left(calls: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """calls with what the table has of their keys.
+
+    Symbol tables grow with the code, and their size is guessed far too low behind Python:
+    both sides are sorted, nothing is broadcast.  Calls without a key are dealt out.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    first, *others = keys
+    kept = calls.withColumn("__key", F.when(whole, F.col(first)).otherwise(F.concat(F.lit(" "), "file_ord")))
+    return kept.join(table.withColumnRenamed(first, "__key").hint("merge"), ["__key", *others], "left").drop("__key")
+
+
 def _symbols(records: DataFrame, kind: str, keys: list[str], target: Column, out: str, first: bool) -> DataFrame:
     """One target a key: of the first or the last module; inside a module the last definition counts."""
     at = F.struct(F.col("file_ord") * (-1 if first else 1), "ord")
@@ -43,21 +61,22 @@ def resolve_python(records: DataFrame) -> DataFrame:
     imported class; imported module.  A class of a name is the last module's that has it.
     Calls of records that repeat are resolved each; without records there are no edges.
     """
-    r = records.where("lang = 'python'")
+    r = records.where("lang = 'python'").select(*COLUMNS)
     modules = r.select("module").distinct().withColumnRenamed("module", "first_part").withColumn("is_module", F.lit(True))
     classes = _symbols(r, "type", ["name"], F.col("module"), "type_module", first=False).withColumnRenamed("name", "type")
     own = r.where("kind = 'type'").select("module", "name").distinct().withColumn("own_class", F.lit(True))
     free = r.where("kind = 'free'").select("module", "name").distinct().withColumn("own_function", F.lit(True))
     methods = r.where("kind = 'method'").select("module", F.col("owner").alias("class_name"), "name").distinct().withColumn("own_method", F.lit(True))
-    fields = _symbols(r, "field", ["owner", "name"], F.col("target"), "field_type", first=False).select(F.col("owner").alias("class_name"), F.col("name").alias("head"), "field_type")
+    fields = _symbols(r, "field", ["owner", "name"], F.col("target"), "field_type", first=False).select(F.col("owner").alias("class_name"), F.col("name").alias("slot"), "field_type")
 
     form = F.col("form")
-    c = r.where("kind = 'call'").join(fields.withColumn("form", F.lit("self_attr")), ["form", "class_name", "head"], "left")
+    c = _left(r.where("kind = 'call'").withColumn("slot", F.when(form == "self_attr", F.col("head"))), fields, ["slot", "class_name"])
     said = F.when(form == "self_attr", F.col("field_type")).when(form == "member", F.try_element_at("params_types", F.col("head")))
-    c = c.withColumn("said", said).withColumn("type", F.when(form == "bare", _last(F.col("target"))).when(F.col("said").isNotNull(), _last(F.col("said"))).when(form == "member", F.col("head")))
+    made = _last(F.col("target"))
+    c = c.withColumn("said", said).withColumn("type", F.when(form == "bare", F.when(made.rlike(r"^\p{Lu}"), made)).when(F.col("said").isNotNull(), _last(F.col("said"))).when(form == "member", F.col("head")))
     c = c.withColumn("first_part", F.when(form == "bare", F.split_part("target", F.lit("."), F.lit(1))))
-    c = c.join(classes, "type", "left").join(modules, "first_part", "left")
-    c = c.join(own, ["module", "name"], "left").join(free, ["module", "name"], "left").join(methods, ["module", "class_name", "name"], "left")
+    c = _left(_left(c, classes, ["type"]), modules, ["first_part"])
+    c = _left(_left(_left(c, own, ["module", "name"]), free, ["module", "name"]), methods, ["module", "class_name", "name"])
 
     dotted = lambda *parts: F.concat_ws(".", *parts)
     outside = lambda *parts: F.concat(F.lit(BOUNDARY), dotted(*parts))
@@ -84,7 +103,7 @@ def unique_match(symbols: DataFrame) -> DataFrame:
 def resolve_scripts(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """RS-S: script calls: a function of that name anywhere (the first), else outside; never unresolved."""
     first = functions.groupBy("name").agg(F.min_by("id", "ord").alias("f_id"))
-    c = calls.join(first, "name", "left")
+    c = calls.join(first.hint("merge"), "name", "left")  # names grow with the code
     return c.select("ord", "caller_id", F.coalesce("f_id", F.concat(F.lit(BOUNDARY), "name")).alias("callee_id"), F.when(F.col("f_id").isNotNull(), "internal_func").otherwise("boundary").alias("call_type"), "line")
 
 
@@ -98,27 +117,29 @@ def resolve_forms(records: DataFrame, lang: str, unique: bool = True) -> DataFra
     Files of one Rust module are taken together; of functions with one id there the first file's counts.
     """
     sep = "::" if lang == "rust" else "."
-    r = records.where(F.col("lang") == lang)
-    if lang == "rust":
-        kept = r.where("kind = 'function'").groupBy("id").agg(F.min("file_ord").alias("kept"))
-        r = r.join(kept, "id", "left").where("kept IS NULL OR kept = file_ord").drop("kept")
+    r = records.where(F.col("lang") == lang).select(*COLUMNS)
+    calls, functions = r.where("kind = 'call'"), r.where("kind = 'function'")
+    if lang == "rust":  # of the records only these have an id
+        kept = functions.groupBy("id").agg(F.min("file_ord").alias("kept"))
+        calls, functions = (_left(x, kept, ["id"]).where("kept IS NULL OR kept = file_ord").drop("kept") for x in (calls, functions))
     types = _symbols(r, "type", ["name"], F.col("module"), "type_module", first=True).withColumnRenamed("name", "type")
     free = r.where("kind = 'free'").select("module", "name").distinct().withColumn("own_function", F.lit(True))
     methods = r.where("kind = 'method'").select("module", "owner", "name").distinct().withColumn("own_method", F.lit(True))
-    fields = _symbols(r, "field", ["module", "owner", "name"], F.col("target"), "field_type", first=False).withColumnRenamed("name", "head").withColumn("form", F.lit("self_attr"))
+    fields = _symbols(r, "field", ["module", "owner", "name"], F.col("target"), "field_type", first=False).withColumnRenamed("name", "slot")
     imports = _symbols(r, "import", ["module", "name"], F.col("target"), "import", first=True).withColumnRenamed("name", "local")
 
     form = F.col("form")
     bare, path, member, attr = form == "bare", form == "path", form == "member", form == "self_attr"
-    c = r.where("kind = 'call'").drop("target").withColumn("local", F.when(bare, F.col("name")).when(member, F.col("head")))
-    c = c.join(imports, ["module", "local"], "left").join(fields, ["form", "module", "owner", "head"], "left")
+    c = calls.drop("target").withColumn("local", F.when(bare, F.col("name")).when(member, F.col("head")))
+    c = _left(c, imports, ["module", "local"])
+    c = _left(c.withColumn("slot", F.when(attr, F.col("head"))), fields, ["module", "owner", "slot"])
     c = c.withColumn("said", F.when(attr, F.col("field_type")).when(member, F.try_element_at("params_types", F.col("head"))))
     part = F.when(path, _last(F.col("head"))).when(bare, F.regexp_extract("import", r"([^:]*)::[^:]*$", 1))
     c = c.withColumns({"type": F.when(bare, F.col("name")).when(path, _last(F.col("head"))).otherwise(F.col("said")), "tail": part, "leaf": F.when(bare, _last(F.col("import"))).when(path, F.col("name"))})
-    c = c.join(types, "type", "left").join(free, ["module", "name"], "left").join(methods, ["module", "owner", "name"], "left")
+    c = _left(_left(_left(c, types, ["type"]), free, ["module", "name"]), methods, ["module", "owner", "name"])
     if lang == "rust" and unique:
-        ids = r.where("kind = 'function' AND class_name IS NULL").select(F.regexp_extract("module", r"([^:]*)$", 1).alias("tail"), "name", "id")
-        c = c.join(unique_match(ids).select("tail", F.col("name").alias("leaf"), F.col("id").alias("only")), ["tail", "leaf"], "left")
+        ids = functions.where("class_name IS NULL").select(F.regexp_extract("module", r"([^:]*)$", 1).alias("tail"), "name", "id")
+        c = _left(c, unique_match(ids).select("tail", F.col("name").alias("leaf"), F.col("id").alias("only")), ["tail", "leaf"])
     else:
         c = c.withColumn("only", F.lit(None).cast("string"))
 

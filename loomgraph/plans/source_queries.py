@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python_source, static_source
 from ..operators import resolve
+from ..operators.numbering import stored
 from . import drivers
 from .surrogate import Relations
 
@@ -156,8 +157,10 @@ def _register(lang: str) -> None:
         return records.select("id", "qualname", "line_start", "line_end", "is_method", "signature")
 
     def edges(spark, sf_dir):
-        # written once, as every symbol table and the calls are made of the records
-        records = drivers.settle(EXTRACTS.get(lang, static_source.extract)(made_files(Relations(spark, sf_dir), lang)))
+        # written once, as every symbol table and the calls are made of the records; only Rust's resolution reads functions
+        kinds = ("import", "type", "field", "method", "free", "call", *(["function"] if lang == "rust" else []))
+        found = EXTRACTS.get(lang, static_source.extract)(made_files(Relations(spark, sf_dir), lang), kinds)
+        records = stored(found.select(*resolve.COLUMNS))
         return RESOLVES.get(lang, lambda x: resolve.resolve_forms(x, lang))(records).select("caller_id", "callee_id", "call_type", "line")
 
     QUERIES[f"ex_{lang}_functions"], QUERIES[f"rs_{lang}_resolve"] = functions, edges
