@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python_source, scan, static_source
 from ..operators import graph, mapping, ordering, regions, resolve, stages
-from ..operators.numbering import settle
+from ..operators.numbering import settle, stored
 from . import annotate, doctor, requests
 
 Writer = Callable[[DataFrame], DataFrame]
@@ -62,7 +62,7 @@ for _lang in ("powershell", "shell", "starlark"):
 def analyse(files: DataFrame, langs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """SC-8: (functions, calls) of source files (lang, file, source, ord), of the named languages or all registered ones.
 
-    Records are settled once a language, as functions and edges are both made of them.
+    Records are written once a language, as functions and edges are both made of them.
     Files that can't be read yield none and stop nothing.
     """
     functions = calls = None
@@ -71,7 +71,7 @@ def analyse(files: DataFrame, langs: list[str] | None = None) -> tuple[DataFrame
         own = files.where(F.col("lang") == lang)
         if langs is None and own.isEmpty():
             continue
-        records = settle(extract(own))
+        records = stored(extract(own))
         f = records.where("kind = 'function'")
         place = (F.col("file_ord") * PER_FILE if "file_ord" in f.columns else F.lit(0)) + F.col("ord")
         f = f.select(place.cast("long").alias("ord"), *(F.col(c) if c in f.columns else F.lit(None).alias(c) for c in FUNCTION_COLUMNS), F.lit("internal").alias("kind"), F.lit(False).alias("synthetic"))
@@ -88,6 +88,8 @@ def analyse(files: DataFrame, langs: list[str] | None = None) -> tuple[DataFrame
 def graph_of(files: DataFrame, langs: list[str] | None = None, default_ext: str = ".py") -> dict[str, DataFrame]:
     """GR-10, GR-11: nodes, kept and dropped calls and functions of a tree of files, edited or not; a tree without readable files has an empty graph."""
     functions, calls = analyse(files, langs)
+    # written once: the graph reads calls several times, and each time would resolve them again; nothing of the code's size is broadcast
+    calls, functions = stored(calls).hint("merge"), functions.hint("merge")
     kept = graph.kept_calls(calls)
     return {"functions": functions, "calls": calls, "kept": kept, "dropped": graph.dropped_calls(calls), "nodes": graph.nodes(functions, kept, default_ext)}
 
