@@ -188,7 +188,7 @@ def cd_inventory(r):
 @query("""WITH q AS (SELECT qualname, arg_max(purpose, ord) AS p FROM {members} WHERE ord % 2 = 0 GROUP BY 1), n AS (SELECT name, arg_min(p, ord) AS p FROM (SELECT f.name, m.purpose AS p, m.ord FROM {members} m JOIN {functions} f ON f.qualname = m.qualname WHERE m.ord % 2 = 1) GROUP BY 1)
 SELECT f.id, f.qualname, f.name, coalesce(q.p, n.p, '') AS purpose FROM {functions} f LEFT JOIN q USING (qualname) LEFT JOIN n ON n.name = f.name""")
 def cd_annotation_merge(r):
-    m = r.members.join(r.functions.select("qualname", "name"), "qualname")
+    m = r.members.join(r.functions.select("qualname", "name").distinct(), "qualname")  # not once for each function of that name
     odd = F.col("ord") % 2 == 1
     notes = m.select("ord", F.when(odd, "").otherwise(F.col("qualname")).alias("qualname"), F.when(odd, F.col("name")).otherwise("").alias("name"), "purpose", F.lit("").alias("note"))
     return inventory.merge_notes(r.functions, notes)
