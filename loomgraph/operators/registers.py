@@ -56,9 +56,11 @@ def sunk(registers: DataFrame, stages: DataFrame, concepts: DataFrame) -> DataFr
     direct = hits.select("stage", "id", F.lit("").alias("via"))
     parents = tree.linked(stages).where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct()
     leaves = stages.select("id").join(parents, "id", "left_anti").withColumnRenamed("id", "leaf")
-    above = tree.closure(stages).where("distance > 0").select(F.col("ancestor").alias("stage"), F.col("id").alias("leaf")).join(leaves, "leaf", "left_semi")
-    named = hits.select("stage", "id", F.explode(id_words(F.col("id"))).alias("word"))
-    met = named.join(above, "stage").join(concepts.select(F.col("stage").alias("leaf"), "word"), ["leaf", "word"])
+    named = hits.select("stage", "id", F.explode(id_words(F.col("id"))).alias("word")).distinct()
+    # words meet before stages do: a stage's registers are never put beside all leaves below it
+    words = concepts.select(F.col("stage").alias("leaf"), "word").distinct().join(leaves, "leaf", "left_semi").join(named.select("word").distinct(), "word", "left_semi")
+    above = tree.closure(stages).where("distance > 0").select(F.col("ancestor").alias("stage"), F.col("id").alias("leaf")).join(named.select("stage").distinct(), "stage", "left_semi")
+    met = above.join(words, "leaf").join(named, ["stage", "word"])
     sunken = met.groupBy(F.col("leaf").alias("stage"), "id").agg(F.min("word").alias("via"))
     return direct.unionByName(sunken.join(direct.select("stage", "id"), ["stage", "id"], "left_anti"))
 
