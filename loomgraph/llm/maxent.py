@@ -37,6 +37,7 @@ ROWS = 1 << 15  # most hashed feature rows of each factor
 HEAD = 1 << 20  # most words with broadcast counts
 RATES, SMOOTH = (0.5, 0.25), 64.0  # one rate a round; how many tokens of the prior a row starts with
 TOGETHER = 32_768  # tokens scored at once
+BLOCK = 4096  # tokens whose weights are gathered at once
 PIECES, FAN = 64, 64  # pieces of the sums, and groups of tasks, when they are added up
 _END = np.uint64(0x5851F42D4C957F2D)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +94,7 @@ class Model:
             self.slot_prior = np.log(shares / shares.sum(0)).astype(np.float32)
         self.rows = min(ROWS, max(1 << 10, 1 << max(0, self.tokens.bit_length() - 9)))
         self.weights = np.zeros((2, CLASSES, self.rows), np.float32)
+        self.turned: tuple[np.ndarray, np.ndarray] | None = None  # the weights, and the same by rows
 
     def stream(self, column: pa.Array):
         """Hashes, classes, slots and documents of all tokens, an end after each document's words; feature rows of both factors."""
@@ -121,10 +123,15 @@ class Model:
 
     def scores(self, factor: int, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """(outcomes, tokens): log prior and weights."""
-        w = self.weights[factor]
-        s = np.take(w, rows[0], axis=1)
-        for k in range(1, _FEATURES):
-            s += np.take(w, rows[k], axis=1)
+        if self.turned is None or self.turned[0] is not self.weights:  # a row's weights stand together, so a token reads one place a feature
+            self.turned = self.weights, np.ascontiguousarray(self.weights.transpose(0, 2, 1))
+        w = self.turned[1][factor]
+        s = np.empty((CLASSES, rows.shape[1]), np.float32)
+        for a in range(0, rows.shape[1], BLOCK):
+            x = np.take(w, rows[0, a : a + BLOCK], axis=0)
+            for k in range(1, _FEATURES):
+                x += np.take(w, rows[k, a : a + BLOCK], axis=0)
+            s[:, a : a + BLOCK] = x.T
         s += self.slot_prior[:, cls] if factor else self.class_prior[:, None]
         s -= s.max(0)
         return s
