@@ -22,15 +22,17 @@ is compared with the group's smallest member, then over a spanning forest of the
 the components of those links swallow whole clusters of copies.  Only pairs from
 different components that still share a block word are then all compared, which
 makes the result complete: members outside of a group's largest component meet each
-other and that component, in tiles.  Before two sets are fetched, their dense parity
-sketches (DENSE bits, for large sets 2 to 4 bits an element too) must be within the
-admissible distance.
+other and that component, in tiles.  Groups of two are done with their first pair, and
+groups of which the forest left out no pair with the forest.  Before two sets are
+fetched, their dense parity sketches (DENSE bits, for large sets 2 to 4 bits an element
+too) must be within the admissible distance.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,7 @@ SHINGLE = 5
 #: emitted words; no row is dropped.
 HOT_COUNTED, HOT_IN_TASK, HOT_IN_ALL = 4_000_000, 16_384, 262_144
 LARGE = 1000  # groups of words met so often are told by partial sums, not by a window over the word
+SLICES = 4  # the block words meet in so many steps one after another; on disk are the shuffle files of one
 TILE = 2048  # most rows of a group that are compared with as many others in one step
 #: bits of the dense sketch that filters pairs before their sets are fetched, and of the filter of documents to fetch
 DENSE, FILTER_BITS = 1024, 1 << 23
@@ -256,8 +259,8 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _spanning(pairs: np.ndarray, roots: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Those pairs, in the given order, that join two sets of roots not joined before: a spanning forest."""
+def _spanning(roots: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which pairs of roots, taken in the given order, join two sets of roots not joined before: a spanning forest."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -272,7 +275,7 @@ def _spanning(pairs: np.ndarray, roots: np.ndarray, order: np.ndarray) -> np.nda
         if x != y:
             up[y] = x
             chosen.append(k)
-    return pairs[chosen]
+    return np.asarray(chosen, np.int64)
 
 
 def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
@@ -280,7 +283,8 @@ def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterato
 
     Rows come sorted by that key and root; a run has about 2 TILE rows.  If low < high,
     only pairs of one row of either tile are made.  forest: of a slice's pairs only a
-    spanning forest over the components, closest pairs first, so no more than rows.
+    spanning forest over the components, closest pairs first, so no more than rows; the
+    words of pairs left out follow as rows with a = b = word, which no pair of sets has.
     """
     held = None
     for batch in itertools.chain(batches, [None]):
@@ -310,28 +314,34 @@ def _close_in_groups(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterato
                     p, q = x[c : c + 65_536], y[c : c + 65_536]
                     apart = np.bitwise_count(sketch[p] ^ sketch[q]).sum(1, dtype=np.int64)
                     near = apart * 9 <= n[p] + n[q]
-                    found.append(np.stack([name[p][near], name[q][near], least[p][near], least[q][near], root[p][near], root[q][near], apart[near]], 1))
+                    found.append(np.stack([p[near], q[near], apart[near]], 1))
                 at = to
-            found = np.concatenate(found) if found else np.zeros((0, 7), np.int64)
-            pairs = found[:, :4]
+            p, q, apart = (np.concatenate(found) if found else np.zeros((0, 3), np.int64)).T
+            p, q = np.where(name[p] < name[q], p, q), np.where(name[p] < name[q], q, p)
+            number = np.unique(name, return_inverse=True)[1]
+            pair, left = number[p] * size + number[q], np.zeros(0, np.int64)
             if forest:
-                pairs = _spanning(pairs, found[:, 4:6], np.lexsort((pairs[:, 1], pairs[:, 0], found[:, 6])))
-            pairs = np.unique(np.where(pairs[:, :1] < pairs[:, 1:2], pairs, pairs[:, [1, 0, 3, 2]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "x", "y"])
+                chosen = _spanning(np.stack([root[p], root[q]], 1), np.lexsort((pair, apart)))
+                left = np.unique(word[p[~np.isin(pair, pair[chosen])]])
+                p, q, pair = p[chosen], q[chosen], pair[chosen]
+            once = np.unique(pair, return_index=True)[1]
+            p, q = p[once], q[once]
+            columns = ((name[p], left), (name[q], left), (least[p], left), (least[q], left))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["a", "b", "x", "y"])
             held = held.slice(ready)
 
 
-def _met(wide: DataFrame) -> DataFrame:
-    """(members, rows, centre, name, word): the words that several sets share; of words that the same sets share one.
+def _shared(wide: DataFrame, k: int) -> DataFrame:
+    """(members, rows, centre, name, word): the words of slice k that several sets share.
 
     Members are told by a hash of their names, centre is the smallest of them.  Each
     task emits the words of its own copies of a set, so repeats of (word, name) go first,
     else they cancel out of the hash.  Words met often are told by sums that are made
     partly before the shuffle, and joined with at most HOT_IN_ALL rows.
     """
-    by_word = Window.partitionBy("word")
+    by_word, in_slice = Window.partitionBy("word"), F.pmod("word", F.lit(SLICES)) == k
     some = (
-        wide.where("size(words) > 0").select("name", F.explode("words").alias("word"))
+        wide.where("size(words) > 0").select("name", F.explode("words").alias("word")).where(in_slice)
         .withColumn("before", F.lag("name").over(by_word.orderBy("name"))).where("before IS NULL OR before < name").drop("before")
         .withColumns(
             {
@@ -340,12 +350,26 @@ def _met(wide: DataFrame) -> DataFrame:
             }
         )
     )
-    often = wide.where("size(often) > 0").select("name", F.explode("often").alias("word")).distinct()
+    often = wide.where("size(often) > 0").select("name", F.explode("often").alias("word")).where(in_slice).distinct()
     told = often.groupBy("word").agg(
         F.min("name").alias("centre"), F.max("name").alias("last"), F.bit_xor(F.xxhash64("name")).alias("members"), F.count("*").alias("rows")
     )
-    shared = some.unionByName(often.join(F.broadcast(told), "word")).where("centre < last")
-    return shared.groupBy("members", "rows", "centre", "name").agg(F.min("word").alias("word"))
+    return some.unionByName(often.join(F.broadcast(told), "word")).where("centre < last").select("members", "rows", "centre", "name", "word")
+
+
+def _met(wide: DataFrame) -> DataFrame:
+    """(members, rows, centre, name, word): the words that several sets share; of words that the same sets share one.
+
+    Nearly all words have one set only and go within their slice; those shared are written.
+    """
+    parts = []
+    for k in range(SLICES):
+        parts.append(keep(_shared(wide, k), "shared"))
+        parts[-1].isEmpty()  # until another query ends, Spark holds the last one's plan, and so the slice's shuffle files
+        release(wide.sparkSession)
+    met = keep(reduce(DataFrame.unionByName, parts).groupBy("members", "rows", "centre", "name").agg(F.min("word").alias("word")), "met")
+    forget(*parts)
+    return met
 
 
 def _stars(met: DataFrame, about: DataFrame) -> DataFrame:
@@ -370,15 +394,16 @@ def _close_finely(pairs: DataFrame, about: DataFrame) -> DataFrame:
 
 
 def _cross(met: DataFrame, about: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
-    """Distinct close pairs (a, b, x, y) of different components that share a word.
+    """Distinct close pairs (a, b, x, y) of different components that share a word; see `_close_in_groups` for forest.
 
+    Groups of two sets are left to `_stars`, which has compared them.
     A group's members outside of its largest component are dealt into tiles of about
     TILE rows, those of the largest one into chunks; every pair of tiles, and of a chunk
     and a tile, is a run of its own, so no task holds a whole large group and pairs
     inside the largest component are never made.  Sketches join last, so they are
     shuffled once, and only where a group still has several components.
     """
-    labelled = met.select("word", "name").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    labelled = met.where("rows > 2").select("word", "name").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     told = (
         labelled.groupBy("word", "root").agg(F.count("*").alias("n")).groupBy("word")
         .agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).where("all > most")
@@ -442,7 +467,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "wide",
     )
     described = keep(wide.select("doc_id", "name", "n"), "described")
-    met = keep(_met(wide), "met")
+    met = _met(wide)
     about = keep(
         wide.where("n > 0").groupBy("name")
         .agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.max_by(c, F.size("sketch")).alias(c) for c in ("sketch", "fine")))
@@ -455,16 +480,22 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = _verify(stars, docs)
     roots = components(links, "a", "b")
     forget(stars)
+    again = met
     for forest in (True, False):
-        close = keep(_close_finely(_cross(met, about, roots, forest), about), "close")
-        if close.isEmpty():
-            forget(close)
-            continue
-        found = _verify(close, docs)
+        close = keep(_close_finely(_cross(again, about, roots, forest), about), "close")
+        pairs = close.where("a <> b")
+        if not pairs.isEmpty():
+            found = _verify(pairs, docs)
+            links, before = links.unionByName(found), roots
+            roots = components(found.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+            forget(before)
+        if forest:
+            left = keep(close.where("a = b").select(F.col("a").alias("word")), "left")
+            again = met.join(left, "word", "left_semi")
         forget(close)
-        links, before = links.unionByName(found), roots
-        roots = components(found.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
-        forget(before)
+        if left.isEmpty():  # the forest had every close pair
+            break
+    forget(left)
     forget(met, about)
     return described, links, roots
 

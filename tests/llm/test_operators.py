@@ -446,6 +446,68 @@ def test_jaccard_copies_in_several_partitions(spark, partitions):
     assert got == {i + 1000 * p: x for p in range(partitions) for i, x in plain_components(texts).items()}
 
 
+def stages(spark) -> dict:
+    """Rows that each stage so far has shuffled, by its number."""
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+
+def test_jaccard_words_meet_in_slices(spark):
+    """No stage shuffles half of the emitted block words: the disk holds the shuffle files of a slice."""
+    texts = {k: " ".join(f"u{k}.{j}" for j in range(120)) for k in range(200)}
+    texts |= {500 + k: texts[k] + " end" for k in range(0, 200, 20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    emitted = sum(len(jaccard._emitted(x, nothing)) for x in jaccard.sets_of(pa.array(list(texts.values()))))
+    before = stages(spark)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {k: k % 500 for k in texts}
+    assert max(n for k, n in stages(spark).items() if k not in before) < emitted / 2
+
+
+def test_jaccard_compares_again_only_what_the_forest_left(spark, monkeypatch):
+    """Sets that share passages without being similar are compared once; where pairs were left out they are made."""
+    kept = []
+    monkeypatch.setattr(jaccard, "keep", lambda df, name, *a, f=jaccard.keep: kept.append(name) or f(df, name, *a))
+    passage = [f"p{j}" for j in range(20)]
+    texts = {k: " ".join([*(f"u{k}.{j}" for j in range(40)), *passage]) for k in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()} == {k: k for k in texts}
+    assert kept.count("close") == 1
+    # Some near enough to be linked, some just not, in each group.
+    rng = np.random.default_rng(4)
+    for g in range(8):
+        base = [f"g{g}.{j}" for j in range(70)]
+        for k in range(14):
+            own = list(base)
+            at, n = rng.integers(0, 60), rng.integers(0, 8)
+            own[at : at + n] = [f"x{g}.{k}.{j}" for j in range(n)]
+            texts[100 * g + 100 + k] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == plain_components(texts)
+
+
+def test_forest_tells_words_of_pairs_left_out():
+    """Every close pair is in the forest, or its word is told; words whose pairs the forest has are not told."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(1 << 63, size=90, dtype=np.uint64))
+    groups = {1: [0, 1], 2: [2, 3, 4], 3: [5, 6, 7, 8, 9], 4: [10, 11], 5: [0, 1]}
+    # names 10 and 11, and 6 beside its group, are far from the others
+    sets = {k: np.sort(rng.integers(1 << 63, size=90, dtype=np.uint64)) if k in (6, 10, 11) else np.sort(np.concatenate([base[3:], rng.integers(1 << 63, size=3, dtype=np.uint64)])) for k in range(12)}
+    rows = [(w, 0, 0, 0, k, k, 90, 1000 + k, jaccard.parity(sets[k])) for w, names in groups.items() for k in names]
+    names = ["word", "low", "high", "tile", "name", "root", "n", "least", "sketch"]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:8]), pa.array([r[8].tolist() for r in rows], pa.list_(pa.int64()))], names=names)
+    close = {(a, b): w for w, held in groups.items() for a, b in itertools.combinations(held, 2) if not {a, b} & {6, 10, 11}}
+    every = [tuple(r.values()) for out in jaccard._close_in_groups(iter([batch]), False) for r in out.to_pylist()]
+    assert set(every) == {(a, b, 1000 + a, 1000 + b) for a, b in close}  # the last run is a slice of its own and may repeat a pair
+    some = [tuple(r.values()) for out in jaccard._close_in_groups(iter([batch]), True) for r in out.to_pylist()]
+    forest, told = {r[:2] for r in some if r[0] != r[1]}, {r[0] for r in some if r[0] == r[1]}
+    assert forest < set(close)
+    assert told == {w for pair, w in close.items() if pair not in forest} == {2, 3}
+    assert len(forest) == 1 + 2 + 3
+
+
 def test_small_similar_sets_meet():
     """All sizes of similar sets of 4 to 9 elements, at any order of the block words."""
     rng = np.random.default_rng(3)
